@@ -196,7 +196,14 @@ def _block_counts(df: DataFrame, side: str, block_rows: int) -> DataFrame:
         F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(f"n_{side}"))
 
 
-def _grid_topk(index: DataFrame, queries: DataFrame, k: int, block_rows: int) -> DataFrame:
+def grouped_knn(index: DataFrame, queries: DataFrame, k: int,
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact k nearest among the rows with the query's own `bucket`, for any bucket count."""
+    return _merge(_grid_topk(index, queries, k, block_rows, few_buckets=False), k)
+
+
+def _grid_topk(index: DataFrame, queries: DataFrame, k: int, block_rows: int,
+               few_buckets: bool = True) -> DataFrame:
     """Block nested-loop search: cells of (bucket, index block, query block).
 
     Each index row is sent to the query blocks of its bucket and each query to
@@ -204,9 +211,10 @@ def _grid_topk(index: DataFrame, queries: DataFrame, k: int, block_rows: int) ->
     best k. After Zhang, Li, Jestes: Efficient Parallel kNN Joins for Large
     Data in MapReduce (EDBT 2012).
     """
-    # One row per bucket; callers make one bucket, or tables x 2^bits of them.
-    sizes = F.broadcast(_block_counts(index, "i", block_rows)
-                        .join(_block_counts(queries, "q", block_rows), "bucket"))
+    sizes = _block_counts(index, "i", block_rows).join(
+        _block_counts(queries, "q", block_rows), "bucket")
+    if few_buckets:       # one bucket, or tables x 2^bits of them: one row each
+        sizes = F.broadcast(sizes)
 
     def place(df: DataFrame, own: str, other: str, key: str) -> DataFrame:
         mine = F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int").alias(f"b_{own}")

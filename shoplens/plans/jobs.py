@@ -9,7 +9,8 @@ from shoplens.functions import clean, metadata as md, text as tx
 from shoplens.operators import recommend as rec
 from shoplens.operators.dedup import dedup, dedup_stats
 from shoplens.operators.joins import enrich_vectors, valid_embeddings
-from shoplens.operators.vectors import Embedder, embed_texts, knn_join, pool_size
+from shoplens.operators.vectors import (
+    Embedder, embed_texts, grouped_knn, knn_join, pool_size)
 from shoplens.session import materialize
 from shoplens.sources import files, sinks
 from shoplens.sources.index_store import Index
@@ -152,21 +153,20 @@ def recall_context(notes: DataFrame, queries: DataFrame, dimensions: int, k: int
                    embedder: Embedder | None = None) -> DataFrame:
     """Nearest stored notes of the actor who asks.
 
-    Notes are `(namespace, text)`, queries `(actorId, query)`. The namespace
-    holds the actor, so the search is a join on it and scores never cross actors.
+    Notes are `(namespace, noteId, text)`, queries `(query_id, actorId, query)`.
+    The namespace holds the actor, and the search runs inside namespaces only;
+    one with very many notes is split into blocks.
     """
-    from shoplens.operators.dedup import first_n
-    from shoplens.operators.vectors import cosine
-
     space = F.concat(F.lit("/preferences/"), F.col("actorId"), F.lit("/"))
-    asked = (embed_texts(queries.withColumn("namespace", space), "query", dimensions, embedder)
-             .withColumnRenamed("vector", "_asked"))
+    asked = embed_texts(queries.withColumn("bucket", space), "query", dimensions, embedder)
     stored = embed_texts(notes.filter(F.coalesce(F.col("text"), F.lit("")) != ""), "text",
                          dimensions, embedder)
-    scored = stored.join(asked, "namespace").withColumn(
-        "score", F.round(cosine(F.col("vector"), F.col("_asked")), 6))
-    return first_n(scored.drop("vector", "_asked"), ["actorId", "query"],
-                   [F.desc("score"), F.asc("text")], k, rank="rank")
+    hits = grouped_knn(
+        stored.select(F.col("noteId").cast("string").alias("key"), "vector",
+                      F.col("namespace").alias("bucket")),
+        asked.select(F.col("query_id").cast("string").alias("query_id"), "vector", "bucket"), k)
+    texts = notes.select(F.col("noteId").cast("string").alias("key"), "text")
+    return hits.join(texts, "key")
 
 
 def facet_line(facets: DataFrame, facet: str, limit: int) -> Column:
