@@ -7,6 +7,8 @@ closer, ties go to the smaller key.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shoplens import fixed
-from shoplens.functions.privacy import hex_bucket
 from shoplens.functions.text import normalize_query_text
 from shoplens.operators.dedup import first_n
 
@@ -34,47 +35,38 @@ def pool_size(k: int) -> int:
 
 # --- texts to vectors -------------------------------------------------------
 
-def token_buckets(text: Column, dimensions: int) -> Column:
-    """Vector position of each word of a normalized text."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    return F.transform(words, lambda w: hex_bucket(w, dimensions).cast("int"))
+def hashed_counts(texts: list[str], dimensions: int) -> np.ndarray:
+    """Word counts by hash position, at unit length, one row per text.
 
-
-def hashed_embedding(df: DataFrame, text: str, dimensions: int) -> DataFrame:
-    """Word counts by hash position at unit length, as `vector`.
-
-    Words are hashed inside the JVM. Python only counts small integers, one
-    Arrow batch at a time.
+    The position of a word is the first 32 bits of its MD5 modulo the dimension.
     """
-    @F.pandas_udf("array<float>")
-    def count(buckets: pd.Series) -> pd.Series:
-        def unit(places) -> np.ndarray:
-            counts = np.bincount(places, minlength=dimensions).astype("float64")
-            length = np.sqrt(counts @ counts)
-            return (counts / length if length else counts).astype("float32")
-        return buckets.map(unit)
-
-    return df.withColumn("vector", count(token_buckets(F.col(text), dimensions)))
+    place: dict[str, int] = {}
+    rows = np.zeros((len(texts), dimensions))
+    for row, text in zip(rows, texts):
+        for word, n in Counter(w for w in text.split(" ") if w).items():
+            if word not in place:
+                place[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
+            row[place[word]] += n
+    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(lengths == 0, 1.0, lengths)
 
 
 def embed_texts(df: DataFrame, text: str, dimensions: int = fixed.EMBED_DIMENSIONS,
                 embedder: Embedder | None = None) -> DataFrame:
     """Add `vector`, computing each distinct normalized text once.
 
-    `embedder(texts, dimensions)` returns one row per text; without one the
-    hashed word counts are used.
+    `embedder(texts, dimensions)` returns one row per text and runs on Arrow
+    batches; without one the hashed word counts are used.
     """
     keyed = df.withColumn("_text", normalize_query_text(F.coalesce(F.col(text), F.lit(""))))
-    distinct = keyed.select("_text").distinct()
-    if embedder is None:
-        vectors = hashed_embedding(distinct, "_text", dimensions)
-    else:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = np.asarray(embedder(batch["_text"].tolist(), dimensions), dtype="float32")
-                yield pd.DataFrame({"_text": batch["_text"], "vector": list(rows)})
-
-        vectors = distinct.mapInPandas(run, "_text string, vector array<float>")
+    embed = embedder or hashed_counts
+
+    @F.pandas_udf("array<float>")
+    def vector(texts: pd.Series) -> pd.Series:
+        rows = np.asarray(embed(texts.tolist(), dimensions), dtype="float32")
+        return pd.Series(list(rows))
+
+    vectors = keyed.select("_text").distinct().withColumn("vector", vector("_text"))
     return keyed.join(vectors, "_text").drop("_text")
 
 

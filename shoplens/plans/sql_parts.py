@@ -131,7 +131,7 @@ def band_sql(side: int) -> str:
         f"WHEN '{k}' THEN {b[side]}" for k, b in BANDS.items()) + " END")
 
 
-BONUS = f"""round(0.0
+BONUS = f"""round(CAST(0 AS DOUBLE)
     + CASE WHEN contains(lower(p.theme), lower(c.preferredTheme)) THEN 0.1 ELSE 0 END
     + CASE WHEN contains(lower(coalesce(p.occasion, p.theme)), lower(c.preferredOccasion))
         THEN 0.08 ELSE 0 END

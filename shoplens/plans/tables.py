@@ -162,16 +162,16 @@ def jobs(spark, d) -> DataFrame:
         "concat('run-', o_custkey) run", "concat('type-', o_custkey % 7) dataType",
         "cast(o_custkey as bigint) startedAt",
         "concat('part-', lpad(cast(o_orderkey as string), 9, '0')) inputKey",
-        """case o_orderstatus when 'F' then 'Completed' when 'O' then 'Completed'
-            else case when o_orderkey % 2 = 0 then 'Failed' else 'InProgress' end end status""")
+        """case o_orderkey % 40 when 0 then 'Failed' when 1 then 'InProgress'
+            else 'Completed' end status""")
 
 
 def chunks(spark, d) -> DataFrame:
-    """All chunks of the runs; those of urgent orders have not been submitted."""
+    """All chunks of the runs; those of urgent pending orders are not submitted yet."""
     return table(spark, d, "orders").selectExpr(
         "concat('run-', o_custkey) run",
         "concat('part-', lpad(cast(o_orderkey as string), 9, '0')) inputKey",
-        "o_orderpriority <> '1-URGENT' submitted")
+        "o_orderpriority <> '1-URGENT' or o_orderstatus <> 'P' submitted")
 
 
 def responses(spark, d) -> DataFrame:
@@ -289,9 +289,9 @@ SQL = {
     "jobs": """
         SELECT 'run-' || o_custkey AS run, 'type-' || (o_custkey % 7) AS dataType,
           o_custkey AS startedAt, 'part-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS inputKey,
-          CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Completed'
-            ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Failed' ELSE 'InProgress' END END AS status,
-          o_orderpriority <> '1-URGENT' AS submitted
+          CASE o_orderkey % 40 WHEN 0 THEN 'Failed' WHEN 1 THEN 'InProgress'
+            ELSE 'Completed' END AS status,
+          o_orderpriority <> '1-URGENT' OR o_orderstatus <> 'P' AS submitted
         FROM orders""",
     "responses": r"""
         SELECT conv_id, turn, CASE (conv_id + turn) % 8

@@ -20,6 +20,7 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
         "spark.driver.memory": "12g",
         "spark.driver.host": "127.0.0.1",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
