@@ -10,13 +10,23 @@ from shoplens.operators.dedup import first_n
 TYPEAHEAD_FIELDS = ["userId", "customerSegment", "region", "preferredTheme"]
 
 
-def preferred_value(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Most frequent value per key, ties to the smaller value; counted before ranking."""
-    counts = (rows.filter(F.col(value).isNotNull())
-              .groupBy(key, value).agg(F.count("*").alias("_n")))
-    best = counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value)))
-                                   .alias(name))
-    return best
+def preferred_values(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Most frequent value per key of several columns, ties to the smaller value.
+
+    `columns` maps output name to input column. The input is read once: each
+    row counts towards every column, and counts combine before the shuffle.
+    """
+    pairs = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(c).cast("string").alias("_value"))
+                      for name, c in columns.items()])
+    counts = (rows.select(key, F.inline(pairs)).filter(F.col("_value").isNotNull())
+              .groupBy(key, "_name", "_value").agg(F.count("*").alias("_n")))
+    rank = F.struct(-F.col("_n"), F.col("_value"))
+
+    def best(name: str) -> Column:
+        mine = F.col("_name") == name
+        return F.min_by(F.when(mine, F.col("_value")), F.when(mine, rank)).alias(name)
+
+    return counts.groupBy(key).agg(*[best(name) for name in columns])
 
 
 def customer_features(orders: DataFrame, as_of: str) -> DataFrame:

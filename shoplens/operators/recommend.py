@@ -76,6 +76,41 @@ def topk_per_customer(candidates: DataFrame, k: int, keys: list[str],
                    k, rank=rank)
 
 
+RANKING_KEYS = ["theme", "occasion", "price", "bulkAssortments", "isBulk"]
+
+
+def candidate_pools(hits: DataFrame, in_stock_only: bool = True) -> DataFrame:
+    """Hits with metadata to one row per query: its pool as an array of structs.
+
+    A pool has at most as many entries as the search returned per query, and
+    keeps only the metadata the re-rank reads.
+    """
+    rows = hits.filter(in_stock(F.col("metadata"))) if in_stock_only else hits
+    few = F.map_filter("metadata", lambda name, _: name.isin(RANKING_KEYS)).alias("metadata")
+    entry = F.struct("key", "score", F.col("rank").alias("base_rank"), few)
+    return rows.groupBy("query_id").agg(F.collect_list(entry).alias("pool"))
+
+
+def rank_pools(askers: DataFrame, k: int, profile: bool = True,
+               bands: dict[str, tuple[float, float]] = fixed.PRICE_BANDS) -> DataFrame:
+    """Rows with a `pool` and profile columns to their best k candidates.
+
+    Bonus, order and cut happen inside the row, so candidates are not shuffled
+    once per asker.
+    """
+    def ranked(c: Column) -> Column:
+        bonus = F.round(rerank_bonus(c["metadata"], bands), 6) if profile else F.lit(0.0)
+        score = F.round(c["score"] + bonus, 6)
+        return F.struct((-score).alias("order"), c["base_rank"].alias("base_rank"),
+                        c["key"].alias("key"), score.alias("score"), bonus.alias("bonus"))
+
+    best = F.slice(F.array_sort(F.transform("pool", ranked)), 1, k)
+    rows = askers.select(*[c for c in askers.columns if c != "pool"],
+                         F.posexplode(best).alias("_at", "_c"))
+    return rows.select("*", "_c.key", "_c.score", "_c.bonus", "_c.base_rank",
+                       (F.col("_at") + 1).alias("position")).drop("_at", "_c")
+
+
 def product_card(key: Column, m: Column, score: Column) -> Column:
     def field(*names: str) -> Column:
         return F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(n)), F.lit("")) for n in names])

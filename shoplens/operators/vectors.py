@@ -22,7 +22,7 @@ from shoplens.operators.dedup import first_n
 # Query vectors up to this size are sent whole to every task; beyond it the
 # search runs on a grid of blocks.
 BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 32_768
 HITS = "query_id string, key string, score double"
 
 Embedder = Callable[[list[str], int], np.ndarray]
@@ -52,13 +52,14 @@ def hashed_counts(texts: list[str], dimensions: int) -> np.ndarray:
 
 
 def embed_texts(df: DataFrame, text: str, dimensions: int = fixed.EMBED_DIMENSIONS,
-                embedder: Embedder | None = None) -> DataFrame:
-    """Add `vector`, computing each distinct normalized text once.
+                embedder: Embedder | None = None, distinct: bool = True) -> DataFrame:
+    """Add `vector` for the normalized text of each row.
 
     `embedder(texts, dimensions)` returns one row per text and runs on Arrow
-    batches; without one the hashed word counts are used.
+    batches; without one the hashed word counts are used. With `distinct` each
+    different text is computed once and joined back on its digest, which pays
+    for queries and slow models. Without it there is no shuffle.
     """
-    keyed = df.withColumn("_text", normalize_query_text(F.coalesce(F.col(text), F.lit(""))))
     embed = embedder or hashed_counts
 
     @F.pandas_udf("array<float>")
@@ -66,8 +67,12 @@ def embed_texts(df: DataFrame, text: str, dimensions: int = fixed.EMBED_DIMENSIO
         rows = np.asarray(embed(texts.tolist(), dimensions), dtype="float32")
         return pd.Series(list(rows))
 
-    vectors = keyed.select("_text").distinct().withColumn("vector", vector("_text"))
-    return keyed.join(vectors, "_text").drop("_text")
+    normal = normalize_query_text(F.coalesce(F.col(text), F.lit("")))
+    if not distinct:
+        return df.withColumn("vector", vector(normal))
+    texts = df.select(F.md5(normal).alias("_digest"), normal.alias("_text")).distinct()
+    vectors = texts.select("_digest", vector("_text").alias("vector"))
+    return df.withColumn("_digest", F.md5(normal)).join(vectors, "_digest").drop("_digest")
 
 
 # --- vectors to neighbours --------------------------------------------------
@@ -87,24 +92,6 @@ def _unit_rows(vectors) -> np.ndarray:
     return rows / np.where(lengths == 0, 1.0, lengths)
 
 
-def _block_topk(query_ids: np.ndarray, queries: np.ndarray, keys: np.ndarray,
-                rows: np.ndarray, k: int) -> pd.DataFrame:
-    """Best k keys of each query within one block of the index."""
-    order = np.argsort(keys.astype(str), kind="stable")
-    keys, scores = keys[order], np.round(queries @ rows[order].T, 6) + 0.0
-    k = min(k, len(keys))
-    floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    ids, found, values = [], [], []
-    for i, least in enumerate(floor):
-        near = np.flatnonzero(scores[i] >= least)
-        best = near[np.argsort(-scores[i][near], kind="stable")[:k]]
-        ids.append(np.repeat(query_ids[i], len(best)))
-        found.append(keys[best])
-        values.append(scores[i][best])
-    return pd.DataFrame({"query_id": np.concatenate(ids), "key": np.concatenate(found),
-                         "score": np.concatenate(values)})
-
-
 def _merge(hits: DataFrame, k: int) -> DataFrame:
     """Best k of the per-block winners; the shuffle carries k rows per block and query."""
     return first_n(hits, ["query_id"], [F.desc("score"), F.asc("key")], k, rank="rank")
@@ -122,12 +109,12 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
     index = index.select(F.col("key").cast("string").alias("key"), "vector")
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
     if n_queries * dimensions * 8 <= broadcast_bytes:
-        return _merge(_scan_topk(index, queries, k, block_rows), k)
+        return _merge(_scan_topk(index, queries, k), k)
     one = F.lit(0).alias("bucket")
     return _merge(_grid_topk(index.select("*", one), queries.select("*", one), k, block_rows), k)
 
 
-def _scan_topk(index: DataFrame, queries: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _scan_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Bounded query set against every index batch, no shuffle of the index."""
     fetched = queries.toPandas()          # the caller has checked the size
     if fetched.empty:
@@ -139,18 +126,19 @@ def _scan_topk(index: DataFrame, queries: DataFrame, k: int, block_rows: int) ->
         ids, asked = shared.value
         best = _Best(ids, k)
         for batch in batches:
-            for at in range(0, len(batch), block_rows):
-                part = batch.iloc[at:at + block_rows]
-                best.add(asked, part["key"].to_numpy(), _unit_rows(part["vector"]))
+            if len(batch):
+                best.add(asked, batch["key"].to_numpy(), _unit_rows(batch["vector"]))
         yield best.rows()
 
-    return index.mapInPandas(search, HITS)
+    # Each task returns k rows per query, so a few long tasks per core beat one per file split.
+    tasks = 4 * index.sparkSession.sparkContext.defaultParallelism
+    return index.coalesce(tasks).mapInPandas(search, HITS)
 
 
 class _Best:
-    """Running best k keys per query of one task: k rows per query leave it, not per batch."""
+    """Running best k keys per query: k rows per query leave a task, not k per batch."""
 
-    SLICE = 1024      # queries scored at a time, bounds the score matrix
+    QUERIES, ROWS = 1024, 4096      # slice of the score matrix held at a time
 
     def __init__(self, ids: np.ndarray, k: int):
         self.ids, self.k = ids, k
@@ -158,23 +146,25 @@ class _Best:
         self.held: list[list[tuple[float, str]]] = [[] for _ in ids]
 
     def add(self, queries: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
-        for start in range(0, len(queries), self.SLICE):
-            scores = np.round(queries[start:start + self.SLICE] @ rows.T, 6) + 0.0
-            if self.k < len(keys):
-                cut = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
-            else:
-                cut = scores.min(axis=1)
-            cut = np.maximum(cut, self.least[start:start + len(scores)])
-            for i in np.flatnonzero(scores.max(axis=1) >= cut):
-                near = np.flatnonzero(scores[i] >= cut[i])
-                self._merge(start + i, [(-float(s), key)
-                                        for s, key in zip(scores[i][near], keys[near])])
-
-    def _merge(self, query: int, found: list[tuple[float, str]]) -> None:
-        held = sorted(self.held[query] + found)[:self.k]
-        self.held[query] = held
-        if len(held) == self.k:
-            self.least[query] = -held[-1][0]
+        for q in range(0, len(queries), self.QUERIES):
+            for r in range(0, len(keys), self.ROWS):
+                scores = np.round(queries[q:q + self.QUERIES] @ rows[r:r + self.ROWS].T, 6) + 0.0
+                self._slice(q, scores, keys[r:r + self.ROWS])
+
+    def _slice(self, start: int, scores: np.ndarray, keys: np.ndarray) -> None:
+        if self.k < len(keys):
+            cut = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+        else:
+            cut = scores.min(axis=1)
+        # Ties with the worst held score stay in: the smaller key decides.
+        cut = np.maximum(cut, self.least[start:start + len(scores)])
+        for i in np.flatnonzero(scores.max(axis=1) >= cut):
+            near = np.flatnonzero(scores[i] >= cut[i])
+            found = [(-float(s), key) for s, key in zip(scores[i][near], keys[near])]
+            held = sorted(self.held[start + i] + found)[:self.k]
+            self.held[start + i] = held
+            if len(held) == self.k:
+                self.least[start + i] = -held[-1][0]
 
     def rows(self) -> pd.DataFrame:
         return pd.DataFrame(
@@ -221,8 +211,9 @@ def _grid_topk(index: DataFrame, queries: DataFrame, k: int, block_rows: int,
     def search(near: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if near.empty or asked.empty:
             return pd.DataFrame({"query_id": [], "key": [], "score": []})
-        return _block_topk(asked["query_id"].to_numpy(), _unit_rows(asked["vector"]),
-                           near["key"].to_numpy(), _unit_rows(near["vector"]), k)
+        best = _Best(asked["query_id"].to_numpy(), k)
+        best.add(_unit_rows(asked["vector"]), near["key"].to_numpy(), _unit_rows(near["vector"]))
+        return best.rows()
 
     return left.cogroup(right).applyInPandas(search, HITS)
 
@@ -238,6 +229,10 @@ def vector_topk(index: DataFrame, query: list[float], k: int = 5) -> DataFrame:
                  .select("key", "score", "metadata"))
 
 
+def lsh_planes(tables: int, bits: int, dimensions: int, seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((tables, bits, dimensions))
+
+
 def lsh_candidates(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
                    tables: int = 8, bits: int = 6, seed: int = 7,
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -247,7 +242,7 @@ def lsh_candidates(index: DataFrame, queries: DataFrame, k: int, dimensions: int
     Buckets are searched on the same grid as the exact join, so a bucket with a
     third of the index is split into blocks and none of its rows is left out.
     """
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dimensions))
+    planes = lsh_planes(tables, bits, dimensions, seed)
     weights = 1 << np.arange(bits)
 
     @F.pandas_udf("array<int>")

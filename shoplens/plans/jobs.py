@@ -81,10 +81,19 @@ def build_vectors(rows: DataFrame, entity: str, dimensions: int,
     _, _, record_id, text, to_map, _ = ENTITIES[entity]
     body = rows.select(record_id().alias("key"), text().alias("_body"),
                        to_map().alias("metadata"))
-    embedded = embed_texts(body, "_body", dimensions, embedder).drop("_body")
+    embedded = embed_texts(body, "_body", dimensions, embedder, distinct=False).drop("_body")
     return embedded.withColumn("metadata", md.metadata_byte_cap(F.col("metadata")))
 
 
+def _hits(index: DataFrame, asked: DataFrame, k: int, dimensions: int,
+          embedder: Embedder | None) -> DataFrame:
+    """Nearest keys with metadata per distinct normalized text `_norm` of `asked`."""
+    distinct = asked.select(F.col("_norm").alias("query_id")).distinct()
+    vectors = embed_texts(distinct, "query_id", dimensions, embedder, distinct=False)
+    hits = knn_join(index, vectors, k, dimensions)
+    return hits.join(index.select(F.col("key").cast("string").alias("key"), "metadata"), "key")
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
            embedder: Embedder | None = None, text: str = "query") -> DataFrame:
     """`(query_id, key, score, rank, metadata)` of each query text.
@@ -92,28 +101,30 @@ def search(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
     Texts are embedded and searched once per distinct normalized text. The
     metadata is joined to the winners only.
     """
-    asked = queries.withColumn("_norm", tx.normalize_query_text(F.col(text)))
-    distinct = asked.select(F.col("_norm").alias("query_id")).distinct()
-    vectors = embed_texts(distinct, "query_id", dimensions, embedder)
-    hits = knn_join(index, vectors, k, dimensions)
-    cards = hits.join(index.select(F.col("key").cast("string").alias("key"), "metadata"), "key")
-    return (asked.select("query_id", "_norm")
-            .join(cards.withColumnRenamed("query_id", "_norm"), "_norm").drop("_norm"))
-
-
-def _rank(candidates: DataFrame, profiles: DataFrame | None, keys: list[str], k: int,
-          in_stock_only: bool, bands) -> DataFrame:
-    if in_stock_only:
-        candidates = rec.in_stock_only(candidates)
-    candidates = candidates.withColumnRenamed("rank", "base_rank")
-    if profiles is not None:
-        wanted = ["customerId", "customerType", "preferredTheme", "preferredOccasion",
-                  "priceAffinity"]
-        joined = candidates.join(
-            profiles.withColumnRenamed("userId", "customerId").select(wanted),
-            "customerId", "left")
-        candidates = rec.rerank_by_profile(joined, bands).drop(*wanted[1:])
-    return rec.topk_per_customer(candidates, k, keys)
+    asked = queries.select("query_id", tx.normalize_query_text(F.col(text)).alias("_norm"))
+    found = _hits(index, asked, k, dimensions, embedder).withColumnRenamed("query_id", "_norm")
+    return asked.join(found, "_norm").drop("_norm")
+
+
+_WANTED = ["customerType", "preferredTheme", "preferredOccasion", "priceAffinity"]
+
+
+def _recommend(index: DataFrame, queries: DataFrame, dimensions: int, k: int, pool: int | None,
+               in_stock_only: bool, embedder: Embedder | None, bands) -> DataFrame:
+    """Best k per query row; rows carry the text as `query` and the profile columns.
+
+    One candidate pool per distinct text is joined to the askers and ranked
+    inside their rows.
+    """
+    asked = queries.withColumn("_norm", tx.normalize_query_text(F.col("query"))).drop("query")
+    hits = _hits(index, asked, pool or pool_size(k), dimensions, embedder)
+    pools = rec.candidate_pools(hits, in_stock_only).withColumnRenamed("query_id", "_norm")
+    return rec.rank_pools(asked.join(pools, "_norm"), k, bands=bands).drop("_norm", *_WANTED)
+
+
+def _with_profile(queries: DataFrame, profiles: DataFrame) -> DataFrame:
+    known = profiles.select(F.col("userId").alias("customerId"), *_WANTED)
+    return queries.join(known, "customerId", "left")
 
 
 def recommend_products(index: DataFrame, criteria: DataFrame, profiles: DataFrame,
@@ -121,10 +132,9 @@ def recommend_products(index: DataFrame, criteria: DataFrame, profiles: DataFram
                        in_stock_only: bool = True, embedder: Embedder | None = None,
                        bands=fixed.PRICE_BANDS) -> DataFrame:
     """Ranked products per criteria row `(query_id, customerId?, theme, occasion, ...)`."""
-    queries = criteria.withColumn("query", tx.criteria_query_text())
-    found = search(index, queries, pool or pool_size(k), dimensions, embedder)
-    asked = found.join(criteria.select("query_id", "customerId"), "query_id")
-    return _rank(asked, profiles, ["query_id"], k, in_stock_only, bands)
+    queries = criteria.select("query_id", "customerId", tx.criteria_query_text().alias("query"))
+    return _recommend(index, _with_profile(queries, profiles), dimensions, k, pool,
+                      in_stock_only, embedder, bands)
 
 
 def recommend_for_customer(index: DataFrame, profiles: DataFrame, dimensions: int, k: int = 5,
@@ -132,11 +142,9 @@ def recommend_for_customer(index: DataFrame, profiles: DataFrame, dimensions: in
                            embedder: Embedder | None = None,
                            bands=fixed.PRICE_BANDS) -> DataFrame:
     """Ranked products for every stored profile."""
-    queries = profiles.select(F.col("userId").alias("query_id"),
+    queries = profiles.select(F.col("userId").alias("customerId"), *_WANTED,
                               tx.profile_query_text().alias("query"))
-    found = search(index, queries, pool or pool_size(k), dimensions, embedder)
-    return _rank(found.withColumnRenamed("query_id", "customerId"), profiles, ["customerId"], k,
-                 in_stock_only, bands)
+    return _recommend(index, queries, dimensions, k, pool, in_stock_only, embedder, bands)
 
 
 def personalized_search(index: DataFrame, queries: DataFrame, profiles: DataFrame,
@@ -144,9 +152,9 @@ def personalized_search(index: DataFrame, queries: DataFrame, profiles: DataFram
                         in_stock_only: bool = True, embedder: Embedder | None = None,
                         bands=fixed.PRICE_BANDS) -> DataFrame:
     """Free-text queries `(query_id, customerId?, query)` ranked by profile."""
-    found = search(index, queries, pool or pool_size(k), dimensions, embedder)
-    asked = found.join(queries.select("query_id", "customerId"), "query_id")
-    return _rank(asked, profiles, ["query_id"], k, in_stock_only, bands)
+    asked = queries.select("query_id", "customerId", "query")
+    return _recommend(index, _with_profile(asked, profiles), dimensions, k, pool, in_stock_only,
+                      embedder, bands)
 
 
 def recall_context(notes: DataFrame, queries: DataFrame, dimensions: int, k: int = 5,
@@ -160,7 +168,7 @@ def recall_context(notes: DataFrame, queries: DataFrame, dimensions: int, k: int
     space = F.concat(F.lit("/preferences/"), F.col("actorId"), F.lit("/"))
     asked = embed_texts(queries.withColumn("bucket", space), "query", dimensions, embedder)
     stored = embed_texts(notes.filter(F.coalesce(F.col("text"), F.lit("")) != ""), "text",
-                         dimensions, embedder)
+                         dimensions, embedder, distinct=False)
     hits = grouped_knn(
         stored.select(F.col("noteId").cast("string").alias("key"), "vector",
                       F.col("namespace").alias("bucket")),

@@ -169,9 +169,9 @@ def _customer_features(spark, d):
               .join(orders.select(F.col("id").alias("orderId"), "customerId"), "orderId")
               .join(t.products(spark, d).select(F.col("id").alias("productId"), "categoryL1",
                                                 "theme"), "productId"))
-    category = cu.preferred_value(bought, "customerId", "categoryL1", "preferredCategoryL1")
-    theme = cu.preferred_value(bought, "customerId", "theme", "preferredTheme")
-    return (features.join(category, "customerId", "left").join(theme, "customerId", "left")
+    favourites = cu.preferred_values(bought, "customerId", {
+        "preferredCategoryL1": "categoryL1", "preferredTheme": "theme"})
+    return (features.join(favourites, "customerId", "left")
             .withColumn("lifetimeSpend", F.col("lifetimeSpend").cast("double"))
             .drop("avgOrderValue"))
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from shoplens.functions import text as tx
 from shoplens.operators import recommend as rec
-from shoplens.operators.dedup import first_n
 from shoplens.operators.facets import facet_counts
 from shoplens.operators.vectors import (
-    cosine, embed_texts, knn_join, lsh_candidates, pool_size, vector_topk)
+    embed_texts, knn_join, lsh_candidates, lsh_planes, pool_size, vector_topk)
 from shoplens.operators.behavior import recent_n_per_user
 from shoplens.plans import jobs, sql_parts as sp, tables as t
 from shoplens.plans.queries_ingest import CRITERIA_QUERY, CRITERIA_SQL, FACETS_SQL, criteria
@@ -57,9 +56,26 @@ def _candidate_pool(spark, d):
                     broadcast_bytes=0)
 
 
-@query("lsh_candidates")
+LSH_TABLES, LSH_BITS = 8, 6
+_PLANES = ", ".join(
+    f"({i}, {b}, {plane.tolist()})"
+    for i, planes in enumerate(lsh_planes(LSH_TABLES, LSH_BITS, t.DIMENSIONS))
+    for b, plane in enumerate(planes))
+
+
+@query("lsh_candidates", f"""
+    WITH planes AS (SELECT * FROM (VALUES {_PLANES}) AS p(i, b, plane)),
+    codes AS (SELECT key, i, sum(CASE WHEN list_dot_product(v, CAST(plane AS DOUBLE[])) >= 0
+        THEN 1 << b ELSE 0 END) AS code FROM vecs, planes GROUP BY key, i),
+    pairs AS (SELECT DISTINCT a.key AS query_id, b.key AS key FROM codes a
+        JOIN codes b ON a.i = b.i AND a.code = b.code),
+    scored AS (SELECT query_id, p.key, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS score
+        FROM pairs p JOIN vecs a ON a.key = query_id JOIN vecs b ON b.key = p.key)
+    SELECT query_id, key, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM scored) WHERE rank <= {K}""")
 def _lsh_candidates(spark, d):
-    return lsh_candidates(t.vectors(spark, d), _self_queries(spark, d), K, t.DIMENSIONS)
+    return lsh_candidates(t.vectors(spark, d), _self_queries(spark, d), K, t.DIMENSIONS,
+                          LSH_TABLES, LSH_BITS)
 
 
 def centre(index: DataFrame) -> list[float]:
@@ -92,7 +108,8 @@ def orders_index(spark, d) -> DataFrame:
     rows = t.orders(spark, d).select(
         F.col("id").alias("key"), tx.order_text(F.lit("")).alias("body"),
         F.create_map(F.lit("status"), F.col("status")).alias("metadata"))
-    return materialize(embed_texts(rows, "body", t.DIMENSIONS).drop("body"), "orders-index")
+    return materialize(embed_texts(rows, "body", t.DIMENSIONS, distinct=False).drop("body"),
+                       "orders-index")
 
 
 _PROD_INDEX = f"{sp.embed_ctes('pi', 'prod', sp.PRODUCT_TEXT)}, " \

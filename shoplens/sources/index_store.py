@@ -78,17 +78,21 @@ class Index:
     def _rows(self, folder: str) -> int:
         return self.spark.read.parquet(f"{self.base}/{folder}").count()
 
+    def publish_unique(self, vectors: DataFrame, mode: str,
+                       dimensions: int | None = None) -> None:
+        """Publish records whose keys are known to be unique."""
+        folder = self._store(vectors)
+        self._publish([folder], mode, dimensions, self._rows(folder))
+
     def replace(self, vectors: DataFrame, dimensions: int | None = None) -> None:
         """New content only; the last record of a key wins."""
-        folder = self._store(keep_last(vectors))
-        self._publish([folder], "replace", dimensions, self._rows(folder))
+        self.publish_unique(keep_last(vectors), "replace", dimensions)
 
     def upsert(self, vectors: DataFrame, dimensions: int | None = None) -> None:
         """New keys inserted, existing ones replaced, the others kept."""
         if self.current() is None:
             return self.replace(vectors, dimensions)
-        folder = self._store(upsert_union(self._records(), keep_last(vectors)))
-        self._publish([folder], "upsert", dimensions, self._rows(folder))
+        self.publish_unique(upsert_union(self._records(), keep_last(vectors)), "upsert", dimensions)
 
     def append_new(self, vectors: DataFrame, dimensions: int | None = None) -> None:
         """Only unseen keys are inserted; the published row counts the skipped ones.

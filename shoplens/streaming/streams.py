@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -17,10 +17,24 @@ def with_event_time(stream: DataFrame, column: str = "ts", delay: str = "1 hour"
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
+def combine(stream: DataFrame, reduce: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Shrink each Arrow batch before the shuffle, so a hot key sends few rows per batch.
+
+    Streams have no map-side combine for deduplication or custom state.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield reduce(batch)
+
+    return stream.mapInPandas(run, stream.schema)
+
+
 def stream_dedup_events(events: DataFrame, keys: list[str], column: str = "ts",
                         delay: str = "1 hour") -> DataFrame:
     """First arrival of each key; a key is forgotten once the watermark passes it."""
-    return with_event_time(events, column, delay).dropDuplicatesWithinWatermark(keys)
+    rows = events.withColumn(column, F.col(column).cast("timestamp"))
+    once = combine(rows, lambda batch: batch.drop_duplicates(keys))
+    return with_event_time(once, column, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def stream_event_counts(events: DataFrame, length: str = "5 minutes", slide: str | None = None,
@@ -35,7 +49,12 @@ def stream_event_counts(events: DataFrame, length: str = "5 minutes", slide: str
 
 def stream_sessions(messages: DataFrame, gap: str = "30 minutes", column: str = "ts",
                     delay: str = "1 hour") -> DataFrame:
-    """Live session summaries: a session ends after a silence of `gap`."""
+    """Live session summaries: a session ends after a silence of `gap`.
+
+    Sessions are merged inside each task first, so a long one shuffles one row per task.
+    """
+    messages.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     is_user = F.upper("role") == "USER"
     at = F.struct(column, "turn")
     text = F.substring(F.coalesce(F.col("content"), F.lit("")), 1, 200)
@@ -74,8 +93,14 @@ def stream_recent_n(events: DataFrame, n: int = 10, keep_days: int = 30, column:
         yield pd.DataFrame({"userId": [key[0]], "newest_ms": [newest],
                             "event_ids": [",".join(str(i) for _, i in held)]})
 
-    rows = with_event_time(events, column, delay).withColumn("_ms", F.unix_millis(column))
-    return rows.select("userId", "eventId", "_ms", column).groupBy("userId").applyInPandasWithState(
+    def newest_rows(batch: pd.DataFrame) -> pd.DataFrame:
+        ordered = batch.sort_values(["_ms", "eventId"], ascending=False)
+        return ordered.groupby("userId", sort=False).head(n)
+
+    at = F.col(column).cast("timestamp")
+    rows = events.select("userId", "eventId", F.unix_millis(at).alias("_ms"), at.alias(column))
+    rows = with_event_time(combine(rows, newest_rows), column, delay)
+    return rows.groupBy("userId").applyInPandasWithState(
         update, "userId string, newest_ms long, event_ids string",
         "times array<long>, ids array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
@@ -94,7 +119,7 @@ def apply_changes(index: Index, changes: DataFrame) -> None:
         index.replace(fresh)
         return
     kept = index.scan().join(last.select("key"), "key", "left_anti")
-    index.replace(kept.select("key", "vector", "metadata").unionByName(fresh))
+    index.publish_unique(kept.select("key", "vector", "metadata").unionByName(fresh), "changes")
 
 
 def stream_index_upsert(changes: DataFrame, index: Index, checkpoint: str,
