@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from shoplens import fixed
@@ -9,6 +11,11 @@ from shoplens.functions import clean
 from shoplens.functions.text import plain_number
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute a value once and use it several times inside an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _string_map(pairs: dict[str, Column]) -> Column:
     """Map of the pairs whose value is not null."""
     entries = [x for name, value in pairs.items() for x in (F.lit(name), value.cast("string"))]
@@ -102,24 +109,44 @@ def metadata_byte_cap(m: Column, cap: int = fixed.FILTERABLE_BYTE_CAP,
     """Trim the longest counted field, 200 characters a round, until the map fits.
 
     A fold over the round numbers: each round trims only the first of the
-    longest fields. Maps under the cap never enter the fold.
+    longest fields. JSON escapes single characters, so the size drops by the
+    escaped size of the cut piece and the map is not serialized again. Maps
+    under the cap never enter the fold.
     """
+    counted = F.struct(
+        F.transform(F.map_entries(m), lambda e: F.struct(
+            e["key"].alias("key"), e["value"].alias("value"),
+            F.length(e["value"]).alias("keep"))).alias("entries"),
+        filterable_bytes(m, exempt).alias("bytes"))
+
+    def longest(entries: Column) -> Column:
+        """Length and place of the first of the longest fields that may be cut."""
+        return F.array_max(F.transform(entries, lambda e, i: F.when(
+            ~e["key"].isin(exempt) & (e["keep"] > fixed.CAP_FLOOR),
+            F.struct(e["keep"].alias("keep"), (-i).alias("place")))))
+
+    def cut(state: Column, top: Column) -> Column:
+        keep = F.greatest(top["keep"] - fixed.CAP_STEP, F.lit(fixed.CAP_FLOOR))
+        piece = F.substring(F.get(state["entries"], -top["place"])["value"], keep + 1,
+                            top["keep"] - keep)
+        gone = F.octet_length(F.to_json(F.array(piece))) - F.lit(len('[""]'))
+        entries = F.transform(state["entries"], lambda e, i: F.struct(
+            e["key"].alias("key"), e["value"].alias("value"),
+            F.when(i == -top["place"], keep).otherwise(e["keep"]).alias("keep")))
+        return F.struct(entries.alias("entries"), (state["bytes"] - gone).alias("bytes"))
+
     def one_round(state: Column, _: Column) -> Column:
-        counted = F.filter(F.map_entries(state), lambda e: (~e["key"].isin(exempt))
-                           & (F.length(e["value"]) > fixed.CAP_FLOOR))
-        ranked = F.transform(counted, lambda e, i: F.struct(
-            F.length(e["value"]).alias("chars"), (-i).alias("place"), e["key"].alias("key")))
-        longest = F.array_max(ranked)["key"]
-        trimmed = F.transform_values(state, lambda k, v: F.when(
-            k == longest,
-            F.substring(v, F.lit(1), F.greatest(F.length(v) - fixed.CAP_STEP,
-                                                F.lit(fixed.CAP_FLOOR))),
-        ).otherwise(v))
-        return F.when(filterable_bytes(state, exempt) > cap, trimmed).otherwise(state)
+        return F.when(state["bytes"] <= cap, state).otherwise(
+            let(longest(state["entries"]),
+                lambda top: F.when(top.isNull(), state).otherwise(cut(state, top))))
+
+    def finish(state: Column) -> Column:
+        return F.map_from_entries(F.transform(state["entries"], lambda e: F.struct(
+            e["key"].alias("key"), F.substring(e["value"], F.lit(1), e["keep"]).alias("value"))))
 
     rounds = F.sequence(F.lit(1), F.lit(fixed.CAP_ROUNDS))
-    return F.when(filterable_bytes(m, exempt) > cap,
-                  F.aggregate(rounds, m, one_round)).otherwise(m)
+    return let(counted, lambda start: F.when(start["bytes"] <= cap, m).otherwise(
+        F.aggregate(rounds, start, one_round, finish)))
 
 
 def typed_profile(m: Column, key: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shoplens import fixed
+from shoplens.functions.metadata import let
 from shoplens.operators.dedup import dedup, first_n
 
 
@@ -91,24 +92,30 @@ def candidate_pools(hits: DataFrame, in_stock_only: bool = True) -> DataFrame:
     return rows.groupBy("query_id").agg(F.collect_list(entry).alias("pool"))
 
 
-def rank_pools(askers: DataFrame, k: int, profile: bool = True,
+def rank_pools(askers: DataFrame, k: int,
                bands: dict[str, tuple[float, float]] = fixed.PRICE_BANDS) -> DataFrame:
-    """Rows with a `pool` and profile columns to their best k candidates.
+    """Turn the `pool` of each row into `best`, its k best entries for the profile beside it.
 
-    Bonus, order and cut happen inside the row, so candidates are not shuffled
-    once per asker.
+    Bonus, order and cut happen inside the row: candidates are not shuffled.
     """
-    def ranked(c: Column) -> Column:
-        bonus = F.round(rerank_bonus(c["metadata"], bands), 6) if profile else F.lit(0.0)
-        score = F.round(c["score"] + bonus, 6)
+    def entry(c: Column, bonus: Column, score: Column) -> Column:
         return F.struct((-score).alias("order"), c["base_rank"].alias("base_rank"),
                         c["key"].alias("key"), score.alias("score"), bonus.alias("bonus"))
 
+    def ranked(c: Column) -> Column:
+        return let(F.round(rerank_bonus(c["metadata"], bands), 6), lambda bonus: let(
+            F.round(c["score"] + bonus, 6), lambda score: entry(c, bonus, score)))
+
     best = F.slice(F.array_sort(F.transform("pool", ranked)), 1, k)
-    rows = askers.select(*[c for c in askers.columns if c != "pool"],
-                         F.posexplode(best).alias("_at", "_c"))
-    return rows.select("*", "_c.key", "_c.score", "_c.bonus", "_c.base_rank",
-                       (F.col("_at") + 1).alias("position")).drop("_at", "_c")
+    return askers.withColumn("best", best).drop("pool")
+
+
+def unfold_best(rows: DataFrame) -> DataFrame:
+    """One row per entry of `best`, with its position."""
+    kept = [c for c in rows.columns if c != "best"]
+    return rows.select(*kept, F.posexplode("best").alias("_at", "_c")).select(
+        *kept, "_c.key", "_c.score", "_c.bonus", "_c.base_rank",
+        (F.col("_at") + 1).alias("position"))
 
 
 def product_card(key: Column, m: Column, score: Column) -> Column:

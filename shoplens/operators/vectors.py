@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shoplens import fixed
 from shoplens.functions.text import normalize_query_text
 from shoplens.operators.dedup import first_n
+from shoplens.session import plan_bytes
 
 # Query vectors up to this size are sent whole to every task; beyond it the
 # search runs on a grid of blocks.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 32_768
+# An index of fewer file bytes is shuffled to use all cores.
+SMALL_INDEX_BYTES = 256 * 1024 * 1024
 HITS = "query_id string, key string, score double"
 
 Embedder = Callable[[list[str], int], np.ndarray]
@@ -70,8 +73,8 @@ def embed_texts(df: DataFrame, text: str, dimensions: int = fixed.EMBED_DIMENSIO
     normal = normalize_query_text(F.coalesce(F.col(text), F.lit("")))
     if not distinct:
         return df.withColumn("vector", vector(normal))
-    texts = df.select(F.md5(normal).alias("_digest"), normal.alias("_text")).distinct()
-    vectors = texts.select("_digest", vector("_text").alias("vector"))
+    texts = df.select(normal.alias("_text")).distinct()
+    vectors = texts.select(F.md5("_text").alias("_digest"), vector("_text").alias("vector"))
     return df.withColumn("_digest", F.md5(normal)).join(vectors, "_digest").drop("_digest")
 
 
@@ -130,9 +133,12 @@ def _scan_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 best.add(asked, batch["key"].to_numpy(), _unit_rows(batch["vector"]))
         yield best.rows()
 
-    # Each task returns k rows per query, so a few long tasks per core beat one per file split.
+    # Each task returns k rows per query, so a few long tasks per core beat one per file
+    # split. A small index is spread instead: few files would leave most cores idle.
     tasks = 4 * index.sparkSession.sparkContext.defaultParallelism
-    return index.coalesce(tasks).mapInPandas(search, HITS)
+    spread = (index.repartition(tasks // 4, "key") if plan_bytes(index) < SMALL_INDEX_BYTES
+              else index.coalesce(tasks))
+    return spread.mapInPandas(search, HITS)
 
 
 class _Best:
@@ -148,21 +154,20 @@ class _Best:
     def add(self, queries: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
         for q in range(0, len(queries), self.QUERIES):
             for r in range(0, len(keys), self.ROWS):
-                scores = np.round(queries[q:q + self.QUERIES] @ rows[r:r + self.ROWS].T, 6) + 0.0
+                scores = queries[q:q + self.QUERIES] @ rows[r:r + self.ROWS].T
                 self._slice(q, scores, keys[r:r + self.ROWS])
 
     def _slice(self, start: int, scores: np.ndarray, keys: np.ndarray) -> None:
-        if self.k < len(keys):
-            cut = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
-        else:
-            cut = scores.min(axis=1)
-        # Ties with the worst held score stay in: the smaller key decides.
-        cut = np.maximum(cut, self.least[start:start + len(scores)])
+        cut = self.least[start:start + len(scores)]
+        if self.k < len(keys) and np.isinf(cut).any():
+            cut = np.maximum(cut, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        # Order is by rounded score, then key: keep all that may round up to the cut.
+        cut = cut - 1e-6
         for i in np.flatnonzero(scores.max(axis=1) >= cut):
             near = np.flatnonzero(scores[i] >= cut[i])
-            found = [(-float(s), key) for s, key in zip(scores[i][near], keys[near])]
-            held = sorted(self.held[start + i] + found)[:self.k]
-            self.held[start + i] = held
+            values = np.round(scores[i][near], 6) + 0.0
+            held = sorted(self.held[start + i] + list(zip((-values).tolist(), keys[near])))
+            self.held[start + i] = held = held[:self.k]
             if len(held) == self.k:
                 self.least[start + i] = -held[-1][0]
 

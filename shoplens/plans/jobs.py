@@ -113,13 +113,17 @@ def _recommend(index: DataFrame, queries: DataFrame, dimensions: int, k: int, po
                in_stock_only: bool, embedder: Embedder | None, bands) -> DataFrame:
     """Best k per query row; rows carry the text as `query` and the profile columns.
 
-    One candidate pool per distinct text is joined to the askers and ranked
-    inside their rows.
+    The ranking depends on the text and four profile columns only, so it is
+    done once per distinct combination and joined back to the askers.
     """
     asked = queries.withColumn("_norm", tx.normalize_query_text(F.col("query"))).drop("query")
-    hits = _hits(index, asked, pool or pool_size(k), dimensions, embedder)
+    asked = asked.withColumn("_combo", F.md5(F.to_json(F.struct("_norm", *_WANTED))))
+    combos = asked.select("_combo", "_norm", *_WANTED).distinct()
+    hits = _hits(index, combos, pool or pool_size(k), dimensions, embedder)
     pools = rec.candidate_pools(hits, in_stock_only).withColumnRenamed("query_id", "_norm")
-    return rec.rank_pools(asked.join(pools, "_norm"), k, bands=bands).drop("_norm", *_WANTED)
+    best = rec.rank_pools(combos.join(pools, "_norm"), k, bands).select("_combo", "best")
+    rows = asked.drop("_norm", *_WANTED).join(best, "_combo").drop("_combo")
+    return rec.unfold_best(rows)
 
 
 def _with_profile(queries: DataFrame, profiles: DataFrame) -> DataFrame:

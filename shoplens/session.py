@@ -62,3 +62,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's size estimate of a plan; for a scan the size of its files. Runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
