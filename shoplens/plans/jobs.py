@@ -118,7 +118,7 @@ def _recommend(index: DataFrame, queries: DataFrame, dimensions: int, k: int, po
     """
     asked = queries.withColumn("_norm", tx.normalize_query_text(F.col("query"))).drop("query")
     asked = asked.withColumn("_combo", F.md5(F.to_json(F.struct("_norm", *_WANTED))))
-    combos = asked.select("_combo", "_norm", *_WANTED).distinct()
+    combos = materialize(asked.select("_combo", "_norm", *_WANTED).distinct(), "askers")
     hits = _hits(index, combos, pool or pool_size(k), dimensions, embedder)
     pools = rec.candidate_pools(hits, in_stock_only).withColumnRenamed("query_id", "_norm")
     best = rec.rank_pools(combos.join(pools, "_norm"), k, bands).select("_combo", "best")
