@@ -41,11 +41,10 @@ def _weight(kind: Column, weights: dict[str, float]) -> Column:
 
 
 def funnel_mix(events: DataFrame) -> DataFrame:
-    """Count and share per event type. The total is taken over the few type rows."""
+    """Count and share per event type. The total is one number over the type counts."""
     counts = events.groupBy("eventType").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"), F.lit(1).alias("_one"))
-    return (counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-            .select("eventType", "n", F.round(F.col("n") / F.col("_total"), 6).alias("share")))
+    total = counts.select(F.sum("n")).scalar()
+    return counts.select("eventType", "n", F.round(F.col("n") / total, 6).alias("share"))
 
 
 def funnel_steps(events: DataFrame) -> DataFrame:

@@ -41,15 +41,9 @@ def fallback_table(spark) -> DataFrame:
 
 
 def facet_fallback(facets: DataFrame) -> DataFrame:
-    """The facets, or the built-in lists if themes, occasions and categories are all empty.
-
-    Facet tables are a few dozen rows by construction, so the guard is cheap.
-    """
-    known = (facets.filter(F.col("facet").isin("themes", "occasions", "categories"))
-             .agg(F.count("*").alias("_known")))
+    """The facets, or the built-in lists if themes, occasions and categories are all empty."""
+    known = facets.filter(F.col("facet").isin("themes", "occasions", "categories"))
+    is_live = known.select(F.count("*") > 0).scalar()
     live = facets.withColumn("_live", F.lit(True))
     spare = fallback_table(facets.sparkSession).withColumn("_live", F.lit(False))
-    both = live.unionByName(spare).withColumn("_one", F.lit(1))
-    guarded = both.join(F.broadcast(known.withColumn("_one", F.lit(1))), "_one")
-    return (guarded.filter(F.col("_live") == (F.col("_known") > 0))
-            .drop("_one", "_known", "_live"))
+    return live.unionByName(spare).filter(F.col("_live") == is_live).drop("_live")

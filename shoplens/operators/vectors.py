@@ -113,8 +113,12 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
     if n_queries * dimensions * 8 <= broadcast_bytes:
         return _merge(_scan_topk(index, queries, k), k)
-    one = F.lit(0).alias("bucket")
-    return _merge(_grid_topk(index.select("*", one), queries.select("*", one), k, block_rows), k)
+    n_index = index.select(_block_number(F.count("*"), block_rows)).scalar()
+    n_queries = _block_number(F.lit(n_queries), block_rows)
+    return _merge(_cells_topk(
+        index.select(F.lit(0).alias("bucket"), "*", n_index.alias("n_i"), n_queries.alias("n_q")),
+        queries.select(F.lit(0).alias("bucket"), "*", n_index.alias("n_i"),
+                       n_queries.alias("n_q")), k), k)
 
 
 def _scan_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -177,41 +181,46 @@ class _Best:
             columns=["query_id", "key", "score"])
 
 
-def _block_counts(df: DataFrame, side: str, block_rows: int) -> DataFrame:
-    """Blocks per bucket: as many as its size asks for, so a hot bucket is split."""
-    return df.groupBy("bucket").agg(
-        F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(f"n_{side}"))
+def _block_number(rows: Column, block_rows: int) -> Column:
+    return F.greatest(F.ceil(rows / F.lit(block_rows)), F.lit(1)).cast("int")
 
 
 def grouped_knn(index: DataFrame, queries: DataFrame, k: int,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact k nearest among the rows with the query's own `bucket`, for any bucket count."""
-    return _merge(_grid_topk(index, queries, k, block_rows, few_buckets=False), k)
+    """Exact k nearest among the rows with the query's own `bucket`."""
+    return _merge(_grouped_hits(index, queries, k, block_rows), k)
 
 
-def _grid_topk(index: DataFrame, queries: DataFrame, k: int, block_rows: int,
-               few_buckets: bool = True) -> DataFrame:
+def _grouped_hits(index: DataFrame, queries: DataFrame, k: int, block_rows: int,
+                  few_groups: bool = False) -> DataFrame:
+    """Best k of each query per cell of its bucket.
+
+    Blocks per bucket follow its row count, so a hot bucket is split. With
+    `few_groups` the caller vouches for a small number of buckets, whose counts
+    are broadcast; otherwise Spark joins them as it sees fit.
+    """
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("bucket").agg(_block_number(F.count("*"), block_rows).alias(name))
+
+    sizes = counted(index, "n_i").join(counted(queries, "n_q"), "bucket")
+    sizes = F.broadcast(sizes) if few_groups else sizes
+    return _cells_topk(index.join(sizes, "bucket"), queries.join(sizes, "bucket"), k)
+
+
+def _cells_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Block nested-loop search: cells of (bucket, index block, query block).
 
-    Each index row is sent to the query blocks of its bucket and each query to
-    the index blocks; a cell multiplies two bounded blocks and returns only its
-    best k. After Zhang, Li, Jestes: Efficient Parallel kNN Joins for Large
-    Data in MapReduce (EDBT 2012).
+    Rows carry the block counts `n_i` and `n_q` of their bucket. Each index row
+    is sent to the query blocks and each query to the index blocks; a cell
+    scores two bounded blocks and returns only its best k. After Zhang, Li,
+    Jestes: Efficient Parallel kNN Joins for Large Data in MapReduce (EDBT 2012).
     """
-    sizes = _block_counts(index, "i", block_rows).join(
-        _block_counts(queries, "q", block_rows), "bucket")
-    if few_buckets:       # one bucket, or tables x 2^bits of them: one row each
-        sizes = F.broadcast(sizes)
+    cell = ["bucket", "b_i", "b_q"]
 
-    def place(df: DataFrame, own: str, other: str, key: str) -> DataFrame:
+    def place(df: DataFrame, own: str, other: str, key: str):
         mine = F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int").alias(f"b_{own}")
         copies = F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(f"b_{other}")
-        return (df.join(sizes, "bucket").select("bucket", key, "vector", mine, f"n_{other}")
-                  .select("bucket", key, "vector", f"b_{own}", copies))
-
-    cell = ["bucket", "b_i", "b_q"]
-    left = place(index, "i", "q", "key").groupBy(*cell)
-    right = place(queries, "q", "i", "query_id").groupBy(*cell)
+        return df.select("bucket", key, "vector", mine, copies).groupBy(*cell)
 
     def search(near: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if near.empty or asked.empty:
@@ -220,7 +229,8 @@ def _grid_topk(index: DataFrame, queries: DataFrame, k: int, block_rows: int,
         best.add(_unit_rows(asked["vector"]), near["key"].to_numpy(), _unit_rows(near["vector"]))
         return best.rows()
 
-    return left.cogroup(right).applyInPandas(search, HITS)
+    return (place(index, "i", "q", "key").cogroup(place(queries, "q", "i", "query_id"))
+            .applyInPandas(search, HITS))
 
 
 def vector_topk(index: DataFrame, query: list[float], k: int = 5) -> DataFrame:
@@ -261,5 +271,7 @@ def lsh_candidates(index: DataFrame, queries: DataFrame, k: int, dimensions: int
         return df.select(F.col(key).cast("string").alias(key), "vector",
                          F.explode(signatures("vector")).alias("bucket"))
 
-    hits = _grid_topk(bucketed(index, "key"), bucketed(queries, "query_id"), k, block_rows)
+    # Tables x 2^bits buckets; a pair found in several tables counts once.
+    hits = _grouped_hits(bucketed(index, "key"), bucketed(queries, "query_id"), k, block_rows,
+                         few_groups=True)
     return _merge(hits.distinct(), k)

@@ -182,10 +182,10 @@ def recall_context(notes: DataFrame, queries: DataFrame, dimensions: int, k: int
 
 
 def facet_line(facets: DataFrame, facet: str, limit: int) -> Column:
-    names = F.array_sort(F.collect_list(
-        F.when((F.col("facet") == facet) & (F.col("rank") <= limit),
-               F.struct("rank", "value"))))
-    return F.array_join(F.transform(names, lambda x: x["value"]), ", ")
+    """The first values of a facet as one text, the same for every row."""
+    few = facets.filter((F.col("facet") == facet) & (F.col("rank") <= limit))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "value")))
+    return few.select(F.array_join(F.transform(ordered, lambda x: x["value"]), ", ")).scalar()
 
 
 def customer_context(profiles: DataFrame, recent: DataFrame, facets: DataFrame,
@@ -199,17 +199,13 @@ def customer_context(profiles: DataFrame, recent: DataFrame, facets: DataFrame,
     ordered = F.array_sort(F.collect_list(F.struct("recency", "_line")))
     history = lines.groupBy("userId").agg(
         F.array_join(F.transform(ordered, lambda x: x["_line"]), "\n").alias("_history"))
-    catalog = facets.agg(facet_line(facets, "themes", 8).alias("_themes"),
-                         facet_line(facets, "occasions", 8).alias("_occasions"),
-                         facet_line(facets, "categories", 6).alias("_categories"),
-                         F.lit(1).alias("_one"))
-    rows = (profiles.join(history, "userId", "left").withColumn("_one", F.lit(1))
-            .join(F.broadcast(catalog), "_one"))
+    rows = profiles.join(history, "userId", "left")
     filled = tx.fill_placeholders(template, {
         "PROFILE_CONTEXT": tx.format_profile(),
         "PROFILE_TIPS": tx.profile_tips(),
         "INTERACTION_HISTORY": F.coalesce("_history", F.lit(fixed.NO_HISTORY_TEXT)),
-        "THEMES": F.col("_themes"), "OCCASIONS": F.col("_occasions"),
-        "CATEGORIES": F.col("_categories"),
+        "THEMES": facet_line(facets, "themes", 8),
+        "OCCASIONS": facet_line(facets, "occasions", 8),
+        "CATEGORIES": facet_line(facets, "categories", 6),
     })
     return rows.select("userId", filled.alias("context"))

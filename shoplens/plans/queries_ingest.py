@@ -88,7 +88,7 @@ def _read_messy_csv(spark, d):
     FROM ords o LEFT JOIN items i ON i.orderId = o.id GROUP BY ALL""")
 def _read_json_array(spark, d):
     path = work_dir(spark, "orders-json")
-    lists = od.item_lists(t.items(spark, d)).filter("part = 0").select("orderId", "items")
+    lists = od.item_lists(t.items(spark, d)).select("orderId", "items")
     rows = t.orders(spark, d).join(lists, F.col("id") == F.col("orderId"), "left")
     # A thousand neighbouring orders per array, each array in a file of its own.
     arrays = (rows.groupBy(F.floor(F.col("id").cast("long") / 1000).alias("b"))
@@ -97,9 +97,10 @@ def _read_json_array(spark, d):
     orders = files.read_json_array(spark, path, schemas.ORDER)
     count = F.coalesce(F.aggregate(F.transform("items", lambda i: i["quantity"]),
                                    F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0))
-    return orders.select("id", "customerId",
-                         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-                         count.alias("quantity"))
+    # An order with very many lines comes as several objects.
+    return orders.groupBy("id", "customerId").agg(
+        F.sum(F.coalesce(F.size("items"), F.lit(0))).alias("n_items"),
+        F.sum(count).alias("quantity"))
 
 
 def results(spark, d) -> DataFrame:
@@ -231,10 +232,10 @@ def _index_upsert(spark, d):
     return _named(index.scan())
 
 
-@query("index_append_new", f"""SELECT key, name, changed, s.skipped, s.added
-    FROM ({_OLD} UNION ALL SELECT * FROM ({_NEW}) WHERE key LIKE 'new-%'),
-    (SELECT count(*) FILTER (label < 3) AS skipped, count(*) FILTER (label = 3) AS added
-     FROM vecs) s""")
+@query("index_append_new", f"""
+    WITH o AS ({_OLD}), n AS ({_NEW}), a AS (SELECT * FROM n ANTI JOIN o USING (key))
+    SELECT *, (SELECT count(*) FROM n) - (SELECT count(*) FROM a) AS skipped,
+      (SELECT count(*) FROM a) AS added FROM (FROM o UNION ALL FROM a)""")
 def _index_append_new(spark, d):
     index = built_index(spark, d)
     index.write(changes(spark, d), "append")
@@ -576,12 +577,11 @@ def _valid_embeddings(spark, d):
 
 
 def _raw(spark, d) -> DataFrame:
-    """Raw rows of the parts whose size is not a multiple of seven."""
-    return jobs.vectors_of(t.products(spark, d).filter(
-        "cast(substr(categoryL2, 6) as int) % 7 <> 0"), "products")
+    """Raw rows of the parts in stock; the others have a vector but no raw row."""
+    return jobs.vectors_of(t.products(spark, d).filter("inStock"), "products")
 
 
-_RAW = "(SELECT * FROM prod WHERE CAST(substr(categoryL2, 6) AS INT) % 7 <> 0)"
+_RAW = "(SELECT * FROM prod WHERE inStock)"
 
 
 @query("enrich_vectors", f"""
