@@ -81,19 +81,27 @@ def luhn_valid(digits: Column) -> Column:
 
 def pii_mask(df: DataFrame, text: str = "text") -> DataFrame:
     """Mask e-mail and phone, flag rows with card, bank and identity numbers."""
-    source = F.col(text)
+    # Every pattern but the address needs a digit, and most texts have none: one
+    # cheap test keeps the long patterns off them.
+    rows = df.withColumn("_digit", F.coalesce(F.rlike(F.col(text), F.lit("[0-9]")), F.lit(False)))
+    source, digit = F.col(text), F.col("_digit")
     cards = F.transform(F.regexp_extract_all(source, F.lit(f"({CARD})"), 1),
                         lambda c: F.regexp_replace(c, "[^0-9]", ""))
-    masked = F.regexp_replace(F.regexp_replace(source, EMAIL, "{EMAIL}"), PHONE, "{PHONE}")
-    return df.withColumns({
-        "masked": masked,
-        "has_card": F.exists(cards, luhn_valid),
-        "has_cvv": F.rlike(source, F.lit(CVV)),
-        "has_expiry": F.rlike(source, F.lit(EXPIRY)),
-        "has_ssn": F.rlike(source, F.lit(SSN)),
-        "has_bank": F.rlike(source, F.lit(BANK_ACCOUNT)),
-        "has_routing": F.rlike(source, F.lit(ROUTING)),
-    })
+    no_mail = F.when(F.contains(source, F.lit("@")),
+                     F.regexp_replace(source, EMAIL, "{EMAIL}")).otherwise(source)
+
+    def found(pattern: str) -> Column:
+        return digit & F.rlike(source, F.lit(pattern))
+
+    return rows.withColumns({
+        "masked": F.when(digit, F.regexp_replace(no_mail, PHONE, "{PHONE}")).otherwise(no_mail),
+        "has_card": digit & F.exists(cards, luhn_valid),
+        "has_cvv": found(CVV),
+        "has_expiry": found(EXPIRY),
+        "has_ssn": found(SSN),
+        "has_bank": found(BANK_ACCOUNT),
+        "has_routing": found(ROUTING),
+    }).drop("_digit")
 
 
 def denied_topic_flags(df: DataFrame, topics: dict[str, list[str]] | None = None,

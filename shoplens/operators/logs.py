@@ -23,19 +23,21 @@ FACETS_FALLBACK = "using fallback"
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:
     """Fields of each line; absent ones are null."""
-    def number(pattern: str, group: int = 1) -> Column:
-        return F.regexp_extract("line", pattern, group).try_cast("bigint")
+    def number(marker: str, pattern: str, group: int = 1) -> Column:
+        # The marker test spares lines of other kinds the regular expression.
+        digits = F.regexp_extract("line", pattern, group)
+        return F.when(has(marker), digits.try_cast("bigint"))
 
     def has(text: str) -> Column:
         return F.contains(F.col("line"), F.lit(text))
 
     return lines.select(
         "ts",
-        F.nullif(F.regexp_extract("line", TOOL, 1), F.lit("")).alias("tool"),
-        number(LATENCY).alias("latency_ms"),
-        number(STATUS).alias("status"),
-        number(CACHE, 1).alias("cache_hits"),
-        number(CACHE, 2).alias("cache_misses"),
+        F.when(has("tool="), F.nullif(F.regexp_extract("line", TOOL, 1), F.lit(""))).alias("tool"),
+        number("responseTime=", LATENCY).alias("latency_ms"),
+        number("status=", STATUS).alias("status"),
+        number("hits=", CACHE, 1).alias("cache_hits"),
+        number("hits=", CACHE, 2).alias("cache_misses"),
         has(BLOCKED).alias("is_blocked"),
         has(FACETS_LIVE).alias("facets_live"),
         has(FACETS_FALLBACK).alias("facets_fallback"))

@@ -46,10 +46,12 @@ def hashed_counts(texts: list[str], dimensions: int) -> np.ndarray:
     place: dict[str, int] = {}
     rows = np.zeros((len(texts), dimensions))
     for row, text in zip(rows, texts):
-        for word, n in Counter(w for w in text.split(" ") if w).items():
-            if word not in place:
-                place[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
-            row[place[word]] += n
+        counts = Counter(text.split(" "))
+        counts.pop("", None)
+        for word in counts.keys() - place.keys():
+            place[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
+        if counts:
+            row += np.bincount([place[w] for w in counts], list(counts.values()), dimensions)
     lengths = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(lengths == 0, 1.0, lengths)
 
