@@ -48,8 +48,9 @@ def hashed_counts(texts: list[str], dimensions: int) -> np.ndarray:
     for row, text in zip(rows, texts):
         counts = Counter(text.split(" "))
         counts.pop("", None)
-        for word in counts.keys() - place.keys():
-            place[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
+        for word in counts:
+            if word not in place:
+                place[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
         if counts:
             row += np.bincount([place[w] for w in counts], list(counts.values()), dimensions)
     lengths = np.linalg.norm(rows, axis=1, keepdims=True)

@@ -88,10 +88,10 @@ def _read_messy_csv(spark, d):
     FROM ords o LEFT JOIN items i ON i.orderId = o.id GROUP BY ALL""")
 def _read_json_array(spark, d):
     path = work_dir(spark, "orders-json")
-    lists = od.item_lists(t.items(spark, d)).select("orderId", "items")
+    lists = od.item_lists(t.items(spark, d))
     rows = t.orders(spark, d).join(lists, F.col("id") == F.col("orderId"), "left")
     # A thousand neighbouring orders per array, each array in a file of its own.
-    arrays = (rows.groupBy(F.floor(F.col("id").cast("long") / 1000).alias("b"))
+    arrays = (rows.groupBy(F.floor(F.col("id").cast("long") / 1000).alias("b"), "part")
               .agg(F.to_json(F.collect_list(F.struct("id", "customerId", "items"))).alias("value")))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     orders = files.read_json_array(spark, path, schemas.ORDER)
