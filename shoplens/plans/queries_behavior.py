@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from shoplens import fixed
 from shoplens.functions import clean, text as tx
@@ -12,10 +12,6 @@ from shoplens.plans import sql_parts as sp, tables as t
 from shoplens.plans.registry import query
 
 
-def _epoch(column: str):
-    return F.col(column).cast("long").alias(column)
-
-
 # --- events -----------------------------------------------------------------
 
 @query("since_days", f"""SELECT eventId, userId, "timestamp" FROM inter
@@ -85,7 +81,7 @@ def _funnel_steps(spark, d):
     WHERE eventType = 'add_to_cart' GROUP BY userId, itemId
     HAVING NOT EXISTS (SELECT 1 FROM inter p WHERE p.eventType = 'purchase'
       AND p.userId = c.userId AND p.itemId = c.itemId
-      AND p."timestamp" >= max(c."timestamp"))""".replace("inter c", "inter c"))
+      AND p."timestamp" >= max(c."timestamp"))""")
 def _cart_not_purchased(spark, d):
     return bh.cart_not_purchased(t.interactions(spark, d))
 

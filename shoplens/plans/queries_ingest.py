@@ -12,7 +12,7 @@ from shoplens.plans import jobs, sql_parts as sp, tables as t
 from shoplens.plans.registry import query
 from shoplens.session import work_dir
 from shoplens.sources import files, sinks
-from shoplens.sources.index_store import Index, index_stats, upsert_union, unseen
+from shoplens.sources.index_store import Index, index_stats, upsert_union
 
 
 def pairs(m: Column) -> Column:

@@ -69,11 +69,3 @@ VECTOR_RECORD = T.StructType([
     T.StructField("vector", VECTOR),
     T.StructField("metadata", METADATA),
 ])
-
-
-def csv_schema(aliases: dict[str, list[str]], header: list[str]) -> T.StructType:
-    """All-string schema in the order of a known header; types come from `clean`."""
-    known = {a for names in aliases.values() for a in names}
-    if not known & set(header):
-        raise ValueError("no known column in the header")
-    return T.StructType([T.StructField(h, T.StringType()) for h in header])
