@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import bpe, exact_dedup, packing, repeats, token_file, topk
+from shoplens.llm import (bpe, exact_dedup, jaccard, langid, packing, pii, repeats, token_file, topk,
+                          toxicity as toxic)
 from shoplens.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +51,12 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_documents(spark, path)
 
 
+@_query("op4_ngram_jaccard", jaccard.SQL)
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of similar shingle sets."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query("op5_best_fit_packing")
 def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence."""
@@ -63,6 +70,24 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+@_query("op7_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    return toxic.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op8_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 @_query("op10_exact_topk", topk.SQL)
 def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best other vectors of every hundredth vector."""
