@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import gather, id_and_text, mix64, offsets
+from shoplens.llm.common import id_and_text, mix64, offsets
 from shoplens.session import materialize
 
 BLOCKS = "block string, doc_ids binary, starts binary, data binary"
@@ -50,7 +50,7 @@ def _pack_blocks(docs: DataFrame, size: int) -> DataFrame:
             starts = offsets([len(r) for r in rows]).astype("<i8").tobytes()
             name = hashlib.sha256(ids + starts + data).hexdigest()
             return pa.RecordBatch.from_arrays(
-                [pa.array([x]) for x in (name, ids, starts, zstandard.ZstdCompressor(1).compress(data))],
+                [pa.array([x]) for x in (name, ids, starts, _zip(data))],
                 ["block", "doc_ids", "starts", "data"])
 
         for batch in batches:
@@ -68,71 +68,65 @@ def _pack_blocks(docs: DataFrame, size: int) -> DataFrame:
 
 
 class Block:
-    """The bytes of a block's documents and the strings that can repeat."""
+    """The bytes of a block's documents."""
 
-    def __init__(self, doc_ids: bytes, starts: bytes, data: bytes, length: int, gram: int):
+    def __init__(self, doc_ids: bytes, starts: bytes, data: bytes):
         self.doc_ids = np.frombuffer(doc_ids, "<i8")
         self.starts = np.frombuffer(starts, "<i8")
-        self.bytes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-        self.length, self.gram = length, gram
+        self.bytes = np.frombuffer(_unzip(data), np.uint8)
 
-    def ranks(self, size: int, multiplier: np.uint64 = _A) -> np.ndarray:
-        """Ranks of `size` bytes at every position they fit, by doubling.
+    def samples(self, length: int, gram: int):
+        """Starts of all strings inside documents, each one's sampled place, and keys of grams.
 
-        The rank of 2m bytes is made of those of m bytes at offsets 0 and m; a
-        size between two powers of two of the largest such m, overlapping.
+        A sampled gram has a low rank, so the keys that deal grams out are the
+        ranks scrambled once more.
         """
-        one = mix64((self.bytes.astype(np.uint64) + np.uint64(1)) * multiplier)
-        m = 1
-        while m < size:
-            step = min(m, size - m)
-            if len(one) <= step:
-                return np.zeros(0, np.uint64)
-            one = one[:-step] * _A + (one[step:] ^ (one[step:] >> np.uint64(29))) * multiplier
-            m += step
-        return mix64(one)
-
-    def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of all strings inside documents, each one's sampled place, and ranks of grams."""
-        grams = self.ranks(self.gram)
-        n = len(self.bytes) - self.length + 1
+        grams = ranks(self.bytes, gram)
+        n = len(self.bytes) - length + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), grams
-        # The lowest rank in a window; of equal ones the leftmost, so that equal
-        # strings choose alike: the place takes part in the low bits' stead.
-        width = self.length - self.gram + 1
-        best = grams.copy()
-        place = np.arange(len(grams), dtype=np.int32)
-        m = 1
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), mix64(grams ^ _B)
+        # The high bits of the rank, then the place: of equal ranks the leftmost is least.
+        bits = np.uint64(len(grams).bit_length())
+        best = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+        width, m = length - gram + 1, 1
         while m < width:
             step = min(m, width - m)
-            right, where = best[step:], place[step:]
-            less = right < best[:-step]
-            best = np.where(less, right, best[:-step])
-            place = np.where(less, where, place[:-step])
+            best = np.minimum(best[:-step], best[step:])
             m += step
         inside = np.ones(n, bool)
         for edge in self.starts[1:-1].tolist():
-            inside[max(0, edge - self.length + 1):min(edge, n)] = False
+            inside[max(0, edge - length + 1):min(edge, n)] = False
         starts = np.flatnonzero(inside)
-        return starts, place[starts].astype(np.int64), grams
-
-    def smallest(self, keys: list[np.ndarray], starts: np.ndarray):
-        """Distinct keys, the smallest document of each, and each start's place among them."""
-        owner = np.searchsorted(self.starts, starts, side="right") - 1
-        order = np.lexsort(keys)
-        new = np.zeros(len(order), bool)
-        for key in keys:
-            ordered = key[order]
-            new[1:] |= ordered[1:] != ordered[:-1]
-        if len(new):
-            new[0] = True
-        first = np.flatnonzero(new)
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        ids = self.doc_ids[owner]
-        least = np.minimum.reduceat(ids[order], first) if len(first) else ids[:0]
-        return [k[order[first]] for k in keys], least, group, ids
+        return starts, (best[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), mix64(grams ^ _B)
+
+
+def _zip(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(data)
+
+
+def _unzip(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def ranks(data: np.ndarray, size: int, multiplier: np.uint64 = _A) -> np.ndarray:
+    """Ranks of `size` bytes at every position they fit, by doubling.
+
+    The rank of 2m bytes is made of those of m bytes at offsets 0 and m; a size
+    between two powers of two of the largest such m, overlapping.
+    """
+    one = mix64(np.arange(1, 257, dtype=np.uint64) * multiplier)[data]
+    m = 1
+    while m < size:
+        step = min(m, size - m)
+        if len(one) <= step:
+            return np.zeros(0, np.uint64)
+        right = one[step:] >> np.uint64(29)
+        right ^= one[step:]
+        right *= multiplier
+        one = one[:-step] * _A
+        one += right
+        m += step
+    return mix64(one)
 
 
 def _deal(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -141,6 +135,51 @@ def _deal(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def _contexts(block: Block, places: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int):
+    """What surrounds each sampled place, as far as strings with that sample reach.
+
+    A row holds the bytes from the first to past the last string that can have
+    its sample there, zeros beyond the document, and which strings do.
+    """
+    reach = length - gram
+    owner = np.searchsorted(block.starts, places, side="right") - 1
+    rows = np.zeros((len(places), length + reach + 2), np.uint8)
+    for at in range(0, len(places), 1 << 15):
+        p = places[at:at + (1 << 15)]
+        o = owner[at:at + (1 << 15)]
+        where = p[:, None] + np.arange(-reach, length)
+        outside = (where < block.starts[o][:, None]) | (where >= block.starts[o + 1][:, None])
+        rows[at:at + len(p), :-2] = np.where(outside, 0, block.bytes[np.clip(where, 0, len(block.bytes) - 1)])
+    rows[:, -2], rows[:, -1] = places - high, places - low
+    return rows, block.doc_ids[owner]
+
+
+def _row_keys(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    n, width = rows.shape
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = rows
+    words = words.view(np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(words.shape[1]):
+        out = mix64(out * _B + words[:, i] + _A)
+    return out
+
+
+def _least(first: np.ndarray, second: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For every entry the smallest document of all entries with its two keys."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
+    out = np.empty(len(a), np.int64)
+    if len(a):
+        out[order] = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: str = "doc_id",
                    text_col: str = "text", block_bytes: int = 4 << 20,
                    buckets: int | None = None, with_text: bool = False) -> DataFrame:
@@ -152,127 +191,140 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: st
     n_spans (maximal removed runs), kept_sha256, with `with_text` also the bytes kept.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     null_id = -(1 << 63)
+    reach = length - gram
     texts = id_and_text(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(null_id)).alias("doc_id"), "text")
     table = materialize(_pack_blocks(texts, block_bytes), "blocks")
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, dict]]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, pa.RecordBatch]]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield Block(row["doc_ids"], row["starts"], row["data"], length, gram), row
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                doc_ids, starts, data = (row.column(n)[0].as_py() for n in ("doc_ids", "starts", "data"))
+                yield Block(doc_ids, starts, data), row
+
+    def by_bucket(name: str, cuts: np.ndarray, payload) -> pa.RecordBatch:
+        used = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()),
+             pa.array([payload(int(cuts[i]), int(cuts[i + 1])) for i in used], pa.binary())],
+            ["block", "bucket", "data"])
 
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, row in opened(batches):
-            _, place, grams = block.samples()
-            own = np.unique(grams[np.unique(place)])
-            cuts = _deal(own, buckets)
+            _, place, grams = block.samples(length, gram)
+            own = np.unique(grams[place[np.flatnonzero(np.diff(place, prepend=-1))]])
+            # 48 bits decide whether a string is looked at; false matches only cost time
             short = (own >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            used = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["block"]] * len(used), pa.string()), pa.array(used, pa.int32()),
-                 pa.array([short[cuts[i]:cuts[i + 1]].tobytes() for i in used], pa.binary())],
-                ["block", "bucket", "keys"])
-
-    def long_keys(data: bytes) -> np.ndarray:
-        six = np.frombuffer(data, np.uint8).reshape(-1, 6)
-        return np.pad(six, ((0, 0), (0, 2))).reshape(-1).view("<u8")
+            yield by_bucket(row.column("block")[0].as_py(), _deal(own, buckets),
+                            lambda a, b, short=short: short[a:b].tobytes())
 
     def shared(table: pa.Table) -> pa.Table:
         """Which of the samples of each block in this bucket stand in another block too."""
-        rows = table.to_pylist()
-        keys = [long_keys(r["keys"]) for r in rows]
-        every = np.sort(np.concatenate(keys))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = [np.packbits(np.isin(k, twice, assume_unique=False)).tobytes() for k in keys]
-        return pa.Table.from_arrays(
-            [pa.array([r["block"] for r in rows], pa.string()),
-             pa.array([r["bucket"] for r in rows], pa.int32()), pa.array(bits, pa.binary())],
-            ["block", "bucket", "bits"])
-
-    marks = table.mapInArrow(send_samples, "block string, bucket int, keys binary").groupBy(
-        "bucket").applyInArrow(shared, "block string, bucket int, bits binary")
-    marks = marks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("marks"))
-    marked = materialize(table.join(marks, "block"), "marked")
-
-    def candidates(block: Block, marks: list[dict]):
-        """Starts whose sample is shared with another block or stands twice in this one."""
-        starts, place, grams = block.samples()
-        used = np.unique(place)
-        own, at, count = np.unique(grams[used], return_inverse=True, return_counts=True)
-        cuts = _deal(own, buckets)
-        again = count > 1
-        for mark in marks:
-            low, high = cuts[mark["bucket"]], cuts[mark["bucket"] + 1]
-            again[low:high] |= np.unpackbits(
-                np.frombuffer(mark["bits"], np.uint8), count=int(high - low)).astype(bool)
-        chosen = np.zeros(len(grams), bool)
-        chosen[used] = again[at]
-        starts = starts[chosen[place]]
-        return starts, [block.ranks(length, _B)[starts], block.ranks(length)[starts]]
-
-    def send_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = [np.pad(np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).reshape(-1).view("<u8")
+                for x in table.column("data")]
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        same = every[order][1:] == every[order][:-1]
+        twice = np.empty(len(every), bool)
+        twice[order] = np.append(False, same) | np.append(same, False)
+        cuts = offsets([len(k) for k in keys])
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(
+            [np.packbits(twice[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+    def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, row in opened(batches):
-            starts, keys = candidates(block, row["marks"])
-            (second, first), least, _, _ = block.smallest(keys, starts)
-            cuts = _deal(first, buckets)
-            names = np.unique(least)
-            used = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
-            slot = np.searchsorted(names, least).astype("<u2" if len(names) <= 65536 else "<u4")
-            payload = [[x[cuts[i]:cuts[i + 1]].tobytes() for i in used] for x in (
-                first.astype("<u8"), (second >> np.uint64(32)).astype("<u4"), slot)]
-            docs_used = []
-            for i in used:
-                docs_used.append(names.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["block"]] * len(used), pa.string()), pa.array(used, pa.int32()),
-                 *(pa.array(p, pa.binary()) for p in payload), pa.array(docs_used, pa.binary())],
-                ["block", "bucket", "first", "second", "slot", "names"])
+            starts, place, grams = block.samples(length, gram)
+            # A sampled place owns the strings whose sample it is; they start side by side.
+            turn = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
+            places, low = place[turn], starts[turn]
+            high = np.append(starts[turn[1:] - 1], starts[-1:])
+            own, at, count = np.unique(grams[places], return_inverse=True, return_counts=True)
+            cuts = _deal(own, buckets)
+            again = count > 1
+            for mark in row.column("marks")[0].as_py():
+                a, b = cuts[mark["bucket"]], cuts[mark["bucket"] + 1]
+                again[a:b] |= np.unpackbits(np.frombuffer(mark["data"], np.uint8), count=int(b - a)).astype(bool)
+            chosen = np.flatnonzero(again[at])
+            chosen = chosen[np.argsort(at[chosen], kind="stable")]
+            places, at = places[chosen], at[chosen]
+            rows, doc_ids = _contexts(block, places, low[chosen], high[chosen], length, gram)
+            keys = _row_keys(rows)
+
+            def payload(a: int, b: int) -> bytes:
+                _, first, which = np.unique(keys[a:b], return_index=True, return_inverse=True)
+                distinct = rows[a:b][first].tobytes()
+                rest = (which.astype("<u4").tobytes() + places[a:b].astype("<u4").tobytes()
+                        + doc_ids[a:b].astype("<i8").tobytes())
+                return np.array([len(first), b - a], "<i8").tobytes() + _zip(distinct + rest)
+
+            yield by_bucket(row.column("block")[0].as_py(), np.searchsorted(at, cuts), payload)
 
     def judge(table: pa.Table) -> pa.Table:
-        """For each block's ranks in this bucket: does it also start in a smaller document?"""
-        rows = table.to_pylist()
-        first = np.concatenate([np.frombuffer(r["first"], "<u8") for r in rows])
-        second = np.concatenate([np.frombuffer(r["second"], "<u4") for r in rows])
-        least = []
-        for r in rows:
-            names = np.frombuffer(r["names"], "<i8")
-            least.append(names[np.frombuffer(r["slot"], "<u2" if len(names) <= 65536 else "<u4")])
-        sizes = [len(x) for x in least]
-        least = np.concatenate(least)
-        order = np.lexsort((second, first))
-        new = np.append(True, (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1]))
-        smallest = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        earlier = np.empty(len(order), bool)
-        earlier[order] = smallest < least[order]
+        """For each place: which of its strings also start in a smaller document."""
+        width = length + reach + 2
+        contexts, which, places, doc_ids, sizes = [], [], [], [], []
+        known = 0
+        for cell in table.column("data"):
+            data = cell.as_py()
+            n, m = np.frombuffer(data[:16], "<i8").tolist()
+            data = _unzip(data[16:])
+            contexts.append(np.frombuffer(data, np.uint8, n * width).reshape(n, width))
+            which.append(np.frombuffer(data, "<u4", m, n * width).astype(np.int64) + known)
+            places.append(np.frombuffer(data, "<u4", m, n * width + 4 * m))
+            doc_ids.append(np.frombuffer(data, "<i8", m, n * width + 8 * m))
+            known += n
+            sizes.append(m)
+        which, places, doc_ids = (np.concatenate(x) for x in (which, places, doc_ids))
+        least = np.full(known, 1 << 62, np.int64)
+        np.minimum.at(least, which, doc_ids)
+        at, back, first, second, done = [], [], [], [], 0
+        for part in contexts:
+            for begin in range(0, len(part), 1 << 14):
+                rows = part[begin:begin + (1 << 14)]
+                # strings `back` bytes before the place, from the nearest to the farthest that it owns
+                spread = (rows[:, -1].astype(np.int64) - rows[:, -2] + 1)
+                row = np.repeat(np.arange(len(rows)), spread)
+                steps = rows[:, -2].astype(np.int64)[row] + np.arange(len(row)) - np.repeat(
+                    offsets(spread)[:-1], spread)
+                flat = np.ascontiguousarray(rows[:, :-2]).reshape(-1)
+                where = row * (width - 2) + reach - steps
+                first.append(ranks(flat, length)[where])
+                second.append((ranks(flat, length, _B)[where] >> np.uint64(32)).astype(np.uint32))
+                at.append((row + done).astype(np.int32))
+                back.append(steps.astype(np.int8))
+                done += len(rows)
+        at, back = np.concatenate(at), np.concatenate(back)
+        smallest = _least(np.concatenate(first), np.concatenate(second), least[at])
+        per_string = np.full((known, reach + 1), 1 << 62, np.int64)
+        per_string[at, back] = smallest
+        masks = np.zeros(len(which), np.uint64)
+        for step in range(reach + 1):
+            masks |= (per_string[which, step] < doc_ids).astype(np.uint64) << np.uint64(step)
         cuts = offsets(sizes)
-        return pa.Table.from_arrays(
-            [pa.array([r["block"] for r in rows], pa.string()),
-             pa.array([r["bucket"] for r in rows], pa.int32()),
-             pa.array([np.packbits(earlier[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
-            ["block", "bucket", "bits"])
-
-    judged = marked.mapInArrow(
-        send_ranks, "block string, bucket int, first binary, second binary, slot binary, names binary"
-    ).groupBy("bucket").applyInArrow(judge, "block string, bucket int, bits binary")
-    judged = judged.groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("judged"))
+        answers = []
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            hit = masks[a:b] > 0
+            answers.append(_zip(places[a:b][hit].astype("<u4").tobytes() + masks[a:b][hit].astype("<u8").tobytes()))
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
+                         "data": pa.array(answers, pa.binary())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, row in opened(batches):
-            starts, keys = candidates(block, row["marks"])
-            (_, first), least, group, ids = block.smallest(keys, starts)
-            cuts = _deal(first, buckets)
-            earlier = np.zeros(len(first), bool)
-            for mark in row["judged"] or []:
-                low, high = cuts[mark["bucket"]], cuts[mark["bucket"] + 1]
-                earlier[low:high] = np.unpackbits(
-                    np.frombuffer(mark["bits"], np.uint8), count=int(high - low)).astype(bool)
-            gone = starts[earlier[group] | (least[group] < ids)]
             size = len(block.bytes)
-            covered = np.cumsum(np.bincount(gone, minlength=size + 1)
-                                - np.bincount(gone + length, minlength=size + 1)[:size + 1])[:size] > 0
+            edges = np.zeros(size + 1, np.int32)
+            for answer in row.column("answers")[0].as_py() or []:
+                data = _unzip(answer["data"])
+                n = len(data) // 12
+                places = np.frombuffer(data, "<u4", n).astype(np.int64)
+                masks = np.frombuffer(data, "<u8", n, 4 * n)
+                for step in range(reach + 1):
+                    gone = places[(masks >> np.uint64(step)) & np.uint64(1) == 1] - step
+                    np.add.at(edges, gone, 1)
+                    np.add.at(edges, gone + length, -1)
+            covered = np.cumsum(edges)[:size] > 0
             removed = offsets(covered)
             begins = covered.copy()
             begins[1:] &= ~covered[:-1]
@@ -293,8 +345,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: st
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    message = "block string, bucket int, data binary"
+
+    def exchanged(sent: DataFrame, answer, name: str) -> DataFrame:
+        """What the buckets answer, gathered by block."""
+        dealt = sent.repartitionById(buckets, F.col("bucket"))
+        return dealt.groupBy("bucket").applyInArrow(answer, message).groupBy("block").agg(
+            F.sort_array(F.collect_list(F.struct("bucket", "data"))).alias(name))
+
+    marks = exchanged(table.mapInArrow(send_samples, message), shared, "marks")
+    answers = exchanged(table.join(marks, "block").mapInArrow(send_contexts, message), judge, "answers")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return marked.join(judged, "block", "left").mapInArrow(
+    return table.join(answers, "block", "left").mapInArrow(
         cut, schema + (", kept binary" if with_text else ""))
 
 
