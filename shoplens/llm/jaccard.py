@@ -314,21 +314,76 @@ def _scan_lists(postings: DataFrame, short: int) -> DataFrame:
     return postings.groupBy("bucket").applyInArrow(scan, "a long, b long, key long, n long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets link. A set travels once to each of its pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _marks(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits places with a mark for every id's hash; its size does not depend on the data."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    words = ids.groupBy((place / 32).cast("int").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int"))).alias("marks")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.int64)
+    if words.num_rows:
+        out[words.column("word").to_numpy()] = words.column("marks").to_numpy()
+    return out.astype(np.uint32)
+
+
+def _sketch(shingles: np.ndarray) -> bytes:
+    """A bitmap with a mark for every shingle, four to eight places for each."""
+    size = 1 << max(6, int(4 * len(shingles) - 1).bit_length())
+    marks = np.zeros(size, bool)
+    marks[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def _may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """Whether two sets can share enough: shingles without a mark in the other one are not shared."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] | x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] | y[len(y) // 2:]
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    part, whole = THRESHOLD
+    return whole * most >= part * (n + m - most)
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(docs: DataFrame, pairs: DataFrame, bits: int = 23) -> DataFrame:
+    """The pairs whose whole sets link.
+
+    First small bitmaps of the sets meet, which rules out most pairs that do
+    not link and none that do; then the whole sets of the pairs that are left.
+    A bitmap of ids, bounded in size, keeps most texts without a pair out of
+    the joins; one that is full lets all of them through, and the joins decide.
+    """
+    marks = _marks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), bits)
+
+    def reader(marks: np.ndarray, sketch: bool):
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = np.asarray(batch.column(2))
+                batch = batch.filter(pa.array((marks[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
+                for doc_ids, texts in _rows(batch):
+                    found = shingle_sets(texts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(doc_ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(
+                            [_sketch(s) if sketch else s.tobytes() for s in found], pa.binary())],
+                        ["doc_id", "n", "shingles"])
+
+        placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("place"))
+        return placed.mapInArrow(sets, "doc_id long, n long, shingles binary")
+
+    def met(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        return pairs.join(held.toDF("b", "m", "y"), "b").join(held.toDF("a", "n", "x"), "a").select(
+            "a", "b", "n", "m", "x", "y")
+
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_ids, texts in _rows(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()),
-                     pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc_id", "shingles"])
+            keep = [_may_link(x, y, n, m) for x, y, n, m in zip(
+                *(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(
-        sets, "doc_id long, shingles binary"), "sets")
-    joined = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(
-        held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    sketches = materialize(reader(marks, True), "sketches")
+    pairs = materialize(met(pairs, sketches).mapInArrow(rule_out, "a long, b long").distinct(), "pairs")
+    marks = _marks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), bits)
+    joined = met(pairs, reader(marks, False))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +392,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    return joined.mapInArrow(check, "a long, b long").distinct()
 
 
 def _across(lists: DataFrame) -> DataFrame:
