@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shoplens import fixed, schemas
 
+_WHITE = " \t\n\r\x0b\x0c\u00a0\ufeff"
 _NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
 def text_or_null(col: Column) -> Column:
-    """Trimmed text, or null when blank."""
-    return F.nullif(F.trim(col.cast("string")), F.lit(""))
+    """Text trimmed of all white space, or null when blank."""
+    return F.nullif(F.trim(col.cast("string"), F.lit(_WHITE)), F.lit(""))
 
 
 def truthy(col: Column, data_type: T.DataType) -> Column:

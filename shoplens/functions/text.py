@@ -19,11 +19,11 @@ def blank_to_null(c: Column) -> Column:
 
 def plain_number(c: Column) -> Column:
     """Two-decimal money in its shortest form: 30.00 -> 30, 12.50 -> 12.5."""
-    return F.regexp_replace(c.cast("decimal(12,2)").cast("string"), r"\.?0+$", "")
+    return F.regexp_replace(c.try_cast("decimal(38,2)").cast("string"), r"\.?0+$", "")
 
 
 def money(c: Column) -> Column:
-    return c.cast("decimal(12,2)").cast("string")
+    return c.try_cast("decimal(38,2)").cast("string")
 
 
 def part(prefix: str, value: Column) -> Column:
@@ -224,7 +224,8 @@ def format_profile() -> Column:
 
 def format_event_line() -> Column:
     """`- date: action item qty q ($p) via s`, date as the UTC day."""
-    day = F.date_format(F.timestamp_seconds(col("timestamp")), "yyyy-MM-dd")
+    in_range = F.abs(col("timestamp")) < 253402300800  # up to the year 9999; else no day is shown
+    day = F.when(in_range, F.date_format(F.timestamp_seconds(F.when(in_range, col("timestamp"))), "yyyy-MM-dd"))
     return F.concat(
         F.lit("- "), F.coalesce(day, F.lit("?")), F.lit(": "),
         F.coalesce(blank_to_null(col("eventType")), F.lit("event")), F.lit(" "),

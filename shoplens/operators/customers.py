@@ -93,7 +93,7 @@ def list_customers_page(customers: DataFrame, limit: int = 500,
     fields = ["customerType", "customerSegment", "region", "state", "preferredTheme",
               "priceAffinity"]
     rows = customers if after is None else customers.filter(F.col("userId") > after)
-    return rows.orderBy("userId").limit(min(limit, 500)).select(
+    return rows.orderBy("userId").limit(limit).select(
         "userId", *[F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields],
         F.coalesce(money(F.col("lifetimeSpend")), F.lit("")).alias("lifetimeSpend"))
 

@@ -36,7 +36,8 @@ def run_status_rollup(jobs: DataFrame) -> DataFrame:
 def run_ledger(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
     """Chunk totals against submitted chunks per run, with the state of its jobs."""
     totals = chunks.groupBy("run").agg(F.count("*").alias("total_chunks"))
-    submitted = jobs.groupBy("run").agg(F.count_distinct("inputKey").alias("submitted_chunks"))
+    # Only keys that are chunks of the run count; a stale key submits nothing.
+    submitted = jobs.join(chunks.select("run", "inputKey"), ["run", "inputKey"], "left_semi").groupBy("run").agg(F.count_distinct("inputKey").alias("submitted_chunks"))
     states = run_status_rollup(jobs)
     ledger = totals.join(submitted, "run", "left").join(states, "run", "left")
     count = F.coalesce(F.col("submitted_chunks"), F.lit(0))

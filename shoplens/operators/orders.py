@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Items of one order are joined into text in parts of this many line numbers.
-PART_LINES = 1000
 
-
-def item_lists(items: DataFrame, lines: int = PART_LINES) -> DataFrame:
-    """Items per order and part as an ordered array of structs.
-
-    Nearly every order is one part. An order with very many lines becomes
-    several rows of bounded size, so no task has to hold it whole.
-    """
+def item_lists(items: DataFrame) -> DataFrame:
+    """Items per order as one ordered array of structs, however many lines it has."""
     fields = ["itemNo", "productId", "productName", "quantity", "price"]
-    part = F.floor((F.col("itemNo") - 1) / lines).cast("int").alias("part")
-    return (items.groupBy("orderId", part)
+    return (items.groupBy("orderId")
             .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items")))
 
 

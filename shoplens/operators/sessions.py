@@ -50,8 +50,8 @@ def session_rollup(events: DataFrame) -> DataFrame:
 
 def recent_sessions_filter(sessions: DataFrame, since_ms: int,
                            max_sessions: int | None = None) -> DataFrame:
-    """Per actor the newest sessions active since `since_ms`, at most 100 of them."""
-    limit = min(max_sessions or 20, 100)
+    """Per actor the newest sessions active since `since_ms`, 20 unless the caller says how many."""
+    limit = 20 if max_sessions is None else max_sessions
     active = sessions.filter(F.col("lastEventAt") >= since_ms)
     return first_n(active, ["actorId"], [F.desc("lastEventAt"), F.asc("sessionId")], limit,
                    rank="place")
@@ -64,8 +64,8 @@ def list_sessions(events: DataFrame, since_ms: int, max_sessions: int | None = N
 
 
 def session_history(events: DataFrame, max_results: int | None = None) -> DataFrame:
-    """The first messages of each session, oldest first, 50 by default and 100 at most."""
-    limit = min(max_results or 50, 100)
+    """The first messages of each session, oldest first, 50 by default."""
+    limit = 50 if max_results is None else max_results
     return first_n(valid_messages(events), SESSION, [F.asc(c) for c in ORDER], limit,
                    rank="position")
 

@@ -174,11 +174,15 @@ def recall_context(notes: DataFrame, queries: DataFrame, dimensions: int, k: int
     stored = embed_texts(notes.filter(F.coalesce(F.col("text"), F.lit("")) != ""), "text",
                          dimensions, embedder, distinct=False)
     hits = grouped_knn(
-        stored.select(F.col("noteId").cast("string").alias("key"), "vector",
-                      F.col("namespace").alias("bucket")),
+        stored.select(_note_key().alias("key"), "vector", F.col("namespace").alias("bucket")),
         asked.select(F.col("query_id").cast("string").alias("query_id"), "vector", "bucket"), k)
-    texts = notes.select(F.col("noteId").cast("string").alias("key"), "text")
-    return hits.join(texts, "key")
+    # Note ids are unique inside a namespace only, so texts come back by both.
+    texts = notes.select(_note_key().alias("key"), F.col("noteId").cast("string").alias("_note"), "text")
+    return hits.join(texts, "key").withColumn("key", F.col("_note")).drop("_note")
+
+
+def _note_key() -> Column:
+    return F.concat("namespace", F.lit("\x1f"), F.col("noteId").cast("string"))
 
 
 def facet_line(facets: DataFrame, facet: str, limit: int) -> Column:

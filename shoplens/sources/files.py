@@ -8,8 +8,11 @@ BAD = "_corrupt_record"
 
 
 def read_entity_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV as text columns. No inference pass, so ids keep leading zeros."""
-    return spark.read.option("header", True).csv(path)
+    """Header CSV as text columns. No inference pass, so ids keep leading zeros.
+
+    Quotes are doubled inside quoted values. Files with another header fail.
+    """
+    return spark.read.options(header=True, escape='"', enforceSchema=False).csv(path)
 
 
 def read_messy_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -17,7 +20,7 @@ def read_messy_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
 
     `multi_line` is for quoted line breaks; such files cannot be split.
     """
-    options = {"header": True, "escape": '"', "multiLine": multi_line,
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "enforceSchema": False,
                "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
     header = spark.read.options(**options).csv(path).columns
     fields = [T.StructField(h, T.StringType()) for h in header]

@@ -13,14 +13,14 @@ def chunk_count(rows: int, chunk_size: int = fixed.CHUNK_SIZE) -> int:
 
 def write_request_chunks(df: DataFrame, path: str, rows: int, key: str = "recordId",
                          line: str = "line", chunk_size: int = fixed.CHUNK_SIZE) -> int:
-    """One JSON line per record in about `rows / chunk_size` files.
+    """One JSON line per record in about `rows / chunk_size` files, none above `chunk_size` lines.
 
     Records go to chunks by key hash, so a retried task writes the same chunk.
     Returns the number of chunks asked for.
     """
     chunks = chunk_count(rows, chunk_size)
     (df.repartition(chunks, key).select(line)
-       .write.mode("overwrite").text(path))
+       .write.mode("overwrite").option("maxRecordsPerFile", chunk_size).text(path))
     return chunks
 
 

@@ -45,7 +45,8 @@ def test_timeline_of_a_hot_session(spark):
 def test_history_limits(spark):
     df = messages(spark, [("a", "s", "User", f"m{i}", i, i) for i in range(150)])
     assert se.session_history(df).count() == 50
-    assert se.session_history(df, 1000).count() == 100
+    assert se.session_history(df, 1000).count() == 150
+    assert se.session_history(df, 0).count() == 0
     last = se.recent_events_text(df, 3).orderBy("recency").collect()
     assert [r.content for r in last] == ["m149", "m148", "m147"]
 
