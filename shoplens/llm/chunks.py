@@ -44,15 +44,13 @@ def cut_at_blanks(text: str) -> list[str]:
 class ChunkEncoder:
     """Ids of texts; `encode` maps a list of new chunks to (flat ids, lengths).
 
-    Holds up to `bound` chunks; beyond that it starts anew, so its memory does
-    not grow with the corpus.
+    Keeps the first `bound` chunks it meets, among which are the frequent ones;
+    later ones are dropped after each call, so its memory does not grow with
+    the corpus.
     """
 
     def __init__(self, cut: Callable, encode: Callable, bound: int = 500_000):
         self.cut, self.encode, self.bound = cut, encode, bound
-        self._clear()
-
-    def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
@@ -74,10 +72,14 @@ class ChunkEncoder:
         self.used += len(flat)
         self.index.update(zip(chunks, range(first, first + n)))
 
+    def _trim(self) -> None:
+        if len(self.index) > self.bound:
+            for _ in range(len(self.index) - self.bound):
+                self.index.popitem()  # the last one that came
+            self.used = int(self.starts[self.bound])
+
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the place where each text's ids start (plus the end)."""
-        if len(self.index) > self.bound:
-            self._clear()
         cut = [self.cut(t) for t in texts]
         counts = offsets([len(c) for c in cut])
         every = list(chain.from_iterable(cut))
@@ -89,6 +91,7 @@ class ChunkEncoder:
         lens = self.lens[at]
         ids = gather(self.flat, self.starts[at], lens)
         per_chunk = offsets(lens)
+        self._trim()
         return ids, per_chunk[counts]
 
 
