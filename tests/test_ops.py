@@ -64,7 +64,7 @@ def test_anonymize(spark):
         ("Generic Maker", "Generic Brand"), ("", None)]
 
 
-def test_large_order_is_split(spark):
+def test_large_order_is_one_record(spark):
     items = spark.range(1, 2501).selectExpr(
         "'o' orderId", "cast(id as int) itemNo", "'p' productId", "'n' productName",
         "1L quantity", "cast(2 as decimal(12,2)) price")
