@@ -3,6 +3,7 @@
 import base64
 import glob
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -15,6 +16,7 @@ import pytest
 import corpus_pipeline
 from shoplens.llm import (bpe, components, exact_dedup, jaccard, langid, packing, pii, repeats, token_file,
                           topk, toxicity)
+from shoplens.llm import library as fast
 from shoplens.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -141,6 +143,30 @@ def test_codes_of_all_lengths():
     assert codes.at(places).tolist() == ids[places].tolist()
 
 
+@pytest.mark.parametrize(("name", "word_ends"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoding_by_ranks(name, word_ends):
+    """The same ids as the library: any letter up to U+017F, white space of all kinds, long words, slices."""
+    want, encode = library(name), fast.encoder(P.path(name), word_ends)
+    assert isinstance(encode, fast.RankEncoder)
+    texts = [f"a{c}a 1{c}1 .{c}. {c} {c}{c}b'{c}'s" for c in map(chr, [*range(0x400), 0x2003, 0x3042, 0x1f600])]
+    draw = np.random.default_rng(1)
+    letters = list("ab'stredlvm1². \n\t\r\x1c\x85\xa0éÉµß  ") + ["<|endoftext|>"]
+    texts += ["".join(draw.choice(letters, n)) for n in draw.integers(0, 60, 3000)]
+    texts += ["x" * 5000, "ab  cd " * 400000, "a" * 3000 + " b", "", " ", "  "]
+    ids, at = encode.encode_texts(texts)
+    for i, text in enumerate(texts):
+        assert ids[at[i]:at[i + 1]].tolist() == want(text), text[:50]
+
+
+def test_ranks_are_refused_where_merges_differ(tmp_path):
+    """Here 'abc' is made of a and bc, but by ranks ab joins first."""
+    vocab = {c: i for i, c in enumerate(["a", "b", "c", "ab", "bc", "abc"])}
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"added_tokens": [], "model": {
+        "type": "BPE", "vocab": vocab, "merges": [["a", "b"], ["b", "c"], ["a", "bc"]]}}))
+    assert fast.rank_table(str(path), False) is None
+
+
 def test_packing(docs, plain, odd, empty):
     encode = library("byte_bpe_50k.json")
     vocabulary = P.path("byte_bpe_50k.json")
