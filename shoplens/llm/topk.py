@@ -84,41 +84,54 @@ class Lists:
     """The sorted lists of one block of candidates."""
 
     def __init__(self, ids: np.ndarray, cells: np.ndarray):
-        self.ids, self.cells = ids, cells
+        self.ids = ids
         self.order = np.argsort(cells, axis=0, kind="stable")
         self.largest = max(abs(int(cells.max())), abs(int(cells.min())))
+        self.tables = {cells.dtype: (cells, np.take_along_axis(cells, self.order, axis=0))}
+        self.kept = cells.dtype
+
+    def _as(self, kind) -> tuple[np.ndarray, np.ndarray]:
+        """The values by row and by place in the lists, as numbers of this kind."""
+        kind = np.dtype(kind)
+        if kind not in self.tables:
+            self.tables[kind] = tuple(x.astype(kind) for x in self.tables[self.kept])
+        return self.tables[kind]
 
     def best(self, query_id: int, query: np.ndarray, k: int, least: int | None,
              step: int = 64) -> list[tuple[int, int]]:
-        """(score, vec_id) of the k best that can reach `least`; ties to the smaller id."""
-        n, dims = self.cells.shape
+        """(score, vec_id) of the k best that can reach `least`; ties to the smaller id.
+
+        Reading ends when all but a sixteenth of the block (or 4 k) are ruled out.
+        """
+        n, dims = self.order.shape
         high = self.largest * max(1, int(max(abs(int(query.max())), abs(int(query.min()))))) * dims
         kind = np.float64 if high < 2 ** 53 else np.int64 if high < _LONG else object
-        cells, query = self.cells.astype(kind, copy=False), query.astype(kind)
+        (cells, lists), query = self._as(kind), query.astype(kind)
         own = self.ids == query_id
         columns = np.arange(dims)
-        order = np.where(query > 0, self.order[::-1], self.order)
-        worst = cells[order[-1], columns] * query
+        down = query > 0
+        worst = np.where(down, lists[0], lists[-1]) * query
         known = np.zeros(n, kind)
-        seen = np.zeros((n, dims), bool)
+        unread = np.ones((n, dims), kind)
         depth = 0
         while True:
-            stop = min(n, max(step, 2 * depth))
-            rows = order[depth:stop]
-            seen[rows, columns] = True
+            stop = min(n, max(step, 4 * depth))
+            rows = np.where(down, self.order[n - stop:n - depth][::-1], self.order[depth:stop])
+            read = np.where(down, lists[n - stop:n - depth][::-1], lists[depth:stop]) * query
+            if kind is np.float64:
+                known += np.bincount(rows.ravel(), read.ravel(), n)
+            else:
+                np.add.at(known, rows, read)
+            unread[rows, columns] = 0
             depth = stop
-            frontier = cells[order[depth - 1], columns] * query
-            known = np.where(seen, cells, 0) @ query
-            unseen = ~seen
-            lower = known + unseen @ worst
-            upper = known + unseen @ frontier
-            lower = lower[~own]
+            rest = unread @ np.stack([worst, read[-1]], axis=1)
+            lower, upper = (known + rest[:, 0])[~own], known + rest[:, 1]
             bound = np.partition(lower, -k)[-k] if len(lower) >= k else None
             if least is not None and (bound is None or least > bound):
                 bound = least
             able = ~own if bound is None else ~own & (upper >= bound)
             left = np.flatnonzero(able)
-            if depth == n or (bound is not None and len(left) <= 4 * k):
+            if depth == n or (bound is not None and len(left) <= max(4 * k, n // 16)):
                 break
         scores = cells[left] @ query  # the outsiders are out: resolve the rest
         found = sorted(zip((-int(s) for s in scores), self.ids[left].tolist()))[:k]
