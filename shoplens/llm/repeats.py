@@ -101,7 +101,7 @@ class Block:
 
 
 def _zip(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(data)
+    return zstandard.ZstdCompressor(6).compress(data)
 
 
 def _unzip(data: bytes) -> bytes:
@@ -138,17 +138,16 @@ def _deal(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _contexts(block: Block, places: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int):
     """What surrounds each sampled place, as far as strings with that sample reach.
 
-    A row holds the bytes from the first to past the last string that can have
-    its sample there, zeros beyond the document, and which strings do.
+    A row has room for all strings that can have their sample there. It holds
+    the bytes of those that do, zeros elsewhere, and which ones they are.
     """
     reach = length - gram
     owner = np.searchsorted(block.starts, places, side="right") - 1
     rows = np.zeros((len(places), length + reach + 2), np.uint8)
     for at in range(0, len(places), 1 << 15):
-        p = places[at:at + (1 << 15)]
-        o = owner[at:at + (1 << 15)]
+        p, first, last = (x[at:at + (1 << 15)] for x in (places, low, high))
         where = p[:, None] + np.arange(-reach, length)
-        outside = (where < block.starts[o][:, None]) | (where >= block.starts[o + 1][:, None])
+        outside = (where < first[:, None]) | (where >= last[:, None] + length)
         rows[at:at + len(p), :-2] = np.where(outside, 0, block.bytes[np.clip(where, 0, len(block.bytes) - 1)])
     rows[:, -2], rows[:, -1] = places - high, places - low
     return rows, block.doc_ids[owner]
