@@ -75,6 +75,16 @@ class Block:
         self.starts = np.frombuffer(starts, "<i8")
         self.bytes = np.frombuffer(_unzip(data), np.uint8)
 
+    def owners(self, length: int, gram: int):
+        """Places that are the sample of some string, their first and last string, and their grams.
+
+        The strings that have their sample at a place start side by side.
+        """
+        starts, place, grams = self.samples(length, gram)
+        turn = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
+        places, low = place[turn], starts[turn]
+        return places, low, np.append(starts[turn[1:] - 1], starts[-1:]), grams[places]
+
     def samples(self, length: int, gram: int):
         """Starts of all strings inside documents, each one's sampled place, and keys of grams.
 
@@ -165,6 +175,23 @@ def _row_keys(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _strings(rows: np.ndarray, length: int, gram: int):
+    """All strings of rows of `_contexts`: row, steps from start to place, and two ranks of their bytes."""
+    reach = length - gram
+    # strings `steps` bytes before the place, from the nearest to the farthest that it owns
+    spread = rows[:, -1].astype(np.int64) - rows[:, -2] + 1
+    row = np.repeat(np.arange(len(rows)), spread)
+    steps = rows[:, -2].astype(np.int64)[row] + np.arange(len(row)) - np.repeat(offsets(spread)[:-1], spread)
+    flat = np.ascontiguousarray(rows[:, :-2]).reshape(-1)
+    where = row * (length + reach) + reach - steps
+    return row, steps, ranks(flat, length)[where], (ranks(flat, length, _B)[where] >> np.uint64(32)).astype(np.uint32)
+
+
+def _answer(places: np.ndarray, masks: np.ndarray) -> bytes:
+    """Places, and for each the steps back to the starts of its strings that go."""
+    return _zip(places.astype("<u4").tobytes() + masks.astype("<u8").tobytes())
+
+
 def _least(first: np.ndarray, second: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For every entry the smallest document of all entries with its two keys."""
     order = np.argsort(first, kind="stable")
@@ -181,13 +208,14 @@ def _least(first: np.ndarray, second: np.ndarray, docs: np.ndarray) -> np.ndarra
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: str = "doc_id",
                    text_col: str = "text", block_bytes: int = 4 << 20,
-                   buckets: int | None = None, with_text: bool = False) -> DataFrame:
+                   buckets: int | None = None, with_text: bool = False, most: int = 1 << 13) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts in a smaller document.
 
     Texts are UTF-8, null is empty, strings never cross documents, and all are
     judged on the input. Rows of equal id do not remove from each other; a null
     id counts as the smallest number. Returns doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs), kept_sha256, with `with_text` also the bytes kept.
+    A sampled gram with more than `most` contexts is judged string by string.
     """
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -204,94 +232,133 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: st
                 doc_ids, starts, data = (row.column(n)[0].as_py() for n in ("doc_ids", "starts", "data"))
                 yield Block(doc_ids, starts, data), row
 
-    def by_bucket(name: str, cuts: np.ndarray, payload) -> pa.RecordBatch:
-        used = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
+    def by_bucket(name: str, payloads: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+        used = list(payloads)
         return pa.RecordBatch.from_arrays(
-            [pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()),
-             pa.array([payload(int(cuts[i]), int(cuts[i + 1])) for i in used], pa.binary())],
-            ["block", "bucket", "data"])
+            [pa.array([name] * len(used), pa.string()), pa.array([i for i, _ in used], pa.int32()),
+             pa.array([data for _, data in used], pa.binary())], ["block", "bucket", "data"])
 
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, row in opened(batches):
-            _, place, grams = block.samples(length, gram)
-            own = np.unique(grams[place[np.flatnonzero(np.diff(place, prepend=-1))]])
+            places, low, high, grams = block.owners(length, gram)
+            own, at, count = np.unique(grams, return_inverse=True, return_counts=True)
+            # Equal contexts of a block are sent once; few places are not worth looking.
+            many = np.flatnonzero(count[at] > 16)
+            if len(many):
+                rows, _ = _contexts(block, places[many], low[many], high[many], length, gram)
+                _, first = np.unique(_row_keys(rows), return_index=True)
+                count = np.where(count > 16, np.bincount(at[many][first], minlength=len(own)), count)
             # 48 bits decide whether a string is looked at; false matches only cost time
             short = (own >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            yield by_bucket(row.column("block")[0].as_py(), _deal(own, buckets),
-                            lambda a, b, short=short: short[a:b].tobytes())
+            cuts = _deal(own, buckets).tolist()
+            yield by_bucket(row.column("block")[0].as_py(), (
+                (i, np.array([b - a], "<i8").tobytes() + short[a:b].tobytes() + _zip(count[a:b].astype("<u4").tobytes()))
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b))
 
     def shared(table: pa.Table) -> pa.Table:
-        """Which of the samples of each block in this bucket stand in another block too."""
-        keys = [np.pad(np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).reshape(-1).view("<u8")
-                for x in table.column("data")]
+        """Of the samples of each block in this bucket: which stand in another block too, and which have too many contexts."""
+        keys, counts = [], []
+        for cell in table.column("data"):
+            data = cell.as_py()
+            n = int.from_bytes(data[:8], "little")
+            keys.append(np.pad(np.frombuffer(data, np.uint8, 6 * n, 8).reshape(-1, 6), ((0, 0), (0, 2))).reshape(-1).view("<u8"))
+            counts.append(np.frombuffer(_unzip(data[8 + 6 * n:]), "<u4"))
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
         same = every[order][1:] == every[order][:-1]
         twice = np.empty(len(every), bool)
         twice[order] = np.append(False, same) | np.append(same, False)
+        new = np.append(True, ~same)
+        total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), np.flatnonzero(new))
+        heavy = np.empty(len(every), bool)
+        heavy[order] = (total > most)[np.cumsum(new) - 1]
         cuts = offsets([len(k) for k in keys])
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(
-            [np.packbits(twice[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+            [np.packbits(twice[a:b]).tobytes() + np.flatnonzero(heavy[a:b]).astype("<u4").tobytes()
+             for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, row in opened(batches):
-            starts, place, grams = block.samples(length, gram)
-            # A sampled place owns the strings whose sample it is; they start side by side.
-            turn = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
-            places, low = place[turn], starts[turn]
-            high = np.append(starts[turn[1:] - 1], starts[-1:])
-            own, at, count = np.unique(grams[places], return_inverse=True, return_counts=True)
+            name = row.column("block")[0].as_py()
+            places, low, high, grams = block.owners(length, gram)
+            own, at, count = np.unique(grams, return_inverse=True, return_counts=True)
             cuts = _deal(own, buckets)
-            again = count > 1
+            again, heavy = count > 1, np.zeros(len(own), bool)
             for mark in row.column("marks")[0].as_py():
                 a, b = cuts[mark["bucket"]], cuts[mark["bucket"] + 1]
-                again[a:b] |= np.unpackbits(np.frombuffer(mark["data"], np.uint8), count=int(b - a)).astype(bool)
-            chosen = np.flatnonzero(again[at])
+                bits = int(b - a + 7) // 8
+                again[a:b] |= np.unpackbits(np.frombuffer(mark["data"], np.uint8, bits), count=int(b - a)).astype(bool)
+                heavy[a + np.frombuffer(mark["data"], "<u4", offset=bits)] = True
+            chosen = np.flatnonzero((again | heavy)[at])
             chosen = chosen[np.argsort(at[chosen], kind="stable")]
             places, at = places[chosen], at[chosen]
             rows, doc_ids = _contexts(block, places, low[chosen], high[chosen], length, gram)
             keys = _row_keys(rows)
-
-            def payload(a: int, b: int) -> bytes:
-                _, first, which = np.unique(keys[a:b], return_index=True, return_inverse=True)
-                distinct = rows[a:b][first].tobytes()
-                rest = (which.astype("<u4").tobytes() + places[a:b].astype("<u4").tobytes()
-                        + doc_ids[a:b].astype("<i8").tobytes())
-                return np.array([len(first), b - a], "<i8").tobytes() + _zip(distinct + rest)
-
-            yield by_bucket(row.column("block")[0].as_py(), np.searchsorted(at, cuts), payload)
+            # All strings go where a smaller document of the block has the same context; the others ask.
+            copy = doc_ids > _least(keys, np.zeros(len(keys), np.uint32), doc_ids)
+            nearest, farthest = (rows[copy, i].astype(np.uint64) for i in (-2, -1))
+            known = [(places[copy], (np.uint64(2) << farthest) - (np.uint64(1) << nearest))]
+            asks = ~copy & ~heavy[at]
+            split = ~copy & heavy[at]
+            # A gram with too many contexts sends its strings, each to the bucket of its own rank.
+            which, steps, first, second = _strings(rows[split], length, gram)
+            begins, owner = places[split][which] - steps, doc_ids[split][which]
+            copy = owner > _least(first, second, owner)
+            known.append((begins[copy], np.ones(int(copy.sum()), np.uint64)))
+            order = np.flatnonzero(~copy)
+            order = order[np.argsort(first[order], kind="stable")]
+            first, second, begins, owner = first[order], second[order], begins[order], owner[order]
+            dealt = _deal(first, buckets).tolist()
+            rows, keys, places, at, doc_ids = rows[asks], keys[asks], places[asks], at[asks], doc_ids[asks]
+            cuts = np.searchsorted(at, cuts).tolist()
+
+            def payload(a: int, b: int, c: int, d: int) -> bytes:
+                _, one, which = np.unique(keys[a:b], return_index=True, return_inverse=True)
+                parts = [rows[a:b][one]] + [x.astype(t) for x, t in (
+                    (which, "<u4"), (places[a:b], "<u4"), (doc_ids[a:b], "<i8"), (first[c:d], "<u8"),
+                    (second[c:d], "<u4"), (begins[c:d], "<u4"), (owner[c:d], "<i8"))]
+                return np.array([len(one), b - a, d - c], "<i8").tobytes() + _zip(b"".join(x.tobytes() for x in parts))
+
+            yield by_bucket(name, ((i, payload(a, b, c, d)) for i, (a, b, c, d) in enumerate(
+                zip(cuts, cuts[1:], dealt, dealt[1:])) if a < b or c < d))
+            if any(len(x) for x, _ in known):
+                # what needs no bucket comes back with the answers, by any of them
+                settled = _answer(*(np.concatenate(x) for x in zip(*known)))
+                yield by_bucket(name, iter([(int(name[:8], 16) % buckets, np.array([-1, 0, 0], "<i8").tobytes() + settled)]))
 
     def judge(table: pa.Table) -> pa.Table:
         """For each place: which of its strings also start in a smaller document."""
         width = length + reach + 2
-        contexts, which, places, doc_ids, sizes = [], [], [], [], []
+        types = ("<u4", "<u4", "<i8", "<u8", "<u4", "<u4", "<i8")
+        contexts, columns, sizes, settled = [], [], [], {}
         known = 0
         for cell in table.column("data"):
             data = cell.as_py()
-            n, m = np.frombuffer(data[:16], "<i8").tolist()
-            data = _unzip(data[16:])
-            contexts.append(np.frombuffer(data, np.uint8, n * width).reshape(n, width))
-            which.append(np.frombuffer(data, "<u4", m, n * width).astype(np.int64) + known)
-            places.append(np.frombuffer(data, "<u4", m, n * width + 4 * m))
-            doc_ids.append(np.frombuffer(data, "<i8", m, n * width + 8 * m))
+            n, m, k = np.frombuffer(data[:24], "<i8").tolist()
+            if n < 0:
+                settled[len(sizes)], n, data = data[24:], 0, b""
+            else:
+                data = _unzip(data[24:])
+            contexts.append(np.frombuffer(data[:n * width], np.uint8).reshape(n, width))
+            at, read = n * width, []
+            for size, kind in zip((m, m, m, k, k, k, k), types):
+                read.append(np.frombuffer(data[at:at + size * int(kind[2])], kind))
+                at += read[-1].nbytes
+            read[0] = read[0].astype(np.int64) + known
+            columns.append(read)
             known += n
-            sizes.append(m)
-        which, places, doc_ids = (np.concatenate(x) for x in (which, places, doc_ids))
+            sizes.append((m, k))
+        which, places, doc_ids, rank, more, begins, owner = (np.concatenate(x) for x in zip(*columns))
+        columns.clear()
         least = np.full(known, 1 << 62, np.int64)
         np.minimum.at(least, which, doc_ids)
-        at, back, first, second, done = [], [], [], [], 0
+        at, back, first, second, done = [np.zeros(0, np.int32)], [np.zeros(0, np.int8)], [rank[:0]], [more[:0]], 0
         for part in contexts:
             for begin in range(0, len(part), 1 << 14):
                 rows = part[begin:begin + (1 << 14)]
-                # strings `back` bytes before the place, from the nearest to the farthest that it owns
-                spread = (rows[:, -1].astype(np.int64) - rows[:, -2] + 1)
-                row = np.repeat(np.arange(len(rows)), spread)
-                steps = rows[:, -2].astype(np.int64)[row] + np.arange(len(row)) - np.repeat(
-                    offsets(spread)[:-1], spread)
-                flat = np.ascontiguousarray(rows[:, :-2]).reshape(-1)
-                where = row * (width - 2) + reach - steps
-                first.append(ranks(flat, length)[where])
-                second.append((ranks(flat, length, _B)[where] >> np.uint64(32)).astype(np.uint32))
+                row, steps, one, two = _strings(rows, length, gram)
+                first.append(one)
+                second.append(two)
                 at.append((row + done).astype(np.int32))
                 back.append(steps.astype(np.int8))
                 done += len(rows)
@@ -302,11 +369,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: st
         masks = np.zeros(len(which), np.uint64)
         for step in range(reach + 1):
             masks |= (per_string[which, step] < doc_ids).astype(np.uint64) << np.uint64(step)
-        cuts = offsets(sizes)
+        gone = _least(rank, more, owner) < owner
+        cuts, ends = offsets([m for m, _ in sizes]).tolist(), offsets([k for _, k in sizes]).tolist()
         answers = []
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-            hit = masks[a:b] > 0
-            answers.append(_zip(places[a:b][hit].astype("<u4").tobytes() + masks[a:b][hit].astype("<u8").tobytes()))
+        for i in range(len(sizes)):
+            own, single = slice(cuts[i], cuts[i + 1]), slice(ends[i], ends[i + 1])
+            hit, lost = masks[own] > 0, begins[single][gone[single]]
+            answers.append(settled[i] if i in settled else _answer(
+                np.append(places[own][hit], lost), np.append(masks[own][hit], np.ones(len(lost), np.uint64))))
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
                          "data": pa.array(answers, pa.binary())})
 

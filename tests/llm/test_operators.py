@@ -293,6 +293,34 @@ def test_repeats(spark, odd, empty):
     assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(odd).collect()}[7] == 0
 
 
+def test_repeats_spread_a_gram_with_many_contexts(spark, tmp_path, monkeypatch):
+    """A passage in every document, each time between other texts: no bucket holds all strings at its edges."""
+    rng = np.random.default_rng(3)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = text(120)
+    rows = [(i, text(60) + passage + text(60)) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 300, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, sizes = repeats._least, str(tmp_path / "sizes")
+
+    def noted(first, second, docs):
+        with open(sizes, "a") as f:
+            f.write(f"{len(first)}\n")
+        return plain(first, second, docs)
+
+    monkeypatch.setattr(repeats, "_least", noted)
+    largest = {}
+    for most in (20, 1 << 13):
+        for size in (200, 2000):
+            got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(
+                df, block_bytes=size, buckets=64, most=most).collect()}
+            assert got == removed(rows)
+        with open(sizes) as f:
+            largest[most] = max(int(x) for x in f)
+        os.remove(sizes)
+    assert 2 * largest[20] < largest[1 << 13]
+
+
 def test_toxicity(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
