@@ -204,8 +204,24 @@ def boundary(sizes: dict[int, int], candidates_per_posting: float, largest: int
     return found
 
 
-def _postings(docs: DataFrame, common: np.ndarray, light: int, buckets: int) -> DataFrame:
-    """For each portion and bucket: keys of lists, documents and sizes (negative: light)."""
+def _bucket_count(known: DataFrame, light: int, least: int, most: int = 1 << 21) -> int:
+    """So many buckets that one gets about `most` postings, and `least` at least."""
+    part, whole = THRESHOLD
+    n = F.col("n_shingles")
+    prefix = n - F.ceil(n * part / whole)
+    made = F.when(n <= light, (prefix + 2) * (prefix + 1) / 2).otherwise(0) + F.when(
+        (n > light) | (whole * n >= part * (light + 1)), prefix + 1).otherwise(0)
+    total = known.where("n_shingles >= 3").agg(F.sum(made)).first()[0] or 0
+    return max(least, -(-int(total) // most))
+
+
+def _postings(docs: DataFrame, common: np.ndarray, light: int, buckets: int, short: int) -> DataFrame:
+    """For each portion and bucket: keys of lists, documents and sizes (negative: light).
+
+    A bucket gets so many of a portion's entries of one list, smallest documents
+    first, that it sees that the list is long. Longer runs also travel whole, with
+    their portion (`own`), to a bucket of no meaning.
+    """
     order = np.argsort(common)
     ordered = common[order]
 
@@ -221,7 +237,7 @@ def _postings(docs: DataFrame, common: np.ndarray, light: int, buckets: int) ->
         later = shingles[hot][np.argsort(ranks[hot])]
         return np.concatenate([rare, later[:want - len(rare)]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, names, sizes, counts = [], [], [], []
             for doc_ids, texts in _rows(batch):
@@ -253,17 +269,29 @@ def _postings(docs: DataFrame, common: np.ndarray, light: int, buckets: int) ->
             names = np.repeat(np.array(names, np.int64), counts)
             sizes = np.repeat(np.array(sizes, np.int32), counts)
             # a light set's pairs and single shingles share the sign; only pairs of lists tell them apart
-            place = np.argsort(keys, kind="stable")
+            place = np.lexsort((names, keys))
             keys, names, sizes = keys[place], names[place], sizes[place]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            lens = np.diff(np.append(starts, len(keys)))
+            run = np.repeat(lens > short + 1, lens)
+            if run.any():
+                own = [x[run] for x in (keys, names, sizes)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(mix64(own[0][:1] ^ own[1][:1].view(np.uint64))[0]) % buckets], pa.int32())] + [
+                        pa.array([x.tobytes()], pa.binary()) for x in own] + [pa.array([True])],
+                    ["bucket", "keys", "names", "sizes", "own"])
+            stay = np.arange(len(keys)) - np.repeat(starts, lens) <= short
+            keys, names, sizes = keys[stay], names[stay], sizes[stay]
             edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
             cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
             used = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used, pa.int32())] + [
                     pa.array([x[cuts[i]:cuts[i + 1]].tobytes() for i in used], pa.binary())
-                    for x in (keys, names, sizes)], ["bucket", "keys", "names", "sizes"])
+                    for x in (keys, names, sizes)] + [pa.array([False] * len(used))],
+                ["bucket", "keys", "names", "sizes", "own"])
 
-    return docs.mapInArrow(run, "bucket int, keys binary, names binary, sizes binary")
+    return docs.mapInArrow(deal, "bucket int, keys binary, names binary, sizes binary, own boolean")
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -275,18 +303,8 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _scan_lists(postings: DataFrame, short: int) -> DataFrame:
     """Candidate pairs (key null) and the entries of long lists (b null)."""
-    def scan(table: pa.Table) -> pa.Table:
-        columns = {n: [v.as_py() for v in table.column(n)] for n in ("keys", "names", "sizes")}
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in columns["keys"]])
-        names = np.concatenate([np.frombuffer(x, np.int64) for x in columns["names"]])
-        sizes = np.concatenate([np.frombuffer(x, np.int32) for x in columns["sizes"]])
-        columns.clear()
-        order = np.argsort(keys, kind="stable")
-        again = keys[order]
-        same = again[1:] == again[:-1]
-        order = order[np.append(False, same) | np.append(same, False)]  # lists of two and more
-        order = order[np.lexsort((names[order], keys[order]))]
-        keys, names, sizes = keys[order], names[order], sizes[order]
+    def entries(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, skip: int):
+        """Pairs, and the list entries after the first `skip` of each list."""
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         lens = np.diff(np.append(starts, len(keys)))
         left, right = [], []
@@ -295,21 +313,38 @@ def _scan_lists(postings: DataFrame, short: int) -> DataFrame:
             i, j = np.triu_indices(n, 1)
             left.append((own[:, None] + i).ravel())
             right.append((own[:, None] + j).ravel())
-        long = lens > short
-        inside = np.repeat(long, lens)
         first = np.repeat(starts, lens)
-        right.append(np.flatnonzero(inside & (np.arange(len(keys)) != first)))
+        place = np.arange(len(keys)) - first
+        inside = np.repeat(lens > short, lens) & (place >= skip)
+        right.append(np.flatnonzero(inside & (place > 0)))
         left.append(first[right[-1]])
         left, right = np.concatenate(left), np.concatenate(right)
         keep = _near(sizes[left], sizes[right]) & (names[left] != names[right])
-        pairs = np.unique(np.stack([names[left[keep]], names[right[keep]]], 1), axis=0)
         rest = np.flatnonzero(inside)
+        return np.stack([names[left[keep]], names[right[keep]]], 1), names[rest], keys[rest], sizes[rest]
+
+    def scan(table: pa.Table) -> pa.Table:
+        columns = [[np.frombuffer(v.as_py(), t) for v in table.column(n)] for n, t in (
+            ("keys", np.uint64), ("names", np.int64), ("sizes", np.int32))]
+        whole = table.column("own").to_pylist()
+        found = [entries(*(x[i] for x in columns), short + 1) for i, own in enumerate(whole) if own]
+        keys, names, sizes = (np.concatenate([x[:0] for x in column[:1]] + [
+            x for x, own in zip(column, whole) if not own]) for column in columns)
+        columns.clear()
+        order = np.argsort(keys, kind="stable")
+        again = keys[order]
+        same = again[1:] == again[:-1]
+        order = order[(np.append(False, same) | np.append(same, False))[:len(order)]]  # lists of two and more
+        order = order[np.lexsort((names[order], keys[order]))]
+        found.append(entries(keys[order], names[order], sizes[order], 0))
+        pairs, names, keys, sizes = (np.concatenate(x) for x in zip(*found))
+        pairs = np.unique(pairs, axis=0)
         nothing = pa.nulls(len(pairs), pa.int64())
         return pa.table({
-            "a": pa.chunked_array([pa.array(pairs[:, 0]), pa.array(names[rest])], pa.int64()),
-            "b": pa.chunked_array([pa.array(pairs[:, 1]), pa.nulls(len(rest), pa.int64())], pa.int64()),
-            "key": pa.chunked_array([nothing, pa.array(keys[rest].view(np.int64))], pa.int64()),
-            "n": pa.chunked_array([nothing, pa.array(np.abs(sizes[rest]).astype(np.int64))], pa.int64())})
+            "a": pa.chunked_array([pa.array(pairs[:, 0]), pa.array(names)], pa.int64()),
+            "b": pa.chunked_array([pa.array(pairs[:, 1]), pa.nulls(len(names), pa.int64())], pa.int64()),
+            "key": pa.chunked_array([nothing, pa.array(keys.view(np.int64))], pa.int64()),
+            "n": pa.chunked_array([nothing, pa.array(np.abs(sizes).astype(np.int64))], pa.int64())})
 
     return postings.groupBy("bucket").applyInArrow(scan, "a long, b long, key long, n long")
 
@@ -418,7 +453,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text. A null text is an empty one; other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = texts.where(F.col("doc_id").isNotNull())
@@ -430,7 +464,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = {r.n_shingles: r["count"] for r in known.where("n_shingles <= 100").groupBy(
         "n_shingles").count().collect()}  # at most 100 rows
     light = boundary(sizes, math.log2(2 + len(common)) / 4)
-    found = materialize(_scan_lists(_postings(named, common, light, buckets), short), "candidates")
+    buckets = _bucket_count(known, light, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    postings = _postings(named, common, light, buckets, short).repartitionById(buckets, F.col("bucket"))
+    found = materialize(_scan_lists(postings, short), "candidates")
     reps = materialize(known.join(first, "digest").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
 
     def as_reps(pairs: DataFrame) -> DataFrame:

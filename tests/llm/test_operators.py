@@ -254,6 +254,24 @@ def test_jaccard_of_near_copies(spark):
         assert got == want
 
 
+def test_jaccard_lists_are_cut_per_portion(spark):
+    """No bucket holds more than a few entries of a list from one portion; buckets follow the postings."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(9000)]
+    line = [str(x) for x in rng.choice(vocabulary, 40)]
+    rows = [(i, " ".join(line[:30 + i % 11] + [str(x) for x in rng.choice(vocabulary, i % 7)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    short = 8
+    messages = jaccard._postings(df, np.zeros(0, np.uint64), 0, 4, short).collect()
+    held = np.concatenate([np.frombuffer(m["keys"], np.uint64) for m in messages if not m["own"]])
+    assert np.unique(held, return_counts=True)[1].max() == short + 1
+    assert any(m["own"] for m in messages)
+    known = spark.createDataFrame([(100,)] * 50, "n_shingles long")
+    assert jaccard._bucket_count(known, 0, 2, most=100) == 50 * 26 // 100
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+    assert got == groups(rows)
+
+
 def test_jaccard_of_odd_rows(odd, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(odd).collect()}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == got[4] == (2, 3) and got[None][1] is None
