@@ -1,21 +1,22 @@
-"""Repeated byte strings, by prefix doubling over the positions that can repeat.
-
-All strings of `length` bytes are asked for, so ranks are needed only up to
-that length, and a position is dropped as soon as its rank is unique.
-
-1. Texts are gathered in blocks of a few MB, written once. Ranks of `gram`
-   bytes come first, at sampled positions: in every string the position whose
-   gram hashes lowest. Equal strings have equal samples at equal places, so a
-   string whose sample's rank is unique is unique, and is dropped.
-2. The ranks of the strings that are left are made by doubling: pairs of ranks
-   at growing offsets (1, 2, 4, ... bytes) give ranks of twice the length,
-   and two overlapping ranks give those of exactly `length` bytes.
-3. Spark sorts (rank, document) and keeps the smallest document of a rank. A
-   block sends each rank once, whatever the number of its copies there, and
-   gets back which of its ranks also start in a smaller document.
+"""Repeated byte strings, by ranks of the strings whose sampled gram can repeat.
+
+Not the sort of position and rank pairs at growing offsets: there is no Spark
+sort of positions and no round of reranking. Ranks are hashes, made next to
+the text.
+
+1. Texts are gathered in blocks of a few MB, written once. Every string of
+   `length` bytes has a sample: the place in it whose `gram` bytes hash lowest.
+   Equal strings have equal samples at equal places, so a string whose sample
+   stands nowhere else is unique. The first exchange finds the samples that do.
+2. The second exchange takes what surrounds them to the bucket of the gram,
+   each context once a block. There the strings get their ranks by doubling
+   (1, 2, 4, ... bytes and an overlap up to `length`), and numpy sorts them
+   within the bucket. A gram with very many contexts sends the ranks of its
+   strings instead, each to the bucket of the rank.
+3. A block gets back which strings also start in a smaller document.
 
 Ranks are 64-bit hashes of the bytes they stand for, so that blocks agree on
-them without a common table; the last one has 128 bits.
+them without a common table; strings are compared by 96 bits.
 """
 
 from __future__ import annotations
