@@ -279,8 +279,19 @@ def train(docs: DataFrame, sample_docs: int = 500, spare_share: int = 5) -> Clas
         return Classifier(scorer, 1.0, 0.0, np.log(len(scorer.grams[1][0]) + 1))
     lead, entropy, right = (spare.column(c).to_numpy(zero_copy_only=False) for c in ("lead", "entropy", "right"))
     slope, shift = _platt(lead, right.astype(bool))
+    return Classifier(scorer, slope, shift, _limit(entropy))
+
+
+def _limit(entropy: np.ndarray) -> float:
+    """The highest cross entropy of a known language.
+
+    Rows far above the 95 % quantile are taken for wrong labels and left out,
+    so up to a twentieth of them does not lift the limit.
+    """
+    middle, high = np.quantile(entropy, [0.5, 0.95], method="lower")
+    entropy = entropy[entropy <= high + max(1.0, 10 * (high - middle))]
     spread = float(np.quantile(entropy, 0.99) - np.median(entropy))
-    return Classifier(scorer, slope, shift, float(entropy.max()) + max(1.0, 3 * spread))
+    return float(entropy.max()) + max(1.0, 3 * spread)
 
 
 def predict(docs: DataFrame, model: Classifier) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import glob
 import hashlib
+import inspect
 import json
 import os
 import re
@@ -12,6 +13,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shoplens.llm import (bpe, components, exact_dedup, jaccard, langid, packing, pii, repeats, token_file,
@@ -402,6 +404,21 @@ def test_languages(spark, odd, empty):
     assert (total <= 1.0001).all()
 
 
+def test_language_limit_with_a_wrong_label(spark):
+    """A foreign text labelled with a learned language, in the part that calibrates, lets no other language in."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    share = inspect.signature(langid.train).parameters["spare_share"].default
+    ids = docs.where((docs.lang == "en") & ~langid.held_out(docs.doc_id)).selectExpr(
+        "doc_id", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").limit(share).collect()
+    wrong = "Questo testo italiano porta per errore il nome di una lingua che il modello ha imparato"
+    planted = docs.withColumn("text", F.when(docs.doc_id == ids[-1].doc_id, wrong).otherwise(docs.text))
+    model = langid.train(planted)
+    foreign = ["Tämä on suomenkielinen teksti jota kukaan ei ole opettanut mallille",
+               "Ez egy magyar nyelvű szöveg, amelyet a modell nem ismer", wrong]
+    assert model.predict(foreign)[3].all()
+    assert not langid.predict(docs.where("length(text) < 100"), model).where("rejected and score > 0").count()
+
+
 def test_topk_ties_and_bad_vectors(spark):
     rows = [(i, [float(i % 3), 1.0]) for i in range(40)] + [
         (100, None), (101, [1.0, None]), (102, [1.0, float("nan")]), (103, [1.0, float("inf")]), (104, []),
