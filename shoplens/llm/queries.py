@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import (bpe, exact_dedup, jaccard, langid, packing, pii, repeats, token_file, topk,
-                          toxicity as toxic)
+from shoplens.llm import (bpe, exact_dedup, jaccard, kd_shards, langid, lexical, packing, pii, prefix_trie,
+                          repeats, token_file, topk, toxicity as toxic)
 from shoplens.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,21 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best other vectors of every hundredth vector."""
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@_query("op11_lexical_search", lexical.SQL)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op12_prefix_trie", prefix_trie.SQL)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op13_kd_shards")
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
+    return kd_shards.report(_table(spark, sf_dir, "documents"))
