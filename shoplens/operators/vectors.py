@@ -1,15 +1,10 @@
-"""Text embedding and cosine nearest neighbours.
-
-Rows of an index are `(key, vector, ...)`, rows of a query set
-`(query_id, vector)`. Scores are cosines rounded to six digits, higher is
-closer, ties go to the smaller key.
-"""
+"""Text embedding, and cosines as column expressions."""
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,16 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shoplens import fixed
 from shoplens.functions.text import normalize_query_text
-from shoplens.operators.dedup import first_n
-from shoplens.session import plan_bytes
-
-# Query vectors up to this size are sent whole to every task; beyond it the
-# search runs on a grid of blocks.
-BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_ROWS = 32_768
-# An index of fewer file bytes is shuffled to use all cores.
-SMALL_INDEX_BYTES = 256 * 1024 * 1024
-HITS = "query_id string, key string, score double"
 
 Embedder = Callable[[list[str], int], np.ndarray]
 
@@ -81,7 +66,7 @@ def embed_texts(df: DataFrame, text: str, dimensions: int = fixed.EMBED_DIMENSIO
     return df.withColumn("_digest", F.md5(normal)).join(vectors, "_digest").drop("_digest")
 
 
-# --- vectors to neighbours --------------------------------------------------
+# --- one query --------------------------------------------------------------
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vector columns, in doubles."""
@@ -92,150 +77,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))
 
 
-def _unit_rows(vectors) -> np.ndarray:
-    rows = np.stack([np.asarray(v, dtype="float64") for v in vectors])
-    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(lengths == 0, 1.0, lengths)
-
-
-def _merge(hits: DataFrame, k: int) -> DataFrame:
-    """Best k of the per-block winners; the shuffle carries k rows per block and query."""
-    return first_n(hits, ["query_id"], [F.desc("score"), F.asc("key")], k, rank="rank")
-
-
-def knn_join(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
-             broadcast_bytes: int = BROADCAST_BYTES,
-             block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact `(query_id, key, score, rank)` of the k nearest keys of each query.
-
-    The query set is counted first. A small one visits every index batch where
-    it lies, without a shuffle of the index; a large one is joined block by block.
-    """
-    n_queries = queries.count()
-    index = index.select(F.col("key").cast("string").alias("key"), "vector")
-    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
-    if n_queries * dimensions * 8 <= broadcast_bytes:
-        return _merge(_scan_topk(index, queries, k), k)
-    n_index = index.select(_block_number(F.count("*"), block_rows)).scalar()
-    n_queries = _block_number(F.lit(n_queries), block_rows)
-    return _merge(_cells_topk(
-        index.select(F.lit(0).alias("bucket"), "*", n_index.alias("n_i"), n_queries.alias("n_q")),
-        queries.select(F.lit(0).alias("bucket"), "*", n_index.alias("n_i"),
-                       n_queries.alias("n_q")), k), k)
-
-
-def _scan_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Bounded query set against every index batch, no shuffle of the index."""
-    fetched = queries.toPandas()          # the caller has checked the size
-    if fetched.empty:
-        return index.sparkSession.createDataFrame([], HITS)
-    shared = index.sparkSession.sparkContext.broadcast(
-        (fetched["query_id"].to_numpy(), _unit_rows(fetched["vector"])))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, asked = shared.value
-        best = _Best(ids, k)
-        for batch in batches:
-            if len(batch):
-                best.add(asked, batch["key"].to_numpy(), _unit_rows(batch["vector"]))
-        yield best.rows()
-
-    # Each task returns k rows per query, so a few long tasks per core beat one per file
-    # split. A small index is spread instead: few files would leave most cores idle.
-    tasks = 4 * index.sparkSession.sparkContext.defaultParallelism
-    spread = (index.repartition(tasks // 4, "key") if plan_bytes(index) < SMALL_INDEX_BYTES
-              else index.coalesce(tasks))
-    return spread.mapInPandas(search, HITS)
-
-
-class _Best:
-    """Running best k keys per query: k rows per query leave a task, not k per batch."""
-
-    QUERIES, ROWS = 1024, 4096      # slice of the score matrix held at a time
-
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
-        self.least = np.full(len(ids), -np.inf)
-        self.held: list[list[tuple[float, str]]] = [[] for _ in ids]
-
-    def add(self, queries: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
-        for q in range(0, len(queries), self.QUERIES):
-            for r in range(0, len(keys), self.ROWS):
-                scores = queries[q:q + self.QUERIES] @ rows[r:r + self.ROWS].T
-                self._slice(q, scores, keys[r:r + self.ROWS])
-
-    def _slice(self, start: int, scores: np.ndarray, keys: np.ndarray) -> None:
-        cut = self.least[start:start + len(scores)]
-        if self.k < len(keys) and np.isinf(cut).any():
-            cut = np.maximum(cut, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
-        # Order is by rounded score, then key: keep all that may round up to the cut.
-        cut = cut - 1e-6
-        for i in np.flatnonzero(scores.max(axis=1) >= cut):
-            near = np.flatnonzero(scores[i] >= cut[i])
-            values = np.round(scores[i][near], 6) + 0.0
-            held = sorted(self.held[start + i] + list(zip((-values).tolist(), keys[near])))
-            self.held[start + i] = held = held[:self.k]
-            if len(held) == self.k:
-                self.least[start + i] = -held[-1][0]
-
-    def rows(self) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(self.ids[i], key, -s + 0.0) for i, held in enumerate(self.held) for s, key in held],
-            columns=["query_id", "key", "score"])
-
-
-def _block_number(rows: Column, block_rows: int) -> Column:
-    return F.greatest(F.ceil(rows / F.lit(block_rows)), F.lit(1)).cast("int")
-
-
-def grouped_knn(index: DataFrame, queries: DataFrame, k: int,
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact k nearest among the rows with the query's own `bucket`."""
-    return _merge(_grouped_hits(index, queries, k, block_rows), k)
-
-
-def _grouped_hits(index: DataFrame, queries: DataFrame, k: int, block_rows: int,
-                  few_groups: bool = False) -> DataFrame:
-    """Best k of each query per cell of its bucket.
-
-    Blocks per bucket follow its row count, so a hot bucket is split. With
-    `few_groups` the caller vouches for a small number of buckets, whose counts
-    are broadcast; otherwise Spark joins them as it sees fit.
-    """
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("bucket").agg(_block_number(F.count("*"), block_rows).alias(name))
-
-    sizes = counted(index, "n_i").join(counted(queries, "n_q"), "bucket")
-    sizes = F.broadcast(sizes) if few_groups else sizes
-    return _cells_topk(index.join(sizes, "bucket"), queries.join(sizes, "bucket"), k)
-
-
-def _cells_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Block nested-loop search: cells of (bucket, index block, query block).
-
-    Rows carry the block counts `n_i` and `n_q` of their bucket. Each index row
-    is sent to the query blocks and each query to the index blocks; a cell
-    scores two bounded blocks and returns only its best k. After Zhang, Li,
-    Jestes: Efficient Parallel kNN Joins for Large Data in MapReduce (EDBT 2012).
-    """
-    cell = ["bucket", "b_i", "b_q"]
-
-    def place(df: DataFrame, own: str, other: str, key: str):
-        mine = F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int").alias(f"b_{own}")
-        copies = F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(f"b_{other}")
-        return df.select("bucket", key, "vector", mine, copies).groupBy(*cell)
-
-    def search(near: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if near.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "key": [], "score": []})
-        best = _Best(asked["query_id"].to_numpy(), k)
-        best.add(_unit_rows(asked["vector"]), near["key"].to_numpy(), _unit_rows(near["vector"]))
-        return best.rows()
-
-    return (place(index, "i", "q", "key").cogroup(place(queries, "q", "i", "query_id"))
-            .applyInPandas(search, HITS))
-
-
 def vector_topk(index: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     """k nearest rows of one query, with their metadata.
 
@@ -245,36 +86,3 @@ def vector_topk(index: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     score = F.round(cosine(F.col("vector"), asked), 6)
     return (index.withColumn("score", score).orderBy(F.desc("score"), "key").limit(k)
                  .select("key", "score", "metadata"))
-
-
-def lsh_planes(tables: int, bits: int, dimensions: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dimensions))
-
-
-def lsh_candidates(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
-                   tables: int = 8, bits: int = 6, seed: int = 7,
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate k nearest: exact search among rows sharing a sign pattern.
-
-    Random hyperplanes (Charikar, 2002) give each vector one bucket per table.
-    Buckets are searched on the same grid as the exact join, so a bucket with a
-    third of the index is split into blocks and none of its rows is left out.
-    """
-    planes = lsh_planes(tables, bits, dimensions, seed)
-    weights = 1 << np.arange(bits)
-
-    @F.pandas_udf("array<int>")
-    def signatures(vectors: pd.Series) -> pd.Series:
-        rows = np.stack(vectors.to_numpy()).astype("float64")
-        signs = np.einsum("tbd,nd->ntb", planes, rows) >= 0
-        codes = (signs * weights).sum(axis=2) + np.arange(tables) * (1 << bits)
-        return pd.Series(list(codes.astype("int32")))
-
-    def bucketed(df: DataFrame, key: str) -> DataFrame:
-        return df.select(F.col(key).cast("string").alias(key), "vector",
-                         F.explode(signatures("vector")).alias("bucket"))
-
-    # Tables x 2^bits buckets; a pair found in several tables counts once.
-    hits = _grouped_hits(bucketed(index, "key"), bucketed(queries, "query_id"), k, block_rows,
-                         few_groups=True)
-    return _merge(hits.distinct(), k)

@@ -9,8 +9,8 @@ from shoplens.functions import clean, metadata as md, text as tx
 from shoplens.operators import recommend as rec
 from shoplens.operators.dedup import dedup, dedup_stats
 from shoplens.operators.joins import enrich_vectors, valid_embeddings
-from shoplens.operators.vectors import (
-    Embedder, embed_texts, grouped_knn, knn_join, pool_size)
+from shoplens.operators.neighbors import grouped_knn, knn_join
+from shoplens.operators.vectors import Embedder, embed_texts, pool_size
 from shoplens.session import materialize
 from shoplens.sources import files, sinks
 from shoplens.sources.index_store import Index
@@ -175,7 +175,8 @@ def recall_context(notes: DataFrame, queries: DataFrame, dimensions: int, k: int
                          dimensions, embedder, distinct=False)
     hits = grouped_knn(
         stored.select(_note_key().alias("key"), "vector", F.col("namespace").alias("bucket")),
-        asked.select(F.col("query_id").cast("string").alias("query_id"), "vector", "bucket"), k)
+        asked.select(F.col("query_id").cast("string").alias("query_id"), "vector", "bucket"), k,
+        dimensions)
     # Note ids are unique inside a namespace only, so texts come back by both.
     texts = notes.select(_note_key().alias("key"), F.col("noteId").cast("string").alias("_note"), "text")
     return hits.join(texts, "key").withColumn("key", F.col("_note")).drop("_note")

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from shoplens.functions import text as tx
 from shoplens.operators import recommend as rec
 from shoplens.operators.facets import facet_counts
-from shoplens.operators.vectors import (
-    embed_texts, knn_join, lsh_candidates, lsh_planes, pool_size, vector_topk)
+from shoplens.operators.neighbors import knn_join, lsh_candidates, lsh_planes
+from shoplens.operators.vectors import embed_texts, pool_size, vector_topk
 from shoplens.operators.behavior import recent_n_per_user
 from shoplens.plans import jobs, sql_parts as sp, tables as t
 from shoplens.plans.queries_ingest import CRITERIA_QUERY, CRITERIA_SQL, FACETS_SQL, criteria
@@ -51,31 +51,47 @@ def _knn_join(spark, d):
 
 @query("candidate_pool", _pairs(POOL))
 def _candidate_pool(spark, d):
-    """The same search on the grid of blocks, as for a query set of any size."""
+    """Slots of 16 kB: pivots, rings and the second round on an index of any size."""
     return knn_join(t.vectors(spark, d), _self_queries(spark, d), POOL, t.DIMENSIONS,
-                    broadcast_bytes=0)
+                    slot_bytes=1 << 14)
 
 
-LSH_TABLES, LSH_BITS = 8, 6
-_PLANES = ", ".join(
-    f"({i}, {b}, {plane.tolist()})"
-    for i, planes in enumerate(lsh_planes(LSH_TABLES, LSH_BITS, t.DIMENSIONS))
-    for b, plane in enumerate(planes))
+_PLANES = ", ".join(f"({b}, {plane.tolist()})"
+                    for b, plane in enumerate(lsh_planes(24, t.DIMENSIONS)))
+_RECALL, _SAMPLE = 0.95, 200
 
 
 @query("lsh_candidates", f"""
-    WITH planes AS (SELECT * FROM (VALUES {_PLANES}) AS p(i, b, plane)),
-    codes AS (SELECT key, i, sum(CASE WHEN list_dot_product(v, CAST(plane AS DOUBLE[])) >= 0
-        THEN 1 << b ELSE 0 END) AS code FROM vecs, planes GROUP BY key, i),
-    pairs AS (SELECT DISTINCT a.key AS query_id, b.key AS key FROM codes a
-        JOIN codes b ON a.i = b.i AND a.code = b.code),
-    scored AS (SELECT query_id, p.key, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS score
-        FROM pairs p JOIN vecs a ON a.key = query_id JOIN vecs b ON b.key = p.key)
-    SELECT query_id, key, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (
-        PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM scored) WHERE rank <= {K}""")
+    WITH planes AS (SELECT * FROM (VALUES {_PLANES}) AS p(b, plane)),
+    size AS (SELECT CAST(greatest(1, least(24, floor(log2(count(*) / 8.0)))) AS INT) AS bits FROM vecs),
+    margins AS (SELECT key, b, list_dot_product(v / sqrt(list_dot_product(v, v)),
+        CAST(plane AS DOUBLE[])) AS m FROM vecs, planes, size WHERE b < bits),
+    codes AS (SELECT key, CAST(sum(CASE WHEN m >= 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS code,
+        list(m * m ORDER BY b) AS cost FROM margins GROUP BY key),
+    flips AS (SELECT p, list_transform(range(0, bits), lambda b: (p >> b) & 1) AS bit
+        FROM (SELECT bits, unnest(range(0, 1 << bits)) AS p FROM size)),
+    ranked AS (SELECT key, xor(code, p) AS bucket, rank() OVER (PARTITION BY key
+        ORDER BY list_dot_product(cost, CAST(bit AS DOUBLE[]))) - 1 AS r FROM codes, flips),
+    scored AS (SELECT a.key AS query_id, b.key AS key,
+        round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS score
+      FROM vecs a JOIN vecs b ON a.key <> b.key),
+    near AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id
+        ORDER BY score DESC, key) AS rank FROM scored WHERE query_id IN (
+          SELECT key FROM vecs ORDER BY md5(key), key LIMIT {_SAMPLE})),
+    tried AS (SELECT r, row_number() OVER (ORDER BY r) AS i, count(*) OVER () AS n FROM near
+        JOIN codes c ON c.key = near.key JOIN ranked k ON k.key = query_id AND k.bucket = c.code
+        WHERE rank <= {K}),
+    enough AS (SELECT min(r) + 1 AS probes FROM tried WHERE i >= ceil({_RECALL} * n))
+    SELECT query_id, key, score, CAST(rank AS INT) AS rank FROM (
+      SELECT s.query_id, s.key, s.score, row_number() OVER (PARTITION BY s.query_id
+          ORDER BY s.score DESC, s.key) AS rank
+      FROM scored s JOIN codes c ON c.key = s.key
+      JOIN ranked k ON k.key = s.query_id AND k.bucket = c.code JOIN enough ON k.r < probes)
+    WHERE rank <= {K}""".replace("v / sqrt(list_dot_product(v, v))",
+                                 "list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))"))
 def _lsh_candidates(spark, d):
     return lsh_candidates(t.vectors(spark, d), _self_queries(spark, d), K, t.DIMENSIONS,
-                          LSH_TABLES, LSH_BITS)
+                          recall=_RECALL, sample=_SAMPLE)
 
 
 def centre(index: DataFrame) -> list[float]:
