@@ -48,7 +48,7 @@ def prepare_batch(spark: SparkSession, entity: str, input_path: str, output_path
     sinks.write_raw_copy(dedup(typed, keys, []), f"{output_path}/raw")
     rows = spark.read.parquet(f"{output_path}/raw")
     chunks = sinks.write_request_chunks(requests(rows, entity), f"{output_path}/chunks",
-                                        stats.n_distinct, chunk_size=chunk_size)
+                                        chunk_size=chunk_size)
     manifest = spark.createDataFrame(
         [(entity, stats.n_distinct, stats.duplicates_removed, chunks, chunk_size, input_path,
           output_path)],

@@ -129,8 +129,7 @@ CHUNK = 500
 
 def _chunks(spark, d) -> tuple[str, int]:
     path = work_dir(spark, "chunks")
-    rows = t.products(spark, d)
-    n = sinks.write_request_chunks(jobs.requests(rows, "products"), path, rows.count(),
+    n = sinks.write_request_chunks(jobs.requests(t.products(spark, d), "products"), path,
                                    chunk_size=CHUNK)
     return path, n
 

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shoplens import fixed
+from shoplens.operators.numbering import numbered
 
 
 def chunk_count(rows: int, chunk_size: int = fixed.CHUNK_SIZE) -> int:
     return max(1, -(-rows // chunk_size))
 
 
-def write_request_chunks(df: DataFrame, path: str, rows: int, key: str = "recordId",
-                         line: str = "line", chunk_size: int = fixed.CHUNK_SIZE) -> int:
-    """One JSON line per record in about `rows / chunk_size` files, none above `chunk_size` lines.
+def write_request_chunks(df: DataFrame, path: str, line: str = "line",
+                         chunk_size: int = fixed.CHUNK_SIZE) -> int:
+    """One JSON line per record in files of exactly `chunk_size` lines; only the last may be shorter.
 
-    Records go to chunks by key hash, so a retried task writes the same chunk.
-    Returns the number of chunks asked for.
+    Records are numbered and a chunk is a range of numbers, so a retried task
+    writes the same chunk. Returns the number of files (one, empty, for no rows).
     """
-    chunks = chunk_count(rows, chunk_size)
-    (df.repartition(chunks, key).select(line)
-       .write.mode("overwrite").option("maxRecordsPerFile", chunk_size).text(path))
+    rows, total = numbered(df.select(F.col(line).alias("value")), "_number", "chunk-lines")
+    chunks = chunk_count(total, chunk_size)
+    chunk = F.floor(F.col("_number") / F.lit(chunk_size)).cast("int")
+    (rows.repartitionById(chunks, chunk).sortWithinPartitions("_number").select("value")
+         .write.mode("overwrite").text(path))
     return chunks
 
 

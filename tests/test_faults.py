@@ -1,9 +1,11 @@
 """Inputs that once gave wrong results."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shoplens.functions import clean, text as tx
 from shoplens.operators import ledger
+from shoplens.operators.numbering import marked, marks, numbered
 from shoplens.plans import jobs
 from shoplens.sources import files, sinks
 
@@ -43,8 +45,27 @@ def test_stale_keys_do_not_complete_a_run(spark):
     assert (row.submitted_chunks, row.complete) == (1, False)
 
 
-def test_no_chunk_is_too_long(spark, tmp_path):
-    df = spark.range(3000).select(F.col("id").cast("string").alias("recordId"), F.lit("x").alias("line"))
-    sinks.write_request_chunks(df, str(tmp_path / "out"), 3000, chunk_size=500)
-    sizes = [len(p.read_text().splitlines()) for p in (tmp_path / "out").glob("part-*")]
-    assert sum(sizes) == 3000 and max(sizes) <= 500
+@pytest.mark.parametrize(("n", "parts"), [(0, 1), (1, 3), (500, 2), (2000, 7), (2001, 5)])
+def test_chunks_are_full_but_for_the_last(spark, tmp_path, n, parts):
+    df = spark.range(0, n, 1, parts).select(F.col("id").cast("string").alias("line"))
+    written = sinks.write_request_chunks(df, str(tmp_path / "out"), chunk_size=500)
+    files_ = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files_) == written == max(1, -(-n // 500))
+    lines = [p.read_text().splitlines() for p in files_]
+    assert all(len(x) == 500 for x in lines[:-1]) and len(lines[-1]) == (n - 1) % 500 + 1 if n else not lines[0]
+    assert sorted(int(x) for chunk in lines for x in chunk) == list(range(n))
+
+
+def test_numbers_are_consecutive(spark):
+    df = spark.range(0, 1000, 1, 6).filter("id % 6 <> 3 and id > 200")
+    rows, total = numbered(df, "n")
+    got = [r.n for r in rows.collect()]
+    assert total == df.count() and sorted(got) == list(range(total))
+
+
+def test_marks_let_all_wanted_keys_through(spark):
+    keys = spark.range(300).selectExpr("cast(id * 7 as string) key").union(spark.createDataFrame([(None,)], "key string"))
+    every = spark.range(5000).selectExpr("cast(id as string) key")
+    left = every.filter(marked(F.col("key"), marks(keys)))
+    assert left.join(keys, "key").count() == 300 and left.count() < 320
+    assert every.filter(marked(F.col("key"), marks(keys.limit(0)))).count() == 0

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import Row, functions as F
 
 from shoplens.operators import joins
-from shoplens.sources.index_store import Index
-from shoplens.streaming.streams import apply_changes
+from shoplens.sources.index_store import Index, WriteConflict, upsert_union
+from shoplens.streaming.streams import NewestChange, apply_changes, stream_index_upsert
 
 RECORD = "key string, vector array<float>, metadata map<string,string>"
 
@@ -52,7 +53,7 @@ def test_append_and_upsert_agree_on_keys(spark, tmp_path):
 
 
 def test_unfinished_write_is_not_seen(spark, index):
-    index._store(records(spark, broken="0"))
+    index._store(records(spark, broken="0"), index.current().parts)
     assert content(index) == {"a": "1", "b": "1"}
 
 
@@ -65,6 +66,92 @@ def test_changes_apply_once(spark, index):
         assert content(index) == {"b": "new", "c": "c"}
 
 
+def test_only_touched_parts_are_written(spark, tmp_path):
+    made = Index(spark, str(tmp_path), "parts", parts=16)
+    made.replace(records(spark, **{f"k{i}": "1" for i in range(200)}), 2)
+    before = set(made.current().folders)
+    made.upsert(records(spark, k7="2"))
+    after = set(made.current().folders)
+    assert len(before) == len(after) == 16 and len(before & after) == 15
+    assert content(made) == {f"k{i}": "2" if i == 7 else "1" for i in range(200)}
+    files = {p: p.stat().st_mtime_ns for f in before & after for p in (tmp_path / "parts" / f).glob("*.parquet")}
+    made.change(records(spark, new="3"), records(spark, k7="", k8="").select("key"))
+    assert all(p.stat().st_mtime_ns == t for p, t in files.items())
+    assert content(made) == {f"k{i}": "1" for i in range(200) if i not in (7, 8)} | {"new": "3"}
+    assert {r.key for r in made.get("k9").collect()} == {"k9"}
+    plan = made.get("k9")._jdf.queryExecution().executedPlan().toString()
+    assert "16 paths" not in plan
+    removed = made.remove_unnamed(keep=1)
+    assert removed > 0 and len(content(made)) == 199 and made.remove_unnamed(keep=1) == 0
+    made.upsert(records(spark, k1="9"))
+    assert content(made)["k1"] == "9"
+
+
+def test_two_writers(spark, tmp_path, index):
+    """A version number belongs to one writer; a failed write gives it back."""
+    with index._writing():
+        with pytest.raises(WriteConflict):
+            Index(spark, str(tmp_path), "things").upsert(records(spark, a="5"))
+    store, claim = index._path("claims/2")[1], index._path("claims/2")[0]
+    store.delete(claim, False)
+    with pytest.raises(Exception):
+        index.upsert(records(spark, a="5").withColumn("metadata", F.raise_error(F.lit("broken")).cast("map<string,string>")))
+    index.upsert(records(spark, a="5"))
+    assert content(index) == {"a": "5", "b": "1"} and index.current().version == 2
+
+
+def test_records_without_a_changed_key_are_not_joined(spark):
+    old, new = records(spark, a="1", b="1"), records(spark, b="2", c="2")
+    got = {r.key: r.metadata["n"] for r in upsert_union(old, new).collect()}
+    assert got == {"a": "1", "b": "2", "c": "2"}
+
+
+def test_late_changes_over_batches(spark, tmp_path):
+    """seq 5, then seq 2 in a later batch, keeps 5; a deleted key stays deleted."""
+    schema = RECORD + ", op string, seq long"
+    source = str(tmp_path / "source")
+    batches = [[("a", [5.0], {"n": "5"}, "update", 5), ("b", [1.0], {"n": "b1"}, "create", 1), ("d", [1.0], {"n": "d"}, "create", 1)],
+               [("a", [2.0], {"n": "2"}, "update", 2), ("b", None, None, "delete", 4), (None, [1.0], {}, "create", 1)],
+               [("b", [3.0], {"n": "b3"}, "update", 3), ("a", [6.0], {"n": "6a"}, "update", 6), ("a", [7.0], {"n": "7"}, "update", 7)],
+               [("a", [7.0], {"n": "7"}, "update", 7), ("c", [1.0], {"n": "c"}, "create", 1)]]
+    for number, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{source}/b={number}")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", True).parquet(source))
+    made = Index(spark, str(tmp_path), "live")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    stream_index_upsert(stream, made, str(tmp_path / "checkpoint")).awaitTermination()
+    assert content(made) == {"a": "7", "c": "c", "d": "d"}
+    assert made.versions().count() == 4
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+
+
+def test_tombstones_are_forgotten():
+    class State:
+        value = None
+        def exists(self): return self.value is not None  # noqa: E704
+        def get(self): return self.value  # noqa: E704
+        def update(self, v): self.value = v  # noqa: E704
+        def clear(self): self.value = None  # noqa: E704
+
+    class Handle:
+        timers = []
+        def getValueState(self, *a): return State()  # noqa: E704
+        def listTimers(self): return iter(self.timers)  # noqa: E704
+        def deleteTimer(self, t): self.timers.remove(t)  # noqa: E704
+        def registerTimer(self, t): self.timers.append(t)  # noqa: E704
+
+    def change(op, seq):
+        return Row(key="k", vector=None, metadata=None, op=op, seq=seq, arrived_ms=1000)
+
+    p, handle = NewestChange(500), Handle()
+    p.init(handle)
+    assert [r.seq for r in p.handleInputRows(("k",), iter([change("delete", 3)]), None)] == [3]
+    assert handle.timers == [1500] and list(p.handleInputRows(("k",), iter([change("update", 2)]), None)) == []
+    list(p.handleExpiredTimer(("k",), None, None))
+    assert [r.seq for r in p.handleInputRows(("k",), iter([change("update", 2)]), None)] == [2]
+
+
 def test_duplicate_keys_in_a_batch(spark, tmp_path):
     made = Index(spark, str(tmp_path), "d")
     made.replace(records(spark, a="1").unionByName(records(spark, a="1")))
