@@ -174,7 +174,7 @@ def replay(pieces: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarr
 
 def encoder(path: str, pattern: str, bound: int = 500_000) -> tuple[ChunkEncoder, MergeTable]:
     """The encoder of this worker for a vocabulary file and a split pattern."""
-    cache = worker_cache()
+    cache = worker_cache("bpe")
     key = ("bpe", path, pattern, bound)
     if key not in cache:
         import regex

@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as this Python process.
+def worker_cache(owner: str) -> dict:
+    """A dictionary of one operator that lives on in this Python process.
 
     Python workers are reused from task to task; loaded vocabularies and the
-    bounded word caches stay in them. Everything in it can be rebuilt.
+    bounded word caches stay in them. Everything in it can be rebuilt, and what
+    another operator left is dropped, so that a worker holds those of one.
     """
     name = "_shoplens_worker_cache"
     module = sys.modules.setdefault(name, types.ModuleType(name))
-    return module.__dict__.setdefault("entries", {})
+    held = module.__dict__.setdefault("entries", {})
+    if set(held) - {owner}:
+        held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+    return held.setdefault(owner, {})
+
+
+def portions_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to about `most`; a larger item is a range of its own."""
+    start = size = 0
+    for i, n in enumerate(sizes):
+        if i > start and size + n > most:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

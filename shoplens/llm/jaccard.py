@@ -24,15 +24,17 @@ with each other: nothing is left out, and copies are not expanded into pairs.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.components import components
-from shoplens.llm.common import mix64, offsets
+from shoplens.llm.common import mix64, offsets, portions_of, worker_cache
 from shoplens.session import materialize
 
 WORDS = 5
@@ -42,6 +44,7 @@ _P_INVERSE = pow(_P, -1, 2 ** 64)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE = mix64((_LOWER + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -54,15 +57,22 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text.
+def _pieces(data: bytes, most: int) -> Iterator[bytes]:
+    """A text in pieces of about `most` bytes, cut before blanks; a longer word stays whole."""
+    start = 0
+    while len(data) - start > most:
+        found = _BLANKS.search(data, start + most)
+        if found is None:
+            break
+        yield data[start:found.start()]
+        start = found.start()
+    yield data[start:]
 
-    Words are runs of other characters than blanks, A-Z in lower case. A text
-    with fewer words than a shingle is one shingle, one without words none.
-    """
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
-    edges = offsets([len(d) + 1 for d in data])
+
+def _words(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of some pieces of text, and where each piece's words start (plus the end)."""
+    raw = np.frombuffer(b" ".join(pieces) + b" ", np.uint8)
+    edges = offsets([len(p) + 1 for p in pieces])
     blank = _BLANK[raw]
     change = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if len(raw) and not blank[0]:
@@ -71,8 +81,27 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(np.where(blank, np.uint64(0), _BYTE[raw]) * _powers(_P, len(raw)), out=sums[1:], dtype=np.uint64)
     hashed = (sums[end] - sums[begin]) * _powers(_P_INVERSE, len(raw))[begin]
-    hashed = mix64(hashed + (end - begin).astype(np.uint64) * _Q)
-    at = np.searchsorted(begin, edges)  # words of each text
+    return mix64(hashed + (end - begin).astype(np.uint64) * _Q), np.searchsorted(begin, edges)
+
+
+def shingle_sets(texts: list[str], words: int = WORDS, most: int = 1 << 18) -> list[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text.
+
+    Words are runs of other characters than blanks, A-Z in lower case. A text
+    with fewer words than a shingle is one shingle, one without words none.
+    Words are hashed in pieces of about `most` bytes, whatever the length of a text.
+    """
+    pieces, owner = [], []
+    for i, t in enumerate(texts):
+        for piece in _pieces(t.encode("utf-8", "surrogatepass"), most):
+            pieces.append(piece)
+            owner.append(i)
+    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for start, stop in portions_of([len(p) + 1 for p in pieces], most):
+        found, starts = _words(pieces[start:stop])
+        hashes.append(found)
+        np.add.at(counts, owner[start:stop], np.diff(starts))
+    hashed, at = np.concatenate(hashes), offsets(counts)  # words of each text
     long = np.zeros(max(0, len(hashed) - words + 1), np.uint64)
     for j in range(words):
         long = long * _Q + hashed[j:j + len(long)]
@@ -116,17 +145,6 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return whole * both >= part * (len(a) + len(b) - both)
 
 
-def _portions(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > chars:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _distinct_sets(doc_ids: list[int], texts: list[str]):
     """The different sets of a portion, each with its smallest document."""
     sets = shingle_sets(texts)
@@ -137,10 +155,12 @@ def _distinct_sets(doc_ids: list[int], texts: list[str]):
     return [(doc_ids[i], sets[i]) for i in first.values()]
 
 
-def _rows(batch: pa.RecordBatch):
-    doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for start, stop in _portions(texts):
-        yield doc_ids[start:stop], texts[start:stop]
+def _rows(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts in portions of about `most` bytes; only one is in Python at a time."""
+    worker_cache("jaccard")
+    for start, stop in portions_of(pc.binary_length(batch.column(1)).to_pylist(), most):
+        some = batch.slice(start, stop - start)
+        yield some.column(0).to_pylist(), some.column(1).to_pylist()
 
 
 def documents_and_digests(docs: DataFrame) -> DataFrame:
@@ -165,8 +185,8 @@ def frequent(docs: DataFrame, least: int = 32, most: int = 1 << 17) -> np.ndarra
     that no portion of the corpus holds twice need not be counted.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [s for doc_ids, texts in _rows(batch) for _, s in _distinct_sets(doc_ids, texts)]
+        for some in (x for batch in batches for x in _rows(batch, 1 << 23)):
+            held = [s for _, s in _distinct_sets(*some)]
             every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
             starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, int)
             counts = np.diff(np.append(starts, len(every)))
@@ -204,7 +224,7 @@ def boundary(sizes: dict[int, int], candidates_per_posting: float, largest: int
     return found
 
 
-def _bucket_count(known: DataFrame, light: int, least: int, most: int = 1 << 21) -> int:
+def _bucket_count(known: DataFrame, light: int, least: int, most: int = 1 << 20) -> int:
     """So many buckets that one gets about `most` postings, and `least` at least."""
     part, whole = THRESHOLD
     n = F.col("n_shingles")
@@ -459,6 +479,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(documents_and_digests(texts), "sets")
     # One row per portion's digest is enough for the smallest id; a group of copies is combined before the shuffle.
     known = rows.where("digest is not null and doc_id is not null")
+    several = known.groupBy("doc_id").agg((F.min("digest") < F.max("digest")).alias("several")).where("several")
+    if not several.isEmpty():
+        return _under_own_names(texts, rows, short)
     first = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "first")
     common = frequent(named)
     sizes = {r.n_shingles: r["count"] for r in known.where("n_shingles <= 100").groupBy(
@@ -491,6 +514,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "component", "rep", "doc_id")).alias("component_id"))
 
 
+def _under_own_names(texts: DataFrame, rows: DataFrame, short: int) -> DataFrame:
+    """The same for ids that have several texts: rows get names of their own, ids come back at the end."""
+    held = materialize(texts.where("doc_id is not null").withColumn("name", F.monotonically_increasing_id()), "texts")
+    found = near_duplicates(held, "name", "text", short).withColumnRenamed("doc_id", "name")
+    found = materialize(held.select("name", "doc_id").join(found, "name"), "named")
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id")).union(
+        rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long")))
+
+
 SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import held_out, mix64, worker_cache
+from shoplens.llm.common import held_out, mix64, portions_of, worker_cache
 
 ORDER = 4
 UNKNOWN = "und"
@@ -26,7 +26,7 @@ UNKNOWN = "und"
 
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter in 16 bits, 0 for all that is no letter."""
-    cache = worker_cache()
+    cache = worker_cache("langid")
     if "letters" not in cache:
         table = np.zeros(0x110000, np.uint16)
         for code in range(0x110000):
@@ -153,7 +153,7 @@ class Scorer:
         """Cross entropy per symbol of each text under each language, and its letters."""
         out = np.zeros((len(texts), len(self.languages)))
         letters = np.zeros(len(texts), np.int64)
-        for start, stop in _portions(texts):
+        for start, stop in portions_of([len(t) for t in texts], 1 << 18):
             seq, starts, letters[start:stop] = symbols(texts[start:stop])
             sums = np.zeros((stop - start, len(self.languages)))
             piece = 1 << 19  # places at a time, so that a very long text needs no more memory
@@ -171,17 +171,6 @@ class Scorer:
         return out, letters
 
 
-def _portions(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > chars:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _platt(lead: np.ndarray, right: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a logistic curve, with smoothed targets; the slope is positive."""
     good, bad = right.sum(), (~right).sum()
@@ -227,9 +216,12 @@ def train(docs: DataFrame, sample_docs: int = 500, spare_share: int = 5) -> Clas
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()
                         & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("place", place).where(
-        F.col("place") <= sample_docs).select("doc_id", F.col("place") % spare_share == 0)
+    # First the best of each share of a language, then of those: no task gets a language's rows of all others.
+    chosen = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("share"))
+    for keys in (["lang", "share"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= sample_docs)
+    chosen = chosen.select("doc_id", F.col("place") % spare_share == 0)
     chosen = chosen.toDF("doc_id", "spare").dropDuplicates(["doc_id"])
     # at most sample_docs ids per language
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")

@@ -202,7 +202,7 @@ def encoder(path: str, word_ends: bool = False, bound: int = 500_000) -> RankEnc
     `word_ends`: the vocabulary drops white space and marks ends of words;
     otherwise it is byte-level and keeps every byte.
     """
-    cache = worker_cache()
+    cache = worker_cache("library")
     key = ("library", path, word_ends, bound)
     if key not in cache:
         pieces = _Pieces(path, word_ends)

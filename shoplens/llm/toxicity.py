@@ -128,7 +128,7 @@ class Lexicon:
 
     def finder(self):
         """Finds texts in which anything of the lexicon may stand; built once per worker."""
-        cache, key = worker_cache(), ("toxicity", tuple(sorted(self.stems)))
+        cache, key = worker_cache("toxicity"), ("toxicity", tuple(sorted(self.stems)))
         if key not in cache:
             import ahocorasick
             found = ahocorasick.Automaton()

@@ -19,6 +19,7 @@ import corpus_pipeline
 from shoplens.llm import (bpe, components, exact_dedup, jaccard, langid, packing, pii, repeats, token_file,
                           topk, toxicity)
 from shoplens.llm import library as fast
+from shoplens.llm.common import worker_cache
 from shoplens.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -274,6 +275,33 @@ def test_jaccard_lists_are_cut_per_portion(spark):
     assert got == groups(rows)
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    """(5, A) and (9, A') link although 5 also has the text B of 3; B does not join them."""
+    rng = np.random.default_rng(9)
+    a, b = (list(rng.choice([f"w{i}" for i in range(999)], 60)) for _ in range(2))
+    near = a[:-2] + ["x", "y"]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, " ".join(b)), (9, " ".join(near)), (7, " ".join(near)), (None, " ".join(a)), (8, "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, name int")
+    got = [tuple(r) for r in jaccard.near_duplicates(df).collect()]
+    assert sorted(got, key=repr) == sorted([(5, 56, 5), (5, 56, 3), (3, 56, 3), (9, 56, 5), (7, 56, 5), (None, 56, None), (8, 0, 8)], key=repr)
+
+
+def test_shingles_do_not_depend_on_pieces():
+    """Long texts are hashed piece by piece; a word longer than a piece stays whole."""
+    rng = np.random.default_rng(8)
+    texts = ["", " ", "x" * 300, "a b", " ".join(rng.choice(["é", "B", "word", "\n", "y" * 90], 400)), " a\tb c d e f "]
+    whole = jaccard.shingle_sets(texts)
+    for most in (1, 16, 100):
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, jaccard.shingle_sets(texts, most=most)))
+    assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
+
+
+def test_worker_cache_keeps_one_operator():
+    worker_cache("one")["a"] = 1
+    assert worker_cache("one") == {"a": 1}
+    assert worker_cache("two") == {} and worker_cache("one") == {}
+
+
 def test_jaccard_of_odd_rows(odd, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(odd).collect()}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == got[4] == (2, 3) and got[None][1] is None
