@@ -182,17 +182,24 @@ def frequent(docs: DataFrame, least: int = 32, most: int = 1 << 17) -> np.ndarra
 
     This only orders shingles, so it decides how long the lists get and never
     which documents link: at most `most` are sent to the tasks, and shingles
-    that no portion of the corpus holds twice need not be counted.
+    that a task has not seen shortly before need not be counted.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in (x for batch in batches for x in _rows(batch, 1 << 23)):
+        seen, marked = np.zeros(1 << 25, bool), 0
+        for some in (x for batch in batches for x in _rows(batch, 1 << 20)):
             held = [s for _, s in _distinct_sets(*some)]
             every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
             starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, int)
             counts = np.diff(np.append(starts, len(every)))
-            twice = counts > 1
+            every = every[starts]
+            place = (every >> np.uint64(39)).astype(np.int64)
+            again = seen[place] | (counts > 1)
+            if marked > 1 << 22:
+                seen[:], marked = False, 0
+            seen[place] = True
+            marked += len(place)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(every[starts[twice]].view(np.int64)), pa.array(counts[twice].astype(np.int64))],
+                [pa.array(every[again].view(np.int64)), pa.array(counts[again].astype(np.int64))],
                 ["shingle", "n"])
 
     counted = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -224,7 +231,7 @@ def boundary(sizes: dict[int, int], candidates_per_posting: float, largest: int
     return found
 
 
-def _bucket_count(known: DataFrame, light: int, least: int, most: int = 1 << 20) -> int:
+def _bucket_count(known: DataFrame, light: int, least: int, most: int = 1 << 18) -> int:
     """So many buckets that one gets about `most` postings, and `least` at least."""
     part, whole = THRESHOLD
     n = F.col("n_shingles")
