@@ -175,4 +175,5 @@ ALERT_RULES = [
     ("latency_p99_ms", ">", 10000.0, 5, "P2"),
     ("block_rate", ">", 0.05, 15, "P3"),
     ("cache_hit_rate", "<", 0.30, 60, "P3"),
+    ("prompt_fallback_rate", ">", 0.99, 5, "P2"),
 ]

@@ -108,45 +108,46 @@ def metadata_byte_cap(m: Column, cap: int = fixed.FILTERABLE_BYTE_CAP,
                       exempt: list[str] = fixed.NON_FILTERABLE_KEYS) -> Column:
     """Trim the longest counted field, 200 characters a round, until the map fits.
 
-    A fold over the round numbers: each round trims only the first of the
-    longest fields. JSON escapes single characters, so the size drops by the
-    escaped size of the cut piece and the map is not serialized again. Maps
-    under the cap never enter the fold.
+    A field of n characters can be cut at n, n - 200, n - 400 ... characters, so
+    the order of all cuts is that of these numbers, the first field first where
+    they are equal. The pieces are measured in that order until what is left
+    fits. JSON escapes single characters, so the size drops by the escaped size
+    of the piece. Maps under the cap are not looked at further.
     """
-    counted = F.struct(
-        F.transform(F.map_entries(m), lambda e: F.struct(
-            e["key"].alias("key"), e["value"].alias("value"),
-            F.length(e["value"]).alias("keep"))).alias("entries"),
-        filterable_bytes(m, exempt).alias("bytes"))
-
-    def longest(entries: Column) -> Column:
-        """Length and place of the first of the longest fields that may be cut."""
-        return F.array_max(F.transform(entries, lambda e, i: F.when(
-            ~e["key"].isin(exempt) & (e["keep"] > fixed.CAP_FLOOR),
-            F.struct(e["keep"].alias("keep"), (-i).alias("place")))))
-
-    def cut(state: Column, top: Column) -> Column:
-        keep = F.greatest(top["keep"] - fixed.CAP_STEP, F.lit(fixed.CAP_FLOOR))
-        piece = F.substring(F.get(state["entries"], -top["place"])["value"], keep + 1,
-                            top["keep"] - keep)
-        gone = F.octet_length(F.to_json(F.array(piece))) - F.lit(len('[""]'))
-        entries = F.transform(state["entries"], lambda e, i: F.struct(
-            e["key"].alias("key"), e["value"].alias("value"),
-            F.when(i == -top["place"], keep).otherwise(e["keep"]).alias("keep")))
-        return F.struct(entries.alias("entries"), (state["bytes"] - gone).alias("bytes"))
-
-    def one_round(state: Column, _: Column) -> Column:
-        return F.when(state["bytes"] <= cap, state).otherwise(
-            let(longest(state["entries"]),
-                lambda top: F.when(top.isNull(), state).otherwise(cut(state, top))))
-
-    def finish(state: Column) -> Column:
-        return F.map_from_entries(F.transform(state["entries"], lambda e: F.struct(
-            e["key"].alias("key"), F.substring(e["value"], F.lit(1), e["keep"]).alias("value"))))
-
-    rounds = F.sequence(F.lit(1), F.lit(fixed.CAP_ROUNDS))
-    return let(counted, lambda start: F.when(start["bytes"] <= cap, m).otherwise(
-        F.aggregate(rounds, start, one_round, finish)))
+    step, floor = fixed.CAP_STEP, fixed.CAP_FLOOR
+
+    def cuts(entries: Column) -> Column:
+        """(length before the cut, minus the field's place) of the first rounds, in order."""
+        def of_field(e: Column, i: Column) -> Column:
+            n = F.length(e["value"])
+            lengths = F.when(~e["key"].isin(exempt) & (n > floor), F.slice(
+                F.sequence(n, F.lit(floor + 1), F.lit(-step)), 1, fixed.CAP_ROUNDS))
+            return F.coalesce(F.transform(lengths, lambda k: F.struct(k.alias("length"), (-i).alias("place"))),
+                              F.array().cast("array<struct<length:int,place:int>>"))
+        every = F.flatten(F.transform(entries, of_field))
+        return F.slice(F.reverse(F.array_sort(every)), 1, fixed.CAP_ROUNDS)
+
+    def piece_bytes(entries: Column, cut: Column) -> Column:
+        keep = F.greatest(cut["length"] - step, F.lit(floor))
+        piece = F.substring(F.get(entries, -cut["place"])["value"], keep + 1, cut["length"] - keep)
+        return F.octet_length(F.to_json(F.array(piece))) - F.lit(len('[""]'))
+
+    def needed(entries: Column, order: Column) -> Column:
+        """How many of the cuts it takes."""
+        start = F.struct(filterable_bytes(m, exempt).alias("bytes"), F.lit(0).alias("n"))
+        return F.aggregate(order, start, lambda held, cut: F.when(held["bytes"] <= cap, held).otherwise(F.struct(
+            (held["bytes"] - piece_bytes(entries, cut)).alias("bytes"), (held["n"] + 1).alias("n"))))["n"]
+
+    def trimmed(entries: Column, made: Column) -> Column:
+        def value(e: Column, i: Column) -> Column:
+            rounds = F.size(F.filter(made, lambda cut: cut["place"] == -i))
+            keep = F.greatest(F.length(e["value"]) - rounds * step, F.lit(floor))
+            return F.struct(e["key"], F.when(rounds > 0, F.substring(e["value"], F.lit(1), keep)).otherwise(e["value"]))
+        return F.map_from_entries(F.transform(entries, value))
+
+    fitted = let(F.map_entries(m), lambda entries: let(cuts(entries), lambda order: let(
+        needed(entries, order), lambda n: trimmed(entries, F.slice(order, F.lit(1), n)))))
+    return F.when(filterable_bytes(m, exempt) <= cap, m).otherwise(fitted)
 
 
 def typed_profile(m: Column, key: Column) -> Column:

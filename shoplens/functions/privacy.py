@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from shoplens import fixed
 
@@ -104,19 +106,53 @@ def pii_mask(df: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_digit")
 
 
+def normal_words(text: Column) -> Column:
+    """Letters and digits of all scripts in lower case, accents apart from their letters joined, single spaces between."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", " "))
+
+
+_PHRASES = "array<struct<phrase:string,at:int,topic:string>>"
+
+
+def phrase_table(spark: SparkSession, topics: dict[str, list[str]]) -> tuple[Column, int, list[int]]:
+    """The phrases by hash, as a constant; its number of places; the lengths of phrases in words."""
+    rows = [(topic, phrase, at) for at, (topic, phrases) in enumerate(topics.items()) for phrase in phrases]
+    places = 1 << max(4, (2 * len(rows)).bit_length())
+    given = spark.createDataFrame(rows, "topic string, phrase string, at int").withColumn("phrase", normal_words(F.col("phrase")))
+    given = given.filter("phrase <> ''").withColumns({
+        "place": F.pmod(F.xxhash64("phrase"), F.lit(places)).cast("int"), "words": F.size(F.split("phrase", " "))})
+    table, lengths = [[] for _ in range(places)], set()
+    for r in given.collect():       # the caller's own list
+        table[r.place].append({"phrase": r.phrase, "at": r["at"], "topic": r.topic})
+        lengths.add(r.words)
+    return F.from_json(F.lit(json.dumps(table)), f"array<{_PHRASES}>"), places, sorted(lengths)
+
+
 def denied_topic_flags(df: DataFrame, topics: dict[str, list[str]] | None = None,
                        text: str = "text") -> DataFrame:
-    """Add `topics`: names of the topics one of whose phrases occurs in the text.
+    """Add `topics`: names of the topics one of whose phrases occurs in the text, in the order of `topics`.
 
-    Phrases match as whole words, whatever the case and spacing.
+    Texts and phrases are brought to the same form; a phrase matches as whole
+    words, whatever case, spacing and punctuation. The word groups of a text, of
+    the lengths that phrases have, are looked up in a hash table of the phrases,
+    so the cost of a text does not depend on their number.
     """
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "),
-                     F.lit(" "))
-    rows = df.withColumn("_words", words)
-    named = []
-    for name, phrases in (topics or fixed.TOPIC_TERMS).items():
-        hit = F.lit(False)
-        for phrase in phrases:
-            hit = hit | F.contains(F.col("_words"), F.lit(f" {phrase.lower()} "))
-        named.append(F.when(hit, F.lit(name)))
-    return rows.withColumn("topics", F.concat_ws(",", *named)).drop("_words")
+    topics = fixed.TOPIC_TERMS if topics is None else topics
+    table, places, lengths = phrase_table(df.sparkSession, topics)
+    words = F.split(normal_words(F.coalesce(F.col(text), F.lit(""))), " ")
+
+    def found(words: Column, n: int) -> Column:
+        """Phrases of n words in the text."""
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
+        groups = words if n == 1 else F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        hits = F.transform(F.array_distinct(groups), lambda g: F.filter(
+            F.get(table, F.pmod(F.xxhash64(g), F.lit(places)).cast("int")), lambda p: p["phrase"] == g))
+        return F.coalesce(F.flatten(F.filter(hits, lambda h: F.size(h) > 0)),
+                          F.array().cast(_PHRASES))
+
+    def named(words: Column) -> Column:
+        hits = F.concat(*[found(words, n) for n in lengths]) if lengths else F.array().cast(_PHRASES)
+        once = F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.struct(h["at"], h["topic"]))))
+        return F.array_join(F.transform(once, lambda h: h["topic"]), ",")
+
+    return df.withColumn("topics", F.get(F.transform(F.array(words), named), F.lit(0)))

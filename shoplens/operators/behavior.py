@@ -114,8 +114,24 @@ def trending_items(events: DataFrame, as_of: int, days: int, k: int) -> DataFram
     return item_interest(recent, ["itemId"]).orderBy(F.desc("interest"), "itemId").limit(k)
 
 
-def distinct_customers_per_item(events: DataFrame, approximate: bool = False) -> DataFrame:
-    """Users reached per item. The exact form shuffles distinct pairs, not events."""
-    if approximate:
-        return events.groupBy("itemId").agg(F.approx_count_distinct("userId").alias("customers"))
+def distinct_customers_per_item(events: DataFrame) -> DataFrame:
+    """Users reached per item. Distinct pairs are shuffled, not events."""
     return events.groupBy("itemId").agg(F.count_distinct("userId").alias("customers"))
+
+
+def reach_sketches(events: DataFrame, size: int = 14, column: str = "timestamp") -> DataFrame:
+    """A mergeable HyperLogLog sketch of the users per item and day, to be stored.
+
+    `size`: base-2 logarithm of the registers; the standard error is 1.04 / sqrt(2**size).
+    """
+    day = F.floor(F.col(column) / F.lit(86400)).cast("int").alias("day")
+    return events.groupBy("itemId", day).agg(F.hll_sketch_agg("userId", size).alias("users"))
+
+
+def reach(sketches: DataFrame, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
+    """Users reached per item in any period, from stored sketches; events are not read again."""
+    if first_day is not None:
+        sketches = sketches.filter(F.col("day") >= first_day)
+    if last_day is not None:
+        sketches = sketches.filter(F.col("day") <= last_day)
+    return sketches.groupBy("itemId").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("customers"))

@@ -5,11 +5,13 @@ Log rows are `(ts timestamp, line string)`.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shoplens import fixed
+from shoplens.session import materialize
 
 # Markers of the log lines.
 TOOL = r"\[envelope\] tool=([a-z_]+)"
@@ -19,9 +21,11 @@ CACHE = r"\[embed-cache\] hits=([0-9]+) misses=([0-9]+)"
 BLOCKED = "[guardrail] Output blocked"
 FACETS_LIVE = "[catalog-facets] Loaded from"
 FACETS_FALLBACK = "using fallback"
+PROMPTS_LIVE = r"\[prompts\] Loaded [0-9]+ sections"
+PROMPTS_FALLBACK = "[prompt-loader] DDB read failed"
 
 
-def parse_log_lines(lines: DataFrame) -> DataFrame:
+def parse_log_lines(lines: DataFrame, process: str | None = None) -> DataFrame:
     """Fields of each line; absent ones are null."""
     def number(marker: str, pattern: str, group: int = 1) -> Column:
         # The marker test spares lines of other kinds the regular expression.
@@ -32,7 +36,7 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
         return F.contains(F.col("line"), F.lit(text))
 
     return lines.select(
-        "ts",
+        "ts", (F.col(process).cast("string") if process else F.lit("")).alias("process"),
         F.when(has("tool="), F.nullif(F.regexp_extract("line", TOOL, 1), F.lit(""))).alias("tool"),
         number("responseTime=", LATENCY).alias("latency_ms"),
         number("status=", STATUS).alias("status"),
@@ -40,50 +44,86 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
         number("hits=", CACHE, 2).alias("cache_misses"),
         has(BLOCKED).alias("is_blocked"),
         has(FACETS_LIVE).alias("facets_live"),
-        has(FACETS_FALLBACK).alias("facets_fallback"))
+        has(FACETS_FALLBACK).alias("facets_fallback"),
+        F.rlike("line", F.lit(PROMPTS_LIVE)).alias("prompts_live"),
+        has(PROMPTS_FALLBACK).alias("prompts_fallback"))
 
 
-def log_metrics(lines: DataFrame, minutes: int) -> DataFrame:
-    """Counts, rates and latency percentiles per time window.
+def log_sketches(lines: DataFrame, minutes: int, k: int = 4096) -> DataFrame:
+    """Mergeable metrics per small window: counts, latency sketches, counter increments.
 
-    Cache lines carry running totals, so a window's rate is taken from its
-    highest ones. Percentiles merge small sketches, never all latencies.
+    One pass of the log. Latencies go into KLL sketches, exact up to about `k`
+    values and within about 1/k in rank beyond. Cache lines carry running totals
+    of a process (column `process`, if there is one), so a window's share is the
+    rise of its largest totals over the window before; a total that falls is a
+    restart. The first window of a process counts from its own smallest totals.
     """
-    latency = F.col("latency_ms")
-    rows = parse_log_lines(lines).groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(
+    process = "process" if "process" in lines.columns else None
+    rows = parse_log_lines(lines, process).withColumn(
+        "window_start", F.window("ts", f"{minutes} minutes")["start"])
+    totals = F.struct("cache_hits", "cache_misses")
+    caching = F.col("cache_hits").isNotNull() & F.col("cache_misses").isNotNull()
+    per_process = rows.groupBy("window_start", "process").agg(
         F.count("latency_ms").alias("requests"),
         F.count("tool").alias("tool_calls"),
-        F.count_if(F.col("is_blocked")).alias("blocked"),
-        F.count_if(F.col("facets_live")).alias("facet_loads"),
-        F.count_if(F.col("facets_fallback")).alias("facet_fallbacks"),
+        *[F.count_if(F.col(name)).alias(metric) for name, metric in (
+            ("is_blocked", "blocked"), ("facets_live", "facet_loads"), ("facets_fallback", "facet_fallbacks"),
+            ("prompts_live", "prompt_loads"), ("prompts_fallback", "prompt_fallbacks"))],
         F.count_if(F.col("status") >= 500).alias("errors"),
-        F.max("cache_hits").alias("hits"), F.max("cache_misses").alias("misses"),
-        *[F.percentile_approx(latency, q, 10000).alias(f"latency_p{int(q * 100)}_ms")
-          for q in (0.5, 0.95, 0.99)])
+        F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), k).alias("latency"),
+        F.min(F.when(caching, totals)).alias("low"), F.max(F.when(caching, totals)).alias("high"))
+    by = Window.partitionBy("process").orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last("high", ignorenulls=True).over(by)
+
+    def rise(total: str) -> Column:
+        before = F.coalesce(F.col("last")[total], F.col("low")[total])
+        now = F.col("high")[total]
+        return F.coalesce(F.when(now >= before, now - before).otherwise(now), F.lit(0))
+
+    return per_process.withColumn("last", last).select(
+        "*", rise("cache_hits").alias("hits"), rise("cache_misses").alias("misses")).drop("low", "high", "last")
+
+
+COUNTS = ["requests", "tool_calls", "blocked", "facet_loads", "facet_fallbacks", "prompt_loads",
+          "prompt_fallbacks", "errors", "hits", "misses"]
+
+
+def roll_up(sketches: DataFrame, minutes: int) -> DataFrame:
+    """Metrics per window of any length that the small windows add up to."""
+    rows = sketches.groupBy(F.window("window_start", f"{minutes} minutes").alias("w")).agg(
+        *[F.sum(c).alias(c) for c in COUNTS], F.kll_merge_agg_double("latency").alias("latency"))
 
     def rate(part: Column, whole: Column) -> Column:
         return F.round(F.when(whole > 0, part / whole), 6)
 
     requests = F.col("requests")
     return rows.select(
-        F.col("w.start").alias("window_start"), F.lit(minutes).alias("minutes"),
-        "requests", "tool_calls", "blocked", "facet_loads", "facet_fallbacks", "errors",
-        "latency_p50_ms", "latency_p95_ms", "latency_p99_ms",
+        F.col("w.start").alias("window_start"), F.lit(minutes).alias("minutes"), *COUNTS[:-2],
+        *[F.when(requests > 0, F.kll_sketch_get_quantile_double("latency", F.lit(q))).cast("long").alias(
+            f"latency_p{int(q * 100)}_ms") for q in (0.5, 0.95, 0.99)],
         rate(F.col("errors"), requests).alias("error_rate"),
         rate(F.col("blocked"), requests).alias("block_rate"),
+        rate(F.col("prompt_fallbacks"), F.col("prompt_loads") + F.col("prompt_fallbacks")).alias("prompt_fallback_rate"),
         rate(F.col("hits"), F.col("hits") + F.col("misses")).alias("cache_hit_rate"))
 
 
+def log_metrics(lines: DataFrame, minutes: int) -> DataFrame:
+    """Counts, rates and latency percentiles per time window."""
+    return roll_up(log_sketches(lines, minutes), minutes)
+
+
 def tool_counts(lines: DataFrame) -> DataFrame:
     return (parse_log_lines(lines).filter(F.col("tool").isNotNull())
             .groupBy("tool").agg(F.count("*").alias("calls")))
 
 
 def alert_rules(lines: DataFrame, rules: list[tuple] = fixed.ALERT_RULES) -> DataFrame:
-    """Windows whose metric breaks its threshold, one pass of the log per window length."""
+    """Windows whose metric breaks its threshold, from one pass of the log for all window lengths."""
+    lengths = sorted({rule[3] for rule in rules})
+    sketches = materialize(log_sketches(lines, math.gcd(*lengths)), "log-sketches")
     fired = []
-    for minutes in sorted({rule[3] for rule in rules}):
-        metrics = log_metrics(lines, minutes)
+    for minutes in lengths:
+        metrics = roll_up(sketches, minutes)
         breaks = []
         for metric, sign, threshold, _, severity in (r for r in rules if r[3] == minutes):
             value = F.col(metric).cast("double")

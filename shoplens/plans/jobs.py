@@ -10,6 +10,7 @@ from shoplens.operators import recommend as rec
 from shoplens.operators.dedup import dedup, dedup_stats
 from shoplens.operators.joins import enrich_vectors, valid_embeddings
 from shoplens.operators.neighbors import grouped_knn, knn_join
+from shoplens.operators.numbering import marked, marks
 from shoplens.operators.vectors import Embedder, embed_texts, pool_size
 from shoplens.session import materialize
 from shoplens.sources import files, sinks
@@ -90,8 +91,11 @@ def _hits(index: DataFrame, asked: DataFrame, k: int, dimensions: int,
     """Nearest keys with metadata per distinct normalized text `_norm` of `asked`."""
     distinct = asked.select(F.col("_norm").alias("query_id")).distinct()
     vectors = embed_texts(distinct, "query_id", dimensions, embedder, distinct=False)
-    hits = knn_join(index, vectors, k, dimensions)
-    return hits.join(index.select(F.col("key").cast("string").alias("key"), "metadata"), "key")
+    hits = materialize(knn_join(index, vectors, k, dimensions), "hits")
+    # Of the index only records that may be among the winners are moved.
+    known = index.select(F.col("key").cast("string").alias("key"), "metadata").filter(
+        marked(F.col("key"), marks(hits)))
+    return hits.join(known, "key")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, dimensions: int,

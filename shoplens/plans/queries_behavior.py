@@ -10,6 +10,7 @@ from shoplens.operators import behavior as bh, customers as cu, orders as od, se
 from shoplens.operators.joins import fk_check
 from shoplens.plans import sql_parts as sp, tables as t
 from shoplens.plans.registry import query
+from shoplens.session import work_dir
 
 
 # --- events -----------------------------------------------------------------
@@ -117,6 +118,21 @@ def _distinct_customers_per_item(spark, d):
     return bh.distinct_customers_per_item(t.interactions(spark, d))
 
 
+@query("item_reach", f"""
+    SELECT itemId, count(DISTINCT userId) AS customers, true AS close_to_exact FROM inter
+    WHERE "timestamp" // 86400 >= {t.AS_OF} // 86400 - 14 GROUP BY itemId""")
+def _item_reach(spark, d):
+    """Reach of two weeks from daily sketches, held against the exact count."""
+    path, rows = work_dir(spark, "reach"), t.interactions(spark, d)
+    bh.reach_sketches(rows).write.parquet(path)
+    first = t.AS_OF // 86400 - 14
+    found = bh.reach(spark.read.parquet(path), first).withColumnRenamed("customers", "estimate")
+    exact = bh.distinct_customers_per_item(rows.filter(F.floor(F.col("timestamp") / 86400) >= first))
+    near = F.abs(F.col("estimate") - F.col("customers")) <= F.greatest(F.lit(1), F.col("customers") * 0.04)
+    return exact.join(found, "itemId", "left").select(
+        "itemId", "customers", F.coalesce(near, F.lit(False)).alias("close_to_exact"))
+
+
 @query("fk_check", """
     SELECT 'l_partkey' AS "column", CAST(l_partkey AS VARCHAR) AS value, count(*) AS n_rows
     FROM lineitem WHERE l_partkey NOT IN (SELECT vec_id FROM embeddings) GROUP BY ALL

@@ -767,12 +767,18 @@ def _pii_mask(spark, d):
         "has_routing")
 
 
-_TOPICS = {"Places": ["in the", "of that"], "Acts": ["is", "des", "und die"], "None": ["election"]}
-_WORDS = "' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' '"
+_TOPICS = {"Places": ["in the", "of  That"], "Acts": ["is", "des", "und-die"], "Accents": ["ación", "für die"],
+           "None": ["election"]}
+_WORDS = r"' ' || regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', ' ', 'g') || ' '"
+
+
+def _plain(phrase: str) -> str:
+    return " ".join(phrase.lower().replace("-", " ").split())
+
 
 
 @query("denied_topic_flags", "SELECT doc_id, concat_ws(',', " + ", ".join(
-    "CASE WHEN " + " OR ".join(f"contains({_WORDS}, ' {p} ')" for p in phrases)
+    "CASE WHEN " + " OR ".join(f"contains({_WORDS}, ' {_plain(p)} ')" for p in phrases)
     + f" THEN '{name}' END" for name, phrases in _TOPICS.items()) + ") AS topics FROM documents")
 def _denied_topic_flags(spark, d):
     return privacy.denied_topic_flags(t.table(spark, d, "documents"), _TOPICS).select(

@@ -68,26 +68,39 @@ def _publishable_runs(spark, d):
 
 # --- logs -------------------------------------------------------------------
 
-def _metrics_sql(minutes: int) -> str:
-    return f"""SELECT epoch_us(ts) // {minutes * 60_000_000} * {minutes * 60} AS window_start,
-      {minutes} AS minutes, count(lat) AS requests,
+def _metrics_sql(minutes: int, base: int) -> str:
+    """Windows of `minutes`; cache totals are differenced per process and window of `base` minutes."""
+    big, small = (f"epoch_us(ts) // {m * 60_000_000} * {m * 60}" for m in (minutes, base))
+    return f"""SELECT *, {minutes} AS minutes, round(errors / nullif(requests, 0), 6) AS error_rate,
+      round(blocked / nullif(requests, 0), 6) AS block_rate,
+      round(prompt_fallbacks / nullif(prompt_loads + prompt_fallbacks, 0), 6) AS prompt_fallback_rate,
+      (SELECT round(sum(h) / nullif(sum(h) + sum(m), 0), 6) FROM (
+        SELECT s // {minutes * 60} * {minutes * 60} AS t, CASE WHEN hi >= hb THEN hi - hb ELSE hi END AS h,
+          CASE WHEN mi >= mb THEN mi - mb ELSE mi END AS m
+        FROM (SELECT *, coalesce(lag(hi) OVER w, lo) AS hb, coalesce(lag(mi) OVER w, ml) AS mb FROM (
+            SELECT {small} AS s, process, min(p).hits AS lo, max(p).hits AS hi,
+              min(p).misses AS ml, max(p).misses AS mi
+            FROM (SELECT *, {{'hits': hits, 'misses': misses}} AS p FROM parsed) WHERE hits IS NOT NULL GROUP BY 1, 2)
+          WINDOW w AS (PARTITION BY process ORDER BY s))) WHERE t = window_start) AS cache_hit_rate
+    FROM (SELECT {big} AS window_start, count(lat) AS requests,
       count(*) FILTER (line LIKE '%tool=%') AS tool_calls,
       count(*) FILTER (line LIKE '%Output blocked%') AS blocked,
-      count(*) FILTER (line LIKE '%Loaded from%') AS facet_loads, CAST(0 AS BIGINT)
-        AS facet_fallbacks, count(*) FILTER (line LIKE '%status=503%') AS errors,
+      count(*) FILTER (line LIKE '%Loaded from%') AS facet_loads,
+      count(*) FILTER (line LIKE '%using fallback%') AS facet_fallbacks,
+      count(*) FILTER (line LIKE '%[prompts] Loaded%') AS prompt_loads,
+      count(*) FILTER (line LIKE '%DDB read failed%') AS prompt_fallbacks,
+      count(*) FILTER (line LIKE '%status=503%') AS errors,
       quantile_disc(lat, 0.5) AS latency_p50_ms, quantile_disc(lat, 0.95) AS latency_p95_ms,
-      quantile_disc(lat, 0.99) AS latency_p99_ms,
-      round(count(*) FILTER (line LIKE '%status=503%') / nullif(count(lat), 0), 6) AS error_rate,
-      round(count(*) FILTER (line LIKE '%Output blocked%') / nullif(count(lat), 0), 6)
-        AS block_rate,
-      round(max(hits) / nullif(max(hits) + max(misses), 0), 6) AS cache_hit_rate
-    FROM (SELECT ts, line, TRY_CAST(regexp_extract(line, 'responseTime=([0-9]+)', 1) AS BIGINT)
-        AS lat, TRY_CAST(regexp_extract(line, 'hits=([0-9]+)', 1) AS BIGINT) AS hits,
-        TRY_CAST(regexp_extract(line, 'misses=([0-9]+)', 1) AS BIGINT) AS misses FROM logs)
-    GROUP BY 1"""
-
-
-@query("log_metrics", _metrics_sql(360))
+      quantile_disc(lat, 0.99) AS latency_p99_ms FROM parsed GROUP BY 1)"""
+
+
+_PARSED = """parsed AS (SELECT ts, process, line,
+    TRY_CAST(regexp_extract(line, 'responseTime=([0-9]+)', 1) AS BIGINT) AS lat,
+    TRY_CAST(regexp_extract(line, 'hits=([0-9]+)', 1) AS BIGINT) AS hits,
+    TRY_CAST(regexp_extract(line, 'misses=([0-9]+)', 1) AS BIGINT) AS misses FROM logs)"""
+
+
+@query("log_metrics", f"WITH {_PARSED} {_metrics_sql(360, 360)}")
 def _log_metrics(spark, d):
     return lo.log_metrics(t.log_lines(spark, d), 360).withColumn(
         "window_start", F.col("window_start").cast("long"))
@@ -99,10 +112,10 @@ def _tool_counts(spark, d):
     return lo.tool_counts(t.log_lines(spark, d))
 
 
-@query("alert_rules", " UNION ALL ".join(
+@query("alert_rules", f"WITH {_PARSED} " + " UNION ALL ".join(
     f"""SELECT window_start, minutes, '{m}' AS metric, CAST({m} AS DOUBLE) AS value,
     CAST({limit} AS DOUBLE) AS threshold, '{severity}' AS severity
-    FROM ({_metrics_sql(minutes)}) WHERE {m} {sign} {limit}"""
+    FROM ({_metrics_sql(minutes, 5)}) WHERE {m} {sign} {limit}"""
     for m, sign, limit, minutes, severity in fixed.ALERT_RULES))
 def _alert_rules(spark, d):
     return lo.alert_rules(t.log_lines(spark, d)).withColumn(

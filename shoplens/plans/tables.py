@@ -145,12 +145,15 @@ def result_lines(spark, d) -> DataFrame:
 def log_lines(spark, d) -> DataFrame:
     """Operational log lines, one per event."""
     return table(spark, d, "events").selectExpr(
-        "cast(ts as timestamp) ts", """case event_type
+        "cast(ts as timestamp) ts", "cast(user_id % 5 as string) process", """case event_type
         when 'view' then '[envelope] tool=search_products'
         when 'click' then case when event_id % 2 = 0 then '[envelope] tool=recommend_products'
+            when event_id % 10 = 1 then '[catalog-facets] index empty, using fallback'
             else '[catalog-facets] Loaded from 1000 vectors' end
-        when 'error' then '[guardrail] Output blocked'
-        when 'signup' then concat('[embed-cache] hits=', event_id, ' misses=', event_id + 50)
+        when 'error' then case event_id % 3 when 0 then '[prompts] Loaded 12 sections'
+            when 1 then '[prompt-loader] DDB read failed (Timeout): falling back'
+            else '[guardrail] Output blocked' end
+        when 'signup' then concat('[embed-cache] hits=', event_id % 2500, ' misses=', event_id % 2500 * (1 + user_id % 5))
         else concat('request completed status=',
             case when event_id % 50 = 0 then 503 else 200 end,
             ' responseTime=', cast(floor(value * 100) as bigint)) end line""")
@@ -277,12 +280,15 @@ SQL = {
         SELECT CAST(vec_id AS VARCHAR) AS key, CAST(embedding AS DOUBLE[]) AS v, label
         FROM embeddings""",
     "logs": """
-        SELECT ts, CASE event_type
+        SELECT ts, CAST(user_id % 5 AS VARCHAR) AS process, CASE event_type
           WHEN 'view' THEN '[envelope] tool=search_products'
           WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN '[envelope] tool=recommend_products'
+            WHEN event_id % 10 = 1 THEN '[catalog-facets] index empty, using fallback'
             ELSE '[catalog-facets] Loaded from 1000 vectors' END
-          WHEN 'error' THEN '[guardrail] Output blocked'
-          WHEN 'signup' THEN '[embed-cache] hits=' || event_id || ' misses=' || (event_id + 50)
+          WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN '[prompts] Loaded 12 sections'
+            WHEN 1 THEN '[prompt-loader] DDB read failed (Timeout): falling back'
+            ELSE '[guardrail] Output blocked' END
+          WHEN 'signup' THEN '[embed-cache] hits=' || (event_id % 2500) || ' misses=' || (event_id % 2500 * (1 + user_id % 5))
           ELSE 'request completed status=' || CASE WHEN event_id % 50 = 0 THEN 503 ELSE 200 END
             || ' responseTime=' || CAST(floor(value * 100) AS BIGINT) END AS line
         FROM events""",

@@ -1,5 +1,7 @@
 """Inputs that once gave wrong results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,34 @@ def test_marks_let_all_wanted_keys_through(spark):
     left = every.filter(marked(F.col("key"), marks(keys)))
     assert left.join(keys, "key").count() == 300 and left.count() < 320
     assert every.filter(marked(F.col("key"), marks(keys.limit(0)))).count() == 0
+
+
+@pytest.mark.parametrize("split", [64, 1000, 1 << 20])
+def test_quoted_line_breaks_over_splits(spark, tmp_path, split):
+    """The same rows as an unsplit read, by many tasks, wherever the splits fall."""
+    rng = random.Random(split)
+    def cell():  # noqa: E306
+        kind = rng.random()
+        text = "".join(rng.choice("ab ,\n") for _ in range(rng.randrange(12)))
+        return '"' + text.replace("b", '""') + '"' if kind < 0.5 else text.replace("\n", "").replace(",", "")
+    for name, n in (("a.csv", 200), ("b.csv", 1), ("c.csv", 0)):
+        rows = [f"{i},{cell()},{cell()}" for i in range(n)] + (['7,"long' + "\nline" * 300 + '",x', "8,short"] if n else [])
+        end = "\r\n" if name == "b.csv" else "\n"
+        (tmp_path / name).write_bytes(("ID,TITLE,NOTE" + end + end.join(rows) + (end if n else "")).encode())
+    options = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    want = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="bad").schema(
+        "ID string, TITLE string, NOTE string, bad string").csv(str(tmp_path)).select("ID", "TITLE", "NOTE").collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        read = files.read_messy_csv(spark, str(tmp_path), multi_line=True)
+        got = read.collect()
+        if split == 64:
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(repr, (tuple(r)[:3] for r in got))) == sorted(map(repr, map(tuple, want)))
+    assert {r.ID for r in got if r[files.BAD]} == {"8"}
+    (tmp_path / "d.csv").write_text("ID,OTHER,NOTE\n1,2,3\n")
+    with pytest.raises(Exception, match="another CSV header"):
+        files.read_messy_csv(spark, str(tmp_path), multi_line=True).collect()
