@@ -160,6 +160,11 @@ BLOCK_FULL_TEXT = (
     "I couldn't complete that request. Try rephrasing with a specific theme, occasion, "
     "or product category."
 )
+FENCED_JSON = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
+BRACED_JSON = r"(?s)\{.*\}"
+PRODUCT_CARD = ("struct<id: string, title: string, price: string, link: string, image: string, theme: string, "
+                "category: string, description: string, score: double>")
+FOLLOWUP = "struct<id: string, label: string, options: array<struct<label: string, value: string>>>"
 SCRATCHPAD_TAGS = ["thinking", "scratchpad", "reflection"]
 
 # Phrases of each denied topic. Company names are the caller's to add.

@@ -26,11 +26,12 @@ def extract_event_fields(payload_json: Column) -> tuple[Column, Column]:
 
 
 def classify_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add `type`, `message` and `blocked_reason` of each raw response.
+    """Add `type`, `message`, `recommendations`, `followups`, `tools_called` and `blocked_reason`.
 
     A block marker decides first. Otherwise scratchpad tags are removed and the
     fenced, the whole and the braced text are tried as JSON in that order; the
-    first with a known type and a text message wins. The rest is prose.
+    first with a known type and a text message wins. The rest is prose. Product
+    cards belong to answers, questions to follow-ups; elsewhere the lists are empty.
     """
     source = F.coalesce(F.col(raw), F.lit(""))
     blocked = F.contains(source, F.lit(fixed.BLOCK_MARKER))
@@ -43,9 +44,9 @@ def classify_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
 
     cleaned = F.col("_cleaned")
     candidates = F.array(
-        _strip(F.regexp_extract(cleaned, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)),
+        _strip(F.regexp_extract(cleaned, fixed.FENCED_JSON, 1)),
         cleaned,
-        F.regexp_extract(cleaned, r"(?s)\{.*\}", 0),
+        F.regexp_extract(cleaned, fixed.BRACED_JSON, 0),
     )
 
     def parsed(text: Column) -> Column:
@@ -55,11 +56,19 @@ def classify_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
             F.try_variant_get(value, "$.type", "string").alias("type"),
             F.when(F.schema_of_variant(message) == "STRING",
                    F.try_variant_get(message, "$", "string")).alias("message"),
+            value.alias("value"),
         )
 
     valid = F.filter(F.transform(candidates, parsed),
                      lambda p: p["type"].isin(fixed.RESPONSE_TYPES) & p["message"].isNotNull())
     rows = rows.withColumn("_hit", F.try_element_at(valid, F.lit(1)))
+
+    def part(path: str, kind: str, only: str | None = None) -> Column:
+        """A list of the structured half, without nulls."""
+        found = F.try_variant_get(F.col("_hit.value"), path, f"array<{kind}>")
+        wanted = ~blocked & (F.col("_hit.type") == only if only else F.lit(True))
+        return F.coalesce(F.when(wanted, F.array_compact(found)), F.array().cast(f"array<{kind}>"))
+
     return rows.withColumns({
         "type": F.when(blocked, "blocked")
                  .otherwise(F.coalesce(F.col("_hit.type"), F.lit("answer"))),
@@ -67,6 +76,9 @@ def classify_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
                     .when(blocked, fixed.BLOCK_FULL_TEXT)
                     .otherwise(F.coalesce(F.col("_hit.message"),
                                           F.nullif(cleaned, F.lit("")), source)),
+        "recommendations": part("$.recommendations", fixed.PRODUCT_CARD, "answer"),
+        "followups": part("$.followups", fixed.FOLLOWUP, "followup"),
+        "tools_called": part("$.meta.toolsCalled", "string"),
         "blocked_reason": F.when(blocked & mid_stream, "mid-stream")
                            .when(blocked, "full-block"),
     }).drop("_cleaned", "_hit")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shoplens import fixed
 from shoplens.functions.privacy import hex_bucket
@@ -11,8 +11,16 @@ from shoplens.operators.dedup import first_n
 
 
 def since_days(events: DataFrame, as_of: int, days: int, column: str = "timestamp") -> DataFrame:
-    """Events not older than `days` before `as_of` (epoch seconds)."""
-    return events.filter(F.col(column) >= as_of - days * 86400)
+    """Events not older than `days` before `as_of` (epoch seconds).
+
+    `column` holds epoch seconds or times. The limit takes the type of the
+    column, so on a stored column the filter reaches the files.
+    """
+    limit = as_of - days * 86400
+    kind = events.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        limit = F.timestamp_seconds(F.lit(limit)).cast(kind)    # ntz: in the time zone of the session
+    return events.filter(F.col(column) >= limit)
 
 
 def retention_filter(events: DataFrame, as_of: int, days: int = 30,
@@ -26,8 +34,9 @@ def stable_sample(events: DataFrame, rate: float) -> DataFrame:
     return events.filter(hex_bucket(event_key(), 100_000) < int(round(rate * 100_000)))
 
 
-def events_for_user(events: DataFrame, user: str) -> DataFrame:
-    return events.filter(F.col("userId") == user)
+def events_for_user(events: DataFrame, user, column: str = "userId") -> DataFrame:
+    """`user` has the type of the column, so on a stored column the filter reaches the files."""
+    return events.filter(F.col(column) == F.lit(user))
 
 
 def recent_n_per_user(events: DataFrame, n: int = 10) -> DataFrame:
@@ -97,7 +106,11 @@ def events_with_products(events: DataFrame, products: DataFrame) -> DataFrame:
     """
     right = products.select(F.col("id").alias("itemId"), F.col("name").alias("title"),
                             F.col("price").alias("listPrice"), "productLink")
-    return events.join(right, "itemId", "left")
+    # Events without an item match nothing and would all go to one task.
+    known = events.filter(F.col("itemId").isNotNull()).join(right, "itemId", "left")
+    none = events.filter(F.col("itemId").isNull()).select("*", *[
+        F.lit(None).cast(right.schema[c].dataType).alias(c) for c in ("title", "listPrice", "productLink")])
+    return known.unionByName(none)
 
 
 def item_interest(events: DataFrame, keys: list[str],
@@ -114,8 +127,10 @@ def trending_items(events: DataFrame, as_of: int, days: int, k: int) -> DataFram
     return item_interest(recent, ["itemId"]).orderBy(F.desc("interest"), "itemId").limit(k)
 
 
-def distinct_customers_per_item(events: DataFrame) -> DataFrame:
-    """Users reached per item. Distinct pairs are shuffled, not events."""
+def distinct_customers_per_item(events: DataFrame, approximate: bool = False) -> DataFrame:
+    """Users reached per item. The exact form shuffles distinct pairs, not events."""
+    if approximate:
+        return events.groupBy("itemId").agg(F.hll_sketch_estimate(F.hll_sketch_agg("userId", 14)).alias("customers"))
     return events.groupBy("itemId").agg(F.count_distinct("userId").alias("customers"))
 
 

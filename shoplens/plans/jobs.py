@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shoplens import fixed, schemas
 from shoplens.functions import clean, metadata as md, text as tx
 from shoplens.operators import recommend as rec
-from shoplens.operators.dedup import dedup, dedup_stats
+from shoplens.operators.dedup import dedup
 from shoplens.operators.joins import enrich_vectors, valid_embeddings
 from shoplens.operators.neighbors import grouped_knn, knn_join
 from shoplens.operators.numbering import marked, marks
+from shoplens.operators.orders import item_lists
 from shoplens.operators.vectors import Embedder, embed_texts, pool_size
 from shoplens.session import materialize
 from shoplens.sources import files, sinks
@@ -45,13 +46,13 @@ def prepare_batch(spark: SparkSession, entity: str, input_path: str, output_path
     output_path = output_path.rstrip("/")
     # Typed once to files: statistics and dedup then read columns, not text.
     typed = materialize(read(files.read_entity_csv(spark, input_path)), "typed")
-    stats = dedup_stats(typed, keys).first()
     sinks.write_raw_copy(dedup(typed, keys, []), f"{output_path}/raw")
-    rows = spark.read.parquet(f"{output_path}/raw")
+    rows = spark.read.schema(typed.schema).parquet(f"{output_path}/raw")
+    kept = rows.count()         # of whole files: from their footers
     chunks = sinks.write_request_chunks(requests(rows, entity), f"{output_path}/chunks",
                                         chunk_size=chunk_size)
     manifest = spark.createDataFrame(
-        [(entity, stats.n_distinct, stats.duplicates_removed, chunks, chunk_size, input_path,
+        [(entity, kept, typed.count() - kept, chunks, chunk_size, input_path,
           output_path)],
         "dataType string, totalRecords long, duplicatesRemoved long, chunkCount int, "
         "chunkSize int, inputPath string, outputPath string")
@@ -68,9 +69,14 @@ def vectors_of(rows: DataFrame, entity: str) -> DataFrame:
 
 def load_index(spark: SparkSession, entity: str, results_path: str, raw_path: str,
                index: Index, mode: str = "upsert", dimensions: int | None = None) -> None:
-    """Model results joined with raw rows into an index, in the chosen mode."""
+    """Model results joined with raw rows into an index, in the chosen mode.
+
+    Of the files below `results_path` the finished ones (`.jsonl.out`) are read if
+    there are any, else `.jsonl`; a path that names files is read as it is.
+    """
+    pattern = files.output_pattern(spark, results_path)
     results, _ = files.split_bad(
-        files.read_jsonl_lenient(spark, results_path, schemas.EMBED_RESULT))
+        files.read_jsonl_lenient(spark, results_path, schemas.EMBED_RESULT, pattern))
     raw = vectors_of(spark.read.parquet(raw_path), entity)
     index.write(enrich_vectors(valid_embeddings(results), raw, ENTITIES[entity][5]),
                 mode, dimensions)
@@ -86,6 +92,16 @@ def build_vectors(rows: DataFrame, entity: str, dimensions: int,
     return embedded.withColumn("metadata", md.metadata_byte_cap(F.col("metadata")))
 
 
+def build_order_vectors(orders: DataFrame, items: DataFrame, dimensions: int,
+                        embedder: Embedder | None = None) -> DataFrame:
+    """Orders with their items straight to vector records of ten fields; orders without items stay."""
+    rows = orders.join(item_lists(items).withColumnRenamed("orderId", "id"), "id", "left")
+    body = rows.select(F.col("id").alias("key"), tx.order_text(tx.order_items_text(F.col("items"))).alias("_body"),
+                       md.order_metadata(md.order_items_json(F.col("items"))).alias("metadata"))
+    embedded = embed_texts(body, "_body", dimensions, embedder, distinct=False).drop("_body")
+    return embedded.withColumn("metadata", md.metadata_byte_cap(F.col("metadata")))
+
+
 def _hits(index: DataFrame, asked: DataFrame, k: int, dimensions: int,
           embedder: Embedder | None) -> DataFrame:
     """Nearest keys with metadata per distinct normalized text `_norm` of `asked`."""

@@ -18,14 +18,16 @@ from shoplens.session import work_dir
 @query("since_days", f"""SELECT eventId, userId, "timestamp" FROM inter
     WHERE "timestamp" >= {t.AS_OF} - 7 * 86400""")
 def _since_days(spark, d):
-    return bh.since_days(t.interactions(spark, d), t.AS_OF, 7).select(
+    recent = bh.since_days(t.table(spark, d, "events"), t.AS_OF, 7, "ts")
+    return t.interactions_of(recent).select(
         "eventId", "userId", "timestamp")
 
 
 @query("retention_filter", f"""SELECT eventId, userId, "timestamp" FROM inter
     WHERE "timestamp" >= {t.AS_OF} - 30 * 86400""")
 def _retention_filter(spark, d):
-    return bh.retention_filter(t.interactions(spark, d), t.AS_OF).select(
+    recent = bh.retention_filter(t.table(spark, d, "events"), t.AS_OF, column="ts")
+    return t.interactions_of(recent).select(
         "eventId", "userId", "timestamp")
 
 
@@ -37,15 +39,33 @@ def _stable_sample(spark, d):
 
 @query("events_for_user", "SELECT eventId, itemId, eventType FROM inter WHERE userId = '8'")
 def _events_for_user(spark, d):
-    return bh.events_for_user(t.interactions(spark, d), "8").select(
+    own = bh.events_for_user(t.table(spark, d, "events"), 8, "user_id")
+    return t.interactions_of(own).select(
         "eventId", "itemId", "eventType")
 
 
-@query("validate_enums", """SELECT eventId, CASE WHEN eventType NOT IN ('view', 'add_to_cart',
-    'purchase') THEN 'eventType' END AS rejected FROM inter""")
+def _outside(column: str, allowed: list[str]) -> str:
+    return f"CASE WHEN {column} NOT IN ({', '.join(sp.quoted(a) for a in allowed)}) THEN '{column}' END"
+
+
+@query("validate_enums", f"""
+    SELECT 'interactions' AS entity, CAST(eventId AS VARCHAR) AS id,
+      {_outside('eventType', fixed.EVENT_TYPES)} AS rejected FROM inter
+    UNION ALL SELECT 'customers', userId, nullif(concat_ws(',', {_outside('customerSegment', fixed.CUSTOMER_SEGMENTS)},
+      {_outside('priceAffinity', fixed.PRICE_AFFINITIES)}), '')
+    FROM (SELECT userId, CASE WHEN c_custkey % 11 = 0 THEN 'VIP' ELSE customerSegment END AS customerSegment,
+      CASE WHEN c_custkey % 13 = 0 THEN 'low' ELSE priceAffinity END AS priceAffinity FROM cust)""")
 def _validate_enums(spark, d):
-    return clean.validate_enums(t.interactions(spark, d), {"eventType": fixed.EVENT_TYPES}).select(
-        "eventId", "rejected")
+    """The three closed lists, on events and on customers some of whom break them."""
+    events = clean.validate_enums(t.interactions(spark, d), {"eventType": fixed.EVENT_TYPES})
+    number = F.col("userId").cast("long")
+    people = t.customers(spark, d).withColumns({
+        "customerSegment": F.when(number % 11 == 0, "VIP").otherwise(F.col("customerSegment")),
+        "priceAffinity": F.when(number % 13 == 0, "low").otherwise(F.col("priceAffinity"))})
+    people = clean.validate_enums(people, {"customerSegment": fixed.CUSTOMER_SEGMENTS,
+                                           "priceAffinity": fixed.PRICE_AFFINITIES})
+    return events.select(F.lit("interactions").alias("entity"), F.col("eventId").cast("string").alias("id"),
+                         "rejected").union(people.select(F.lit("customers"), "userId", "rejected"))
 
 
 @query("recent_n_per_user", """
@@ -109,7 +129,8 @@ def _item_interest(spark, d):
       AND "timestamp" >= {t.AS_OF} - 14 * 86400
     GROUP BY itemId ORDER BY interest DESC, itemId LIMIT 20""")
 def _trending_items(spark, d):
-    return bh.trending_items(t.interactions(spark, d), t.AS_OF, 14, 20)
+    recent = bh.since_days(t.table(spark, d, "events"), t.AS_OF, 14, "ts")
+    return bh.trending_items(t.interactions_of(recent), t.AS_OF, 14, 20)
 
 
 @query("distinct_customers_per_item", "SELECT itemId, count(DISTINCT userId) AS customers "
@@ -170,7 +191,7 @@ _FEATURES = f"""SELECT customerId, count(*) AS n, sum(total) AS spend,
         FROM items i JOIN ords o ON o.id = i.orderId JOIN prod p ON p.id = i.productId)
       GROUP BY customerId, theme)
     SELECT f.customerId, n AS lifetimeOrderCount, CAST(spend AS DOUBLE) AS lifetimeSpend,
-      last AS daysSinceLastOrder, age AS accountAgeDays, category AS preferredCategoryL1,
+      (CAST(spend * 200 AS BIGINT) + n) // (2 * n) / 100.0 AS avgOrderValue, last AS daysSinceLastOrder, age AS accountAgeDays, category AS preferredCategoryL1,
       theme AS preferredTheme
     FROM f LEFT JOIN best b ON b.customerId = f.customerId AND b.rn = 1
     LEFT JOIN topics m ON m.customerId = f.customerId AND m.rn = 1""")
@@ -184,8 +205,7 @@ def _customer_features(spark, d):
     favourites = cu.preferred_values(bought, "customerId", {
         "preferredCategoryL1": "categoryL1", "preferredTheme": "theme"})
     return (features.join(favourites, "customerId", "left")
-            .withColumn("lifetimeSpend", F.col("lifetimeSpend").cast("double"))
-            .drop("avgOrderValue"))
+            .withColumns({c: F.col(c).cast("double") for c in ("lifetimeSpend", "avgOrderValue")}))
 
 
 @query("customer_segments", f"""

@@ -27,30 +27,36 @@ def _as_double(*names: str):
 
 # --- sources ----------------------------------------------------------------
 
-UPPER_CUSTOMER = {"USER_ID": "userId", "CUSTOMER_TYPE": "customerType",
-                  "CUSTOMER_SEGMENT": "customerSegment", "REGION": "region", "STATE": "state",
-                  "PREFERRED_THEME": "preferredTheme", "LIFETIME_SPEND": "lifetimeSpend",
-                  "LIFETIME_ORDER_COUNT": "lifetimeOrderCount", "EMAIL_OPT_IN": "emailOptIn"}
+def upper_names(aliases: dict[str, list[str]]) -> dict[str, str]:
+    """Canonical field -> its upper-case input column."""
+    return {field: names[-1] for field, names in aliases.items()}
+
+
+def entity_csv(spark, d, entity: str, times: int = 1) -> str:
+    """An entity as CSV files with upper-case headers, each row `times` times."""
+    rows, aliases = {
+        "customers": (t.customers, fixed.CUSTOMER_ALIASES),
+        "products": (t.products, fixed.PRODUCT_ALIASES),
+        "interactions": (t.interactions, fixed.INTERACTION_ALIASES)}[entity]
+    path, rows = work_dir(spark, f"{entity}-csv"), rows(spark, d)
+    words = {"emailOptIn": ("Y", "N"), "inStock": ("in stock", "out of stock"), "isBulk": ("Bulk", "")}
+    shown = [(F.when(F.col(f), words[f][0]).otherwise(words[f][1]) if f in words else F.col(f)).alias(name)
+             for f, name in upper_names(aliases).items() if f in rows.columns]
+    again = F.explode(F.array_repeat(F.lit(0), times)).alias("again")
+    rows.select(*shown, again).drop("again").write.option("header", True).option("escape", '"').csv(path)
+    return path
 
 
 def customer_csv(spark, d) -> str:
-    """The customers as CSV files with upper-case headers."""
-    path = work_dir(spark, "customers-csv")
-    rows = t.customers(spark, d).withColumn(
-        "emailOptIn", F.when(F.col("emailOptIn"), "Y").otherwise("N"))
-    rows.select([F.col(v).alias(k) for k, v in UPPER_CUSTOMER.items()]).write.option(
-        "header", True).csv(path)
-    return path
+    return entity_csv(spark, d, "customers")
 
 
 @query("read_entity_csv", """
-    SELECT userId, customerType, customerSegment, region, state, preferredTheme,
-      CAST(lifetimeSpend AS DOUBLE) AS lifetimeSpend, lifetimeOrderCount, emailOptIn FROM cust""")
+    SELECT * EXCLUDE (c_custkey) REPLACE (CAST(lifetimeSpend AS DOUBLE) AS lifetimeSpend,
+      CAST(avgOrderValue AS DOUBLE) AS avgOrderValue) FROM cust""")
 def _read_entity_csv(spark, d):
     rows = clean.clean_customers(files.read_entity_csv(spark, customer_csv(spark, d)))
-    return rows.select("userId", "customerType", "customerSegment", "region", "state",
-                       "preferredTheme", *_as_double("lifetimeSpend"), "lifetimeOrderCount",
-                       "emailOptIn")
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("lifetimeSpend", "avgOrderValue")})
 
 
 def write_lines(lines: DataFrame, header: str, path: str) -> None:
@@ -177,24 +183,27 @@ def _write_request_chunks(spark, d):
                        F.col("modelInput.normalize").alias("normalized"))
 
 
-@query("write_raw_copy", "SELECT id, name, CAST(price AS DOUBLE) AS price FROM prod")
+@query("write_raw_copy", "SELECT * REPLACE (CAST(price AS DOUBLE) AS price, CAST(salePrice AS DOUBLE) "
+                         "AS salePrice) FROM prod")
 def _write_raw_copy(spark, d):
     path = work_dir(spark, "raw")
-    sinks.write_raw_copy(t.products(spark, d), path)
-    return spark.read.parquet(path).select("id", "name", *_as_double("price"))
+    rows = t.products(spark, d)
+    sinks.write_raw_copy(rows, path)
+    empty = ("material", "forWhom", "gender", "industryType", "businessUnit", "reviewRating")
+    return spark.read.parquet(path).withColumns({
+        c: F.col(c).cast("double") for c in ("price", "salePrice")}).drop(*empty)
 
 
-@query("write_manifest", """
-    SELECT 'lineitem' AS dataType, count(*) AS totalRecords,
-      (SELECT count(*) FROM lineitem) - count(*) AS duplicatesRemoved
-    FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)""")
+@query("write_manifest", f"""
+    SELECT 'products' AS dataType, count(*) AS totalRecords, count(*) AS duplicatesRemoved,
+      CAST(ceil(count(*) / {CHUNK}) AS INT) AS chunkCount, {CHUNK} AS chunkSize, true AS reads_input,
+      true AS names_output FROM prod""")
 def _write_manifest(spark, d):
-    path = work_dir(spark, "manifest")
-    stats = dd.dedup_stats(t.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
-    sinks.write_manifest(stats.select(
-        F.lit("lineitem").alias("dataType"), F.col("n_distinct").alias("totalRecords"),
-        F.col("duplicates_removed").alias("duplicatesRemoved")), path)
-    return spark.read.parquet(path)
+    source, out = entity_csv(spark, d, "products", 2), work_dir(spark, "manifest")
+    jobs.prepare_batch(spark, "products", source, out, CHUNK)
+    return spark.read.parquet(f"{out}/manifest").select(
+        "dataType", "totalRecords", "duplicatesRemoved", "chunkCount", "chunkSize",
+        (F.col("inputPath") == source).alias("reads_input"), (F.col("outputPath") == out).alias("names_output"))
 
 
 def changes(spark, d) -> DataFrame:
@@ -270,29 +279,54 @@ def _write_csv(spark, d):
 
 # --- projections ------------------------------------------------------------
 
-@query("map_columns", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, "
-                      "p_brand AS brand, CAST(p_retailprice AS VARCHAR) AS price FROM part")
+_RAW_FIELDS = {f: f"'{i}-' || p_partkey || '-' || p_size % {i + 2}"
+               for i, f in enumerate(fixed.PRODUCT_ALIASES)}
+_RAW_CUSTOMER = {f: f"'{i}-' || c_custkey" for i, f in enumerate(fixed.CUSTOMER_ALIASES)}
+
+
+def _listed(fields: dict[str, str]) -> str:
+    return ", ".join(f"{v} AS {k}" for k, v in fields.items())
+
+
+@query("map_columns", f"SELECT {_listed(_RAW_FIELDS)} FROM part")
 def _map_columns(spark, d):
+    """All 33 product fields, from columns in another order beside foreign ones."""
+    names = upper_names(fixed.PRODUCT_ALIASES)
     raw = t.table(spark, d, "part").selectExpr(
-        "cast(p_partkey as string) ITEM_ID", "p_name TITLE", "p_brand BRAND",
-        "cast(p_retailprice as string) PRICE", "p_size OTHER")
-    return clean.map_columns(raw, fixed.PRODUCT_ALIASES).select("id", "name", "brand", "price")
+        "p_name OTHER",
+        *[f"{_RAW_FIELDS[f]} {names[f]}" for f in reversed(names)])
+    return clean.map_columns(raw, fixed.PRODUCT_ALIASES)
+
+
+@query("map_customer_columns", f"SELECT {_listed(_RAW_CUSTOMER)} FROM customer")
+def _map_customer_columns(spark, d):
+    names = upper_names(fixed.CUSTOMER_ALIASES)
+    raw = t.table(spark, d, "customer").selectExpr(
+        "c_name OTHER", *[f"{_RAW_CUSTOMER[f]} {names[f]}" for f in reversed(names)])
+    return clean.map_columns(raw, fixed.CUSTOMER_ALIASES)
 
 
 @query("coalesce_aliases", """
     SELECT CAST(user_id AS VARCHAR) AS userId, json_extract_string(props, '$.k') AS itemId,
+      CAST(epoch_us(ts) // 1000000 AS VARCHAR) AS "timestamp",
+      CASE WHEN event_id % 4 < 2 THEN event_type ELSE 'second ' || event_type END AS eventType,
+      CASE WHEN event_id % 2 = 1 THEN '1' END AS eventValue,
       CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 5 AS VARCHAR)
            WHEN event_id % 7 <> 0 THEN CAST(event_id % 7 AS VARCHAR) END AS quantity,
+      CASE WHEN event_id % 6 > 0 THEN '$' || event_id % 6 END AS price,
       CASE WHEN event_id % 3 = 0 THEN 'A' WHEN event_id % 3 = 1 THEN event_type
         END AS recommendationId FROM events""")
 def _coalesce_aliases(spark, d):
     raw = t.table(spark, d, "events").selectExpr(
         "cast(user_id as string) USER_ID", "get_json_object(props, '$.k') itemId",
+        "unix_seconds(cast(ts as timestamp)) TIMESTAMP",
+        "case when event_id % 4 < 2 then event_type else '\t' end eventType",
+        "concat('second ', event_type) EVENT_TYPE", "event_id % 2 eventValue",
+        "case when event_id % 6 > 0 then concat(' $', event_id % 6) else '' end PRICE",
         "event_id % 5 quantity", "event_id % 7 QUANTITY",
         "case when event_id % 3 = 0 then 'A' else ' ' end recommendationId",
         "case when event_id % 3 = 1 then event_type end RECOMMENDATION_ID")
-    return clean.coalesce_aliases(raw, fixed.INTERACTION_ALIASES).select(
-        "userId", "itemId", "quantity", "recommendationId")
+    return clean.coalesce_aliases(raw, fixed.INTERACTION_ALIASES)
 
 
 @query("parse_price", """
@@ -343,6 +377,14 @@ def _product_text(spark, d):
     return t.products(spark, d).select("id", tx.product_text().alias("text"))
 
 
+@query("product_text_bulk", f"""SELECT id, concat_ws('. ', 'Product: ' || name, 'Category: ' || categoryL1,
+    '> ' || categoryL2, 'Theme: ' || theme, 'Occasion: ' || occasion, 'Description: ' || description,
+    'Price: $' || {t.plain_sql('price')}, 'Color: ' || color,
+    CASE WHEN inStock THEN 'In stock' ELSE 'Out of stock' END, 'Brand: ' || brand) AS text FROM prod""")
+def _product_text_bulk(spark, d):
+    return t.products(spark, d).select("id", tx.product_text(rich=False).alias("text"))
+
+
 @query("customer_text", f"SELECT userId, {sp.CUSTOMER_TEXT} AS text FROM cust")
 def _customer_text(spark, d):
     return t.customers(spark, d).select("userId", tx.customer_text().alias("text"))
@@ -399,24 +441,12 @@ def _interaction_metadata(spark, d):
         "eventId", pairs(md.interaction_metadata()).alias("metadata"))
 
 
-_ORDER_META = sp.pairs_sql({
-    "orderId": "id", "customerId": "customerId", "customerName": "customerName",
-    "items": "'[' || js || ']'", "total": t.plain_sql("total"), "status": "status",
-    "orderDate": "orderDate", "deliveryDate": "deliveryDate", "shippingAddress": "''",
-    "notes": "notes"})
-
-
-@query("order_metadata", f"""
-    SELECT id, {_ORDER_META} AS metadata FROM ords JOIN (SELECT orderId, string_agg(
-        '{{"productName":"' || productName || '","quantity":' || quantity || '}}', ','
-        ORDER BY itemNo, productId, productName, quantity, price) AS js
-      FROM items GROUP BY orderId) ON orderId = id""")
+@query("order_metadata", f"""SELECT id, {sp.pairs_sql(sp.ORDER_META)} AS metadata FROM full_orders
+    WHERE js <> '[]'""")
 def _order_metadata(spark, d):
     lists = od.item_lists(t.items(spark, d))
-    short = F.to_json(F.transform("items", lambda i: F.struct(
-        i["productName"].alias("productName"), i["quantity"].alias("quantity"))))
     rows = t.orders(spark, d).join(lists, F.col("id") == F.col("orderId"))
-    return rows.select("id", pairs(md.order_metadata(short)).alias("metadata"))
+    return rows.select("id", pairs(md.order_metadata(md.order_items_json(F.col("items")))).alias("metadata"))
 
 
 @query("metadata_byte_cap", f"""
@@ -560,10 +590,22 @@ _MARK = sp.quoted(fixed.BLOCK_MARKER)
       CASE WHEN blocked AND mid THEN {sp.quoted(fixed.BLOCK_MID_TEXT)}
            WHEN blocked THEN {sp.quoted(fixed.BLOCK_FULL_TEXT)}
            ELSE coalesce(hit->>'$.message', nullif(cleaned, ''), raw) END AS message,
+      CASE WHEN NOT blocked AND hit->>'$.type' = 'answer' THEN concat_ws('|', hit->>'$.recommendations[0].id',
+        hit->>'$.recommendations[0].title', hit->>'$.recommendations[0].score') ELSE '' END AS recommendations,
+      CASE WHEN NOT blocked AND hit->>'$.type' = 'followup' THEN concat_ws('|', hit->>'$.followups[0].id',
+        hit->>'$.followups[0].label', hit->>'$.followups[0].options[1].value') ELSE '' END AS followups,
+      CASE WHEN NOT blocked THEN concat_ws('|', hit->>'$.meta.toolsCalled[0]', hit->>'$.meta.toolsCalled[1]')
+        ELSE '' END AS tools_called,
       CASE WHEN blocked AND mid THEN 'mid-stream' WHEN blocked THEN 'full-block' END
         AS blocked_reason FROM h""")
 def _classify_responses(spark, d):
-    return envelope.classify_responses(t.responses(spark, d)).drop("raw")
+    def shown(column: str, one) -> Column:
+        return F.concat_ws("|", F.transform(column, one))
+
+    return envelope.classify_responses(t.responses(spark, d)).drop("raw").withColumns({
+        "recommendations": shown("recommendations", lambda r: F.concat_ws("|", r["id"], r["title"], r["score"].cast("string"))),
+        "followups": shown("followups", lambda q: F.concat_ws("|", q["id"], q["label"], F.get(q["options"], F.lit(1))["value"])),
+        "tools_called": F.concat_ws("|", "tools_called")})
 
 
 # --- embedding results and raw rows -----------------------------------------
@@ -575,6 +617,22 @@ def _valid_embeddings(spark, d):
                                                F.size("vector").cast("long").alias("n_dims"))
 
 
+@query("rejected_embeddings", """
+    SELECT CASE WHEN label <> 6 THEN key END AS recordId, CASE label WHEN 9 THEN 'error'
+      WHEN 7 THEN 'no vector' ELSE 'no id' END AS reason FROM vecs WHERE label IN (6, 7, 9)""")
+def _rejected_embeddings(spark, d):
+    """Result rows that are left out, with the reason."""
+    good, _ = files.split_bad(results(spark, d))
+    return joins.rejected_embeddings(good)
+
+
+@query("quarantined_lines", "SELECT count(*) AS lines, true AS cut_off FROM vecs WHERE label = 8")
+def _quarantined_lines(spark, d):
+    """Result lines that do not parse, kept as they came."""
+    _, bad = files.split_bad(results(spark, d))
+    return bad.agg(F.count("*").alias("lines"), F.bool_and(F.length(files.BAD) == 40).alias("cut_off"))
+
+
 def _raw(spark, d) -> DataFrame:
     """Raw rows of the parts in stock; the others have a vector but no raw row."""
     return jobs.vectors_of(t.products(spark, d).filter("inStock"), "products")
@@ -678,18 +736,35 @@ def _dedup_keep_last(spark, d):
 
 # --- composite --------------------------------------------------------------
 
-@query("prepare_batch", f"""
-    SELECT count(*) AS totalRecords, count(*) AS duplicatesRemoved,
-      CAST(ceil(count(*) / {CHUNK}) AS INT) AS chunkCount, count(*) AS n_lines FROM cust""")
+_PREPARED = {"customers": ("cust", "userId", sp.CUSTOMER_TEXT), "products": ("prod", "id", sp.PRODUCT_TEXT),
+             "interactions": ("(SELECT DISTINCT * EXCLUDE (eventId) FROM inter)", sp.EVENT_KEY, sp.INTERACTION_TEXT)}
+
+
+@query("prepare_batch", " UNION ALL ".join(f"""
+    SELECT '{name}' AS dataType, CAST({key} AS VARCHAR) AS recordId, {text} AS inputText,
+      (SELECT count(*) FROM (SELECT DISTINCT {key} FROM {table})) AS totalRecords,
+      (SELECT count(*) FROM {"inter" if name == "interactions" else table}) * 2
+        - (SELECT count(*) FROM (SELECT DISTINCT {key} FROM {table})) AS duplicatesRemoved,
+      CAST(ceil((SELECT count(*) FROM (SELECT DISTINCT {key} FROM {table})) / {CHUNK}) AS INT) AS chunkCount
+    FROM {table}""" for name, (table, key, text) in _PREPARED.items() if name != "interactions") + f"""
+    UNION ALL SELECT 'interactions', k, NULL, count(*) OVER (), (SELECT count(*) FROM inter) * 2 - count(*) OVER (),
+      CAST(ceil(count(*) OVER () / {CHUNK}) AS INT) FROM (SELECT DISTINCT {sp.EVENT_KEY} AS k FROM inter)""")
 def _prepare_batch(spark, d):
-    source, out = customer_csv(spark, d), work_dir(spark, "prepared")
-    again = work_dir(spark, "customers-twice")
-    rows = spark.read.option("header", True).csv(source)
-    rows.unionByName(rows).write.option("header", True).csv(again)
-    manifest = jobs.prepare_batch(spark, "customers", again, out, CHUNK)
-    lines = spark.read.text(f"{out}/chunks").count()
-    return manifest.select("totalRecords", "duplicatesRemoved", "chunkCount",
-                           F.lit(lines).cast("long").alias("n_lines"))
+    """Every request line of three entities whose rows all come twice, with the figures of its run.
+
+    Which of several events with one key stays is settled by a row hash, so their text is left out.
+    """
+    shape = "recordId string, modelInput struct<inputText string>"
+    out = None
+    for entity in _PREPARED:
+        folder = work_dir(spark, "prepared")
+        run = jobs.prepare_batch(spark, entity, entity_csv(spark, d, entity, 2), folder, CHUNK)
+        text = F.col("modelInput.inputText") if entity != "interactions" else F.lit(None).cast("string")
+        lines = spark.read.schema(shape).json(f"{folder}/chunks").select(
+            F.lit(entity).alias("dataType"), "recordId", text.alias("inputText"))
+        lines = lines.join(run.select("dataType", "totalRecords", "duplicatesRemoved", "chunkCount"), "dataType")
+        out = lines if out is None else out.unionByName(lines)
+    return out
 
 
 @query("load_index", f"""

@@ -11,7 +11,7 @@ from shoplens.operators.neighbors import knn_join, lsh_candidates, lsh_planes
 from shoplens.operators.vectors import embed_texts, pool_size, vector_topk
 from shoplens.operators.behavior import recent_n_per_user
 from shoplens.plans import jobs, sql_parts as sp, tables as t
-from shoplens.plans.queries_ingest import CRITERIA_QUERY, CRITERIA_SQL, FACETS_SQL, criteria
+from shoplens.plans.queries_ingest import CRITERIA_QUERY, CRITERIA_SQL, FACETS_SQL, criteria, pairs
 from shoplens.plans.registry import query
 from shoplens.session import materialize
 
@@ -121,21 +121,14 @@ def catalog(spark, d) -> DataFrame:
 
 
 def orders_index(spark, d) -> DataFrame:
-    rows = t.orders(spark, d).select(
-        F.col("id").alias("key"), tx.order_text(F.lit("")).alias("body"),
-        F.create_map(F.lit("status"), F.col("status")).alias("metadata"))
-    return materialize(embed_texts(rows, "body", t.DIMENSIONS, distinct=False).drop("body"),
+    return materialize(jobs.build_order_vectors(t.orders(spark, d), t.items(spark, d), t.DIMENSIONS),
                        "orders-index")
 
 
 _PROD_INDEX = f"{sp.embed_ctes('pi', 'prod', sp.PRODUCT_TEXT)}, " \
               f"pi_k AS (SELECT id AS key, {sp.norm_sql(sp.PRODUCT_TEXT)} AS t FROM prod)"
-_ORDER_TEXT = f"""'Order ' || id || ' by ' || customerName || '. Items: . Total: $'
-    || {t.plain_sql('total')} || '. Status: ' || status || '. Ordered: '
-    || CAST(orderDate AS VARCHAR) || '. Delivery: ' || CAST(deliveryDate AS VARCHAR)
-    || '. Address: . Notes: ' || notes"""
-_ORDER_INDEX = f"{sp.embed_ctes('oi', 'ords', _ORDER_TEXT)}, " \
-               f"oi_k AS (SELECT id AS key, {sp.norm_sql(_ORDER_TEXT)} AS t FROM ords)"
+_ORDER_INDEX = f"{sp.embed_ctes('oi', 'full_orders', sp.ORDER_TEXT)}, " \
+               f"oi_k AS (SELECT id AS key, {sp.norm_sql(sp.ORDER_TEXT)} AS t FROM full_orders)"
 
 
 def _search_sql(index_ctes: str, index: str, source: str, text: str, k: int) -> str:
@@ -175,13 +168,13 @@ _STATUS_Q = "(SELECT DISTINCT status || ' ' || notes AS q FROM ords)"
 
 @query("search_orders", f"""
     {_search_sql(_ORDER_INDEX, 'oi', _STATUS_Q, 'q', K)}
-    SELECT o.q AS query_id, key, score, CAST(rnk AS INT) AS rank
-    FROM {_STATUS_Q} o JOIN hits ON hits.q = {sp.norm_sql('o.q')}""")
+    SELECT o.q AS query_id, key, score, CAST(rnk AS INT) AS rank, {sp.pairs_sql(sp.ORDER_META)} AS metadata
+    FROM {_STATUS_Q} o JOIN hits ON hits.q = {sp.norm_sql('o.q')} JOIN full_orders f ON f.id = key""")
 def _search_orders(spark, d):
     asked = t.orders(spark, d).select(F.concat("status", F.lit(" "), "notes").alias("query"))
     queries = asked.distinct().withColumn("query_id", F.col("query"))
     return jobs.search(orders_index(spark, d), queries, K, t.DIMENSIONS).select(
-        "query_id", "key", "score", "rank")
+        "query_id", "key", "score", "rank", pairs(F.col("metadata")).alias("metadata"))
 
 
 @query("search_customers", f"""

@@ -39,6 +39,16 @@ INTERACTION_TEXT = f"""concat_ws('. ', 'User ' || userId || ' performed ' || eve
     CASE WHEN price <> 0 THEN 'price $' || {plain_sql('price')} END,
     'via ' || recommendationId)"""
 
+ORDER_TEXT = f"""'Order ' || id || ' by ' || customerName || '. Items: ' || names || '. Total: $'
+    || {plain_sql('total')} || '. Status: ' || status || '. Ordered: '
+    || CAST(orderDate AS VARCHAR) || '. Delivery: ' || CAST(deliveryDate AS VARCHAR)
+    || '. Address: . Notes: ' || notes"""
+
+ORDER_META = {
+    "orderId": "id", "customerId": "customerId", "customerName": "customerName", "items": "js",
+    "total": plain_sql("total"), "status": "status", "orderDate": "orderDate",
+    "deliveryDate": "deliveryDate", "shippingAddress": "''", "notes": "notes"}
+
 EVENT_KEY = """userId || '_' || itemId || '_' || "timestamp\""""
 
 PRODUCT_META = {

@@ -74,9 +74,13 @@ def customers(spark, d) -> DataFrame:
 
 
 def interactions(spark, d) -> DataFrame:
+    return interactions_of(table(spark, d, "events"))
+
+
+def interactions_of(events: DataFrame) -> DataFrame:
     kind = "case when event_type = 'click' then 'add_to_cart' else event_type end"
     epoch = "unix_seconds(cast(ts as timestamp))"
-    return table(spark, d, "events").selectExpr(
+    return events.selectExpr(
         "event_id eventId", "cast(ts as timestamp) ts", "cast(user_id as string) userId",
         "get_json_object(props, '$.k') itemId", f"{epoch} timestamp", f"{kind} eventType",
         """case event_type when 'view' then 1.0D when 'click' then 2.0D when 'purchase' then 5.0D
@@ -181,7 +185,10 @@ def responses(spark, d) -> DataFrame:
     """Raw chat responses: the assistant and user texts in the shapes models emit."""
     body = "replace(replace(replace(text, '\\\\', ' '), '\"', ' '), '\\n', ' ')"
     envelope = f"""concat('{{"type":"', case when turn % 4 = 0 then 'followup'
-        when turn % 4 = 1 then 'answer' else 'unknown' end, '","message":"', {body}, '"}}')"""
+        when turn % 4 = 1 then 'answer' else 'unknown' end, '","message":"', {body},
+        '","recommendations":[{{"id":"p', conv_id, '","title":"Item ', turn, '","score":0.5}}],',
+        '"followups":[{{"id":"q', turn, '","label":"Which?","options":[{{"label":"A","value":"a"}},',
+        '{{"label":"B","value":"b', conv_id, '"}}]}}],"meta":{{"toolsCalled":["search_products","t', turn, '"]}}}}')"""
     return table(spark, d, "conversations").selectExpr(
         "conv_id", "turn", f"""case (conv_id + turn) % 8
         when 0 then {envelope}
@@ -271,6 +278,14 @@ SQL = {
           CAST(l_partkey AS VARCHAR) AS productId, p_name AS productName,
           CAST(l_quantity AS BIGINT) AS quantity, CAST(p_retailprice AS DECIMAL(12,2)) AS price
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "full_orders": f"""
+        SELECT o.*, coalesce(names, '') AS names, '[' || coalesce(js, '') || ']' AS js FROM ords o
+        LEFT JOIN (SELECT orderId, string_agg(productName || ' (x' || quantity || ')', ', '
+            ORDER BY itemNo, productId, productName, quantity, price) AS names,
+          string_agg('{{"productId":"' || productId || '","productName":"' || productName
+            || '","quantity":' || quantity || ',"price":' || {plain_sql('price')} || '}}', ','
+            ORDER BY itemNo, productId, productName, quantity, price) AS js
+          FROM items GROUP BY orderId) ON orderId = id""",
     "msgs": f"""
         SELECT 'actor-' || (conv_id % 20) AS actorId, 'session-' || conv_id AS sessionId,
           upper(role) AS role, text AS content, turn,
@@ -312,13 +327,20 @@ SQL = {
         FROM (SELECT *, '{"type":"' || CASE WHEN turn % 4 = 0 THEN 'followup'
             WHEN turn % 4 = 1 THEN 'answer' ELSE 'unknown' END || '","message":"'
             || replace(replace(replace(text, chr(92), ' '), '"', ' '), chr(10), ' ')
-            || '"}' AS env FROM conversations)""",
+            || '","recommendations":[{"id":"p' || conv_id || '","title":"Item ' || turn || '","score":0.5}],'
+            || '"followups":[{"id":"q' || turn || '","label":"Which?","options":[{"label":"A","value":"a"},'
+            || '{"label":"B","value":"b' || conv_id || '"}]}],"meta":{"toolsCalled":["search_products","t' || turn
+            || '"]}}' AS env FROM conversations)""",
 }
 
 
 def oracle(body: str) -> str:
     """Prefix a query with the entity definitions it names."""
-    used = [n for n in SQL if re.search(rf"\b{n}\b", body)]
+    used, text = [], body
+    while more := [n for n in SQL if n not in used and re.search(rf"\b{n}\b", text)]:
+        used += more
+        text = " ".join(SQL[n] for n in more if n == "full_orders")
+    used.sort(key=list(SQL).index)
     if not used:
         return body
     heads = ", ".join(f"{n} AS ({SQL[n]})" for n in used)

@@ -146,14 +146,16 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_jsonl_lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl_lenient(spark: SparkSession, path: str, schema: T.StructType,
+                       pattern: str | None = None) -> DataFrame:
     """JSON lines with the unreadable ones kept aside.
 
     Blank lines are dropped and malformed UTF-8 is replaced. A line that does
     not parse has null fields and its text in `_corrupt_record`.
     """
     full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    lines = spark.read.text(path).select(F.make_valid_utf8("value").alias("line"))
+    found = {"pathGlobFilter": pattern, "recursiveFileLookup": True} if pattern else {}
+    lines = spark.read.options(**found).text(path).select(F.make_valid_utf8("value").alias("line"))
     parsed = (lines.filter(F.trim("line") != "")
               .select(F.from_json("line", full, {"columnNameOfCorruptRecord": BAD}).alias("r")))
     return parsed.select("r.*")
@@ -173,6 +175,14 @@ def discover_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         ~F.col("path").contains("/_temporary/"))
 
 
+def output_pattern(spark: SparkSession, path: str) -> str | None:
+    """The name pattern of the result files to read below a path; None if none has such a name."""
+    for pattern in ("*.jsonl.out", "*.jsonl"):
+        if not discover_files(spark, path, pattern).isEmpty():
+            return pattern
+    return None
+
+
 def discover_outputs(spark: SparkSession, path: str) -> DataFrame:
     """Finished result files (`.jsonl.out`) if there are any, else `.jsonl`."""
     finished = discover_files(spark, path, "*.jsonl.out")

@@ -76,3 +76,22 @@ def test_reach(spark):
     exact = bh.distinct_customers_per_item(df).first().customers
     near = bh.distinct_customers_per_item(df, approximate=True).first().customers
     assert exact == 50 and abs(near - 50) <= 5
+
+
+def test_filters_on_stored_columns_reach_the_files(spark):
+    """Times and ids are compared in the type of the column."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for df, column in ((bh.since_days(events, 1706745600, 7, "ts"), "ts"),
+                       (bh.events_for_user(events, 8, "user_id"), "user_id")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+        assert f"({column}," in pushed.replace("IsNotNull(", "")
+    as_times = events.selectExpr("cast(ts as timestamp) ts", "unix_seconds(cast(ts as timestamp)) timestamp")
+    assert bh.since_days(as_times, 1706745600, 7, "ts").count() == bh.since_days(as_times, 1706745600, 7).count() > 0
+
+
+def test_events_without_an_item_stay_out_of_the_join(spark):
+    events = spark.createDataFrame([(1, None), (2, "a"), (3, "x")], "eventId int, itemId string")
+    products = spark.createDataFrame([("a", "Kite", 2.0, "l")], "id string, name string, price double, productLink string")
+    got = {r.eventId: (r.itemId, r.title, r.listPrice) for r in bh.events_with_products(events, products).collect()}
+    assert got == {1: (None, None, None), 2: ("a", "Kite", 2.0), 3: ("x", None, None)}

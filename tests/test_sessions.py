@@ -70,6 +70,18 @@ def test_responses(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, raw string")
     got = {r.i: (r.type, r.message) for r in classify_responses(df).collect()}
     assert got == {i: c[1:] for i, c in enumerate(cases)}
+    whole = ('{"type":"%s","message":"m","recommendations":[{"id":"1","price":9.5,"score":0.25,"other":1},null],'
+             '"followups":[{"id":"q","label":"L","options":[{"label":"A","value":"a"}]}],"meta":{"toolsCalled":["x"]}}')
+    odd = '{"type":"answer","message":"m","recommendations":"none","meta":5}'
+    rich = spark.createDataFrame([(1, whole % "answer"), (2, whole % "followup"), (3, odd), (4, fixed.BLOCK_MARKER), (5, None)],
+                                 "i int, raw string")
+    got = {r.i: r for r in classify_responses(rich).collect()}
+    card, = got[1].recommendations
+    assert (card.id, card.price, card.score, card.title, got[1].followups) == ("1", "9.5", 0.25, None, [])
+    question, = got[2].followups
+    assert (question.label, question.options[0].value, got[2].recommendations) == ("L", "a", [])
+    assert got[1].tools_called == got[2].tools_called == ["x"]
+    assert all(got[i].recommendations == got[i].followups == got[i].tools_called == [] for i in (3, 4, 5))
     payloads = ['[{"conversational":{"role":"USER","content":{"text":"a"}}}]',
                 '[{"conversational":{"role":"USER","content":"b"}}]', "[]", "oops"]
     df = spark.createDataFrame([(p,) for p in payloads], "p string")

@@ -3,12 +3,12 @@ import sys
 
 from pyspark import cloudpickle
 
-from shoplens.operators import vectors
+from shoplens.operators import neighbors, vectors
 
 
 def test_worker_code_needs_no_package(tmp_path):
     """Functions run in Python workers load where the package is not on the path."""
-    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((vectors._Best, vectors.hashed_counts)))
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((neighbors.Best, vectors.hashed_counts)))
     code = ("import pickle; best, count = pickle.load(open('f.pkl', 'rb')); "
             "print(count(['a a'], 4).max())")
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={},
