@@ -111,6 +111,7 @@ def normal_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", " "))
 
 
+FEW = 32
 _PHRASES = "array<struct<phrase:string,at:int,topic:string>>"
 
 
@@ -128,6 +129,22 @@ def phrase_table(spark: SparkSession, topics: dict[str, list[str]]) -> tuple[Col
     return F.from_json(F.lit(json.dumps(table)), f"array<{_PHRASES}>"), places, sorted(lengths)
 
 
+def _few_topics(df: DataFrame, topics: dict[str, list[str]], text: str) -> DataFrame:
+    spaced = F.concat(F.lit(" "), normal_words(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
+
+    def named(words: Column) -> Column:
+        found = []
+        for topic, phrases in topics.items():
+            hit = F.lit(False)
+            for phrase in phrases:
+                own = normal_words(F.lit(phrase))
+                hit = hit | ((own != "") & F.contains(words, F.concat(F.lit(" "), own, F.lit(" "))))
+            found.append(F.when(hit, F.lit(topic)))
+        return F.concat_ws(",", *found)
+
+    return df.withColumn("topics", F.get(F.transform(F.array(spaced), named), F.lit(0)))
+
+
 def denied_topic_flags(df: DataFrame, topics: dict[str, list[str]] | None = None,
                        text: str = "text") -> DataFrame:
     """Add `topics`: names of the topics one of whose phrases occurs in the text, in the order of `topics`.
@@ -135,9 +152,12 @@ def denied_topic_flags(df: DataFrame, topics: dict[str, list[str]] | None = None
     Texts and phrases are brought to the same form; a phrase matches as whole
     words, whatever case, spacing and punctuation. The word groups of a text, of
     the lengths that phrases have, are looked up in a hash table of the phrases,
-    so the cost of a text does not depend on their number.
+    so the cost of a text does not depend on their number. FEW phrases are
+    looked for one by one, which is cheaper and finds the same.
     """
     topics = fixed.TOPIC_TERMS if topics is None else topics
+    if sum(map(len, topics.values())) <= FEW:
+        return _few_topics(df, topics, text)
     table, places, lengths = phrase_table(df.sparkSession, topics)
     words = F.split(normal_words(F.coalesce(F.col(text), F.lit(""))), " ")
 

@@ -24,7 +24,7 @@ from shoplens.operators.dedup import first_n
 from shoplens.session import materialize
 
 SLOT_BYTES = 4 << 20            # of index vectors a task holds at a time, in doubles
-STREAM_ROWS = 1 << 20           # queries that visit one copy of a slot
+STREAM_ROWS = 1 << 14           # queries that visit one copy of a slot
 PIVOTS = 256
 RINGS = 64
 FLIPS = 12                      # signs of a bucket number that probing may change
@@ -169,21 +169,26 @@ def _stream(dimensions: int, k: int) -> Callable:
     return run
 
 
-def _visited(index: DataFrame, queries: DataFrame, k: int, dimensions: int, slot_bytes: int,
-             stream_rows: int = STREAM_ROWS, few_buckets: bool = False) -> DataFrame:
+def _slot_rows(slot_bytes: int, dimensions: int) -> int:
+    return max(1, slot_bytes // (8 * dimensions))
+
+
+def _number(rows: int, name: str) -> Column:
+    return F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(rows)), F.lit(1)).cast("int").alias(name)
+
+
+def _sizes(index: DataFrame, queries: DataFrame, dimensions: int, slot_bytes: int) -> DataFrame:
+    """Slots and copies of every bucket that has both rows and queries."""
+    return index.groupBy("bucket").agg(_number(_slot_rows(slot_bytes, dimensions), "slots")).join(
+        queries.groupBy("bucket").agg(_number(STREAM_ROWS, "copies")), "bucket")
+
+
+def _visited(index: DataFrame, queries: DataFrame, k: int, dimensions: int, sizes: DataFrame) -> DataFrame:
     """Best k of each query per slot of its buckets, as HITS.
 
     index: (bucket, key, vector, near), queries: (bucket, query_id, vector, near,
-    least). `few_buckets`: the caller vouches that a table with a row per bucket
-    may be broadcast.
+    least), sizes: (bucket, slots, copies).
     """
-    def number(rows: int, name: str) -> Column:
-        return F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(rows)), F.lit(1)).cast("int").alias(name)
-
-    slot_rows = max(1, slot_bytes // (8 * dimensions))
-    sizes = index.groupBy("bucket").agg(number(slot_rows, "slots")).join(
-        queries.groupBy("bucket").agg(number(stream_rows, "copies")), "bucket")
-    sizes = F.broadcast(sizes) if few_buckets else sizes
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -268,11 +273,11 @@ def ring_index(index: DataFrame, dimensions: int, slot_bytes: int = SLOT_BYTES,
     Pivots are rows of the index, as many as it has slots, at most `pivots`. The
     summary has at most `pivots` x RINGS rows; only it and the pivots reach the driver.
     """
-    slot_rows = max(1, slot_bytes // (8 * dimensions))
+    slot_rows = _slot_rows(slot_bytes, dimensions)
     n = index.count()
     centres = _sample(index, "key", min(pivots, max(1, -(-n // slot_rows))), dimensions)
     placed = materialize(_placed(index, centres, dimensions), "placed")
-    shares = [i / RINGS for i in range(1, RINGS)]
+    shares = [i / RINGS for i in range(1, RINGS)] if n > slot_rows else [0.5]   # else no pivot has several rings
     parts = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("low"), F.max("near").alias("high"),
                                         F.percentile_approx("near", shares, 1000).alias("shares")).collect()
     edges = {}
@@ -325,9 +330,21 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
     if not len(rings.n):
         return index.sparkSession.createDataFrame([], HITS + ", rank int")
 
+    # A small index is spread over the cores; a larger one has more slots anyway.
+    spread = -(-int(rings.n.sum()) // index.sparkSession.sparkContext.defaultParallelism)
+    rows = min(_slot_rows(slot_bytes, dimensions), max(512, spread))
+    many = queries.limit(STREAM_ROWS + 1).count() > STREAM_ROWS
+
     def hits(asked: DataFrame) -> DataFrame:
-        return _merge(_visited(placed.select("bucket", "key", "vector", "near"), asked, k, dimensions, slot_bytes,
-                               few_buckets=True), k)
+        sizes = asked.sparkSession.createDataFrame(
+            [(int(p * RINGS + r), max(1, -(-int(n) // rows))) for p, r, n in zip(rings.pivot, rings.ring, rings.n)],
+            "bucket long, slots int")
+        if many:
+            sizes = sizes.join(asked.groupBy("bucket").agg(_number(STREAM_ROWS, "copies")), "bucket")
+        else:
+            sizes = sizes.withColumn("copies", F.lit(1))
+        return _merge(_visited(placed.select("bucket", "key", "vector", "near"), asked, k, dimensions,
+                               F.broadcast(sizes)), k)      # a row per ring
 
     if len(rings.n) < 2:
         return hits(visits(queries, rings, k, dimensions, False))
@@ -346,7 +363,7 @@ def grouped_knn(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
     nothing = F.lit(0.0).alias("near")
     return _merge(_visited(left.select("bucket", "key", "vector", nothing),
                            right.select("bucket", "query_id", "vector", nothing, F.lit(float("-inf")).alias("least")),
-                           k, dimensions, slot_bytes), k)
+                           k, dimensions, _sizes(left, right, dimensions, slot_bytes)), k)
 
 
 # --- search by hashing ------------------------------------------------------
@@ -436,7 +453,7 @@ def lsh_candidates(index: DataFrame, queries: DataFrame, k: int, dimensions: int
     nothing = F.lit(0.0).alias("near")
     hits = _visited(left.select("bucket", "key", "vector", nothing),
                     right.select("bucket", "query_id", "vector", nothing, F.lit(float("-inf")).alias("least")),
-                    k + 1, dimensions, slot_bytes)
+                    k + 1, dimensions, _sizes(left, right, dimensions, slot_bytes))
     return _merge(hits.filter("key <> query_id"), k)
 
 
