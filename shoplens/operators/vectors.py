@@ -77,12 +77,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))
 
 
+UNROLLED = 256      # components up to which a sum is written out, and compiled
+
+
+def cosine_to(vector: Column, query: list[float]) -> Column:
+    """Cosine of a vector column and one query, in doubles; the query's length is computed once."""
+    own = 0.0
+    for x in query:
+        own += x * x
+    if len(query) > UNROLLED:
+        return cosine(vector, F.array(*[F.lit(x) for x in query]))
+    inner = square = F.lit(0.0)
+    for i, x in enumerate(query):
+        component = F.get(vector, F.lit(i)).cast("double")
+        inner, square = inner + component * F.lit(x), square + component * component
+    length = F.sqrt(square * F.lit(own))
+    # A vector of another length has no cosine.
+    return F.when(F.size(vector) == len(query), F.when(length > 0, inner / length).otherwise(F.lit(0.0)))
+
+
 def vector_topk(index: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     """k nearest rows of one query, with their metadata.
 
-    One vector is a literal, so scan, scoring and the ordered limit stay in the JVM.
+    One vector is a constant, so scan, scoring and the ordered limit stay in the JVM.
+    Vectors of another length rank last, without a score.
     """
-    asked = F.array(*[F.lit(float(x)) for x in query])
-    score = F.round(cosine(F.col("vector"), asked), 6)
+    score = F.round(cosine_to(F.col("vector"), [float(x) for x in query]), 6)
     return (index.withColumn("score", score).orderBy(F.desc("score"), "key").limit(k)
                  .select("key", "score", "metadata"))
