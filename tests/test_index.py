@@ -189,3 +189,57 @@ def test_prepare_then_load(spark, tmp_path):
     assert [r.key for r in joins.missing_embeddings(raw, good).collect()] == ["2"]
     assert [r.key for r in joins.orphan_embeddings(good, raw).collect()] == ["3"]
     assert [r.key for r in joins.enrich_vectors_strict(good, raw).collect()] == ["1"]
+
+
+def test_finished_results_are_read_first(spark, tmp_path):
+    """Of a folder the .jsonl.out files if there are any, else .jsonl; other files never."""
+    from shoplens.plans import jobs
+    line = '{"recordId":"%s","modelOutput":{"embedding":[1,0]}}'
+    results = tmp_path / "results" / "deep"
+    results.mkdir(parents=True)
+    (results / "a.jsonl").write_text(line % "request")
+    (results / "manifest.json.done").write_text(line % "other")
+    raw = spark.createDataFrame([("u", "CONSUMER")], "userId string, customerType string")
+    columns = [*("customerSegment", "businessUnit", "preferredCategoryL1", "preferredCategoryL2", "preferredOccasion",
+                           "preferredTheme", "priceAffinity", "discountAffinity", "region", "state")]
+    raw = raw.selectExpr("*", *[f"cast(null as string) {c}" for c in columns], *[f"cast(null as long) {c}" for c in (
+        "accountAgeDays", "lifetimeOrderCount", "daysSinceLastOrder")], *[f"cast(null as decimal(12,2)) {c}" for c in (
+            "lifetimeSpend", "avgOrderValue")], "cast(null as boolean) emailOptIn")
+    raw.write.parquet(str(tmp_path / "people"))
+    made = Index(spark, str(tmp_path), "customers")
+    load = lambda mode: jobs.load_index(spark, "customers", str(tmp_path / "results"), str(tmp_path / "people"), made, mode, 2)
+    load("upsert")
+    assert {r.key for r in made.scan().collect()} == {"request"}
+    (results / "a.jsonl.out").write_text(line % "u" + "\n" + line % "v")
+    load("append")
+    assert {r.key: r.metadata.get("customerType") for r in made.scan().collect()} == {"request": None, "u": "CONSUMER", "v": None}
+    load("replace")
+    assert {r.key for r in made.scan().collect()} == {"u", "v"}
+
+
+def test_orders_are_indexed_with_their_items(spark):
+    """Ten fields; items as text for the embedder and as JSON with plain prices; an order without items stays."""
+    import json
+    from decimal import Decimal
+
+    from shoplens.plans import jobs
+    orders = spark.createDataFrame([("1", "c", "Ann", Decimal("21.00")), ("2", "c", None, None)],
+                                   "id string, customerId string, customerName string, total decimal(12,2)").selectExpr(
+        "*", "'Shipped' status", "date'2024-01-02' orderDate", "cast(null as date) deliveryDate",
+        "cast(null as string) shippingAddress", "'gift' notes")
+    items = spark.createDataFrame([("1", 2, "p2", "Red \"kite\"", 1, Decimal("1.50")), ("1", 1, "p1", "Ball", 3, Decimal("6.00"))],
+                                  "orderId string, itemNo int, productId string, productName string, quantity long, price decimal(12,2)")
+
+    def embedder(texts, dimensions):
+        import numpy as np
+        return np.array([[len(x)] * dimensions for x in texts])
+
+    got = {r.key: r for r in jobs.build_order_vectors(orders, items, 4, embedder).collect()}
+    first = got["1"].metadata
+    assert json.loads(first["items"]) == [{"productId": "p1", "productName": "Ball", "quantity": 3, "price": 6},
+                                          {"productId": "p2", "productName": 'Red "kite"', "quantity": 1, "price": 1.5}]
+    assert set(first) == {"orderId", "customerId", "customerName", "items", "total", "status", "orderDate", "deliveryDate",
+                          "shippingAddress", "notes"} and first["total"] == "21"
+    text = ('order 1 by ann. items: ball (x3), red "kite" (x1). total: $21. status: shipped. ordered: 2024-01-02. '
+            "delivery: . address: . notes: gift")
+    assert got["1"].vector[0] == len(text) and got["2"].metadata["items"] == "[]"
