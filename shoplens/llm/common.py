@@ -50,6 +50,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def in_one_column(docs: DataFrame) -> DataFrame:
+    """Whole rows as the struct `row`, so that columns added beside it clash with none of theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4; documents of fold 2 are held out of all training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import id_and_text
+from shoplens.llm.common import id_and_text, in_one_column
 from shoplens.session import materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -85,15 +85,14 @@ def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; rows repeated whole stay once."""
-    stay = keepers(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    digest = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANKS, "").cast("binary"), 256)
-    joined = docs.withColumn("_own", digest).join(
-        stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
-    first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(
-        F.desc(F.length(F.coalesce(F.col(text_col), F.lit(""))))))
-    return joined.withColumn("_first", first).where("_first = 1").select(docs.columns)
+    """The rows that stay, with all their columns, whatever their names; rows repeated whole stay once."""
+    stay = keepers(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256")
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    digest = F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256)
+    joined = in_one_column(docs).withColumn("own", digest).join(
+        stay, F.col("row")[id_col].cast("long").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("text_sha256")))
+    first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc(F.length(text))))
+    return joined.withColumn("first", first).where("first = 1").select("row.*")
 
 
 SQL = r"""

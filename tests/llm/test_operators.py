@@ -482,3 +482,19 @@ def test_pipeline_stages(spark, docs, odd, plain):
     places = stages["packing"](spark, odd.where("doc_id <> 7"), SF)
     assert places.count() > 8
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_with_clashing_names(spark):
+    """Columns named like those the operators add, repeated rows, nulls; no n_chars."""
+    rows = [(1, "mail a@b.de", 7, "p", 1), (1, "mail a@b.de", 7, "p", 1), (2, "mail  a@b.de", 8, "q", 2), (None, None, 9, "r", 3), (3, "", 1, "s", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _base int, _plain string, first int").withColumns(
+        {c: F.lit(5) for c in ("_spans", "_loose", "own", "row", "text_sha256", "digest", "_id", "_own", "_first")})
+    kept = exact_dedup.without_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted((tuple(r) for r in kept.collect()), key=repr)
+    assert [r[:5] for r in got] == [(2, "mail  a@b.de", 8, "q", 2), (3, "", 1, "s", 4)]
+    clean = corpus_pipeline.personal_data(spark, df, SF)
+    assert clean.columns == df.columns
+    assert sorted(r.text or "" for r in clean.collect()) == ["", "", "mail  [EMAIL]", "mail [EMAIL]", "mail [EMAIL]"]
+    assert corpus_pipeline.personal_data(spark, df.limit(0), SF).collect() == []
+    assert exact_dedup.without_duplicates(df.limit(0)).collect() == []
