@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shoplens import fixed
 from shoplens.functions.text import normalize_query_text
 
+#: So many texts reach the embedder in one call.
+EMBED_ROWS = 1024
+
 Embedder = Callable[[list[str], int], np.ndarray]
 
 
@@ -29,15 +31,16 @@ def hashed_counts(texts: list[str], dimensions: int) -> np.ndarray:
     The position of a word is the first 32 bits of its MD5 modulo the dimension.
     """
     place: dict[str, int] = {}
-    rows = np.zeros((len(texts), dimensions))
-    for row, text in zip(rows, texts):
-        counts = Counter(text.split(" "))
-        counts.pop("", None)
-        for word in counts:
+    owners, places = [], []
+    for row, text in enumerate(texts):
+        words = [w for w in text.split(" ") if w]
+        for word in words:
             if word not in place:
                 place[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
-        if counts:
-            row += np.bincount([place[w] for w in counts], list(counts.values()), dimensions)
+        owners.append(np.full(len(words), row * dimensions))
+        places.extend([place[w] for w in words])
+    at = np.concatenate([np.zeros(0, np.int64), *owners]) + np.array(places, np.int64)
+    rows = np.bincount(at, minlength=len(texts) * dimensions).reshape(len(texts), dimensions).astype(float)
     lengths = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(lengths == 0, 1.0, lengths)
 
@@ -53,10 +56,15 @@ def embed_texts(df: DataFrame, text: str, dimensions: int = fixed.EMBED_DIMENSIO
     """
     embed = embedder or hashed_counts
 
-    @F.pandas_udf("array<float>")
-    def vector(texts: pd.Series) -> pd.Series:
-        rows = np.asarray(embed(texts.tolist(), dimensions), dtype="float32")
-        return pd.Series(list(rows))
+    @F.arrow_udf("array<float>")
+    def vector(texts: pa.Array) -> pa.Array:
+        parts = []
+        for start in range(0, len(texts), EMBED_ROWS):
+            some = texts.slice(start, EMBED_ROWS).to_pylist()
+            rows = np.asarray(embed(some, dimensions), dtype="float32")
+            starts = np.arange(0, rows.size + 1, rows.shape[1], dtype="int32")
+            parts.append(pa.ListArray.from_arrays(starts, rows.ravel()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
     normal = normalize_query_text(F.coalesce(F.col(text), F.lit("")))
     if not distinct:

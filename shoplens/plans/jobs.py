@@ -206,11 +206,16 @@ def _note_key() -> Column:
     return F.concat("namespace", F.lit("\x1f"), F.col("noteId").cast("string"))
 
 
-def facet_line(facets: DataFrame, facet: str, limit: int) -> Column:
-    """The first values of a facet as one text, the same for every row."""
-    few = facets.filter((F.col("facet") == facet) & (F.col("rank") <= limit))
+def facet_lines(facets: DataFrame, limits: dict[str, int]) -> Column:
+    """The first values of some facets as one text each, a map that is the same for every row.
+
+    All facets come from one subquery; a facet without values has no entry.
+    """
+    allowed = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("facet"))
+    few = facets.filter(F.col("rank") <= allowed)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "value")))
-    return few.select(F.array_join(F.transform(ordered, lambda x: x["value"]), ", ")).scalar()
+    lines = few.groupBy("facet").agg(F.array_join(F.transform(ordered, lambda x: x["value"]), ", ").alias("line"))
+    return lines.select(F.map_from_entries(F.collect_list(F.struct("facet", "line")))).scalar()
 
 
 def customer_context(profiles: DataFrame, recent: DataFrame, facets: DataFrame,
@@ -225,12 +230,13 @@ def customer_context(profiles: DataFrame, recent: DataFrame, facets: DataFrame,
     history = lines.groupBy("userId").agg(
         F.array_join(F.transform(ordered, lambda x: x["_line"]), "\n").alias("_history"))
     rows = profiles.join(history, "userId", "left")
+    line = facet_lines(facets, {"themes": 8, "occasions": 8, "categories": 6})
     filled = tx.fill_placeholders(template, {
         "PROFILE_CONTEXT": tx.format_profile(),
         "PROFILE_TIPS": tx.profile_tips(),
         "INTERACTION_HISTORY": F.coalesce("_history", F.lit(fixed.NO_HISTORY_TEXT)),
-        "THEMES": facet_line(facets, "themes", 8),
-        "OCCASIONS": facet_line(facets, "occasions", 8),
-        "CATEGORIES": facet_line(facets, "categories", 6),
+        "THEMES": line["themes"],
+        "OCCASIONS": line["occasions"],
+        "CATEGORIES": line["categories"],
     })
     return rows.select("userId", filled.alias("context"))

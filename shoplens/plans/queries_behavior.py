@@ -196,9 +196,9 @@ _FEATURES = f"""SELECT customerId, count(*) AS n, sum(total) AS spend,
     FROM f LEFT JOIN best b ON b.customerId = f.customerId AND b.rn = 1
     LEFT JOIN topics m ON m.customerId = f.customerId AND m.rn = 1""")
 def _customer_features(spark, d):
-    orders = t.orders(spark, d)
+    orders = t.order_keys(spark, d)
     features = cu.customer_features(orders, t.AS_OF_DATE)
-    bought = (t.items(spark, d)
+    bought = (t.item_keys(spark, d)
               .join(orders.select(F.col("id").alias("orderId"), "customerId"), "orderId")
               .join(t.products(spark, d).select(F.col("id").alias("productId"), "categoryL1",
                                                 "theme"), "productId"))
@@ -217,7 +217,7 @@ def _customer_features(spark, d):
         WHEN value >= 260000 THEN 'HIGH' WHEN value >= 220000 THEN 'MID' ELSE 'LOW' END
         AS priceAffinity FROM s""")
 def _customer_segments(spark, d):
-    features = cu.customer_features(t.orders(spark, d), t.AS_OF_DATE)
+    features = cu.customer_features(t.order_keys(spark, d), t.AS_OF_DATE)
     return cu.customer_segments(features, 15, 250000, 200000, 260000, 220000).select(
         "customerId", "customerSegment", "priceAffinity")
 

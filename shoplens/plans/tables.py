@@ -90,6 +90,19 @@ def interactions_of(events: DataFrame) -> DataFrame:
         "case when event_id % 3 = 0 then 'Trending Now' end recommendationId")
 
 
+def order_keys(spark, d) -> DataFrame:
+    """Orders with the columns that need no other table."""
+    return table(spark, d, "orders").selectExpr(
+        "cast(o_orderkey as string) id", "cast(o_custkey as string) customerId",
+        "cast(o_totalprice as decimal(12,2)) total", "cast(o_orderdate as date) orderDate")
+
+
+def item_keys(spark, d) -> DataFrame:
+    """Order and product of every item."""
+    return table(spark, d, "lineitem").selectExpr(
+        "cast(l_orderkey as string) orderId", "cast(l_partkey as string) productId")
+
+
 def orders(spark, d) -> DataFrame:
     customer = table(spark, d, "customer").selectExpr("c_custkey", "c_name")
     return (table(spark, d, "orders").join(customer, F.expr("o_custkey = c_custkey"), "left")
