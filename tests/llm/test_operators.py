@@ -417,6 +417,26 @@ def test_pii(spark, docs, plain, odd, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_of_dense_and_long_texts(spark):
+    """Tens of thousands of spans in one text, and neighbourhoods across the edges of pieces."""
+    dense = "".join(f"u{i}@x{i}.org, " for i in range(20000))
+    edges = ["é" * n + ("tel " if n % 2 else "abc") + "a@b.cd" + ("z" if n % 3 else " ") * 30
+             for n in (0, 1, 200, 224, 230, 232, 240, 245, 248, 249, 250, 256, 16350, 16378, 16384)]
+    edges += ["é" * n + "1.2.3.4" for n in (249, 16377, 16384)] + ["1.2.3.4"]
+    df = spark.createDataFrame(list(enumerate(edges)), "doc_id long, text string")
+    place = {name: i for i, name in enumerate(pii.FEATURES)}
+    for r in pii.candidates(df).collect():
+        for c in r._plain:
+            text = edges[r.doc_id]
+            around = [text[max(c.start - 1, 0):c.start], text[c.stop:c.stop + 1]]
+            assert [c.x[place["joined_before"]], c.x[place["joined_after"]]] == [float(a.isalnum()) for a in around]
+            assert c.x[place["keyword"]] == float(bool(re.search("tel|mail", text[max(c.start - 24, 0):c.start])))
+    big = spark.createDataFrame([(1, dense)], "doc_id long, text string")
+    none = pii.Trees(None, 1.0)
+    assert [r.text for r in pii.redact(big, none).collect()] == ["[EMAIL], " * 20000]
+    assert pii.report(big, none).first().n_email == 20000
+
+
 def test_languages(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
