@@ -217,7 +217,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: st
     id counts as the smallest number. Returns doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs), kept_sha256, with `with_text` also the bytes kept.
     A sampled gram with more than `most` contexts is judged string by string.
+    `length` may exceed `gram` by 63 at most, as the answers are words of 64 bits;
+    other lengths are refused.
     """
+    if not 0 <= length - gram <= 63:
+        raise ValueError(f"length {length} must exceed gram {gram} by 0 to 63")
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     null_id = -(1 << 63)

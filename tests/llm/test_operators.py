@@ -338,6 +338,8 @@ def test_repeats(spark, odd, empty):
         got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(df, block_bytes=size, buckets=3).collect()}
         assert got == removed(rows)
     assert repeats.remove_repeats(empty).collect() == []
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(df, length=100)
     assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(odd).collect()}[7] == 0
 
 
