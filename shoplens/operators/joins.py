@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shoplens.operators.numbering import marked, marks
+
 
 def valid_embeddings(results: DataFrame) -> DataFrame:
     """Result rows with an id and a vector and without an error, as `(key, vector)`."""
@@ -27,15 +29,26 @@ def _usable() -> Column:
     return F.col("error").isNull() & _filled(F.col("recordId")) & has_vector
 
 
+def _merged(raw: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Raw rows that may have a vector, for a join that sorts and merges.
+
+    A bitmap of the keys spares the other rows their map and the shuffle. Spark
+    takes a map for 68 bytes whatever it holds, and a file of few distinct
+    values for its packed size: by these figures a table of any size is broadcast.
+    """
+    known = raw.select("key", "metadata").filter(marked(F.col("key"), marks(embeddings.select("key"))))
+    return known.hint("merge")
+
+
 def enrich_vectors(embeddings: DataFrame, raw: DataFrame, id_name: str = "id") -> DataFrame:
     """Attach `raw(key, metadata)`; a missing raw row leaves a placeholder map."""
     placeholder = F.create_map(F.lit(id_name), F.col("key"))
-    return embeddings.join(raw.select("key", "metadata"), "key", "left").withColumn(
+    return embeddings.join(_merged(raw, embeddings), "key", "left").withColumn(
         "metadata", F.coalesce("metadata", placeholder))
 
 
 def enrich_vectors_strict(embeddings: DataFrame, raw: DataFrame) -> DataFrame:
-    return embeddings.join(raw.select("key", "metadata"), "key")
+    return embeddings.join(_merged(raw, embeddings), "key")
 
 
 def missing_embeddings(raw: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -78,8 +78,9 @@ def load_index(spark: SparkSession, entity: str, results_path: str, raw_path: st
     results, _ = files.split_bad(
         files.read_jsonl_lenient(spark, results_path, schemas.EMBED_RESULT, pattern))
     raw = vectors_of(spark.read.parquet(raw_path), entity)
-    index.write(enrich_vectors(valid_embeddings(results), raw, ENTITIES[entity][5]),
-                mode, dimensions)
+    # Read twice, for their keys and for the join, but parsed once.
+    good = materialize(valid_embeddings(results), "results")
+    index.write(enrich_vectors(good, raw, ENTITIES[entity][5]), mode, dimensions)
 
 
 def build_vectors(rows: DataFrame, entity: str, dimensions: int,

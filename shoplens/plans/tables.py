@@ -140,9 +140,10 @@ def vectors(spark, d) -> DataFrame:
 def product_index(spark, d) -> DataFrame:
     """Vectors of the parts with their metadata."""
     from shoplens.functions.metadata import product_metadata
+    from shoplens.operators.joins import enrich_vectors_strict
     rows = products(spark, d).select(F.col("id").alias("key"),
                                      product_metadata().alias("metadata"))
-    return vectors(spark, d).select("key", "vector").join(rows, "key")
+    return enrich_vectors_strict(vectors(spark, d).select("key", "vector"), rows)
 
 
 def result_lines(spark, d) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoplens.functions import clean, text as tx
-from shoplens.operators import ledger
+from shoplens.operators import joins, ledger
 from shoplens.operators.numbering import marked, marks, numbered
 from shoplens.plans import jobs
 from shoplens.sources import files, sinks
@@ -102,3 +102,15 @@ def test_quoted_line_breaks_over_splits(spark, tmp_path, split):
     (tmp_path / "d.csv").write_text("ID,OTHER,NOTE\n1,2,3\n")
     with pytest.raises(Exception, match="another CSV header"):
         files.read_messy_csv(spark, str(tmp_path), multi_line=True).collect()
+
+
+def test_metadata_maps_are_never_broadcast(spark, rows):
+    raw = spark.range(50).select(F.col("id").cast("string").alias("key"),
+                                 F.create_map(F.lit("a"), F.col("id").cast("string")).alias("metadata"))
+    some = spark.range(45, 55).select(F.col("id").cast("string").alias("key"), F.array(F.lit(1.0)).alias("vector"))
+    strict, lenient = joins.enrich_vectors_strict(some, raw), joins.enrich_vectors(some, raw)
+    assert [r[0] for r in rows(strict)] == ["45", "46", "47", "48", "49"]
+    assert dict(r[::2] for r in rows(lenient)) == {
+        **{str(i): {"a": str(i)} for i in range(45, 50)}, **{str(i): {"id": str(i)} for i in range(50, 55)}}
+    for df in (strict, lenient):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
