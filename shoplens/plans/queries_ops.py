@@ -124,11 +124,17 @@ def _alert_rules(spark, d):
 
 # --- streams ----------------------------------------------------------------
 
+def file_stream(spark, d, name: str) -> DataFrame:
+    """A table as a file stream, be it one file or a folder of files.
+
+    A stream takes a plain path for a folder; a pattern may also be that of one file.
+    """
+    return spark.readStream.schema(t.table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def event_stream(spark, d) -> DataFrame:
     """The events as a file stream."""
-    schema = t.table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return _interactions_of(rows)
+    return _interactions_of(file_stream(spark, d, "events"))
 
 
 def _interactions_of(rows: DataFrame) -> DataFrame:
@@ -172,10 +178,7 @@ def _stream_event_counts(spark, d):
     HAVING max("timestamp") // 1000 + 1800 <= (SELECT max("timestamp") // 1000 - 3600 FROM msgs)""")
 def _stream_sessions(spark, d):
     out = work_dir(spark, "stream-sessions")
-    schema = t.table(spark, d, "conversations").schema
-    rows = (spark.readStream.schema(schema)
-            .option("pathGlobFilter", "conversations.parquet").parquet(d))
-    messages = rows.selectExpr(
+    messages = file_stream(spark, d, "conversations").selectExpr(
         "concat('actor-', conv_id % 20) actorId", "concat('session-', conv_id) sessionId",
         "upper(role) role", "text content", "turn",
         f"timestamp_millis({t.BASE_MS} + conv_id * 7200000 + turn * 1500000) ts")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shoplens.operators.behavior import recent_n_per_user
 from shoplens.operators.dedup import first_n
+from shoplens.plans import queries_ops
 from shoplens.streaming import streams as st
 
 SCHEMA = "eventId long, ts timestamp_ntz, userId string, eventType string"
@@ -87,3 +88,18 @@ def test_sessions_split_on_silence(spark, tmp_path, feed):
         F.col("eventId").alias("turn"), "ts")
     got = run(spark, tmp_path, st.stream_sessions(messages, "30 minutes")).orderBy("started")
     assert [(r.n_events, r.firstPrompt) for r in got.collect()] == [(2, "1"), (1, "3")]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_sessions_of_a_table_of_several_files(spark, tmp_path, files):
+    """A table may be one file or a folder of files of any name."""
+    path = str(tmp_path / "conversations.parquet")
+    rows = spark.range(40).selectExpr("id div 4 conv_id", "cast(id % 4 as int) turn", "'user' role",
+                                      "concat('text ', id) text").repartition(files)
+    if files == 1:
+        rows.toPandas().astype({"turn": "int32"}).to_parquet(path, index=False)
+    else:
+        rows.write.parquet(path)
+    got = queries_ops._stream_sessions(spark, str(tmp_path)).collect()
+    assert sorted((r.sessionId, r.n_events, r.firstPrompt) for r in got) == sorted(
+        (f"session-{c}", 4, f"text {4 * c}") for c in range(9))
