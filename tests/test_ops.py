@@ -105,6 +105,19 @@ def test_latency_sketches_add_up(spark):
     assert "responseTime" not in plan       # the log itself was read before, once
 
 
+def test_percentiles_of_many_requests_are_exact(spark):
+    """More latencies than a sketch holds, in every process and window."""
+    values = [(i * 7919) % 50021 for i in range(50000)]
+    lines = spark.createDataFrame([(i * 0.07, "ab"[i % 2], f"request completed status=200 responseTime={v}")
+                                   for i, v in enumerate(values)], "s double, process string, line string")
+    lines = lines.selectExpr("timestamp_seconds(s) ts", "process", "line")
+    ordered = sorted(values)
+    for row in (lo.log_metrics(lines, 60).first(), lo.roll_up_counts(lo.latency_counts(lines, 5), 60).first()):
+        assert row.requests == 50000
+        assert (row.latency_p50_ms, row.latency_p95_ms, row.latency_p99_ms) == (
+            ordered[24999], ordered[47499], ordered[49499])
+
+
 def test_reach_from_daily_sketches(spark):
     """Any period from stored days, within three standard errors of the exact count."""
     events = spark.range(60000).selectExpr(
