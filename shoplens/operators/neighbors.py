@@ -24,7 +24,10 @@ from shoplens.operators.dedup import first_n
 from shoplens.session import materialize
 
 SLOT_BYTES = 4 << 20            # of index vectors a task holds at a time, in doubles
+FEW_SLOTS = 128                 # smaller slots grow until an index has so few, or they have SLOT_BYTES
 STREAM_ROWS = 1 << 14           # queries that visit one copy of a slot
+BATCH_ROWS = 1 << 14            # visits of queries that leave a task at a time
+PLAN_CELLS = 1 << 20            # of a batch of queries by rings
 PIVOTS = 256
 RINGS = 64
 FLIPS = 12                      # signs of a bucket number that probing may change
@@ -45,15 +48,17 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
 
 
 def _units(df: DataFrame, name: str, dimensions: int, schema: str,
-           per_batch: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], *extra: str) -> DataFrame:
-    """`per_batch(rows, unit vectors)` on the searchable rows `(name, vector, *extra)`."""
+           per_batch: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], *extra: str,
+           at_once: int = 1 << 30) -> DataFrame:
+    """`per_batch(rows, unit vectors)` on the searchable rows `(name, vector, *extra)`, `at_once` of them at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, at_once):
+                batch = whole.slice(at, at_once)
                 rows = _matrix(batch.column("vector"), dimensions)
                 finite = np.isfinite(rows).all(axis=1)
                 if finite.any():
-                    yield per_batch(batch.filter(pa.array(finite)), unit_rows(rows[finite]))
+                    yield from per_batch(batch.filter(pa.array(finite)), unit_rows(rows[finite]))
 
     return (df.filter(F.size("vector") == dimensions)
             .select(F.col(name).cast("string").alias(name), F.col("vector").cast("array<float>").alias("vector"), *extra)
@@ -66,6 +71,13 @@ def _with(batch: pa.RecordBatch, **columns: np.ndarray) -> pa.RecordBatch:
     return batch
 
 
+def _repeated(batch: pa.RecordBatch, rows: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch by number, with new columns, BATCH_ROWS at a time: a query may visit very many places."""
+    for at in range(0, len(rows), BATCH_ROWS):
+        some = slice(at, at + BATCH_ROWS)
+        yield _with(batch.take(pa.array(rows[some])), **{name: values[some] for name, values in columns.items()})
+
+
 # --- what a task does -------------------------------------------------------
 
 class Best:
@@ -140,7 +152,7 @@ class Slot:
         return best.rows()
 
 
-def _stream(dimensions: int, k: int) -> Callable:
+def _stream(dimensions: int, k: int, held: Callable = Slot) -> Callable:
     """Rows come sorted by place, index rows of a place before its queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, slot = None, [], None
@@ -163,14 +175,16 @@ def _stream(dimensions: int, k: int) -> Callable:
                 if not batch.column("kind")[a].as_py():
                     parts.append((ids[a:b], units[a:b], near[a:b]))
                 elif parts:
-                    slot = slot or Slot(*(np.concatenate(x) for x in zip(*parts)))
+                    slot = slot or held(*(np.concatenate(x) for x in zip(*parts)))
                     yield slot.search(ids[a:b], units[a:b], near[a:b], least[a:b], k)
 
     return run
 
 
-def _slot_rows(slot_bytes: int, dimensions: int) -> int:
-    return max(1, slot_bytes // (8 * dimensions))
+def _slot_rows(slot_bytes: int, dimensions: int, n: int = 0) -> int:
+    """Rows of a slot in an index of `n` rows: a query carries its vector to every slot it visits."""
+    most = max(slot_bytes, SLOT_BYTES) // (8 * dimensions)
+    return max(1, slot_bytes // (8 * dimensions), min(most, n // FEW_SLOTS))
 
 
 def _number(rows: int, name: str) -> Column:
@@ -183,7 +197,8 @@ def _sizes(index: DataFrame, queries: DataFrame, dimensions: int, slot_bytes: in
         queries.groupBy("bucket").agg(_number(STREAM_ROWS, "copies")), "bucket")
 
 
-def _visited(index: DataFrame, queries: DataFrame, k: int, dimensions: int, sizes: DataFrame) -> DataFrame:
+def _visited(index: DataFrame, queries: DataFrame, k: int, dimensions: int, sizes: DataFrame,
+             held: Callable = Slot) -> DataFrame:
     """Best k of each query per slot of its buckets, as HITS.
 
     index: (bucket, key, vector, near), queries: (bucket, query_id, vector, near,
@@ -203,7 +218,7 @@ def _visited(index: DataFrame, queries: DataFrame, k: int, dimensions: int, size
         "bucket", every("slots").alias("slot"), one_of("query_id", "copies").alias("copy"), F.lit(1).alias("kind"),
         F.col("query_id").alias("id"), "vector", "near", "least")
     dealt = left.union(right).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "kind")
-    return dealt.mapInArrow(_stream(dimensions, k), HITS)
+    return dealt.mapInArrow(_stream(dimensions, k, held), HITS)
 
 
 def _merge(hits: DataFrame, k: int) -> DataFrame:
@@ -249,7 +264,7 @@ class Rings:
 
 def _sample(df: DataFrame, name: str, n: int, dimensions: int) -> np.ndarray:
     """The unit vectors of at most `n` rows, chosen by a hash of their key."""
-    keep = _units(df, name, dimensions, "id string, vector array<float>", lambda batch, _: batch.rename_columns(["id", "vector"]))
+    keep = _units(df, name, dimensions, "id string, vector array<float>", lambda batch, _: iter([batch.rename_columns(["id", "vector"])]))
     rows = keep.orderBy(F.xxhash64("id"), "id").limit(n).collect()
     return unit_rows(np.array([r.vector for r in rows], "float64").reshape(-1, dimensions))
 
@@ -258,10 +273,10 @@ def _placed(index: DataFrame, pivots: np.ndarray, dimensions: int) -> DataFrame:
     """Index rows with their nearest pivot and the distance to it."""
     centres = Rings(pivots, [])
 
-    def place(batch: pa.RecordBatch, units: np.ndarray) -> pa.RecordBatch:
+    def place(batch: pa.RecordBatch, units: np.ndarray) -> Iterator[pa.RecordBatch]:
         away = centres.distances(units, True)
         own = away.argmin(axis=1)
-        return _with(batch, pivot=own, near=away[np.arange(len(own)), own])
+        yield _with(batch, pivot=own, near=away[np.arange(len(own)), own])
 
     return _units(index, "key", dimensions, "key string, vector array<float>, pivot long, near double", place)
 
@@ -273,8 +288,8 @@ def ring_index(index: DataFrame, dimensions: int, slot_bytes: int = SLOT_BYTES,
     Pivots are rows of the index, as many as it has slots, at most `pivots`. The
     summary has at most `pivots` x RINGS rows; only it and the pivots reach the driver.
     """
-    slot_rows = _slot_rows(slot_bytes, dimensions)
     n = index.count()
+    slot_rows = _slot_rows(slot_bytes, dimensions, n)
     centres = _sample(index, "key", min(pivots, max(1, -(-n // slot_rows))), dimensions)
     placed = materialize(_placed(index, centres, dimensions), "placed")
     shares = [i / RINGS for i in range(1, RINGS)] if n > slot_rows else [0.5]   # else no pivot has several rings
@@ -300,7 +315,7 @@ def visits(queries: DataFrame, rings: Rings, k: int, dimensions: int, again: boo
     First those that surely hold k rows. With `again`, queries carry the score of
     their k-th best row so far as `least`, and visit all others within its reach.
     """
-    def plan(batch: pa.RecordBatch, units: np.ndarray) -> pa.RecordBatch:
+    def plan(batch: pa.RecordBatch, units: np.ndarray) -> Iterator[pa.RecordBatch]:
         away = rings.distances(units, False)
         chosen, far = rings.first(away, k)
         least = 1 - far * far / 2 - 1e-6
@@ -309,11 +324,12 @@ def visits(queries: DataFrame, rings: Rings, k: int, dimensions: int, again: boo
             batch = batch.drop_columns(["least"])
             chosen = ~chosen & (rings.bounds(away)[0] <= reach(least)[:, None])
         query, ring = np.nonzero(chosen)
-        return _with(batch.take(pa.array(query)), bucket=rings.pivot[ring] * RINGS + rings.ring[ring],
-                     near=away[query, rings.pivot[ring]], least=least[query])
+        yield from _repeated(batch, query, bucket=rings.pivot[ring] * RINGS + rings.ring[ring],
+                             near=away[query, rings.pivot[ring]], least=least[query])
 
     return _units(queries, "query_id", dimensions, "query_id string, vector array<float>, bucket long, near double, "
-                  "least double", plan, *(["least"] if again else []))
+                  "least double", plan, *(["least"] if again else []),
+                  at_once=max(1, PLAN_CELLS // max(len(rings.n), len(rings.pivots))))
 
 
 def knn_join(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
@@ -331,8 +347,9 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
         return index.sparkSession.createDataFrame([], HITS + ", rank int")
 
     # A small index is spread over the cores; a larger one has more slots anyway.
-    spread = -(-int(rings.n.sum()) // index.sparkSession.sparkContext.defaultParallelism)
-    rows = min(_slot_rows(slot_bytes, dimensions), max(512, spread))
+    n = int(rings.n.sum())
+    spread = -(-n // index.sparkSession.sparkContext.defaultParallelism)
+    rows = min(_slot_rows(slot_bytes, dimensions, n), max(512, spread))
     many = queries.limit(STREAM_ROWS + 1).count() > STREAM_ROWS
 
     def hits(asked: DataFrame) -> DataFrame:
@@ -357,9 +374,9 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
 def grouped_knn(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
                 slot_bytes: int = SLOT_BYTES) -> DataFrame:
     """Exact k nearest among the rows with the query's own `bucket`."""
-    left = _units(index, "key", dimensions, "key string, vector array<float>, bucket string", lambda batch, _: batch, "bucket")
+    left = _units(index, "key", dimensions, "key string, vector array<float>, bucket string", lambda batch, _: iter([batch]), "bucket")
     right = _units(queries, "query_id", dimensions, "query_id string, vector array<float>, bucket string",
-                   lambda batch, _: batch, "bucket")
+                   lambda batch, _: iter([batch]), "bucket")
     nothing = F.lit(0.0).alias("near")
     return _merge(_visited(left.select("bucket", "key", "vector", nothing),
                            right.select("bucket", "query_id", "vector", nothing, F.lit(float("-inf")).alias("least")),
@@ -446,29 +463,82 @@ def lsh_candidates(index: DataFrame, queries: DataFrame, k: int, dimensions: int
     bucket, so its signature is computed once; no row of a bucket is left out.
     A key equal to the query's id is the query itself and is not returned.
     """
-    signs = Probes(lsh_planes(bits or lsh_bits(index.count()), dimensions, seed))
+    rows = index.count()
+    signs = Probes(lsh_planes(bits or lsh_bits(rows), dimensions, seed))
     if probes is None:
         probes = tuned_probes(index, queries, k, dimensions, signs, recall, sample)
-    left, right = lsh_buckets(index, queries, dimensions, signs, probes)
-    nothing = F.lit(0.0).alias("near")
-    hits = _visited(left.select("bucket", "key", "vector", nothing),
-                    right.select("bucket", "query_id", "vector", nothing, F.lit(float("-inf")).alias("least")),
-                    k + 1, dimensions, _sizes(left, right, dimensions, slot_bytes))
+    left, right = lsh_groups(index, queries, dimensions, signs, probes, rows, slot_bytes)
+    # One row per group, of which there are as many as the index has slots.
+    sizes = F.broadcast(_sizes(left, right, dimensions, slot_bytes))
+    hits = _visited(left, right, k + 1, dimensions, sizes, lambda *held: ProbedSlot(signs, probes, *held))
     return _merge(hits.filter("key <> query_id"), k)
 
 
 def lsh_buckets(index: DataFrame, queries: DataFrame, dimensions: int, signs: Probes,
                 probes: int) -> tuple[DataFrame, DataFrame]:
     """Index rows with their bucket, and each query once per bucket it probes."""
-    def own(batch: pa.RecordBatch, units: np.ndarray) -> pa.RecordBatch:
-        return _with(batch, bucket=signs.codes(signs.margins(units)))
+    def own(batch: pa.RecordBatch, units: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _with(batch, bucket=signs.codes(signs.margins(units)))
 
-    def probed(batch: pa.RecordBatch, units: np.ndarray) -> pa.RecordBatch:
-        margins = signs.margins(units)
-        found = [signs.buckets(margins[i:i + 256], probes) for i in range(0, len(margins), 256)]
-        found = np.concatenate(found)
-        rows = np.repeat(np.arange(len(found)), found.shape[1])
-        return _with(batch.take(pa.array(rows)), bucket=found.ravel())
+    def probed(batch: pa.RecordBatch, units: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = signs.buckets(signs.margins(units), probes)
+        yield from _repeated(batch, np.repeat(np.arange(len(found)), found.shape[1]), bucket=found.ravel())
 
     return (_units(index, "key", dimensions, "key string, vector array<float>, bucket long", own),
-            _units(queries, "query_id", dimensions, "query_id string, vector array<float>, bucket long", probed))
+            _units(queries, "query_id", dimensions, "query_id string, vector array<float>, bucket long", probed,
+                   at_once=256))
+
+
+def lsh_groups(index: DataFrame, queries: DataFrame, dimensions: int, signs: Probes, probes: int, rows: int,
+               slot_bytes: int = SLOT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Index rows with the group of their bucket, and each query once per group it probes a bucket of.
+
+    A group is as many buckets as fill a slot, so a query that probes thousands
+    of buckets takes its vector to few places. A row's bucket goes along as `near`.
+    """
+    groups = max(1, min(1 << signs.bits, -(-rows // _slot_rows(slot_bytes, dimensions, rows))))
+
+    def own(batch: pa.RecordBatch, units: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes = signs.codes(signs.margins(units))
+        yield _with(batch, bucket=codes % groups, near=codes.astype("float64"))
+
+    def probed(batch: pa.RecordBatch, units: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = signs.buckets(signs.margins(units), probes) % groups
+        wanted = np.zeros((len(found), groups), bool)
+        np.put_along_axis(wanted, found, True, axis=1)
+        query, group = np.nonzero(wanted)
+        yield from _repeated(batch, query, bucket=group)
+
+    schema = "vector array<float>, bucket long"
+    left = _units(index, "key", dimensions, f"key string, {schema}, near double", own)
+    right = _units(queries, "query_id", dimensions, f"query_id string, {schema}", probed, at_once=256)
+    return left.select("bucket", "key", "vector", "near"), right.select(
+        "bucket", "query_id", "vector", F.lit(0.0).alias("near"), F.lit(float("-inf")).alias("least"))
+
+
+class ProbedSlot:
+    """Some index rows of a group of buckets; a query is compared with those in the buckets it probes."""
+
+    QUERIES = 256
+
+    def __init__(self, signs: Probes, probes: int, keys: np.ndarray, rows: np.ndarray, codes: np.ndarray):
+        order = np.argsort(codes, kind="stable")
+        self.signs, self.probes, self.keys, self.rows = signs, probes, keys[order], rows[order]
+        self.buckets, self.of = np.unique(codes[order].astype(np.int64), return_inverse=True)
+
+    def search(self, ids, queries: np.ndarray, near: np.ndarray, least: np.ndarray, k: int) -> pa.RecordBatch:
+        best = Best(ids, k, least)
+        for at in range(0, len(queries), self.QUERIES):
+            units = queries[at:at + self.QUERIES]
+            found = self.signs.buckets(self.signs.margins(units), self.probes)
+            place = np.minimum(np.searchsorted(self.buckets, found), len(self.buckets) - 1)
+            query, probe = np.nonzero(self.buckets[place] == found)
+            held = np.zeros((len(units), len(self.buckets)), bool)
+            held[query, place[query, probe]] = True
+            many = held.mean() > 0.1
+            scores = units @ self.rows.T if many else None
+            for i in np.flatnonzero(held.any(axis=1)):
+                some = np.flatnonzero(held[i][self.of])
+                row = scores[i, some] if many else self.rows[some] @ units[i]
+                best._slice(np.array([at + i]), row[None, :], self.keys[some])
+        return best.rows()

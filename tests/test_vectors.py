@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,25 @@ def test_hashed_embedding_is_unit(spark):
     df = spark.createDataFrame([("a b b",), ("",)], "t string")
     got = [np.linalg.norm(r.vector) for r in embed_texts(df, "t", 16).orderBy("t").collect()]
     assert got == pytest.approx([0.0, 1.0])
+
+
+def test_visits_leave_in_bounded_batches():
+    """A query that visits very many places is not expanded in one batch."""
+    batch = pa.RecordBatch.from_pydict({"query_id": ["a", "b"], "vector": [[1.0, 0.0], [0.0, 1.0]]})
+    rows = np.repeat([0, 1], 3 * nb.BATCH_ROWS // 2 + 1)
+    parts = list(nb._repeated(batch, rows, bucket=np.arange(len(rows))))
+    assert max(p.num_rows for p in parts) <= nb.BATCH_ROWS
+    assert np.concatenate([p.column("bucket") for p in parts]).tolist() == list(range(len(rows)))
+    assert sum(p.column("query_id").to_pylist().count("a") for p in parts) == len(rows) // 2
+
+
+def test_queries_go_to_groups_of_buckets(spark):
+    """Probing most of 128 buckets takes a query to the few slots of the index, not to every bucket."""
+    rows = spark.createDataFrame([(str(i), [float(x) for x in v]) for i, v in enumerate(
+        np.random.default_rng(3).standard_normal((1024, 16)))], "key string, vector array<float>")
+    asked = rows.withColumnRenamed("key", "query_id").limit(50)
+    signs = nb.Probes(nb.lsh_planes(nb.lsh_bits(1024), 16))
+    stored, sent = nb.lsh_groups(rows, asked, 16, signs, 90, 1024, slot_bytes=8 * 16 * 256)
+    assert stored.count() == 1024 and stored.select("bucket").distinct().count() == 4
+    assert sent.count() <= 50 * 4
+    assert nb.lsh_buckets(rows, asked, 16, signs, 90)[1].count() == 50 * 90
