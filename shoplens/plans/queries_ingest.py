@@ -758,11 +758,13 @@ def _prepare_batch(spark, d):
     out = None
     for entity in _PREPARED:
         folder = work_dir(spark, "prepared")
-        run = jobs.prepare_batch(spark, entity, entity_csv(spark, d, entity, 2), folder, CHUNK)
+        run = jobs.prepare_batch(spark, entity, entity_csv(spark, d, entity, 2), folder, CHUNK).first()
         text = F.col("modelInput.inputText") if entity != "interactions" else F.lit(None).cast("string")
         lines = spark.read.schema(shape).json(f"{folder}/chunks").select(
-            F.lit(entity).alias("dataType"), "recordId", text.alias("inputText"))
-        lines = lines.join(run.select("dataType", "totalRecords", "duplicatesRemoved", "chunkCount"), "dataType")
+            F.lit(run.dataType).alias("dataType"), "recordId", text.alias("inputText"),
+            F.lit(run.totalRecords).cast("long").alias("totalRecords"),
+            F.lit(run.duplicatesRemoved).cast("long").alias("duplicatesRemoved"),
+            F.lit(run.chunkCount).cast("int").alias("chunkCount"))
         out = lines if out is None else out.unionByName(lines)
     return out
 

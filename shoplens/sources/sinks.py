@@ -8,6 +8,9 @@ from shoplens import fixed
 from shoplens.operators.numbering import numbered
 
 
+TASK_LINES = 1 << 16            # that one task writes, in as many chunks
+
+
 def chunk_count(rows: int, chunk_size: int = fixed.CHUNK_SIZE) -> int:
     return max(1, -(-rows // chunk_size))
 
@@ -17,13 +20,16 @@ def write_request_chunks(df: DataFrame, path: str, line: str = "line",
     """One JSON line per record in files of exactly `chunk_size` lines; only the last may be shorter.
 
     Records are numbered and a chunk is a range of numbers, so a retried task
-    writes the same chunk. Returns the number of files (one, empty, for no rows).
+    writes the same chunks. A task has whole chunks, several if they are small.
+    Returns the number of files (one, empty, for no rows).
     """
     rows, total = numbered(df.select(F.col(line).alias("value")), "_number", "chunk-lines")
     chunks = chunk_count(total, chunk_size)
-    chunk = F.floor(F.col("_number") / F.lit(chunk_size)).cast("int")
-    (rows.repartitionById(chunks, chunk).sortWithinPartitions("_number").select("value")
-         .write.mode("overwrite").text(path))
+    share = -(-chunks // df.sparkSession.sparkContext.defaultParallelism)
+    each = max(1, min(share, TASK_LINES // chunk_size, 999))        # so names keep the order of the chunks
+    task = F.floor(F.col("_number") / F.lit(chunk_size * each)).cast("int")
+    (rows.repartitionById(-(-chunks // each), task).sortWithinPartitions("_number").select("value")
+         .write.mode("overwrite").option("maxRecordsPerFile", chunk_size).text(path))
     return chunks
 
 

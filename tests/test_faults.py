@@ -58,6 +58,15 @@ def test_chunks_are_full_but_for_the_last(spark, tmp_path, n, parts):
     assert sorted(int(x) for chunk in lines for x in chunk) == list(range(n))
 
 
+def test_small_chunks_share_a_task(spark, tmp_path):
+    df = spark.range(0, 20010, 1, 3).select(F.col("id").cast("string").alias("line"))
+    assert sinks.write_request_chunks(df, str(tmp_path / "out"), chunk_size=20) == 1001
+    files_ = sorted(p.name for p in (tmp_path / "out").glob("part-*"))
+    assert len(files_) == 1001 and len({name[:10] for name in files_}) <= 2 * spark.sparkContext.defaultParallelism
+    lines = [len((tmp_path / "out" / name).read_text().splitlines()) for name in files_]
+    assert lines == [20] * 1000 + [10]
+
+
 def test_numbers_are_consecutive(spark):
     df = spark.range(0, 1000, 1, 6).filter("id % 6 <> 3 and id > 200")
     rows, total = numbered(df, "n")
