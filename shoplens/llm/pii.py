@@ -2,10 +2,10 @@
 
 Everything runs as DataFrame expressions inside the row. Generators propose
 spans with their format and context features: the plain patterns of each kind,
-and looser ones. Gradient-boosted trees are trained on a bounded sample, where
+and looser ones. Gradient-boosted trees are trained on all documents, where
 a match of a plain pattern is a positive if it passes its kind's check and a
-negative if it fails. The trees become one column expression; a threshold per
-sample, chosen on documents kept out of the training, selects spans beyond
+negative if it fails. The trees become one column expression; a threshold,
+chosen on documents kept out of the training, selects spans beyond
 those the plain patterns and checks already give.
 
 The patterns only repeat character classes, never groups, so that texts of any
@@ -194,29 +194,28 @@ def _expression(node, x: Column) -> Column:
                   _expression(node.leftChild(), x)).otherwise(_expression(node.rightChild(), x))
 
 
-def train(docs: DataFrame, sample_docs: int = 5000, rounds: int = 10, precision: float = 0.98,
+def train(docs: DataFrame, rounds: int = 10, precision: float = 0.98,
           id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Trees from the plain candidates of at most `sample_docs` documents, chosen by a hash of the id.
+    """Trees from the plain candidates of all documents.
 
-    One in four sample documents only calibrates: the threshold is the lowest
-    at which the selected candidates of those documents pass their checks with
-    the asked precision (add-one smoothed). If the sample lacks candidates of
-    either class nothing beyond the plain patterns is ever selected.
+    Candidates with the same features and label are one row with their number as
+    its weight. One in four documents, by a hash of the id, only calibrates: the
+    threshold is the lowest at which the selected candidates of those documents
+    pass their checks with the asked precision (add-one smoothed). If the table
+    lacks candidates of either class nothing beyond the plain patterns is ever selected.
     """
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(
-        F.xxhash64("_id"), "_id").limit(sample_docs)
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
-        F.broadcast(ids), "_id")  # at most sample_docs ids
-    rows = candidates(sample, "_text").select(
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
+    rows = candidates(own, "_text").select(
         (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)) == 0).alias("spare"), F.explode("_plain").alias("c")).select(
         "spare", F.col("c.valid").cast("double").alias("label"),
         *[F.element_at("c.x", i + 1).alias(n) for i, n in enumerate(FEATURES)])
+    rows = rows.groupBy("spare", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).cache()
     try:
         sizes = {r.label: r["count"] for r in rows.where("not spare").groupBy("label").count().collect()}
         if not sizes.get(0.0) or not sizes.get(1.0):
             return Trees(None, 1.0)
-        model = GBTClassifier(maxIter=rounds, maxDepth=3, seed=7).fit(rows.where("not spare"))
+        model = GBTClassifier(maxIter=rounds, maxDepth=3, seed=7, weightCol="weight").fit(rows.where("not spare"))
         roots, weights = [t._java_obj.rootNode() for t in model.trees], list(model.treeWeights)
 
         def margin(x: Column) -> Column:
@@ -227,8 +226,8 @@ def train(docs: DataFrame, sample_docs: int = 5000, rounds: int = 10, precision:
 
         x = F.array(*[F.col(n) for n in FEATURES])
         found = rows.where("spare").select(
-            F.round(1 / (1 + F.exp(-2 * margin(x))), 2).alias("p"), "label").groupBy("p").agg(
-            F.sum("label").alias("good"), F.count("label").alias("all")).collect()  # at most 101 rows
+            F.round(1 / (1 + F.exp(-2 * margin(x))), 2).alias("p"), "label", "weight").groupBy("p").agg(
+            F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all")).collect()  # at most 101 rows
     finally:
         rows.unpersist()
     good = every = 0.0
@@ -263,7 +262,7 @@ def report(docs: DataFrame, trees: Trees | None = None, id_col: str = "doc_id",
     """Counts and digest of the plain spans and the list of all spans of every whole text.
 
     A null text is an empty one: no spans, the digest of nothing. Without
-    `trees` they are trained on a sample of the same table.
+    `trees` they are trained on the same table.
     """
     trees = trees or train(docs, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
