@@ -30,6 +30,7 @@ BATCH_ROWS = 1 << 14            # visits of queries that leave a task at a time
 PLAN_CELLS = 1 << 20            # of a batch of queries by rings
 PIVOTS = 256
 RINGS = 64
+SAMPLE_ROWS = 16                # looked at for each pivot
 FLIPS = 12                      # signs of a bucket number that probing may change
 HITS = "query_id string, key string, score double"
 _PLACE = ["bucket", "slot", "copy"]
@@ -262,11 +263,15 @@ class Rings:
         return chosen, np.where(held[:, -1] >= k, far, np.inf)
 
 
-def _sample(df: DataFrame, name: str, n: int, dimensions: int) -> np.ndarray:
-    """The unit vectors of at most `n` rows, chosen by a hash of their key."""
-    keep = _units(df, name, dimensions, "id string, vector array<float>", lambda batch, _: iter([batch.rename_columns(["id", "vector"])]))
-    rows = keep.orderBy(F.xxhash64("id"), "id").limit(n).collect()
-    return unit_rows(np.array([r.vector for r in rows], "float64").reshape(-1, dimensions))
+def _sample(df: DataFrame, name: str, n: int, dimensions: int, rows: int) -> np.ndarray:
+    """The unit vectors of at most `n` of the `rows`, chosen by a hash of their key; of few if very few are searchable."""
+    def chosen(some: DataFrame) -> list:
+        keep = _units(some, name, dimensions, "id string, vector array<float>", lambda batch, _: iter([batch.rename_columns(["id", "vector"])]))
+        return keep.orderBy(F.xxhash64("id"), "id").limit(n).collect()
+
+    share = F.pmod(F.xxhash64(F.lit(SAMPLE_ROWS), F.col(name)), F.lit(max(1, rows // (SAMPLE_ROWS * n))))
+    found = chosen(df.filter(share == 0)) or chosen(df)
+    return unit_rows(np.array([r.vector for r in found], "float64").reshape(-1, dimensions))
 
 
 def _placed(index: DataFrame, pivots: np.ndarray, dimensions: int) -> DataFrame:
@@ -290,7 +295,7 @@ def ring_index(index: DataFrame, dimensions: int, slot_bytes: int = SLOT_BYTES,
     """
     n = index.count()
     slot_rows = _slot_rows(slot_bytes, dimensions, n)
-    centres = _sample(index, "key", min(pivots, max(1, -(-n // slot_rows))), dimensions)
+    centres = _sample(index, "key", min(pivots, max(1, -(-n // slot_rows))), dimensions, n)
     placed = materialize(_placed(index, centres, dimensions), "placed")
     shares = [i / RINGS for i in range(1, RINGS)] if n > slot_rows else [0.5]   # else no pivot has several rings
     parts = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("low"), F.max("near").alias("high"),
@@ -350,18 +355,14 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
     n = int(rings.n.sum())
     spread = -(-n // index.sparkSession.sparkContext.defaultParallelism)
     rows = min(_slot_rows(slot_bytes, dimensions, n), max(512, spread))
-    many = queries.limit(STREAM_ROWS + 1).count() > STREAM_ROWS
 
     def hits(asked: DataFrame) -> DataFrame:
+        # A row per ring; index rows of rings that no query visits are not moved.
         sizes = asked.sparkSession.createDataFrame(
             [(int(p * RINGS + r), max(1, -(-int(n) // rows))) for p, r, n in zip(rings.pivot, rings.ring, rings.n)],
-            "bucket long, slots int")
-        if many:
-            sizes = sizes.join(asked.groupBy("bucket").agg(_number(STREAM_ROWS, "copies")), "bucket")
-        else:
-            sizes = sizes.withColumn("copies", F.lit(1))
+            "bucket long, slots int").join(asked.groupBy("bucket").agg(_number(STREAM_ROWS, "copies")), "bucket")
         return _merge(_visited(placed.select("bucket", "key", "vector", "near"), asked, k, dimensions,
-                               F.broadcast(sizes)), k)      # a row per ring
+                               F.broadcast(sizes)), k)
 
     if len(rings.n) < 2:
         return hits(visits(queries, rings, k, dimensions, False))

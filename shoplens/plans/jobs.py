@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shoplens import fixed, schemas
@@ -93,37 +95,95 @@ def build_vectors(rows: DataFrame, entity: str, dimensions: int,
     return embedded.withColumn("metadata", md.metadata_byte_cap(F.col("metadata")))
 
 
+def embed_rows(rows: DataFrame, entity: str, dimensions: int, embedder: Embedder | None = None) -> DataFrame:
+    """Typed rows to `(key, vector)`, for searches that make the metadata of their winners only.
+
+    Rows are dealt by key first: a small file may hold very many of them.
+    """
+    _, _, record_id, text, _, _ = ENTITIES[entity]
+    dealt = rows.withColumn("key", record_id()).repartition("key")
+    body = dealt.select("key", text().alias("_body"))
+    return embed_texts(body, "_body", dimensions, embedder, distinct=False).drop("_body")
+
+
+def _with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
+    return orders.join(item_lists(items).withColumnRenamed("orderId", "id"), "id", "left")
+
+
+def _order_body() -> Column:
+    return tx.order_text(tx.order_items_text(F.col("items"))).alias("_body")
+
+
+def _order_map() -> Column:
+    return md.order_metadata(md.order_items_json(F.col("items"))).alias("metadata")
+
+
 def build_order_vectors(orders: DataFrame, items: DataFrame, dimensions: int,
                         embedder: Embedder | None = None) -> DataFrame:
     """Orders with their items straight to vector records of ten fields; orders without items stay."""
-    rows = orders.join(item_lists(items).withColumnRenamed("orderId", "id"), "id", "left")
-    body = rows.select(F.col("id").alias("key"), tx.order_text(tx.order_items_text(F.col("items"))).alias("_body"),
-                       md.order_metadata(md.order_items_json(F.col("items"))).alias("metadata"))
+    body = _with_items(orders, items).select(F.col("id").alias("key"), _order_body(), _order_map())
     embedded = embed_texts(body, "_body", dimensions, embedder, distinct=False).drop("_body")
     return embedded.withColumn("metadata", md.metadata_byte_cap(F.col("metadata")))
 
 
+def embed_orders(orders: DataFrame, items: DataFrame, dimensions: int, embedder: Embedder | None = None) -> DataFrame:
+    """Orders with their items to `(key, vector)`; orders without items stay."""
+    body = _with_items(orders, items).select(F.col("id").alias("key"), _order_body())
+    return embed_texts(body, "_body", dimensions, embedder, distinct=False).drop("_body")
+
+
+def order_records(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Orders with their items to `(key, metadata)`, the metadata within its byte cap."""
+    keyed = _with_items(orders, items).select(F.col("id").alias("key"), _order_map())
+    return keyed.withColumn("metadata", md.metadata_byte_cap(F.col("metadata")))
+
+
+#: What makes the `(key, metadata)` records, of some hits' keys at least.
+Records = Callable[[DataFrame], DataFrame]
+
+
+def _nearest(index: DataFrame, asked: DataFrame, k: int, dimensions: int,
+             embedder: Embedder | None) -> DataFrame:
+    """Nearest keys per distinct normalized text `_norm` of `asked`."""
+    distinct = asked.select(F.col("_norm").alias("query_id")).distinct()
+    # Written once: a filter on the vector would else go below `distinct`, so that every row is embedded.
+    vectors = materialize(embed_texts(distinct, "query_id", dimensions, embedder, distinct=False), "asked")
+    return materialize(knn_join(index, vectors, k, dimensions), "hits")
+
+
 def _hits(index: DataFrame, asked: DataFrame, k: int, dimensions: int,
-          embedder: Embedder | None) -> DataFrame:
+          embedder: Embedder | None, records: Records | None) -> DataFrame:
     """Nearest keys with metadata per distinct normalized text `_norm` of `asked`."""
-    distinct = asked.select(F.col("_norm").alias("query_id")).distinct()
-    vectors = embed_texts(distinct, "query_id", dimensions, embedder, distinct=False)
-    hits = materialize(knn_join(index, vectors, k, dimensions), "hits")
-    # Of the index only records that may be among the winners are moved.
-    known = index.select(F.col("key").cast("string").alias("key"), "metadata").filter(
+    hits = _nearest(index, asked, k, dimensions, embedder)
+    # Only records that may be among the winners are made and moved.
+    known = (records(hits) if records else index).select(F.col("key").cast("string").alias("key"), "metadata").filter(
         marked(F.col("key"), marks(hits)))
-    return hits.join(known, "key")
+    return hits.join(known.hint("merge"), "key")
+
+
+def _asked(queries: DataFrame, text: str) -> DataFrame:
+    return queries.select("query_id", tx.normalize_query_text(F.col(text)).alias("_norm"))
+
+
+def search_keys(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
+                embedder: Embedder | None = None, text: str = "query") -> DataFrame:
+    """`(query_id, key, score, rank)` of each query text; the index needs no metadata."""
+    asked = _asked(queries, text)
+    found = _nearest(index, asked, k, dimensions, embedder).withColumnRenamed("query_id", "_norm")
+    return asked.join(found, "_norm").drop("_norm")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
-           embedder: Embedder | None = None, text: str = "query") -> DataFrame:
+           embedder: Embedder | None = None, text: str = "query",
+           records: Records | None = None) -> DataFrame:
     """`(query_id, key, score, rank, metadata)` of each query text.
 
     Texts are embedded and searched once per distinct normalized text. The
-    metadata is joined to the winners only.
+    metadata is joined to the winners only; it comes from `records`, or else
+    from the index.
     """
-    asked = queries.select("query_id", tx.normalize_query_text(F.col(text)).alias("_norm"))
-    found = _hits(index, asked, k, dimensions, embedder).withColumnRenamed("query_id", "_norm")
+    asked = _asked(queries, text)
+    found = _hits(index, asked, k, dimensions, embedder, records).withColumnRenamed("query_id", "_norm")
     return asked.join(found, "_norm").drop("_norm")
 
 
@@ -131,7 +191,7 @@ _WANTED = ["customerType", "preferredTheme", "preferredOccasion", "priceAffinity
 
 
 def _recommend(index: DataFrame, queries: DataFrame, dimensions: int, k: int, pool: int | None,
-               in_stock_only: bool, embedder: Embedder | None, bands) -> DataFrame:
+               in_stock_only: bool, embedder: Embedder | None, bands, records: Records | None) -> DataFrame:
     """Best k per query row; rows carry the text as `query` and the profile columns.
 
     The ranking depends on the text and four profile columns only, so it is
@@ -140,7 +200,7 @@ def _recommend(index: DataFrame, queries: DataFrame, dimensions: int, k: int, po
     asked = queries.withColumn("_norm", tx.normalize_query_text(F.col("query"))).drop("query")
     asked = asked.withColumn("_combo", F.md5(F.to_json(F.struct("_norm", *_WANTED))))
     combos = materialize(asked.select("_combo", "_norm", *_WANTED).distinct(), "askers")
-    hits = _hits(index, combos, pool or pool_size(k), dimensions, embedder)
+    hits = _hits(index, combos, pool or pool_size(k), dimensions, embedder, records)
     pools = rec.candidate_pools(hits, in_stock_only).withColumnRenamed("query_id", "_norm")
     best = rec.rank_pools(combos.join(pools, "_norm"), k, bands).select("_combo", "best")
     rows = asked.drop("_norm", *_WANTED).join(best, "_combo").drop("_combo")
@@ -155,31 +215,31 @@ def _with_profile(queries: DataFrame, profiles: DataFrame) -> DataFrame:
 def recommend_products(index: DataFrame, criteria: DataFrame, profiles: DataFrame,
                        dimensions: int, k: int = 5, pool: int | None = None,
                        in_stock_only: bool = True, embedder: Embedder | None = None,
-                       bands=fixed.PRICE_BANDS) -> DataFrame:
+                       bands=fixed.PRICE_BANDS, records: Records | None = None) -> DataFrame:
     """Ranked products per criteria row `(query_id, customerId?, theme, occasion, ...)`."""
     queries = criteria.select("query_id", "customerId", tx.criteria_query_text().alias("query"))
     return _recommend(index, _with_profile(queries, profiles), dimensions, k, pool,
-                      in_stock_only, embedder, bands)
+                      in_stock_only, embedder, bands, records)
 
 
 def recommend_for_customer(index: DataFrame, profiles: DataFrame, dimensions: int, k: int = 5,
                            pool: int | None = None, in_stock_only: bool = True,
                            embedder: Embedder | None = None,
-                           bands=fixed.PRICE_BANDS) -> DataFrame:
+                           bands=fixed.PRICE_BANDS, records: Records | None = None) -> DataFrame:
     """Ranked products for every stored profile."""
     queries = profiles.select(F.col("userId").alias("customerId"), *_WANTED,
                               tx.profile_query_text().alias("query"))
-    return _recommend(index, queries, dimensions, k, pool, in_stock_only, embedder, bands)
+    return _recommend(index, queries, dimensions, k, pool, in_stock_only, embedder, bands, records)
 
 
 def personalized_search(index: DataFrame, queries: DataFrame, profiles: DataFrame,
                         dimensions: int, k: int = 5, pool: int | None = None,
                         in_stock_only: bool = True, embedder: Embedder | None = None,
-                        bands=fixed.PRICE_BANDS) -> DataFrame:
+                        bands=fixed.PRICE_BANDS, records: Records | None = None) -> DataFrame:
     """Free-text queries `(query_id, customerId?, query)` ranked by profile."""
     asked = queries.select("query_id", "customerId", "query")
     return _recommend(index, _with_profile(asked, profiles), dimensions, k, pool, in_stock_only,
-                      embedder, bands)
+                      embedder, bands, records)
 
 
 def recall_context(notes: DataFrame, queries: DataFrame, dimensions: int, k: int = 5,

@@ -1,8 +1,9 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from shoplens import fixed
 from shoplens.operators import recommend as rec
-from shoplens.plans import queries_search
+from shoplens.plans import jobs, queries_search
 
 PROFILE = ("customerId string, customerType string, preferredTheme string, "
            "preferredOccasion string, priceAffinity string")
@@ -103,6 +104,29 @@ def test_empty_catalog_gives_the_built_in_facets(spark):
         ("colors", "Blue", 2, 1), ("colors", "Red", 1, 2), ("themes", "Sky", 2, 1)]
 
 
+def test_equal_texts_are_embedded_once(spark):
+    """A filter on the vector must not pull the embedder below `distinct`."""
+    def embedder(texts, dimensions):
+        assert len(texts) == 1, "a text was embedded more than once"
+        return np.eye(1, dimensions).repeat(len(texts), 0)
+
+    index = spark.createDataFrame([("a", [1.0, 0.0], {"name": "A"}), ("b", [0.0, 1.0], {"name": "B"})],
+                                  "key string, vector array<float>, metadata map<string,string>")
+    queries = spark.range(0, 200, 1, 1).select(F.col("id").alias("query_id"), F.lit("same text").alias("query"))
+    found = jobs.search(index, queries, 1, 2, embedder).collect()
+    assert len(found) == 200 and {(r.key, r.metadata["name"]) for r in found} == {("a", "A")}
+
+
+def test_metadata_is_made_for_winners_only(spark):
+    index = spark.createDataFrame([(str(i), [1.0, i / 50]) for i in range(50)], "key string, vector array<float>")
+    made = F.when(F.col("key") == "0", F.create_map(F.lit("name"), F.col("key"))).otherwise(
+        F.raise_error(F.lit("made for a row that is no winner")).cast("map<string,string>"))
+    queries = spark.createDataFrame([("q", "x")], "query_id string, query string")
+    found = jobs.search(index, queries, 1, 2, lambda texts, n: np.eye(1, n).repeat(len(texts), 0),
+                        records=lambda hits: index.select("key", made.alias("metadata"))).collect()
+    assert [(r.key, r.metadata) for r in found] == [("0", {"name": "0"})]
+
+
 def test_metadata_of_candidates_is_joined_last(spark):
     plan = queries_search._profiled(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "(key#" in next(line for line in plan.splitlines() if "Join" in line)
