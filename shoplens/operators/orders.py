@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def item_lists(items: DataFrame) -> DataFrame:
-    """Items per order as one ordered array of structs, however many lines it has."""
-    fields = ["itemNo", "productId", "productName", "quantity", "price"]
+    """Items per order as one ordered array of structs, of those fields the items have."""
+    fields = [f for f in ("itemNo", "productId", "productName", "quantity", "price") if f in items.columns]
     return (items.groupBy("orderId")
-            .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items")))
+            .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items")))
 
 
 def flatten_items(orders: DataFrame) -> DataFrame:

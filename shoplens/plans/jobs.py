@@ -127,8 +127,11 @@ def build_order_vectors(orders: DataFrame, items: DataFrame, dimensions: int,
 
 
 def embed_orders(orders: DataFrame, items: DataFrame, dimensions: int, embedder: Embedder | None = None) -> DataFrame:
-    """Orders with their items to `(key, vector)`; orders without items stay."""
-    body = _with_items(orders, items).select(F.col("id").alias("key"), _order_body())
+    """Orders with their items to `(key, vector)`; orders without items stay.
+
+    Prices are not in the text: items that differ in them only may change places.
+    """
+    body = _with_items(orders, items.drop("price")).select(F.col("id").alias("key"), _order_body())
     return embed_texts(body, "_body", dimensions, embedder, distinct=False).drop("_body")
 
 

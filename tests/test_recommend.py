@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from shoplens import fixed
 from shoplens.operators import recommend as rec
+from shoplens.operators.orders import item_lists
 from shoplens.plans import jobs, queries_search
 
 PROFILE = ("customerId string, customerType string, preferredTheme string, "
@@ -130,3 +131,15 @@ def test_metadata_is_made_for_winners_only(spark):
 def test_metadata_of_candidates_is_joined_last(spark):
     plan = queries_search._profiled(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "(key#" in next(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_items_without_prices_make_the_same_text(spark):
+    orders = spark.sql("select '1' id, 'c' customerId, 'C' customerName, 9.5 total, 'new' status, date'2024-01-02' orderDate, "
+                       "date'2024-01-03' deliveryDate, 'here' shippingAddress, 'none' notes")
+    items = spark.createDataFrame([("1", 2, "p", "Bolt", 1, 2.0), ("1", 1, "q", "Gear", 3, 1.0), ("1", 1, "q", "Gear", 3, None),
+                                   ("1", None, "r", "Rod", 2, 1.0)],
+                                  "orderId string, itemNo int, productId string, productName string, quantity long, price double")
+    want = jobs.build_order_vectors(orders, items, 8).select("key", "vector").collect()
+    assert jobs.embed_orders(orders, items, 8).collect() == want
+    assert "price" not in item_lists(items.drop("price")).schema["items"].simpleString()
+    assert [r.itemNo for r in item_lists(items).first()["items"]] == [None, 1, 1, 2]
