@@ -17,8 +17,9 @@ their whole sets.
 Only links that can join two components are needed. Documents with equal sets
 are one from the start. A short list gives all its pairs; a long one first ties
 its documents to the smallest of them. After the components of what was found,
-the documents of a long list that are still in different components are paired
+the documents of a long list that are still in different components are compared
 with each other: nothing is left out, and copies are not expanded into pairs.
+Documents are compared in cells, blocks of bounded size that meet in one task.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.components import components
@@ -39,6 +40,9 @@ from shoplens.session import materialize
 
 WORDS = 5
 THRESHOLD = (75, 100)  # 100 * intersection >= 75 * union
+CELL = ["tie", "low", "high"]       # a group of documents to compare, and two of its blocks
+CELL_DOCUMENTS = 256                # about so many in a block
+CELL_SHINGLES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 2 ** 64)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -395,80 +399,194 @@ def _sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(marks, bitorder="little").tobytes()
 
 
-def _may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
-    """Whether two sets can share enough: shingles without a mark in the other one are not shared."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[:len(x) // 2] | x[len(x) // 2:]
-    while len(y) > len(x):
-        y = y[:len(y) // 2] | y[len(y) // 2:]
-    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+def _may_link(n: np.ndarray, marks: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple]:
+    """Pairs (i, j) of `left` and `right` whose sets, of n shingles, can share enough.
+
+    Shingles without a mark in the other set are not shared. A longer bitmap is
+    folded to the length of the shorter; sizes that allow a link give bitmaps
+    of one length, or of twice the length.
+    """
     part, whole = THRESHOLD
-    return whole * most >= part * (n + m - most)
+    width = np.array([len(m) for m in marks])
+    for w in np.unique(width[left]).tolist():
+        xs = left[width[left] == w]
+        for v in (w // 2, w, 2 * w):
+            ys = right[width[right] == v]
+            if not len(ys):
+                continue
+            x, y = np.stack([marks[i] for i in xs]), np.stack([marks[j] for j in ys])
+            if v > w:
+                y = y[:, :w] | y[:, w:]
+            elif v < w:
+                x = x[:, :v] | x[:, v:]
+            of_x, of_y = (np.bitwise_count(z).sum(1, dtype=np.int64) for z in (x, y))
+            step = max(1, (1 << 17) // y.size)  # a megabyte at a time
+            for s in range(0, len(xs), step):
+                both = np.bitwise_count(x[s:s + step, None] & y[None]).sum(2, dtype=np.int64)
+                size, other = n[xs[s:s + step], None], n[None, ys]
+                most = np.minimum(size - (of_x[s:s + step, None] - both), other - (of_y[None] - both))
+                i, j = np.nonzero(whole * most >= part * (size + other - most))
+                yield xs[s + i], ys[j]
+
+
+def _in_cells(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """What `compare` yields for each cell: its tie, low, high, then doc, block, component, n and value of its rows.
+
+    Rows are dealt and sorted by cell, and a cell is taken when its last row is there.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch if rest is None else pa.concat_batches([rest, batch])
+            other = np.zeros(batch.num_rows, bool)
+            for name in CELL:
+                key = batch.column(name).to_numpy()
+                other |= key != key[-1]
+            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            if cut:
+                yield batch.slice(0, cut)
+            rest = batch.slice(cut)
+        if rest is not None:
+            yield rest
 
-def _verified(docs: DataFrame, pairs: DataFrame, bits: int = 23) -> DataFrame:
-    """The pairs whose whole sets link.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_cells(batches):
+            cells = np.stack([batch.column(c).to_numpy() for c in CELL], 1)
+            starts = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(1)))
+            columns = [batch.column(c).to_numpy() for c in ("doc", "block", "component", "n")]
+            values = batch.column("value")
+            out = [np.zeros((0, len(names)), np.int64)]
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)]):
+                value = [np.frombuffer(values[i].as_buffer(), np.uint64) for i in range(start, stop)]
+                out.append(compare(*cells[start].tolist(), *(c[start:stop] for c in columns), value))
+            found = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in range(len(names))], names)
+
+    columns = [*CELL, "block", "doc", "component", "n", "value"]
+    return rows.select(*(F.col(c).cast("long") if c != "value" else F.col(c) for c in columns)).repartition(
+        *CELL).sortWithinPartitions(*CELL).mapInArrow(run, schema)
+
+
+def _met(tie: int, low: int, high: int, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows on either side of a cell: the tie and the others, all and all, or one block and another."""
+    every = np.arange(len(doc))
+    if high < 0:
+        return every[doc == tie], every[doc != tie]
+    return (every, every) if low == high else (every[block == low], every[block == high])
+
+
+def _possible(tie, low, high, doc, block, component, n, marks) -> np.ndarray:
+    """The cell's documents that may link with one of another component; the values are bitmaps."""
+    use = np.zeros(len(doc), bool)
+    for i, j in _may_link(n, marks, *_met(tie, low, high, doc, block)):
+        apart = component[i] != component[j]
+        use[i[apart]] = use[j[apart]] = True
+    found = np.unique(np.stack([doc[use], block[use], component[use]], 1), axis=0)
+    return np.concatenate([np.tile(np.array([[tie, low, high]], np.int64), (len(found), 1)), found], 1)
+
+
+def _joining(tie, low, high, doc, block, component, n, sets) -> np.ndarray:
+    """Links of the cell that join its components as all its links would; the values are whole sets."""
+    marks = [np.frombuffer(_sketch(s), np.uint64) for s in sets]
+    _, label = np.unique(component, return_inverse=True)
+    root = list(range(len(doc)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
-    First small bitmaps of the sets meet, which rules out most pairs that do
-    not link and none that do; then the whole sets of the pairs that are left.
-    A bitmap of ids, bounded in size, keeps most texts without a pair out of
-    the joins; one that is full lets all of them through, and the joins decide.
+    out = []
+    for left, right in _may_link(n, marks, *_met(tie, low, high, doc, block)):
+        for i, j in zip(left.tolist(), right.tolist()):
+            a, b = find(label[i]), find(label[j])
+            if a != b and linked(sets[i], sets[j]):
+                root[a] = b
+                out.append((doc[i], doc[j]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, sketch: bool, bits: int = 23) -> DataFrame:
+    """doc, n and the set, or its bitmap, of at least the documents of `ids`.
+
+    A bitmap of ids, bounded in size, keeps most other texts out of the joins;
+    one that is full lets all of them through, and the joins decide.
     """
-    marks = _marks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), bits)
-
-    def reader(marks: np.ndarray, sketch: bool):
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                place = np.asarray(batch.column(2))
-                batch = batch.filter(pa.array((marks[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
-                for doc_ids, texts in _rows(batch):
-                    found = shingle_sets(texts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(
-                            [_sketch(s) if sketch else s.tobytes() for s in found], pa.binary())],
-                        ["doc_id", "n", "shingles"])
-
-        placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("place"))
-        return placed.mapInArrow(sets, "doc_id long, n long, shingles binary")
-
-    def met(pairs: DataFrame, held: DataFrame) -> DataFrame:
-        return pairs.join(held.toDF("b", "m", "y"), "b").join(held.toDF("a", "n", "x"), "a").select(
-            "a", "b", "n", "m", "x", "y")
-
-    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marks = _marks(ids, bits)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_may_link(x, y, n, m) for x, y, n, m in zip(
-                *(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            place = np.asarray(batch.column(2))
+            batch = batch.filter(pa.array((marks[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
+            for doc_ids, texts in _rows(batch):
+                found = shingle_sets(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc_ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(
+                        [_sketch(s) if sketch else s.tobytes() for s in found], pa.binary())],
+                    ["doc", "n", "value"])
 
-    sketches = materialize(reader(marks, True), "sketches")
-    pairs = materialize(met(pairs, sketches).mapInArrow(rule_out, "a long, b long").distinct(), "pairs")
-    marks = _marks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), bits)
-    joined = met(pairs, reader(marks, False))
+    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("place"))
+    return placed.mapInArrow(sets, "doc long, n long, value binary")
+
+
+def _links(docs: DataFrame, cells: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components in the cells as all links between documents that meet there would.
+
+    First small bitmaps of the sets meet, which rules out most pairs that do
+    not link and none that do. Documents that may link then meet in the same
+    cell with their whole sets. Pairs are made in the tasks only: no row stands
+    for a pair, and a cell yields fewer links than it has documents.
+    """
+    kinds = ", ".join(f"{c} long" for c in (*CELL, "doc", "block", "component"))
+    may = materialize(_in_cells(cells.join(sketches, "doc"), _possible, kinds), "possible")
+    whole = may.join(_sets(docs, may.select(F.col("doc").alias("doc_id")), False), "doc")
+    return _in_cells(whole, _joining, "a long, b long")
+
+
+def _blocks(documents: Column, shingles: Column) -> Column:
+    """Into how many blocks a group goes, by its documents and the sum of their sizes."""
+    return F.ceil(F.greatest(documents / CELL_DOCUMENTS, shingles / CELL_SHINGLES)).cast("int").alias("blocks")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = [linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64))
-                    for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(check, "a long, b long").distinct()
+def _block(doc: str) -> Column:
+    return F.pmod(F.xxhash64(doc), F.col("blocks"))
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """Pairs of a long list's documents that are in different components and near in size."""
+def _star_cells(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """Cells in which documents meet the smaller one they are paired with (`tie`), which stands in all its cells.
+
+    Paired documents are near in size, so that of the tie tells the size of its cells.
+    """
+    n = F.count(F.lit(1))
+    sized = pairs.join(first.select(F.col("rep").alias("a"), "n"), "a").groupBy("a").agg(_blocks(n, n * F.max("n")))
+    others = pairs.join(sized, "a").select(F.col("a").alias("tie"), _block("b").alias("low"), F.col("b").alias("doc"))
+    ties = sized.select(F.col("a").alias("tie"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"),
+                        F.col("a").alias("doc"))
+    return others.union(ties).select(
+        "tie", "low", F.lit(-1).alias("high"), F.col("low").alias("block"), "doc", F.col("doc").alias("component"))
+
+
+def _group_cells(lists: DataFrame) -> DataFrame:
+    """Cells in which every two documents of a long list meet, if it has several components.
+
+    Lists with the same smallest document hold much the same documents, so they
+    are one group; a large one goes into blocks, each of which meets each other.
+    """
     entries = lists.select("key", "doc", "n", "component")
-    open_lists = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
-        "low < high").select("key")
-    left = entries.join(open_lists, "key").distinct()
-    right = left.toDF("key", "other", "m", "theirs")
-    part, whole = THRESHOLD
-    near = (F.col("n") * part <= F.col("m") * whole) & (F.col("m") * part <= F.col("n") * whole)
-    return left.join(right, "key").where(
-        (F.col("doc") < F.col("other")) & (F.col("component") != F.col("theirs")) & near).select(
-        F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
+    open_lists = entries.groupBy("key").agg(
+        F.min("doc").alias("tie"), F.min("component").alias("least"), F.max("component").alias("most")).where(
+        "least < most").select("key", "tie")
+    groups = materialize(entries.join(open_lists, "key").select("tie", "doc", "n", "component").distinct(), "groups")
+    sized = groups.groupBy("tie").agg(_blocks(F.count(F.lit(1)), F.sum("n")))
+    dealt = groups.join(sized, "tie").select(
+        "tie", "doc", "component", _block("doc").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("tie", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                        "block", "doc", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -489,7 +607,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = known.groupBy("doc_id").agg((F.min("digest") < F.max("digest")).alias("several")).where("several")
     if not several.isEmpty():
         return _under_own_names(texts, rows, short)
-    first = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "first")
+    first = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "first")
     common = frequent(named)
     sizes = {r.n_shingles: r["count"] for r in known.where("n_shingles <= 100").groupBy(
         "n_shingles").count().collect()}  # at most 100 rows
@@ -497,7 +615,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = _bucket_count(known, light, int(spark.conf.get("spark.sql.shuffle.partitions")))
     postings = _postings(named, common, light, buckets, short).repartitionById(buckets, F.col("bucket"))
     found = materialize(_scan_lists(postings, short), "candidates")
-    reps = materialize(known.join(first, "digest").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
+    reps = materialize(known.join(first.drop("n"), "digest").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
 
     def as_reps(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -506,16 +624,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     pairs = materialize(as_reps(found.where("b is not null").select("a", "b").distinct()), "pairs")
-    links = materialize(_verified(named, pairs), "links")
+    lists = materialize(found.where("b is null").select("key", F.col("a").alias("doc"), "n").join(
+        reps.toDF("doc", "rep"), "doc", "left").withColumn("doc", F.coalesce("rep", "doc")).drop("rep"), "lists")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(lists.select("doc"))
+    sketches = materialize(_sets(named, met, True), "sketches")
+    links = materialize(_links(named, _star_cells(pairs, first), sketches), "links")
     groups = materialize(components(links), "components")
-    lists = found.where("b is null").select("key", F.col("a").alias("doc"), "n").join(
-        reps.toDF("doc", "rep"), "doc", "left").withColumn("doc", F.coalesce("rep", "doc")).drop("rep").join(
-        groups.toDF("doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rest = materialize(_across(materialize(lists, "lists")).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = materialize(_verified(named, rest), "links")
+    placed = lists.join(groups.toDF("doc", "component"), "doc", "left").withColumn(
+        "component", F.coalesce("component", "doc"))
+    more = materialize(_links(named, _group_cells(placed), sketches), "links")
+    if not more.isEmpty():
         groups = materialize(components(links.union(more)), "components")
-    return rows.join(first, "digest", "left").join(
+    return rows.join(first.drop("n"), "digest", "left").join(
         groups.toDF("rep", "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(
             "component", "rep", "doc_id")).alias("component_id"))

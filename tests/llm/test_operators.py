@@ -22,6 +22,7 @@ from shoplens.llm import (bpe, components, exact_dedup, jaccard, langid, packing
 from shoplens.llm import library as fast
 from shoplens.llm.common import worker_cache
 from shoplens.llm.queries import ORACLES, QUERIES
+from shoplens.session import materialize
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, TOKENS int"
@@ -276,6 +277,36 @@ def test_jaccard_lists_are_cut_per_portion(spark):
     assert got == groups(rows)
 
 
+def test_jaccard_makes_no_row_per_pair(spark, monkeypatch):
+    """Near copies in many components are compared in blocks; nothing that is written or joined grows with their square."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(9000)]
+    text, rows = list(rng.choice(vocabulary, 160)), []
+    for i in range(300):
+        copy = list(text)
+        for at in rng.choice(160, int(rng.integers(0, 12)), replace=False):
+            copy[at] = str(rng.choice(vocabulary))
+        rows.append((i, " ".join(copy)))
+    want, counts = groups(rows), []
+    assert len({c for _, c in want.values()}) > 50  # of some 45,000 pairs most would be candidates
+
+    def counted(df, label):
+        out = materialize(df, label)
+        counts.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+    assert got == want
+    assert max(n for label, n in counts if label in ("pairs", "possible", "groups", "links")) < 10 * len(rows)
+    for documents, shingles in ((16, 1 << 20), (256, 1000)):  # many blocks, by documents and by size
+        monkeypatch.setattr(jaccard, "CELL_DOCUMENTS", documents)
+        monkeypatch.setattr(jaccard, "CELL_SHINGLES", shingles)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+        assert got == want
+
+
 def test_jaccard_of_ids_with_several_texts(spark):
     """(5, A) and (9, A') link although 5 also has the text B of 3; B does not join them."""
     rng = np.random.default_rng(9)
