@@ -10,6 +10,7 @@ import types
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +28,17 @@ def worker_cache(owner: str) -> dict:
     if set(held) - {owner}:
         held.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     return held.setdefault(owner, {})
 
 
+def give_back() -> None:
+    """Return freed memory of this Python process to the system; idle workers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def portions_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of items whose sizes add up to about `most`; a larger item is a range of its own."""
     start = size = 0

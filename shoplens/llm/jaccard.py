@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.components import components
-from shoplens.llm.common import mix64, offsets, portions_of, worker_cache
+from shoplens.llm.common import give_back, mix64, offsets, portions_of, worker_cache
 from shoplens.session import materialize
 
 WORDS = 5
@@ -162,6 +162,7 @@ def _distinct_sets(doc_ids: list[int], texts: list[str]):
 def _rows(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts in portions of about `most` bytes; only one is in Python at a time."""
     worker_cache("jaccard")
+    give_back()
     for start, stop in portions_of(pc.binary_length(batch.column(1)).to_pylist(), most):
         some = batch.slice(start, stop - start)
         yield some.column(0).to_pylist(), some.column(1).to_pylist()
@@ -355,6 +356,7 @@ def _scan_lists(postings: DataFrame, short: int) -> DataFrame:
         return np.stack([names[left[keep]], names[right[keep]]], 1), names[rest], keys[rest], sizes[rest]
 
     def scan(table: pa.Table) -> pa.Table:
+        give_back()
         columns = [[np.frombuffer(v.as_py(), t) for v in table.column(n)] for n, t in (
             ("keys", np.uint64), ("names", np.int64), ("sizes", np.int32))]
         whole = table.column("own").to_pylist()
@@ -455,6 +457,7 @@ def _in_cells(rows: DataFrame, compare, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_cells(batches):
+            give_back()
             cells = np.stack([batch.column(c).to_numpy() for c in CELL], 1)
             starts = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(1)))
             columns = [batch.column(c).to_numpy() for c in ("doc", "block", "component", "n")]
