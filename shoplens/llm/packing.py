@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm import library
-from shoplens.llm.chunks import portions
-from shoplens.llm.common import id_and_text
+from shoplens.llm.common import give_back, id_and_text, portions_of
 from shoplens.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
@@ -46,12 +46,13 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 10
         used = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, stop in portions(texts, 4_000_000):
-                ids, at = encode.encode_texts(texts[first:stop])
+            for first, stop in portions_of(pc.binary_length(batch.column(1)).to_pylist(), 4_000_000):
+                give_back()
+                some = batch.slice(first, stop - first)
+                ids, at = encode.encode_texts(some.column(1).to_pylist())
                 raw = ids.astype("<u4").tobytes()
                 rows: list[tuple] = []
-                for doc_id, a, b in zip(doc_ids[first:stop], at[:-1].tolist(), at[1:].tolist()):
+                for doc_id, a, b in zip(some.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     data = raw[4 * a:4 * b] + end
                     size = b - a + 1
                     cuts = [0, *range(size % capacity or capacity, size + 1, capacity)]

@@ -12,6 +12,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -198,6 +199,30 @@ def test_packing(docs, plain, odd, empty):
     assert packing.pack_documents(odd.where("doc_id <> 7"), vocabulary).count() > 8
 
 
+def test_packing_takes_texts_in_portions(monkeypatch):
+    """No more than some megabytes of a batch are Python texts at a time, whatever their number."""
+    seen, rows = [], [(i, "some words " * 20000) for i in range(60)]
+
+    class Encoder:
+        def encode_texts(self, texts):
+            seen.append(sum(map(len, texts)))
+            return np.zeros(len(texts), np.int32), np.arange(len(texts) + 1)
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(packing, "id_and_text", lambda *_: Docs())
+    monkeypatch.setattr(packing.library, "encoder", lambda *_: Encoder())
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    kept = []
+    monkeypatch.setattr(packing, "give_back", lambda: kept.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    out = list(packing.pieces(None, "")(iter([batch])))
+    assert sum(seen) == sum(len(t) for _, t in rows) and max(seen) <= 4_000_000 and len(kept) == len(seen) > 1
+    assert [x for b in out for x in b.column(0).to_pylist()] == [i for i, _ in rows]
+
+
 def test_patterns_use_every_length_once():
     counts = np.random.default_rng(2).integers(0, 9, 65)
     counts[0] = 0
