@@ -7,6 +7,7 @@ import inspect
 import json
 import os
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -433,6 +434,26 @@ def test_toxicity(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
     rows = toxicity.score(docs, model).join(labels, "doc_id").where("held_out").collect()
+def test_ranks_and_samples_work_in_stretches():
+    """The same ranks and samples across the borders, with small arrays beside the result."""
+    data = np.random.default_rng(5).integers(97, 100, 3 * repeats._STRETCH + 77).astype(np.uint8)
+    got = repeats.ranks(data, 20)
+    for at in (0, 1, repeats._STRETCH - 1, repeats._STRETCH, 2 * repeats._STRETCH - 19, len(data) - 20):
+        assert got[at] == repeats.ranks(data[at:at + 20].copy(), 20)[0]
+    assert len(got) == len(data) - 19 and len(repeats.ranks(data[:19], 20)) == 0
+    block = repeats.Block(np.array([1], "<i8").tobytes(), np.array([0, len(data)], "<i8").tobytes(), repeats._zip(data.tobytes()))
+    starts, places, _ = block.samples(50, 20)
+    bits = np.uint64(len(got).bit_length())
+    windows = np.lib.stride_tricks.sliding_window_view(got >> bits, 31)
+    assert (places == starts + windows.argmin(1)).all() and len(starts) == len(data) - 49
+    large = np.zeros(1 << 21, np.uint8)
+    tracemalloc.start()
+    repeats.ranks(large, 20)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.3 * 8 * len(large)
+
+
     assert sum(r.predicted == 0 for r in rows if r.toxic == 0) >= 0.99 * sum(r.toxic == 0 for r in rows)
     assert sum(r.predicted for r in rows if r.toxic == 1) >= 0.5 * sum(r.toxic for r in rows)
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
