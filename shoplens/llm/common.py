@@ -7,7 +7,7 @@ import ctypes
 import gc
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over a task's batches, after which the worker, idle from then on, holds no freed memory."""
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def portions_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of items whose sizes add up to about `most`; a larger item is a range of its own."""
     start = size = 0

@@ -27,6 +27,17 @@ def _digit(number: Column, place: int, fan_in: int) -> Column:
     return F.floor(number / F.lit(fan_in ** place)).cast("int") % fan_in
 
 
+def _shape(wanted: int, most: int) -> tuple[int, int]:
+    """Rounds, and the least fan-in with which so many give `wanted` runs.
+
+    Every run is a task and a file in every round, so there are no more than needed.
+    """
+    digits = 1
+    while most ** digits < wanted:
+        digits += 1
+    return digits, next(n for n in range(min(2, most), most + 1) if n ** digits >= wanted)
+
+
 def _merged(entries: DataFrame) -> DataFrame:
     """One entry per run and digest, after checking that the texts behind it agree."""
     checked = F.when(F.min("check") == F.max("check"), F.min("check")).otherwise(
@@ -46,9 +57,7 @@ def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     wanted = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    digits = 1
-    while fan_in ** digits < wanted:
-        digits += 1
+    digits, fan_in = _shape(wanted, fan_in)
     n_runs = fan_in ** digits
     bare = F.translate("text", BLANKS, "")
     rows = id_and_text(docs, id_col, text_col).select(
@@ -67,7 +76,9 @@ def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         step = fan_in ** place
         goal = (F.col("run") + (_digit(bits, place, fan_in) - _digit(F.col("run"), place, fan_in)) * step).cast("int")
         moved = level.withColumn("run", goal).repartitionById(n_runs, F.col("run")).sortWithinPartitions("run", "digest")
-        level = materialize(_merged(moved), "runs")
+        level = _merged(moved)
+        if place + 1 < digits:  # the last one is read once
+            level = materialize(level, "runs")
         levels.append(level)
         goals.append(goal)
     answers = levels[-1].select("run", "digest", "best", "n")

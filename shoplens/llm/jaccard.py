@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.components import components
-from shoplens.llm.common import give_back, mix64, offsets, portions_of, worker_cache
+from shoplens.llm.common import give_back, giving_back, mix64, offsets, portions_of, worker_cache
 from shoplens.session import materialize
 
 WORDS = 5
@@ -179,7 +179,7 @@ def documents_and_digests(docs: DataFrame) -> DataFrame:
                     [pa.array(doc_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(digests, pa.binary())], ["doc_id", "n_shingles", "digest"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+    return docs.mapInArrow(giving_back(run), "doc_id long, n_shingles long, digest binary")
 
 
 def frequent(docs: DataFrame, least: int = 32, most: int = 1 << 17) -> np.ndarray:
@@ -207,7 +207,7 @@ def frequent(docs: DataFrame, least: int = 32, most: int = 1 << 17) -> np.ndarra
                 [pa.array(every[again].view(np.int64)), pa.array(counts[again].astype(np.int64))],
                 ["shingle", "n"])
 
-    counted = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(giving_back(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(most).toArrow()
     if not rows.num_rows:
         return np.zeros(0, np.uint64)
@@ -323,7 +323,7 @@ def _postings(docs: DataFrame, common: np.ndarray, light: int, buckets: int, sho
                     for x in (keys, names, sizes)] + [pa.array([False] * len(used))],
                 ["bucket", "keys", "names", "sizes", "own"])
 
-    return docs.mapInArrow(deal, "bucket int, keys binary, names binary, sizes binary, own boolean")
+    return docs.mapInArrow(giving_back(deal), "bucket int, keys binary, names binary, sizes binary, own boolean")
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -471,7 +471,7 @@ def _in_cells(rows: DataFrame, compare, schema: str) -> DataFrame:
 
     columns = [*CELL, "block", "doc", "component", "n", "value"]
     return rows.select(*(F.col(c).cast("long") if c != "value" else F.col(c) for c in columns)).repartition(
-        *CELL).sortWithinPartitions(*CELL).mapInArrow(run, schema)
+        *CELL).sortWithinPartitions(*CELL).mapInArrow(giving_back(run), schema)
 
 
 def _met(tie: int, low: int, high: int, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -533,7 +533,7 @@ def _sets(docs: DataFrame, ids: DataFrame, sketch: bool, bits: int = 23) -> Data
                     ["doc", "n", "value"])
 
     placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("place"))
-    return placed.mapInArrow(sets, "doc long, n long, value binary")
+    return placed.mapInArrow(giving_back(sets), "doc long, n long, value binary")
 
 
 def _links(docs: DataFrame, cells: DataFrame, sketches: DataFrame) -> DataFrame:

@@ -15,15 +15,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import held_out, mix64, portions_of, worker_cache
+from shoplens.llm.common import give_back, giving_back, held_out, mix64, portions_of, worker_cache
 
 ORDER = 4
 UNKNOWN = "und"
 
 
+def _portions(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of text; only one is in Python at a time."""
+    for batch in batches:
+        for start, stop in portions_of([n or 0 for n in pc.binary_length(batch.column(text)).to_pylist()], most):
+            give_back()
+            yield batch.slice(start, stop - start)
+
+
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter in 16 bits, 0 for all that is no letter."""
     cache = worker_cache("langid")
@@ -227,7 +236,7 @@ def train(docs: DataFrame, sample_docs: int = 500, spare_share: int = 5) -> Clas
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches, 1):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in sorted(set(langs)):
                 seq, starts, _ = symbols([t for t, own in zip(texts, langs) if own == name])
@@ -240,7 +249,7 @@ def train(docs: DataFrame, sample_docs: int = 500, spare_share: int = 5) -> Clas
                      pa.array(counts)], ["lang", "gram", "n"])
 
     counted = sample.where(~F.col("spare")).select("lang", "text").mapInArrow(
-        count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        giving_back(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = counted.column("lang").to_numpy(zero_copy_only=False) if counted.num_rows else np.zeros(0, object)
     keys = counted.column("gram").to_numpy().view(np.uint64) if counted.num_rows else np.zeros(0, np.uint64)
     totals = counted.column("n").to_numpy() if counted.num_rows else np.zeros(0, np.int64)
@@ -254,7 +263,7 @@ def train(docs: DataFrame, sample_docs: int = 500, spare_share: int = 5) -> Clas
     scorer = Scorer(tables)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches, 1):
             entropy, letters = scorer.entropies(batch.column(1).to_pylist())
             ordered = np.sort(entropy, axis=1)
             second = ordered[:, 1] if ordered.shape[1] > 1 else ordered[:, 0] + 1
@@ -265,7 +274,7 @@ def train(docs: DataFrame, sample_docs: int = 500, spare_share: int = 5) -> Clas
                  pa.array(letters > 0)], ["lead", "entropy", "right", "letters"])
 
     spare = sample.where("spare").select("lang", "text").mapInArrow(
-        measure, "lead double, entropy double, right boolean, letters boolean").where(
+        giving_back(measure), "lead double, entropy double, right boolean, letters boolean").where(
             "letters").toArrow()  # at most a share of the sample
     if not spare.num_rows:
         return Classifier(scorer, 1.0, 0.0, np.log(len(scorer.grams[1][0]) + 1))
@@ -294,7 +303,7 @@ def predict(docs: DataFrame, model: Classifier) -> DataFrame:
     calibrated limit keeps its best language but is rejected.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches, 2):
             names, score, entropy, rejected = model.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64()),
@@ -304,7 +313,7 @@ def predict(docs: DataFrame, model: Classifier) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     return docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"),
                        F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+        giving_back(run), "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -312,11 +321,11 @@ def keep_known(docs: DataFrame, model: Classifier) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches, at):
             _, _, _, rejected = model.predict([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def identify(docs: DataFrame, sample_docs: int = 500) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm import library
-from shoplens.llm.common import give_back, id_and_text, portions_of
+from shoplens.llm.common import give_back, giving_back, id_and_text, portions_of
 from shoplens.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 10
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)],
                     [c.split()[0] for c in PIECES.split(", ")])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return id_and_text(docs, id_col, text_col).mapInArrow(giving_back(run), PIECES)
 
 
 def patterns(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -147,7 +147,7 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
         Window.unboundedPreceding, -1))
     base = per_task.select("task", "length", F.coalesce(earlier, F.lit(0)).alias("base"))
     return cut.join(base, ["task", "length"]).withColumn(
-        "rank", F.col("place") + F.col("base")).drop("task", "place", "base").mapInArrow(run, PACKED)
+        "rank", F.col("place") + F.col("base")).drop("task", "place", "base").mapInArrow(giving_back(run), PACKED)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024,

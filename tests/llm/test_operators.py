@@ -19,7 +19,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shoplens.llm import (bpe, components, exact_dedup, jaccard, langid, packing, pii, repeats, token_file,
+from shoplens.llm import (bpe, common, components, exact_dedup, jaccard, langid, packing, pii, repeats, token_file,
                           topk, toxicity)
 from shoplens.llm import library as fast
 from shoplens.llm.common import worker_cache
@@ -200,6 +200,39 @@ def test_packing(docs, plain, odd, empty):
     assert packing.pack_documents(odd.where("doc_id <> 7"), vocabulary).count() > 8
 
 
+def test_exact_dedup_has_no_more_runs_than_needed(spark, odd, monkeypatch):
+    """Each run is a task and a file in every round, and the last round is not written."""
+    assert [exact_dedup._shape(n, 8) for n in (1, 8, 12, 51, 211, 512)] == [
+        (1, 2), (1, 8), (2, 4), (2, 8), (3, 6), (3, 8)]
+    written = []
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    some = {tuple(r) for r in exact_dedup.keepers(odd, runs=12).collect()}
+    assert written == ["digests", "runs", "runs"]
+    assert some == {tuple(r) for r in exact_dedup.keepers(odd, runs=1).collect()}
+
+
+def test_language_tasks_take_portions_and_give_back(monkeypatch):
+    """Some megabytes of text are in Python at a time, and nothing freed is held after the last batch."""
+    texts, seen, freed = ["some words " * 20000] * 40 + [None], [], []
+
+    class Model:
+        def predict(self, some):
+            seen.append(sum(map(len, some)))
+            return None, None, None, np.zeros(len(some), bool)
+
+    class Docs:
+        columns, schema = ["text"], "text string"
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(common, "give_back", lambda: freed.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    out = list(langid.keep_known(Docs(), Model())(iter([batch])))
+    assert [t for b in out for t in b.column(0).to_pylist()] == texts
+    assert max(seen) <= 1 << 21 and len(seen) > 1 and freed
+
+
 def test_packing_takes_texts_in_portions(monkeypatch):
     """No more than some megabytes of a batch are Python texts at a time, whatever their number."""
     seen, rows = [], [(i, "some words " * 20000) for i in range(60)]
@@ -401,6 +434,26 @@ def test_repeats(spark, odd, empty):
     assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(odd).collect()}[7] == 0
 
 
+def test_ranks_and_samples_work_in_stretches():
+    """The same ranks and samples across the borders, with small arrays beside the result."""
+    data = np.random.default_rng(5).integers(97, 100, 3 * repeats._STRETCH + 77).astype(np.uint8)
+    got = repeats.ranks(data, 20)
+    for at in (0, 1, repeats._STRETCH - 1, repeats._STRETCH, 2 * repeats._STRETCH - 19, len(data) - 20):
+        assert got[at] == repeats.ranks(data[at:at + 20].copy(), 20)[0]
+    assert len(got) == len(data) - 19 and len(repeats.ranks(data[:19], 20)) == 0
+    block = repeats.Block(np.array([1], "<i8").tobytes(), np.array([0, len(data)], "<i8").tobytes(), repeats._zip(data.tobytes()))
+    starts, places, _ = block.samples(50, 20)
+    bits = np.uint64(len(got).bit_length())
+    windows = np.lib.stride_tricks.sliding_window_view(got >> bits, 31)
+    assert (places == starts + windows.argmin(1)).all() and len(starts) == len(data) - 49
+    large = np.zeros(1 << 21, np.uint8)
+    tracemalloc.start()
+    repeats.ranks(large, 20)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.3 * 8 * len(large)
+
+
 def test_repeats_spread_a_gram_with_many_contexts(spark, tmp_path, monkeypatch):
     """A passage in every document, each time between other texts: no bucket holds all strings at its edges."""
     rng = np.random.default_rng(3)
@@ -434,26 +487,6 @@ def test_toxicity(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
     rows = toxicity.score(docs, model).join(labels, "doc_id").where("held_out").collect()
-def test_ranks_and_samples_work_in_stretches():
-    """The same ranks and samples across the borders, with small arrays beside the result."""
-    data = np.random.default_rng(5).integers(97, 100, 3 * repeats._STRETCH + 77).astype(np.uint8)
-    got = repeats.ranks(data, 20)
-    for at in (0, 1, repeats._STRETCH - 1, repeats._STRETCH, 2 * repeats._STRETCH - 19, len(data) - 20):
-        assert got[at] == repeats.ranks(data[at:at + 20].copy(), 20)[0]
-    assert len(got) == len(data) - 19 and len(repeats.ranks(data[:19], 20)) == 0
-    block = repeats.Block(np.array([1], "<i8").tobytes(), np.array([0, len(data)], "<i8").tobytes(), repeats._zip(data.tobytes()))
-    starts, places, _ = block.samples(50, 20)
-    bits = np.uint64(len(got).bit_length())
-    windows = np.lib.stride_tricks.sliding_window_view(got >> bits, 31)
-    assert (places == starts + windows.argmin(1)).all() and len(starts) == len(data) - 49
-    large = np.zeros(1 << 21, np.uint8)
-    tracemalloc.start()
-    repeats.ranks(large, 20)
-    most = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert most < 1.3 * 8 * len(large)
-
-
     assert sum(r.predicted == 0 for r in rows if r.toxic == 0) >= 0.99 * sum(r.toxic == 0 for r in rows)
     assert sum(r.predicted for r in rows if r.toxic == 1) >= 0.5 * sum(r.toxic for r in rows)
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
