@@ -594,6 +594,42 @@ def test_topk_ties_and_bad_vectors(spark):
     assert topk.search(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_topk_over_slots_and_copies(spark):
+    """Blocks of candidates in many slots, each visited in copies: the same rows as from all pairs."""
+    rng = np.random.default_rng(8)
+    data = [(i, [float(x) for x in rng.integers(-3, 4, 4 + i % 2)]) for i in range(300)] + [(7, [1.0, 2.0, 0.0, 3.0])]
+    data += [(400 + i, [2.0 ** 18, -1.0, 0.0, 2.0 ** (10 + i)]) for i in range(4)]      # sums beyond doubles
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    want = set()
+    for q in {i for i, _ in data if i % 5 == 0 or i == 7 or i >= 400}:
+        scores = [(-sum(int(1024 * a) * int(1024 * b) for a, b in zip(x, v)), i)
+                  for j, x in data if j == q for i, v in data if i != q and len(v) == len(x)]
+        want |= {(q, r, i, max(-2 ** 63, min(2 ** 63 - 1, -s))) for r, (s, i) in enumerate(sorted(scores)[:6], 1)}
+    asked = df.where("vec_id % 5 = 0 or vec_id = 7 or vec_id >= 400")
+    for values, stream in ((64, 9), (1 << 18, 1 << 12)):
+        assert {tuple(r) for r in topk.search(df, asked, 6, values=values, stream=stream).collect()} == want
+
+
+def test_topk_broadcasts_no_vectors(spark):
+    """The copies of the queries, one per slot, are many times what their files promise: the driver never collects them."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = topk.search(df, df.where("vec_id < 5"))._jdf.queryExecution().explainString(formatted)
+    sent = re.findall(r"BroadcastExchange\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert "Exchange" in plan and not any("cells" in columns for columns in sent)
+
+
+def test_topk_rows_hold_no_pairs(spark, monkeypatch):
+    """A task takes every block once, not once for each block of the other side."""
+    seen = []
+    monkeypatch.setattr(topk, "Lists", lambda ids, cells, make=topk.Lists: seen.append(len(ids)) or make(ids, cells))
+    cells = [np.random.default_rng(i).integers(-9, 9, (5, 2)) / 8 for i in range(6)]
+    rows = [{"slot": 0, "copy": 0, "kind": int(i > 2), "dims": 2, "ids": np.arange(5 * i, 5 * i + 5).astype("<i8").tobytes(),
+             "cells": c.astype("<f8").tobytes()} for i, c in enumerate(cells)]
+    found = list(topk._stream(3, 1024)(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert seen == [5, 5, 5] and [p.num_rows for p in found] == [15, 15, 15]
+
+
 def test_pipeline_stages(spark, docs, odd, plain):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language id", "exact dedup", "near duplicates", "personal data", "packing"]
