@@ -8,7 +8,8 @@ non-finite components take no part.
 All three searches send index rows and queries to buckets. A bucket is cut into
 slots of bounded bytes; each query visits every slot of its buckets, and a
 bucket that very many queries visit is copied. A task holds one slot, and the
-queries stream past it; only its best k per query leave the task.
+queries stream past it; only its best k per query leave the task. The search by
+hashing holds the queries and lets the index rows stream past.
 """
 
 from __future__ import annotations
@@ -31,7 +32,11 @@ PLAN_CELLS = 1 << 20            # of a batch of queries by rings
 PIVOTS = 256
 RINGS = 64
 SAMPLE_ROWS = 16                # looked at for each pivot
-FLIPS = 12                      # signs of a bucket number that probing may change
+FLIPS = 12                      # signs of a bucket number that probing one by one may change
+ASKED_BYTES = 16 << 20          # of query vectors a task of the search by hashing holds, in doubles
+PASSING_ROWS = 1 << 17          # index rows that pass them in one task
+PREFIX = 12                     # signs of a bucket number that tell its group, at most
+VISIT_PAIRS = 2000              # compared in the time that moving a query to one more place takes
 HITS = "query_id string, key string, score double"
 _PLACE = ["bucket", "slot", "copy"]
 
@@ -153,31 +158,38 @@ class Slot:
         return best.rows()
 
 
-def _stream(dimensions: int, k: int, held: Callable = Slot) -> Callable:
+def _runs(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[tuple]:
+    """Stretches of rows of one place and kind: place, kind, names, ids, unit vectors, near, least."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        differs = np.zeros(n, bool)
+        for name in [*_PLACE, "kind"]:
+            column = batch.column(name)
+            differs[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *np.flatnonzero(differs).tolist(), n]
+        units = unit_rows(_matrix(batch.column("vector"), dimensions))
+        near, least = (batch.column(c).to_numpy() for c in ("near", "least"))
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        for a, b in zip(cuts, cuts[1:]):
+            place = tuple(batch.column(c)[a].as_py() for c in _PLACE)
+            yield (place, batch.column("kind")[a].as_py(), batch.column("id").slice(a, b - a), ids[a:b], units[a:b],
+                   near[a:b], least[a:b])
+
+
+def _stream(dimensions: int, k: int) -> Callable:
     """Rows come sorted by place, index rows of a place before its queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, slot = None, [], None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            differs = np.zeros(n, bool)
-            for name in [*_PLACE, "kind"]:
-                column = batch.column(name)
-                differs[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            cuts = [0, *np.flatnonzero(differs).tolist(), n]
-            units = unit_rows(_matrix(batch.column("vector"), dimensions))
-            near, least = (batch.column(c).to_numpy() for c in ("near", "least"))
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for a, b in zip(cuts, cuts[1:]):
-                place = tuple(batch.column(c)[a].as_py() for c in _PLACE)
-                if place != now:
-                    now, parts, slot = place, [], None
-                if not batch.column("kind")[a].as_py():
-                    parts.append((ids[a:b], units[a:b], near[a:b]))
-                elif parts:
-                    slot = slot or held(*(np.concatenate(x) for x in zip(*parts)))
-                    yield slot.search(ids[a:b], units[a:b], near[a:b], least[a:b], k)
+        for place, kind, _, ids, units, near, least in _runs(batches, dimensions):
+            if place != now:
+                now, parts, slot = place, [], None
+            if not kind:
+                parts.append((ids, units, near))
+            elif parts:
+                slot = slot or Slot(*(np.concatenate(x) for x in zip(*parts)))
+                yield slot.search(ids, units, near, least, k)
 
     return run
 
@@ -198,12 +210,11 @@ def _sizes(index: DataFrame, queries: DataFrame, dimensions: int, slot_bytes: in
         queries.groupBy("bucket").agg(_number(STREAM_ROWS, "copies")), "bucket")
 
 
-def _visited(index: DataFrame, queries: DataFrame, k: int, dimensions: int, sizes: DataFrame,
-             held: Callable = Slot) -> DataFrame:
-    """Best k of each query per slot of its buckets, as HITS.
+def _dealt(index: DataFrame, queries: DataFrame, sizes: DataFrame, held: str = "index") -> DataFrame:
+    """Index rows and queries side by side in their places, those that a task holds (kind 0) first.
 
     index: (bucket, key, vector, near), queries: (bucket, query_id, vector, near,
-    least), sizes: (bucket, slots, copies).
+    least), sizes: (bucket, slots, copies). Rows that pass held queries do so in the order of their keys.
     """
 
     def every(n: str) -> Column:
@@ -212,14 +223,19 @@ def _visited(index: DataFrame, queries: DataFrame, k: int, dimensions: int, size
     def one_of(key: str, n: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
 
+    first = held == "index"
     left = index.join(sizes, "bucket").select(
-        "bucket", one_of("key", "slots").alias("slot"), every("copies").alias("copy"), F.lit(0).alias("kind"),
+        "bucket", one_of("key", "slots").alias("slot"), every("copies").alias("copy"), F.lit(int(not first)).alias("kind"),
         F.col("key").alias("id"), "vector", "near", F.lit(0.0).alias("least"))
     right = queries.join(sizes, "bucket").select(
-        "bucket", every("slots").alias("slot"), one_of("query_id", "copies").alias("copy"), F.lit(1).alias("kind"),
+        "bucket", every("slots").alias("slot"), one_of("query_id", "copies").alias("copy"), F.lit(int(first)).alias("kind"),
         F.col("query_id").alias("id"), "vector", "near", "least")
-    dealt = left.union(right).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "kind")
-    return dealt.mapInArrow(_stream(dimensions, k, held), HITS)
+    return left.union(right).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "kind", *([] if first else ["id"]))
+
+
+def _visited(index: DataFrame, queries: DataFrame, k: int, dimensions: int, sizes: DataFrame) -> DataFrame:
+    """Best k of each query per slot of its buckets, as HITS."""
+    return _dealt(index, queries, sizes).mapInArrow(_stream(dimensions, k), HITS)
 
 
 def _merge(hits: DataFrame, k: int) -> DataFrame:
@@ -434,6 +450,49 @@ class Probes:
         return np.where(np.isfinite(own), (costs < own[:, None]).sum(axis=1), 1 << FLIPS)
 
 
+    def _halves(self, margins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each row, the costs of all flips of the first half of the signs and of the others, both in order.
+
+        The cost of any of the 2**bits patterns is a sum of one and one.
+        """
+        half = self.bits // 2
+        first, rest = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1 for n in (half, self.bits - half))
+        for row in margins ** 2:
+            yield np.sort(first @ row[:half]), np.sort(rest @ row[half:])
+
+    def below(self, margins: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How many of all buckets are cheaper to probe than that of `codes`, for each row."""
+        own = (self.flipped(margins, codes) * margins ** 2).sum(axis=1)
+        return np.array([np.searchsorted(b, cost * (1 - 1e-12) - 1e-300 - a, "right").sum()
+                         for cost, (a, b) in zip(own, self._halves(margins))], np.int64)
+
+    def flipped(self, margins: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The signs in which a row's own bucket and that of `codes` differ, as 0 and 1."""
+        return ((self.codes(margins) ^ codes)[:, None] >> np.arange(self.bits)) & 1
+
+    def limits(self, margins: np.ndarray, probes: int) -> np.ndarray:
+        """For each row a cost that its `probes` cheapest buckets, of all, do not exceed, and no others but equal ones."""
+        if probes >= 1 << self.bits:
+            return np.full(len(margins), np.inf)
+        out = np.empty(len(margins))
+        for i, (a, b) in enumerate(self._halves(margins)):
+            low, high, under, over = -1e-300, float(a[-1] + b[-1]), 0, 1 << self.bits
+            turn = 0
+            while over != probes:       # `under` < probes <= `over` buckets cost no more than `low` and `high`
+                share = 0.5 if turn % 3 == 2 else (probes + 0.5 - under) / (over + 1 - under)
+                turn += 1
+                middle = low + share * (high - low)
+                if not low < middle < high:
+                    break
+                n = int(np.searchsorted(b, middle - a, "right").sum())
+                if n < probes:
+                    low, under = middle, n
+                else:
+                    high, over = middle, n
+            out[i] = high
+        return out + 1e-12 * (margins ** 2).sum(axis=1)    # room for rounding
+
+
 def tuned_probes(index: DataFrame, queries: DataFrame, k: int, dimensions: int, probes: Probes,
                  recall: float, sample: int) -> int:
     """So many probes that this share of the true neighbours of at most `sample` queries is found.
@@ -450,31 +509,61 @@ def tuned_probes(index: DataFrame, queries: DataFrame, k: int, dimensions: int,
     if not rows:
         return 1
     asked, theirs = (probes.margins(unit_rows(np.array([r[c] for r in rows], "float64"))) for c in ("vector", "theirs"))
-    ranks = np.sort(probes.ranks(asked, probes.codes(theirs)))
+    ranks = np.sort(probes.below(asked, probes.codes(theirs)))
     return int(ranks[int(np.ceil(recall * len(ranks))) - 1]) + 1
 
 
 def lsh_candidates(index: DataFrame, queries: DataFrame, k: int, dimensions: int, bits: int | None = None,
                    probes: int | None = None, recall: float = 0.95, sample: int = 200, seed: int = 7,
-                   slot_bytes: int = SLOT_BYTES) -> DataFrame:
+                   slot_bytes: int = ASKED_BYTES) -> DataFrame:
     """Approximate k nearest other rows: exact search in the buckets a query probes.
 
     The number of signs follows the row count of the index, the number of probes
     the wanted recall, measured on a sample of the queries. A row is in one
     bucket, so its signature is computed once; no row of a bucket is left out.
     A key equal to the query's id is the query itself and is not returned.
+
+    A task holds some queries while index rows pass. All are compared, by
+    products of matrices; buckets and exact scores are looked at only for the few
+    rows that come near a query's k-th best so far.
     """
     rows = index.count()
     signs = Probes(lsh_planes(bits or lsh_bits(rows), dimensions, seed))
     if probes is None:
         probes = tuned_probes(index, queries, k, dimensions, signs, recall, sample)
-    left, right = lsh_groups(index, queries, dimensions, signs, probes, rows, slot_bytes)
-    # One row per group, of which there are as many as the index has slots.
-    sizes = F.broadcast(_sizes(left, right, dimensions, slot_bytes))
-    hits = _visited(left, right, k + 1, dimensions, sizes, lambda *held: ProbedSlot(signs, probes, *held))
+    some = _sample(index, "key", SAMPLE_ROWS, dimensions, rows)
+    asked = materialize(lsh_limits(queries.filter("query_id is not null"), dimensions, signs, probes), "lsh-limits")
+    left, right = lsh_groups(index.filter("key is not null"), asked, dimensions, signs, probes, rows,
+                             prefix=best_prefix(signs, probes, some, rows))
+    held = max(1, slot_bytes // (8 * dimensions))
+    copies = max(1, -(-asked.count() // held))
+    passing = -(-rows // -(-3 * index.sparkSession.sparkContext.defaultParallelism // copies))
+    # A row per group, of which there are 2**PREFIX at most.
+    sizes = F.broadcast(left.groupBy("bucket").agg(_number(max(512, min(PASSING_ROWS, passing)), "slots")).join(
+        right.groupBy("bucket").agg(_number(held, "copies")), "bucket"))
+    hits = _dealt(left, right, sizes, "queries").mapInArrow(_passing(dimensions, k, signs), HITS)
     return _merge(hits.filter("key <> query_id"), k)
 
 
+def best_prefix(signs: Probes, probes: int, units: np.ndarray, rows: int) -> int:
+    """By how many leading signs to group buckets, so that moving queries and comparing them take the least time."""
+    if not len(units):
+        return 0
+    margins = signs.margins(units)
+    limits = signs.limits(margins, probes)
+    most = max(0, min(PREFIX, signs.bits, (rows // 512).bit_length() - 1))
+    visits = [np.mean([len(g) for g in _groups(signs, margins, limits, n)]) for n in range(most + 1)]
+    return int(np.argmin([v * (rows / 2 ** n + VISIT_PAIRS) for n, v in enumerate(visits)]))
+
+
+def _groups(signs: Probes, margins: np.ndarray, limits: np.ndarray, prefix: int) -> list[np.ndarray]:
+    """The groups that hold a bucket each row probes: if one does, so does the one with the row's own other signs."""
+    flips = (np.arange(1 << prefix)[:, None] >> np.arange(prefix)) & 1
+    rest = signs.bits - prefix
+    near = margins[:, rest:] ** 2 @ flips.T <= limits[:, None]
+    return [np.flatnonzero(n) ^ (code >> rest) for n, code in zip(near, signs.codes(margins))]
+
+
 def lsh_buckets(index: DataFrame, queries: DataFrame, dimensions: int, signs: Probes,
                 probes: int) -> tuple[DataFrame, DataFrame]:
     """Index rows with their bucket, and each query once per bucket it probes."""
@@ -490,56 +579,161 @@ def lsh_buckets(index: DataFrame, queries: DataFrame, dimensions: int, signs: Pr
                    at_once=256))
 
 
+def lsh_limits(queries: DataFrame, dimensions: int, signs: Probes, probes: int) -> DataFrame:
+    """Queries with the cost up to which they probe buckets, as `near`."""
+    def limited(batch: pa.RecordBatch, units: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _with(batch, near=signs.limits(signs.margins(units), probes))
+
+    return _units(queries, "query_id", dimensions, "query_id string, vector array<float>, near double", limited)
+
+
 def lsh_groups(index: DataFrame, queries: DataFrame, dimensions: int, signs: Probes, probes: int, rows: int,
-               slot_bytes: int = SLOT_BYTES) -> tuple[DataFrame, DataFrame]:
+               slot_bytes: int = SLOT_BYTES, prefix: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Index rows with the group of their bucket, and each query once per group it probes a bucket of.
 
-    A group is as many buckets as fill a slot, so a query that probes thousands
-    of buckets takes its vector to few places. A row's bucket goes along as `near`.
+    A group is all buckets with the same `prefix` leading signs, by default as
+    many as fill a slot, so a query that probes thousands of buckets takes its
+    vector to few places. A row's bucket and a query's limit go along as `near`;
+    queries may bring theirs.
     """
-    groups = max(1, min(1 << signs.bits, -(-rows // _slot_rows(slot_bytes, dimensions, rows))))
+    if prefix is None:
+        prefix = min(signs.bits, PREFIX, (-(-rows // _slot_rows(slot_bytes, dimensions, rows)) - 1).bit_length())
 
     def own(batch: pa.RecordBatch, units: np.ndarray) -> Iterator[pa.RecordBatch]:
         codes = signs.codes(signs.margins(units))
-        yield _with(batch, bucket=codes % groups, near=codes.astype("float64"))
+        yield _with(batch, bucket=codes >> (signs.bits - prefix), near=codes.astype("float64"))
+
+    if "near" not in queries.columns:
+        queries = lsh_limits(queries, dimensions, signs, probes)
 
     def probed(batch: pa.RecordBatch, units: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = signs.buckets(signs.margins(units), probes) % groups
-        wanted = np.zeros((len(found), groups), bool)
-        np.put_along_axis(wanted, found, True, axis=1)
-        query, group = np.nonzero(wanted)
-        yield from _repeated(batch, query, bucket=group)
-
-    schema = "vector array<float>, bucket long"
-    left = _units(index, "key", dimensions, f"key string, {schema}, near double", own)
-    right = _units(queries, "query_id", dimensions, f"query_id string, {schema}", probed, at_once=256)
+        found = _groups(signs, signs.margins(units), batch.column("near").to_numpy(), prefix)
+        query = np.repeat(np.arange(len(found)), [len(g) for g in found])
+        yield from _repeated(batch, query, bucket=np.concatenate(found))
+
+    left = _units(index, "key", dimensions, "key string, vector array<float>, bucket long, near double", own)
+    right = _units(queries, "query_id", dimensions, "query_id string, vector array<float>, near double, bucket long", probed,
+                   "near", at_once=256)
     return left.select("bucket", "key", "vector", "near"), right.select(
-        "bucket", "query_id", "vector", F.lit(0.0).alias("near"), F.lit(float("-inf")).alias("least"))
+        "bucket", "query_id", "vector", "near", F.lit(float("-inf")).alias("least"))
 
 
-class ProbedSlot:
-    """Some index rows of a group of buckets; a query is compared with those in the buckets it probes."""
+def _passing(dimensions: int, k: int, signs: Probes) -> Callable:
+    """Rows come sorted by place, queries of a place before its index rows, those by key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, asked = None, [], None
+        for place, kind, names, ids, units, near, _ in _runs(batches, dimensions):
+            if place != now:
+                if asked:
+                    yield asked.found()
+                now, parts, asked = place, [], None
+            if not kind:
+                parts.append((ids, units, near))
+            elif parts:
+                asked = asked or Asked(signs, k, *(np.concatenate(x) for x in zip(*parts)))
+                asked.add(names, ids, units, near)
+        if asked:
+            yield asked.found()
 
-    QUERIES = 256
+    return run
 
-    def __init__(self, signs: Probes, probes: int, keys: np.ndarray, rows: np.ndarray, codes: np.ndarray):
-        order = np.argsort(codes, kind="stable")
-        self.signs, self.probes, self.keys, self.rows = signs, probes, keys[order], rows[order]
-        self.buckets, self.of = np.unique(codes[order].astype(np.int64), return_inverse=True)
 
-    def search(self, ids, queries: np.ndarray, near: np.ndarray, least: np.ndarray, k: int) -> pa.RecordBatch:
-        best = Best(ids, k, least)
-        for at in range(0, len(queries), self.QUERIES):
-            units = queries[at:at + self.QUERIES]
-            found = self.signs.buckets(self.signs.margins(units), self.probes)
-            place = np.minimum(np.searchsorted(self.buckets, found), len(self.buckets) - 1)
-            query, probe = np.nonzero(self.buckets[place] == found)
-            held = np.zeros((len(units), len(self.buckets)), bool)
-            held[query, place[query, probe]] = True
-            many = held.mean() > 0.1
-            scores = units @ self.rows.T if many else None
-            for i in np.flatnonzero(held.any(axis=1)):
-                some = np.flatnonzero(held[i][self.of])
-                row = scores[i, some] if many else self.rows[some] @ units[i]
-                best._slice(np.array([at + i]), row[None, :], self.keys[some])
-        return best.rows()
+class Asked:
+    """Queries of one place, and the best k so far of the rows in the buckets each probes.
+
+    Scores are first taken in single precision; a row is looked at closely if it
+    may reach a query's k-th. Rows come in the order of their keys, so their number settles ties.
+    """
+
+    QUERIES, FIRST, ROWS = 1024, 512, 1024      # slice of the score matrix held at a time; the first one is smaller
+    PAIRS = 1 << 14                             # looked at closely at a time
+    NEAR = 2e-5                                 # room for single precision and for rounding to six digits
+
+    def __init__(self, signs: Probes, k: int, ids: np.ndarray, units: np.ndarray, limits: np.ndarray):
+        margins = signs.margins(units)
+        self.signs, self.k, self.ids, self.units, self.limits = signs, k, ids, units, limits
+        self.single, self.costs, self.codes = units.astype("float32"), margins ** 2, signs.codes(margins)
+        self.scores, self.rows = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        self.names: list[pa.Array] = []
+        self.seen = self.close = 0
+
+    def add(self, names: pa.Array, keys: np.ndarray, units: np.ndarray, codes: np.ndarray) -> None:
+        """The next index rows."""
+        self.names.append(names)
+        single, codes = units.astype("float32"), codes.astype(np.int64)
+        at = 0
+        while at < len(keys):
+            size = min(self.ROWS, max(self.FIRST, self.seen // 8 * 8))
+            part = slice(at, at + size)
+            for first in range(0, len(self.ids), self.QUERIES):
+                self._slice(first, single[part], keys[part], units[part], codes[part])
+            self.seen += len(keys[part])
+            at += size
+
+    def _slice(self, first: int, single: np.ndarray, *rows: np.ndarray) -> None:
+        some = slice(first, first + self.QUERIES)
+        scores = self.single[some] @ single.T
+        cut = (self.scores[some, -1] - self.NEAR).astype("float32")
+        few = np.flatnonzero(np.isneginf(cut))      # queries that have not found k rows yet
+        n = scores.shape[1]
+        most = min(n, 4 * self.k)
+        if not len(few) or most == n:
+            self._look(first, *self._where(scores >= cut[:, None]), *rows)
+            return
+        # The best few of this slice first; if they hold k rows in probed buckets, no worse row counts.
+        cut[few] = np.partition(scores[few], n - most, axis=1)[:, n - most]
+        self._look(first, *self._where(scores >= cut[:, None]), *rows)
+        now = (self.scores[some, -1][few] - self.NEAR).astype("float32")
+        few, now = few[now < cut[few]], now[now < cut[few]]
+        if len(few):
+            left = (scores[few] < cut[few][:, None]) & (scores[few] >= now[:, None])
+            left &= self._probed(first + few, rows[2])
+            query, row = np.nonzero(left)
+            self._look(first, few[query], row, *rows)
+
+    @staticmethod
+    def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the few true values of a matrix, found eight at a time."""
+        if mask.shape[1] % 8:
+            mask = np.pad(mask, ((0, 0), (0, -mask.shape[1] % 8)))
+        words = np.flatnonzero(mask.reshape(-1).view(np.uint64))
+        word, byte = np.nonzero(mask.reshape(-1, 8)[words])
+        return np.divmod(words[word] * 8 + byte, mask.shape[1])
+
+    def _probed(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Whether each query probes the bucket of each row, in one product: signs that differ add their cost."""
+        bits = np.arange(self.signs.bits)
+        own, theirs = ((c[:, None] >> bits) & 1 for c in (self.codes[queries], codes))
+        costs = self.costs[queries]
+        return (costs * own).sum(axis=1)[:, None] + (costs * (1 - 2 * own)) @ theirs.T <= self.limits[queries][:, None]
+
+    def _look(self, first: int, queries: np.ndarray, found: np.ndarray, keys: np.ndarray, units: np.ndarray,
+              codes: np.ndarray) -> None:
+        """Rows in probed buckets, but the query itself, with their exact scores."""
+        bits = np.arange(self.signs.bits)
+        for at in range(0, len(queries), self.PAIRS):
+            query, row = first + queries[at:at + self.PAIRS], found[at:at + self.PAIRS]
+            flips = ((self.codes[query] ^ codes[row])[:, None] >> bits) & 1
+            near = ((self.costs[query] * flips).sum(axis=1) <= self.limits[query]) & (keys[row] != self.ids[query])
+            self.close += len(query)
+            query, row = query[near], row[near]
+            score = np.round(np.einsum("ij,ij->i", self.units[query], units[row]), 6) + 0.0
+            reached = score >= self.scores[query, -1]
+            if reached.any():
+                self._keep(query[reached], score[reached], self.seen + row[reached])
+
+    def _keep(self, query: np.ndarray, score: np.ndarray, row: np.ndarray) -> None:
+        changed, of = np.unique(query, return_inverse=True)
+        of = np.concatenate([of, np.repeat(np.arange(len(changed)), self.k)])
+        score = np.concatenate([score, self.scores[changed].ravel()])
+        row = np.concatenate([row, self.rows[changed].ravel()])
+        order = np.lexsort((row, -score, of))
+        starts = np.searchsorted(of[order], np.arange(len(changed)))
+        best = order[np.arange(len(order)) - starts[of[order]] < self.k]
+        self.scores[changed], self.rows[changed] = (x[best].reshape(-1, self.k) for x in (score, row))
+
+    def found(self) -> pa.RecordBatch:
+        query, place = np.nonzero(np.isfinite(self.scores))
+        keys = pa.concat_arrays(self.names).take(pa.array(self.rows[query, place]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.ids[query], pa.string()), keys, pa.array(self.scores[query, place])], ["query_id", "key", "score"])

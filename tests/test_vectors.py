@@ -197,3 +197,88 @@ def test_queries_go_to_groups_of_buckets(spark):
     assert stored.count() == 1024 and stored.select("bucket").distinct().count() == 4
     assert sent.count() <= 50 * 4
     assert nb.lsh_buckets(rows, asked, 16, signs, 90)[1].count() == 50 * 90
+
+
+def near_by_hashing(rows, asked, k, planes, probes, keys=None, ids=None):
+    """Plain: of each query, the best rows in the buckets whose rank by cost, over all signs, is below `probes`."""
+    keys, ids = keys or [f"{i:04d}" for i in range(len(rows))], ids or [f"{i:04d}" for i in range(len(asked))]
+    units, wanted = nb.unit_rows(np.float64(np.float32(rows))), nb.unit_rows(np.float64(np.float32(asked)))
+    bits = len(planes)
+    codes = (units @ planes.T >= 0) @ (1 << np.arange(bits))
+    every = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    out = {}
+    for query, unit in zip(ids, wanted):
+        margins = planes @ unit
+        costs = every @ margins ** 2
+        limit = np.sort(costs)[min(probes, len(costs)) - 1]
+        own = (margins >= 0) @ (1 << np.arange(bits))
+        scores = np.round(units @ unit, 6) + 0.0
+        out.setdefault(query, []).extend((-s, key) for s, key, c in zip(scores, keys, costs[codes ^ own])
+                                         if key is not None and key != query and c <= limit + 1e-12)
+    return sorted((q, key, -s + 0.0, r) for q, found in out.items() if q is not None
+                  for r, (s, key) in enumerate(sorted(found)[:k], 1))
+
+
+def as_listed(df):
+    return sorted((r.query_id, r.key, round(r.score, 6), r["rank"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("probes", [1, 700, 6000, 1 << 14])
+def test_lsh_probes_over_all_signs(spark, probes):
+    """More signs than FLIPS: buckets are probed by cost over all of them, none is out of reach."""
+    rows = np.random.default_rng(9).standard_normal((900, DIM))
+    rows[::7] = rows[0]     # one common vector: ties go to the smaller key
+    planes = nb.lsh_planes(14, DIM)
+    want = near_by_hashing(rows, rows[:150], 4, planes, probes)
+    left, right = table(spark, "key", rows), table(spark, "query_id", rows[:150])
+    for slot_bytes in (nb.ASKED_BYTES, 8 * DIM * 40):
+        assert as_listed(lsh_candidates(left, right, 4, DIM, bits=14, probes=probes, slot_bytes=slot_bytes)) == want
+
+
+def test_limits_and_order_of_all_buckets():
+    rng = np.random.default_rng(4)
+    for bits in (1, 5, 13):
+        signs = nb.Probes(rng.standard_normal((bits, DIM)))
+        margins = signs.margins(nb.unit_rows(rng.standard_normal((6, DIM))))
+        every = ((np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1) @ (margins ** 2).T
+        for probes in {1, 2, (1 << bits) // 3 + 1, 1 << bits}:
+            assert ((every <= signs.limits(margins, probes)).sum(axis=0) == probes).all()
+        codes = rng.integers(0, 1 << bits, 6)
+        own = [every[c, i] for i, c in enumerate(codes ^ signs.codes(margins))]
+        assert signs.below(margins, codes).tolist() == (every < np.array(own) - 1e-12).sum(axis=0).tolist()
+    assert signs.limits(np.zeros((1, 13)), 5) >= 0 and signs.below(np.zeros((1, 13)), np.array([77])).tolist() == [0]
+
+
+def test_few_rows_are_looked_at_closely():
+    """Where nearly all buckets are probed, buckets and exact scores are found for few of the pairs."""
+    rows = np.random.default_rng(6).standard_normal((6000, DIM))
+    units, names = nb.unit_rows(rows), np.array([f"{i:04d}" for i in range(6000)], object)
+    signs = nb.Probes(nb.lsh_planes(9, DIM))
+    asked = nb.Asked(signs, 3, names[:300], units[:300], signs.limits(signs.margins(units[:300]), 400))
+    codes = signs.codes(signs.margins(units)).astype(float)
+    for at in range(0, 6000, 1001):
+        part = slice(at, at + 1001)
+        asked.add(pa.array(names[part].tolist()), names[part], units[part], codes[part])
+    got = sorted((r["query_id"], r["key"], round(r["score"], 6)) for r in asked.found().to_pylist())
+    want = near_by_hashing(rows, rows[:300], 3, signs.planes, 400, ids=list(names[:300]))
+    assert [(q, s) for q, _, s in got] == [(q, pytest.approx(s, abs=2e-6)) for q, _, s, _ in sorted(want, key=lambda r: r[:2])]
+    assert asked.close < 0.03 * 6000 * 300
+
+
+def test_queries_travel_once_where_all_buckets_count(spark):
+    """Vectors without structure are not grouped: a query goes to no more places than there are stretches of rows."""
+    rng = np.random.default_rng(2)
+    loose = nb.unit_rows(rng.standard_normal((64, 16)))
+    signs = nb.Probes(nb.lsh_planes(13, 16))
+    assert nb.best_prefix(signs, 5000, loose, 100_000) == 0 < nb.best_prefix(signs, 1, loose, 100_000)
+    assert nb.best_prefix(signs, 5000, loose[:0], 0) == 0
+
+
+def test_lsh_with_repeated_and_missing_keys(spark):
+    rows = np.random.default_rng(7).integers(-2, 3, (60, DIM)) + 0.25
+    keys = [None if i % 11 == 0 else f"{i % 40:04d}" for i in range(60)]
+    left = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in zip(keys, rows)], "key string, vector array<float>")
+    want = near_by_hashing(rows, rows, 4, nb.lsh_planes(4, DIM), 9, keys, keys)
+    assert as_listed(lsh_candidates(left, left.withColumnRenamed("key", "query_id"), 4, DIM, bits=4, probes=9)) == want
+    nothing = left.filter("false")
+    assert lsh_candidates(nothing, nothing.withColumnRenamed("key", "query_id"), 4, DIM).collect() == []
